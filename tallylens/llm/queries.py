@@ -18,7 +18,7 @@ def op9_low_discrepancy_mix(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op9_low_discrepancy_mix)}
+    return {f.__name__: f for f in (op2_sampled_splitter_shards, op9_low_discrepancy_mix)}
 
 
 def oracle_sql():
