@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import decontamination, mixing, sharding, tokencounts, tokenfiles
 from .common import table
 
 
@@ -12,14 +12,66 @@ def op2_sampled_splitter_shards(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
 
 
+def op4_simple8b_token_files(spark, sf_dir):
+    return tokenfiles.write_and_read(table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_array_decontamination(spark, sf_dir):
+    found = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op9_low_discrepancy_mix(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_edit_aware_token_counts(spark, sf_dir):
+    return tokencounts.count_edited(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op2_sampled_splitter_shards, op9_low_discrepancy_mix)}
+    return {
+        f.__name__: f
+        for f in (
+            op2_sampled_splitter_shards,
+            op4_simple8b_token_files,
+            op5_suffix_array_decontamination,
+            op9_low_discrepancy_mix,
+            op10_edit_aware_token_counts,
+        )
+    }
+
+
+#: Every window of an item looked up among all windows of the documents.
+_OP5 = """
+WITH low AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), lengths AS (
+  SELECT *, least(10, len(w)) AS n FROM items WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM lengths)
+), sizes AS (SELECT DISTINCT n FROM lengths), grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM low, sizes WHERE len(w) >= n)
+), met AS (SELECT doc_id, i, g.n, item_id FROM grams g JOIN windows USING (n, s)), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY 1
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s
+  FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY 1
+)
+"""
+
+
+_OP5 += """
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
 
 
 def oracle_sql():
-    return {}
+    return {"op5_suffix_array_decontamination": _OP5}
