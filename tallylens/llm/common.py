@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +57,23 @@ def lower_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a context, so that it needn't be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tallylens_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="tallylens-")) / "tallylens.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in root.rglob("*.py"):
+            z.write(f, Path(root.name) / f.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._tallylens_shipped = True
+
+
 def in_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of whole texts can hold: rows here, bytes by Spark's own limit."""
+    """Ready the session for functions over whole texts: the package is shipped, and what one Arrow batch
+    can hold is bounded in rows and bytes."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)

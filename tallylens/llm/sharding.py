@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, ship
 
 
 def _ranged(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
@@ -152,6 +152,7 @@ def shard(docs: DataFrame, shards: int = 16, *, rows_per_range: int = 1 << 16, m
         F.xxhash64(text).alias("h"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("d"),
     )
+    ship(docs.sparkSession)
     thin = materialize(thin, "shard-sizes")
     n, total = thin.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = int(min(max_ranges, max(64 * shards, n // rows_per_range)))
