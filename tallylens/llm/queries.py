@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, langid, mixing, neighbours, sharding, tokencounts, tokenfiles
+from . import chat, decontamination, langid, mixing, neardup, neighbours, sharding, tokencounts, tokenfiles
 from .common import table
 
 
@@ -36,6 +36,11 @@ def op6_segmentation_marginal_language_id(spark, sf_dir):
     return langid.predict(docs, langid.fit(docs))
 
 
+def op8_bayesian_minhash_dedup(spark, sf_dir):
+    found = neardup.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_low_discrepancy_mix(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -55,6 +60,7 @@ def queries():
             op4_simple8b_token_files,
             op5_suffix_array_decontamination,
             op6_segmentation_marginal_language_id,
+            op8_bayesian_minhash_dedup,
             op9_low_discrepancy_mix,
             op10_edit_aware_token_counts,
         )
@@ -109,5 +115,25 @@ FROM sized GROUP BY conv_id
 """
 
 
+#: Pairs that share a shingle, exactly; then the least id reachable.
+_OP8 = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + 4], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b
+), least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def oracle_sql():
-    return {"op1_token_chat_format": _OP1, "op5_suffix_array_decontamination": _OP5}
+    return {"op1_token_chat_format": _OP1, "op5_suffix_array_decontamination": _OP5, "op8_bayesian_minhash_dedup": _OP8}
