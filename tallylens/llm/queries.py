@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, langid, mixing, neardup, neighbours, sharding, tokencounts, tokenfiles
+from . import chat, decontamination, langid, lmscore, mixing, neardup, neighbours, sharding, tokencounts, tokenfiles
 from .common import table
 
 
@@ -36,6 +36,11 @@ def op6_segmentation_marginal_language_id(spark, sf_dir):
     return langid.predict(docs, langid.fit(docs))
 
 
+def op7_stupid_backoff_scores(spark, sf_dir):
+    scored = lmscore.score_documents(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), "n_backed_off")
+
+
 def op8_bayesian_minhash_dedup(spark, sf_dir):
     found = neardup.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -60,6 +65,7 @@ def queries():
             op4_simple8b_token_files,
             op5_suffix_array_decontamination,
             op6_segmentation_marginal_language_id,
+            op7_stupid_backoff_scores,
             op8_bayesian_minhash_dedup,
             op9_low_discrepancy_mix,
             op10_edit_aware_token_counts,
@@ -135,5 +141,32 @@ FROM least LEFT JOIN sizes USING (doc_id)
 """
 
 
+#: Counts of all other documents: totals less the document's own.
+_OP7 = """
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), places AS (
+  SELECT doc_id, i, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] END AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM texts)
+), own1 AS (SELECT doc_id, w, count(*) AS c FROM places GROUP BY ALL), own2 AS (
+  SELECT doc_id, p, w, count(*) AS c FROM places WHERE p IS NOT NULL GROUP BY ALL
+), all1 AS (SELECT w, sum(c) AS c FROM own1 GROUP BY ALL), all2 AS (SELECT p, w, sum(c) AS c FROM own2 GROUP BY ALL),
+rest1 AS (SELECT doc_id, w, a.c - o.c AS c FROM own1 o JOIN all1 a USING (w)),
+rest2 AS (SELECT doc_id, p, w, a.c - o.c AS c FROM own2 o JOIN all2 a USING (p, w)),
+sizes AS (SELECT doc_id, len(w) AS n_words, (SELECT count(*) FROM places) AS total FROM texts),
+scored AS (
+  SELECT x.doc_id, CASE
+      WHEN b.c > 0 THEN ln(b.c / q.c)
+      WHEN u.c > 0 THEN ln(u.c / (s.total - s.n_words)) + CASE WHEN x.p IS NULL THEN 0 ELSE ln(0.4) END
+      ELSE ln(0.4 / greatest(1, s.total - s.n_words)) + CASE WHEN x.p IS NULL THEN 0 ELSE ln(0.4) END END AS l,
+    CASE WHEN b.c > 0 OR (x.p IS NULL AND u.c > 0) THEN 0 ELSE 1 END AS back
+  FROM places x JOIN rest1 u ON u.doc_id = x.doc_id AND u.w = x.w JOIN sizes s ON s.doc_id = x.doc_id
+  LEFT JOIN rest2 b ON b.doc_id = x.doc_id AND b.p = x.p AND b.w = x.w
+  LEFT JOIN rest1 q ON q.doc_id = x.doc_id AND q.w = x.p
+)
+SELECT doc_id, n_words, round(coalesce(sum(l), 0), 4) AS log_score, CAST(coalesce(sum(back), 0) AS BIGINT) AS n_backed_off
+FROM sizes LEFT JOIN scored USING (doc_id) GROUP BY doc_id, n_words
+"""
+
+
 def oracle_sql():
-    return {"op1_token_chat_format": _OP1, "op5_suffix_array_decontamination": _OP5, "op8_bayesian_minhash_dedup": _OP8}
+    return {"op1_token_chat_format": _OP1, "op5_suffix_array_decontamination": _OP5, "op7_stupid_backoff_scores": _OP7, "op8_bayesian_minhash_dedup": _OP8}
