@@ -1 +1,26 @@
+"""Continuous analysis: new comparison runs are analysed as they arrive."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import DataStreamWriter
+
+
+def on_new_runs(details: DataFrame, sink: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+    """A writer that calls sink(signals, batch) with the probe signals of each micro-batch of detail rows.
+
+    details: a stream of recon_table_id, recon_type, mismatch_columns, source_count, seq, row. Each value
+    pair is probed on its own, so no state is kept and a batch that runs twice gives the same rows."""
+    from pyspark.sql import functions as F
+
+    from ..functions import probes
+    from ..operators.ingest import column_samples
+
+    def run(batch: DataFrame, number: int) -> None:
+        samples = column_samples(batch)
+        found = samples.withColumn("found", probes.signals(F.col("source_value"), F.col("target_value")))
+        sink(found.select("recon_table_id", "column", "seq", F.explode("found").alias("signal")), number)
+
+    return details.writeStream.foreachBatch(run)
