@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_arrow_batches
-from .segments import Pieces, tokenizer_path
+from .segments import shared, tokenizer_path
 
 #: Control strings, in the order of their reserved ids: turn begins, role begins, role ends, turn ends;
 #: the last is the vocabulary's own and only escaped.
@@ -76,7 +76,7 @@ def format_turns(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or tokenizer_path()
 
     def run(batches):
-        pieces = Pieces(path)
+        pieces = shared(path)
         for b in batches:
             roles, texts = ([x or "" for x in b.column(c).to_pylist()] for c in ("role", "text"))
             role_ids, text_ids = pieces.ids([escape(x) for x in roles]), pieces.ids([escape(x) for x in texts])

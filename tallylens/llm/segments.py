@@ -19,8 +19,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _RARE = re.compile("[\\x09\\x0b-\\x0d\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
 _CUT = re.compile(r"(?<=\S)(?= )|(?<=\S)(?=\n\S)")
 _PAIRS = ("  ", "\n\n", " \n", "\n ")
-#: Pieces kept in memory; when there are more, the memory starts anew.
-LIMIT = 400_000
+#: Pieces kept in memory; when there are more, those met least often are forgotten.
+LIMIT = 600_000
 #: Pieces joined into one call of the tokenizer.
 JOIN = 512
 
@@ -62,8 +62,22 @@ class Pieces:
         self.code: dict[str, int] = {}
         self.parts: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
+        self.hits = np.zeros(0, dtype="int64")
         self._flat = None
 
+    def forget(self) -> None:
+        """Keeps the pieces that were met again, at most half of the limit of them."""
+        ids, first, size = self.flat()
+        keep = np.flatnonzero(self.hits > 1)
+        if len(keep) > self.limit // 2:
+            keep = np.sort(keep[np.argsort(-self.hits[keep], kind="stable")[: self.limit // 2]])
+        names, n = list(self.code), size[keep]
+        at = np.repeat(first[keep] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        hits = self.hits[keep] // 2
+        self.clear()
+        self.code = {names[k]: j for j, k in enumerate(keep)}
+        self.parts, self.sizes, self.hits = [ids[at]], [n], hits
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="int32") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -96,7 +110,7 @@ class Pieces:
     def codes(self, lists: list[list[str]]) -> list[np.ndarray]:
         """Numbers of the pieces of each list."""
         if len(self.code) > self.limit:
-            self.clear()
+            self.forget()
         new: set[str] = set()
         for x in lists:
             new.update(x)
@@ -104,7 +118,12 @@ class Pieces:
         if new:
             self._learn(list(new))
         get = self.code.__getitem__
-        return [np.fromiter(map(get, x), dtype="int32", count=len(x)) for x in lists]
+        out = [np.fromiter(map(get, x), dtype="int32", count=len(x)) for x in lists]
+        if out:
+            hits = np.bincount(np.concatenate(out), minlength=len(self.code))
+            hits[: len(self.hits)] += self.hits
+            self.hits = hits
+        return out
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; of a null or empty text none."""
@@ -123,3 +142,13 @@ class Pieces:
         for k, x in zip(slow, self.encode([texts[k] for k in slow]), strict=True):
             out[k] = x
         return out
+
+
+_shared: dict = {}
+
+
+def shared(path: str) -> Pieces:
+    """One memory of pieces for each tokenizer file and Python worker, which serves task after task."""
+    if path not in _shared:
+        _shared[path] = Pieces(path)
+    return _shared[path]

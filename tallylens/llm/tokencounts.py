@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import in_arrow_batches
-from .segments import Pieces, cut, plain, tokenizer_path
+from .segments import Pieces, cut, plain, shared, tokenizer_path
 
 CHUNK = 64
 
@@ -152,7 +152,7 @@ def count_edited(docs: DataFrame, *, edits=sample_edits, tokenizer: str | None =
     schema = "doc_id long, n_tokens long, n_edits int, n_tokens_edited long, n_chars_edited long, n_chars_reencoded long"
 
     def run(batches):
-        encoder = Pieces(path)
+        encoder = shared(path)
         for b in batches:
             ids, rows = b.column("doc_id").to_pylist(), []
             for doc_id, tree in zip(ids, trees(b.column("text").to_pylist(), encoder), strict=True):

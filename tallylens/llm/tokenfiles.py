@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_dir, in_arrow_batches, materialize
-from .segments import Pieces, tokenizer_path
+from .segments import shared, tokenizer_path
 
 BLOCK = 1024
 MAGIC = b"TLS8B-01"
@@ -198,7 +198,7 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id:
         context = TaskContext.get()
         part = context.partitionId()
         uri = f"{folder}/part-{part:06d}.s8b"
-        pieces, writer, n_docs, n_ids = Pieces(path), None, 0, 0
+        pieces, writer, n_docs, n_ids = shared(path), None, 0, 0
         for b in batches:
             writer = writer or Writer(uri, f"{folder}/.{part}-{context.taskAttemptId()}")
             docs_ = b.column("doc_id")
