@@ -59,16 +59,18 @@ def classify_columns(findings: DataFrame, samples: DataFrame, provenance_wide: b
     rows = by.withColumn("provenance", provenance).join(sizes, "finding_id")
     raw = F.col("strength") * (0.5 + 0.5 * F.col("n_signals") / F.col("n_samples"))
     decided = verdict(F.col("category"), F.col("strength"), F.col("provenance"))
-    known = rows.select(
+    # Findings without a signal stay in the left join and are unknown.
+    rows = columns.join(rows, "finding_id", "left")
+    none = F.array().cast(f"array<{EVIDENCE}>")
+    return rows.select(
         "finding_id",
-        "category",
-        decided.alias("verdict"),
-        F.round(F.least(raw, F.lit(0.99)), 2).alias("confidence"),
-        "rationale",
-        F.transform("first", lambda x: evidence("probe", x["detail"], data=F.map_from_entries(x["meta"]))).alias("evidence"),
+        F.coalesce("category", F.lit("unknown")).alias("category"),
+        F.when(F.col("category").isNull(), "needs_review").otherwise(decided).alias("verdict"),
+        F.coalesce(F.round(F.least(raw, F.lit(0.99)), 2), F.lit(0.2)).alias("confidence"),
+        F.coalesce("rationale", F.lit("No probe explains the difference.")).alias("rationale"),
+        F.coalesce(F.transform("first", lambda x: evidence("probe", x["detail"], data=F.map_from_entries(x["meta"]))), none).alias("evidence"),
         F.row_number().over(over.orderBy("at")).alias("seq"),
     )
-    return known.unionByName(_fixed(columns.join(known, "finding_id", "left_anti"), "unknown", "needs_review", 0.2, "No probe explains the difference."))
 
 
 def _fixed(rows: DataFrame, category: Column | str, verdict_: str, confidence: float, rationale: str) -> DataFrame:

@@ -41,10 +41,11 @@ def analyze(
 ) -> Analysis:
     """table: gives a compared table by its full name; without it nothing is confirmed on whole tables.
     mapping: code artifacts. upstreams: as from lineage.upstreams."""
-    findings, samples, summaries = ingest.ingest(main, metrics, details, recon_id)
+    # Details are at most SAMPLE_CAP rows for each column of each pair.
+    findings, samples, summaries = ingest.ingest(main, metrics, details.persist(), recon_id)
     findings, samples, summaries = (x.persist() for x in (findings, samples, summaries))
     pack = knowledge.load(dialect)
-    hypotheses = classify.classify(findings, samples, knowledge.remediation(spark, pack))
+    hypotheses = classify.classify(findings, samples, knowledge.remediation(spark, pack)).persist()
     hypotheses = classify.freshness_pass(findings, hypotheses)
     if mapping:
         hypotheses = passes.code_pass(findings, hypotheses, **artifacts.frames(spark, mapping))

@@ -338,9 +338,10 @@ _TOP = """SELECT * FROM (VALUES ('custkey', 'upstream_drift', 'genuine_data', 0.
 
 def _classified(spark, sf_dir):
     _, _, (main, metrics, details) = _compared(spark, sf_dir)
-    findings, samples, _ = ingest.ingest(main, metrics, details, "r1")
+    findings, samples, _ = ingest.ingest(main, metrics, details.persist(), "r1")
+    findings, samples = findings.persist(), samples.persist()
     pack = knowledge.load("snowflake")
-    return findings, samples, classify.classify(findings, samples, knowledge.remediation(spark, pack))
+    return findings, samples, classify.classify(findings, samples, knowledge.remediation(spark, pack)).persist()
 
 
 @query(_TOP.replace("0.8)", "CAST(0.8 AS DOUBLE))").replace("0.9)", "CAST(0.9 AS DOUBLE))"))
@@ -375,8 +376,10 @@ def q_freshness_pass(spark, sf_dir):
     s, t = pair(spark, sf_dir)
     t = t.withColumn("priority", F.when(F.col("k") % 20 == 0, F.concat(F.lit("zz"), F.col("k").cast("string"))).otherwise(F.col("priority")))
     parts = compare.compare(s, t, compare.Pair(keys=["k"]), recon_id="r1", table_id=1, source_name="src.orders", target_name="tgt.orders")
-    findings, samples, _ = ingest.ingest(*parts, "r1")
-    done = classify.freshness_pass(findings, classify.classify(findings, samples))
+    main, metrics, details = parts
+    findings, samples, _ = ingest.ingest(main, metrics, details.persist(), "r1")
+    findings, samples = findings.persist(), samples.persist()
+    done = classify.freshness_pass(findings, classify.classify(findings, samples).persist())
     heads = classify.top(done).join(findings.where("column = 'priority'"), "finding_id")
     return heads.select((F.col("total_count") > 0).alias("any_rows"), "category", "confidence")
 
