@@ -501,6 +501,60 @@ def q_code_pass(spark, sf_dir):
     return heads.where("what in ('price', 'status', 'custkey', 'missing_in_target')")
 
 
+@query("SELECT range AS id, 'SKU-' || lpad(CAST(range AS VARCHAR), 4, '0') AS sku, CAST(range * 1.5 AS DOUBLE) AS price FROM range(1, 31)")
+def q_row_generator(spark, sf_dir):
+    return spark.sql("SELECT id, concat('SKU-', lpad(cast(id AS string), 4, '0')) AS sku, cast(id * 1.5 AS double) AS price FROM range(1, 31) AS t(id)")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'N' ELSE 'Y' END AS source_flag, CASE WHEN c_custkey % 7 = 0 THEN 'false' ELSE 'true' END AS target_flag, 'null_boolean' AS category FROM customer")
+def q_flag_encoding(spark, sf_dir):
+    views(spark, sf_dir)
+    no = F.col("c_custkey") % 7 == 0
+    rows = spark.table("customer").select("c_custkey", F.when(no, "N").otherwise("Y").alias("source_flag"), F.when(no, "false").otherwise("true").alias("target_flag"))
+    found = rows.withColumn("x", F.explode(probes.null_boolean(F.col("source_flag"), F.col("target_flag"))))
+    return found.select("c_custkey", "source_flag", "target_flag", F.col("x.category").alias("category"))
+
+
+@query("SELECT p_partkey, lower(p_brand) AS short, list_filter([p_name, 'load_dt', 'k'], lambda x: regexp_matches(x, '(?i)(date|dt|_ts|timestamp|datetime|_at$|time)'))[1] AS date_column FROM part")
+def q_names(spark, sf_dir):
+    views(spark, sf_dir)
+    full = F.concat(F.lit("cat.`s`.`"), F.col("p_brand"), F.lit("`"))
+    return spark.table("part").select("p_partkey", ingest.short_name(full).alias("short"), ingest.date_column(F.array("p_name", F.lit("load_dt"), F.lit("k"))).alias("date_column"))
+
+
+@query("SELECT o_orderkey, 'k' AS keys FROM orders WHERE o_orderkey % 3 = 0")
+def q_detail_predicate(spark, sf_dir):
+    views(spark, sf_dir)
+    third = F.col("o_orderkey") % 3 == 0
+    row = F.create_map(F.lit("k"), F.col("o_orderkey").cast("string"), F.lit("c_base"), F.lit("a"), F.lit("c_compare"), F.when(third, "b").otherwise("a"))
+    rows = spark.table("orders").select(F.col("o_orderkey").alias("recon_table_id"), F.lit("mismatch").alias("recon_type"), F.array(F.lit("c")).alias("mismatch_columns"), F.lit(1).alias("source_count"), F.lit(0).alias("seq"), row.alias("row"))
+    return ingest.column_samples(rows).select(F.col("recon_table_id").alias("o_orderkey"), F.array_join(F.map_keys("keys"), ",").alias("keys"))
+
+
+@query("SELECT o_custkey, count(*) AS orders FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY 1")
+def q_semi_join(spark, sf_dir):
+    views(spark, sf_dir)
+    poor = spark.table("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return spark.table("orders").join(poor, "o_custkey", "left_semi").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"))
+
+
+@query("SELECT n_nationkey, 'T' || CAST(n_regionkey AS VARCHAR) AS kind FROM nation WHERE n_nationkey % 5 <> 0")
+def q_error_log(spark, sf_dir):
+    views(spark, sf_dir)
+    line = F.when(F.col("n_nationkey") % 5 == 0, "noise").otherwise(F.format_string("code=%d, kind=T%d, severity=warning, path='/o/%s.sql', message='m, n'", "n_nationkey", "n_regionkey", "n_name"))
+    parsed = artifacts.parse_errors(spark.table("nation").select(line.alias("value")))
+    return parsed.select(F.col("code").cast("int").alias("n_nationkey"), "kind")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'genuine_data' WHEN c_custkey % 4 = 1 THEN 'benign' WHEN c_custkey % 4 = 2 THEN 'migration_induced' ELSE 'needs_review' END AS verdict FROM customer")
+def q_verdict_rules(spark, sf_dir):
+    views(spark, sf_dir)
+    k = F.col("c_custkey") % 4
+    category = F.when(k == 0, "upstream_drift").when(k == 1, "semi_structured").when(k == 2, "timezone").otherwise("env_config")
+    strength = F.when(k == 3, 0.4).otherwise(0.9)
+    return spark.table("customer").select("c_custkey", classify.verdict(category, strength, F.lit(False)).alias("verdict"))
+
+
 def queries() -> dict:
     return {f"q_probe_{n}": _probe_query(n) for n in PAIRS} | QUERIES
 
