@@ -3,8 +3,9 @@
 Documents with equal shingle sets are one class. Classes meet in the buckets of banded MinHash
 signatures. In a first round every class of a bucket is compared with the bucket's hub alone; verified
 links give components, and most buckets then lie in one component. Where they don't, a second round
-compares the bucket's classes across components. A comparison looks at signatures in batches and gives a
-pair up when the posterior probability that its similarity reaches the threshold falls below `miss`;
+compares the bucket's classes across components: those of a small bucket by listing the pairs, those of a
+large one in tiles that hold the full sets, verify in place and give only the links that join components.
+A comparison looks at signatures in batches and gives a pair up when the posterior probability that its similarity reaches the threshold falls below `miss`;
 survivors are verified on their full sets, which are built from the texts of just these classes.
 Components come from alternating large-star and small-star steps.
 
@@ -34,8 +35,8 @@ from .common import in_arrow_batches, materialize
 WORDS, THRESHOLD = 5, 0.75
 BANDS, ROWS = 32, 4
 BATCH = 16
-#: Classes of a bucket that one tile of the second round holds.
-TILE = 1024
+#: Classes of a bucket whose pairs the second round lists, and of a larger one that half a tile holds.
+SMALL, TILE = 32, 512
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(97)
@@ -139,9 +140,8 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="uint8").reshape(len(column), BANDS * ROWS)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs(a, b) of keys whose full sets reach the threshold."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+def _sets(keys: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, set (sorted 64-bit hashes) of the given distinct keys, from one document's text of each."""
     who = keys.join(classes.select("key", "doc_id", "t"), "key")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
     text = text.join(who, ["doc_id", "t"]).select("key", "text")
@@ -150,8 +150,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([shingles(t).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()], pa.binary())], names=["key", "set"])
 
-    have = text.mapInArrow(sets, "key binary, set binary").dropDuplicates(["key"])
-    have = materialize(have, "dup-sets")
+    return materialize(text.mapInArrow(sets, "key binary, set binary").dropDuplicates(["key"]), "dup-sets")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs(a, b) of keys whose full sets reach the threshold."""
+    have = _sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), classes, docs)
     both = pairs.join(have.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(have.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
 
     def check(batches):
@@ -188,6 +192,61 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("key"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
 
 
+def _listed(least: np.ndarray):
+    """Of a small bucket: pairs of classes of different components that no test gives up. Pairs with the
+    hub have been verified before."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sig, label, key = _matrix(pdf["sig"]), pd.factorize(pdf["label"])[0], pdf["key"].to_numpy()
+        i, j = np.triu_indices(len(pdf), 1)
+        rest = key != pdf["hub"].iloc[0]
+        keep = (label[i] != label[j]) & rest[i] & rest[j]
+        i, j = i[keep], j[keep]
+        keep = surviving(sig[i], sig[j], least)
+        return pd.DataFrame([(min(key[x], key[y]), max(key[x], key[y])) for x, y in zip(i[keep], j[keep], strict=True)], columns=["a", "b"])
+
+    return run
+
+
+def _across(least: np.ndarray):
+    """Of a tile of a large bucket: verified links between components, one for each two that they join."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sig, key, bands = _matrix(pdf["sig"]), pdf["key"].to_numpy(), np.stack(pdf["bands"].to_numpy())
+        label, names = pd.factorize(pdf["label"])
+        root = np.arange(len(names))
+        column = int(np.flatnonzero((bands == pdf["bucket"].iloc[0]).all(0))[0])
+        sets = [np.frombuffer(x, dtype="uint64") for x in pdf["set"]]
+        sizes = np.array([len(x) for x in sets])
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        first = np.cumsum(sizes) - sizes
+        mark = np.zeros(int(ids.max()) + 1, dtype=bool)
+        i, j, tile = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), pdf["tile"].to_numpy()
+        rest = key != pdf["hub"].iloc[0]
+        left, right, out = np.flatnonzero((tile == i) & rest), np.flatnonzero((tile == j) & rest), []
+        for p in left:
+            q = right[(root[label[right]] != root[label[p]]) & ((right > p) | (i != j))]
+            # A pair that meets in an earlier band is compared there.
+            q = q[~(bands[q, :column] == bands[p, :column]).any(1)]
+            q = q[surviving(np.broadcast_to(sig[p], (len(q), sig.shape[1])), sig[q], least)] if len(q) else q
+            if not len(q):
+                continue
+            own = ids[first[p] : first[p] + sizes[p]]
+            mark[own] = True
+            n = sizes[q]
+            at = np.repeat(first[q] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            met = np.add.reduceat(mark[ids[at]].astype("int64"), np.cumsum(n) - n)
+            mark[own] = False
+            for x in q[100 * met >= 75 * (sizes[p] + n - met)]:
+                a, b = root[label[p]], root[label[x]]
+                if a != b:
+                    root[root == b] = a
+                    out.append((key[p], key[x]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
 def groups(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, t, n_shingles, component_id, kept."""
     least = least_matches(miss)
@@ -215,29 +274,20 @@ def groups(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     marked = members.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     marked = materialize(marked, "dup-marked")
     open_ = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-    tiled = marked.join(open_, "bucket").join(signs, "key")
-    tiled = tiled.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("bucket", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "key", "hub", "label", "sig")
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig, label, key, hub = _matrix(pdf["sig"]), pd.factorize(pdf["label"])[0], pdf["key"].to_numpy(), pdf["hub"].iloc[0]
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        tile = pdf["tile"].to_numpy()
-        left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-        out = []
-        for p in left:
-            q = right[(label[right] != label[p]) & ((right > p) | (i != j))]
-            if len(q):
-                q = q[surviving(np.broadcast_to(sig[p], (len(q), sig.shape[1])), sig[q], least)]
-                out += [(min(key[p], key[x]), max(key[p], key[x])) for x in q if key[x] != hub and key[p] != hub]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    late = tiled.groupBy("bucket", "i", "j").applyInPandas(across, "a binary, b binary").distinct()
-    late = materialize(late, "dup-late")
-    if late.limit(1).count():
-        links = links.union(_verified(late, classes, docs))
-        label = components(links)
+    marked = marked.join(open_, "bucket")
+    few = marked.where(F.col("size") <= SMALL).join(signs, "key").select("bucket", "key", "hub", "label", "sig")
+    late = materialize(few.groupBy("bucket").applyInPandas(_listed(least), "a binary, b binary").distinct(), "dup-late")
+    more = _verified(late, classes, docs)
+    many = materialize(marked.where(F.col("size") > SMALL), "dup-many")
+    if many.limit(1).count():
+        have = _sets(many.select("key").distinct(), classes, docs).join(classes.select("key", "bands", "sig"), "key")
+        tiled = many.join(have, "key").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+        tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        tiled = tiled.select("bucket", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "key", "hub", "label", "sig", "bands", "set")
+        more = more.union(tiled.groupBy("bucket", "i", "j").applyInPandas(_across(least), "a binary, b binary"))
+    more = materialize(more, "dup-links")
+    if more.limit(1).count():
+        label = components(links.union(more))
     ids = classes.join(label, "key", "left").select("key", "doc_id", "t", F.coalesce("label", "key").alias("label"))
     ids = materialize(ids, "dup-labels")
     first = ids.groupBy("label").agg(F.min(F.struct("doc_id", "t")).alias("head"))
