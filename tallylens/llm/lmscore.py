@@ -33,6 +33,12 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _ROWS = "kind int, key long, batch long, part int, a binary, b binary, c binary, ids array<long>, known array<boolean>"
 
 
+def _hashed(text: bytes | None) -> np.ndarray:
+    """The words' hashes."""
+    words = text.translate(_LOWER).split() if text else []
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype="uint64", count=len(words))
+
+
 def longer(h: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Hashes of n-grams that are one word longer: h of the first n - 1 words, then a word's hash."""
     x = h * _MULTIPLY + words
@@ -41,14 +47,20 @@ def longer(h: np.ndarray, words: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
 def pack(x: np.ndarray) -> bytes:
-    """Integers by planes of bytes, so that planes of zeros cost next to nothing once compressed."""
+    """Integers by planes of bytes, compressed, so that high bytes cost next to nothing."""
     x = x.astype("<u8")
-    return np.ascontiguousarray(x.view("uint8").reshape(-1, 8).T).tobytes()
+    planes = np.ascontiguousarray(x.view("uint8").reshape(-1, 8).T).tobytes()
+    return len(x).to_bytes(8, "little") + _ZSTD.compress(planes, asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype="uint8").reshape(8, -1).T).view("<u8").reshape(-1)
+    n = int.from_bytes(data[:8], "little")
+    planes = _ZSTD.decompress(data[8:], decompressed_size=8 * n, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, dtype="uint8").reshape(8, -1).T).view("<u8").reshape(-1)
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -101,7 +113,7 @@ def score(found: list[np.ndarray], totals: list, sizes: np.ndarray) -> tuple[np.
     return np.bincount(doc, logs, n), np.bincount(doc, open_, n).astype("int64"), np.bincount(doc, (factor < 0) | none, n).astype("int64")
 
 
-def score_documents(docs: DataFrame, *, order: int = 2, bucket_bytes: int = 32 << 20, batch_rows: int = 4000) -> DataFrame:
+def score_documents(docs: DataFrame, *, order: int = 2, bucket_bytes: int = 12 << 20, batch_rows: int = 2500) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_words, log_score, mean_log_score, n_backed_off."""
     in_arrow_batches(docs.sparkSession, batch_rows)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -111,9 +123,10 @@ def score_documents(docs: DataFrame, *, order: int = 2, bucket_bytes: int = 32 <
         part = TaskContext.get().partitionId()
         for k, b in enumerate(batches):
             number = part << 32 | k
-            lists = [t.translate(_LOWER).split() if t else [] for t in b.column("text").cast(pa.binary()).to_pylist()]
-            sizes = np.array([len(x) for x in lists], dtype="int64")
-            words = np.concatenate([np.fromiter(map(xxhash.xxh3_64_intdigest, x), dtype="uint64", count=len(x)) for x in lists]) if lists else np.zeros(0, dtype="uint64")
+            each = [_hashed(t.as_py()) for t in b.column("text").cast(pa.binary())]
+            sizes = np.array([len(x) for x in each], dtype="int64")
+            words = np.concatenate(each) if each else np.zeros(0, dtype="uint64")
+            del each
             rows = []
             for n, h in enumerate(grams(words, sizes, order)):
                 keys, counts = np.unique(h[h != 0] if n else h, return_counts=True)
