@@ -212,7 +212,8 @@ def fit(docs: DataFrame, *, docs_per_language: int = 400, most_docs: int = 40_00
     per = max(1, min(docs_per_language, most_docs // len(langs)))
     rates = docs.sparkSession.createDataFrame([(k, min(1.0, per / n)) for k, n in totals.items()], "lang string, rate double")
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(61)), 11) / float(1 << 53)
-    sample = known.join(rates, "lang").where(draw < F.col("rate")).select("lang", "text")
+    # One row for each language, as many as the totals that are here already: texts needn't be shuffled.
+    sample = known.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("lang", "text")
     counts: dict = {k: {} for k in langs}
     for lang, text in sample.toLocalIterator():
         own = counts[lang]
