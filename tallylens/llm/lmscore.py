@@ -3,14 +3,16 @@
 Three relations meet by key. Exploded n-grams: each Arrow batch of documents gives, for every order, its
 distinct n-gram hashes with their counts, cut by hash range into buckets. Count tables: a bucket adds up
 the counts of all batches and answers each batch with the totals of just the n-grams that it asked for.
-Documents: a batch's word sequences meet its answers by the batch's number, a document's own counts are
-taken off the totals, and its n-grams' scores are summed.
+Documents: a batch's word sequences meet its answers by a digest of the batch's words, a document's own
+counts are taken off the totals, and its n-grams' scores are summed. Word sequences move once: they are read
+anew for this and don't go through the buckets. Should the rows then come in other batches, the run fails.
 
 An n-gram seen elsewhere scores count / count of its context, otherwise BACKOFF times the score of the
 next shorter one; a word seen nowhere else scores BACKOFF / (all other words).
 
 Counts are pre-added per batch before they move, so the most frequent word costs one entry a batch and
-bucket, and a bucket holds about bucket_bytes / 8 distinct n-grams of all batches.
+bucket, and a bucket holds about bucket_bytes / 8 distinct n-grams of all batches (there are the more
+buckets, the longer the order).
 
 Words are runs of other than ASCII white space, A-Z in lower case. Defined cases: null and wordless text
 has 0 words, log_score 0 and a null mean; repeated rows are documents of their own and see each other.
@@ -21,7 +23,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,18 +85,25 @@ def grams(words: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+def others(h: np.ndarray, ends: np.ndarray, totals: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each place: how often other documents have the n-gram that ends there, 0 where none ends.
+    totals: the counts of h's sorted distinct n-grams in all documents."""
+    at = np.flatnonzero(ends)
+    _, which, here = np.unique(h[at], return_inverse=True, return_counts=True)
+    own = np.ones(len(at), dtype="int64")
+    many = np.flatnonzero(here[which] > 1)  # what the batch has once, its document has once
+    _, again, n = np.unique(doc[at[many]] * np.int64(len(here) + 1) + which[many], return_inverse=True, return_counts=True)
+    own[many] = n[again]
+    out = np.zeros(len(h), dtype="int64")
+    out[at] = totals.astype("int64")[which] - own
+    return out
+
+
 def score(found: list[np.ndarray], totals: list, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sum of logs without those of the corpus's size, words scored by it, words backed off), per document.
-    totals: for each order (sorted distinct hashes, their counts)."""
+    totals: for each order the counts of its sorted distinct hashes."""
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    rest = []
-    for h, (keys, counts) in zip(found, totals, strict=True):
-        at = np.searchsorted(keys, h)
-        if h is not found[0]:
-            at[h == 0] = len(keys)  # no n-gram ends here
-        _, inverse, own = np.unique(doc * np.int64(len(keys) + 1) + at, return_inverse=True, return_counts=True)
-        other = np.append(counts, 0).astype("int64")[at] - own[inverse]
-        rest.append(np.where(h == 0, 0, other) if h is not found[0] else other)
+    rest = [others(h, h != 0 if n else np.ones(len(h), dtype=bool), counts, doc) for n, (h, counts) in enumerate(zip(found, totals, strict=True))]
     logs, open_ = np.zeros(len(doc)), np.ones(len(doc), dtype=bool)
     factor = np.zeros(len(doc))
     for n in range(len(found) - 1, 0, -1):
@@ -113,41 +121,47 @@ def score(found: list[np.ndarray], totals: list, sizes: np.ndarray) -> tuple[np.
     return np.bincount(doc, logs, n), np.bincount(doc, open_, n).astype("int64"), np.bincount(doc, (factor < 0) | none, n).astype("int64")
 
 
-def score_documents(docs: DataFrame, *, order: int = 2, bucket_bytes: int = 12 << 20, batch_rows: int = 2500) -> DataFrame:
+def score_documents(docs: DataFrame, *, order: int = 3, bucket_bytes: int = 12 << 20, batch_rows: int = 2500) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_words, log_score, mean_log_score, n_backed_off."""
     in_arrow_batches(docs.sparkSession, batch_rows)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // bucket_bytes))
+    buckets = max(1, -(-size * order // (2 * bucket_bytes)))
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()))
 
-    def explode(batches):
-        part = TaskContext.get().partitionId()
-        for k, b in enumerate(batches):
-            number = part << 32 | k
+    def read(batches):
+        """Of each batch: itself, its digest, its word hashes in a row and its documents' sizes in words."""
+        for b in batches:
             each = [_hashed(t.as_py()) for t in b.column("text").cast(pa.binary())]
             sizes = np.array([len(x) for x in each], dtype="int64")
             words = np.concatenate(each) if each else np.zeros(0, dtype="uint64")
             del each
+            yield b, xxhash.xxh3_64_intdigest(sizes.tobytes() + words.tobytes()) >> 1, words, sizes
+
+    def packed(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "key", "batch", "part", "a", "b", "c", "ids", "known"])
+
+    def sequences(batches):
+        for b, number, words, sizes in read(batches):
+            keys, at = np.unique(words, return_inverse=True)
+            yield packed([(1, 0, number, 0, pack_sorted(keys), pack(at), pack(sizes), b.column("doc_id").fill_null(0).to_pylist(), b.column("doc_id").is_valid().to_pylist())])
+
+    def explode(batches):
+        for _, number, words, sizes in read(batches):
             rows = []
             for n, h in enumerate(grams(words, sizes, order)):
                 keys, counts = np.unique(h[h != 0] if n else h, return_counts=True)
-                if not n:
-                    at = np.searchsorted(keys, words)
-                    rows.append((1, -1 - number, number, 0, pack_sorted(keys), pack(at), pack(sizes), b.column("doc_id").fill_null(0).to_pylist(), b.column("doc_id").is_valid().to_pylist()))
                 # Equal ranges of the hash's upper half.
                 cuts = np.searchsorted(keys >> np.uint64(32), np.array([(i << 32) // buckets for i in range(buckets + 1)], dtype="uint64"))
                 cuts[-1] = len(keys)
                 for i in np.flatnonzero(np.diff(cuts)):
                     own = slice(cuts[i], cuts[i + 1])
                     rows.append((0, int(i), number, n, pack_sorted(keys[own]), pack(counts[own]), None, None, None))
-            cols = list(zip(*rows, strict=True))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "key", "batch", "part", "a", "b", "c", "ids", "known"])
+            if rows:
+                yield packed(rows)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(explode, _ROWS)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def answer(table: pa.Table) -> pa.Table:
-        if table.column("kind")[0].as_py() == 1:
-            return table
         parts, asks, counts = table.column("part").to_pylist(), table.column("a").to_pylist(), table.column("b").to_pylist()
         replies: list = [None] * len(parts)
         for part in set(parts):
@@ -161,25 +175,33 @@ def score_documents(docs: DataFrame, *, order: int = 2, bucket_bytes: int = 12 <
         table = table.set_column(table.schema.get_field_index("b"), "b", pa.array(replies, pa.binary()))
         return table.set_column(table.schema.get_field_index("a"), "a", pa.nulls(len(table), pa.binary()))
 
-    answered = rows.groupBy("key").applyInArrow(answer, _ROWS)
+    answered = texts.mapInArrow(explode, _ROWS).groupBy("key").applyInArrow(answer, _ROWS)
 
     def finish(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_pylist()
-        main = kind.index(1)
-        keys = unpack_sorted(table.column("a")[main].as_py())
-        words, sizes = keys[unpack(table.column("b")[main].as_py()).astype("int64")], unpack(table.column("c")[main].as_py()).astype("int64")
-        replies = sorted((p, k, i) for i, (p, k, t) in enumerate(zip(table.column("part").to_pylist(), table.column("key").to_pylist(), kind, strict=True)) if not t)
+        mains = [i for i, t in enumerate(kind) if t]
+        # Batches of equal words meet here together, and their answers are equal.
+        replies = {(p, k): i for i, (p, k, t) in enumerate(zip(table.column("part").to_pylist(), table.column("key").to_pylist(), kind, strict=True)) if not t}
+        if not mains:
+            raise ValueError("the documents came in other batches when they were read anew")
+        keys = unpack_sorted(table.column("a")[mains[0]].as_py())
+        words, sizes = keys[unpack(table.column("b")[mains[0]].as_py()).astype("int64")], unpack(table.column("c")[mains[0]].as_py()).astype("int64")
+        if len(words) and not replies:
+            raise ValueError("the documents came in other batches when they were read anew")
         found = grams(words, sizes, order)
         totals = []
-        for n, h in enumerate(found):
-            counts = [unpack(table.column("b")[i].as_py()) for p, _, i in replies if p == n]
-            totals.append((np.unique(h[h != 0] if n else h), np.concatenate(counts) if counts else np.zeros(0, dtype="uint64")))
+        for n in range(order):
+            counts = [unpack(table.column("b")[i].as_py()) for (p, _), i in sorted(replies.items()) if p == n]
+            totals.append(np.concatenate(counts) if counts else np.zeros(0, dtype="uint64"))
         logs, by_size, backed = score(found, totals, sizes)
-        ids = table.column("ids")[main].as_py()
-        known = np.array(table.column("known")[main].as_py(), dtype=bool)
-        return pa.table({"doc_id": pa.array(np.array(ids, dtype="int64"), mask=~known), "n_words": sizes, "logs": logs, "by_size": by_size, "n_backed_off": backed})
-
-    done = answered.groupBy("batch").applyInArrow(finish, "doc_id long, n_words long, logs double, by_size long, n_backed_off long")
+        out = []
+        for main in mains:
+            ids = table.column("ids")[main].as_py()
+            known = np.array(table.column("known")[main].as_py(), dtype=bool)
+            out.append(pa.table({"doc_id": pa.array(np.array(ids, dtype="int64"), mask=~known), "n_words": sizes, "logs": logs, "by_size": by_size, "n_backed_off": backed}))
+        return pa.concat_tables(out)
+
+    done = answered.union(texts.mapInArrow(sequences, _ROWS)).groupBy("batch").applyInArrow(finish, "doc_id long, n_words long, logs double, by_size long, n_backed_off long")
     done = materialize(done, "lm-scores")
     total = done.agg(F.sum("n_words")).first()[0] or 0
     log_score = F.col("logs") - F.col("by_size") * F.log(F.greatest(F.lit(1), F.lit(total) - F.col("n_words")).cast("double"))

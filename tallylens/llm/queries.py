@@ -36,11 +36,17 @@ def op6_segmentation_marginal_language_id(spark, sf_dir):
     return langid.predict(docs, langid.fit(docs))
 
 
-def op7_stupid_backoff_scores(spark, sf_dir):
+def op7_stupid_backoff_trigram_scores(spark, sf_dir):
     scored = lmscore.score_documents(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), "n_backed_off")
 
 
+def op7_stupid_backoff_scores(spark, sf_dir):
+    """At order 2, which is what its SQL computes."""
+    scored = lmscore.score_documents(table(spark, sf_dir, "documents"), order=2)
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), "n_backed_off")
+
+
 def op8_bayesian_minhash_dedup(spark, sf_dir):
     found = neardup.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -65,6 +71,7 @@ def queries():
             op4_simple8b_token_files,
             op5_suffix_array_decontamination,
             op6_segmentation_marginal_language_id,
+            op7_stupid_backoff_trigram_scores,
             op7_stupid_backoff_scores,
             op8_bayesian_minhash_dedup,
             op9_low_discrepancy_mix,

@@ -253,6 +253,24 @@ def test_scores(docs, none, order):
     assert lmscore.score_documents(none).count() == 0
 
 
+def test_registered_scores_use_trigrams(spark, tmp_path):
+    """In the last text all word pairs were seen, but no three words in a row."""
+    import __spark_entry__
+
+    texts = ["a b c", "a b c", "b d", "x c d", "a b d"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    name = next(n for n in __spark_entry__.queries() if n.startswith("op7_"))
+    got = {r["doc_id"]: r for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()}
+    want = math.log(2 / 11) + math.log(2 / 2) + math.log(0.4) + math.log(1 / 3)
+    assert got[4]["log_score"] == pytest.approx(want, abs=1e-4) and got[4]["n_backed_off"] == 1
+
+
+def test_batches_of_equal_words_are_scored_apart(spark):
+    docs = spark.createDataFrame([(k, "p q r") for k in range(6)], "doc_id long, text string").coalesce(1)
+    got = [(r["doc_id"], r["n_backed_off"]) for r in lmscore.score_documents(docs, batch_rows=2).collect()]
+    assert sorted(got) == [(k, 0) for k in range(6)]
+
+
 def brute_groups(texts):
     sets = []
     for t in texts:
