@@ -1,9 +1,9 @@
 """Exact byte-level BPE of whole texts with a memory of pieces.
 
 A text is cut where the tokenizer's own pattern always starts a new pre-token: before a space that
-follows no white space, and before a line feed between two other characters that are no white space.
-Merges never cross pre-tokens, so the ids of a text are the ids of its pieces in a row, and a piece that
-was met before needs no new encoding. Texts with rare kinds of white space are encoded in one go.
+follows no white space, and before a line feed between two other characters that are no white space; where
+there are rare kinds of white space, also before a tab or carriage return, and never after a rare one. Merges never cross pre-tokens, so the ids of a text are the ids of its pieces in a row, and a piece that
+was met before needs no new encoding. In ids(), texts with rare kinds are encoded in one go.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Kinds of white space (and what some pattern engines take for it) besides space and line feed.
-_RARE = re.compile("[\\x09\\x0b-\\x0d\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
-_CUT = re.compile(r"(?<=\S)(?= )|(?<=\S)(?=\n\S)")
+_SPACES = "\\x09\\x0b-\\x0d\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+_RARE = re.compile(f"[{_SPACES}]")
+_CUT = re.compile(rf"(?<=[^\s{_SPACES}])(?=[ \t\r]|\n[^\s{_SPACES}])")
 _PAIRS = ("  ", "\n\n", " \n", "\n ")
 #: Pieces kept in memory; when there are more, those met least often are forgotten.
 LIMIT = 600_000
@@ -40,7 +41,7 @@ def cut(text: str) -> list[str]:
     """The pieces of a text; their concatenation is the text."""
     if not text:
         return []
-    return [text] if _RARE.search(text) else _CUT.split(text)
+    return _CUT.split(text)
 
 
 class Pieces:

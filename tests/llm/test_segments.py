@@ -53,6 +53,17 @@ def test_edits_of_a_long_text_touch_little():
     assert tree.reencoded < 300 and tree.text() == text
 
 
+@pytest.mark.parametrize("line", ["some words\r\n", "\tsome\twords\n", "some\xa0words here\n", "a\tb\r\n"])
+def test_edits_of_a_text_with_rare_white_space_touch_little(line):
+    text = line * 3000
+    tree = tokencounts.trees([text], SHARED)[0]
+    for at in (0, len(text) // 2, len(text) - 1):
+        tree.edit(at, at + 5, "XY\tz")
+        text = text[:at] + "XY\tz" + text[at + 5 :]
+        assert tree.n_tokens == len(direct(SHARED, text))
+    assert tree.reencoded < 300 and tree.text() == text
+
+
 def test_cut_is_lossless():
     assert "".join(cut("a  b\n\nc d\ne ")) == "a  b\n\nc d\ne "
 
