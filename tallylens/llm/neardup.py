@@ -144,7 +144,7 @@ def _sets(keys: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """key, set (sorted 64-bit hashes) of the given distinct keys, from one document's text of each."""
     who = keys.join(classes.select("key", "doc_id", "t"), "key")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
-    text = text.join(who, ["doc_id", "t"]).select("key", "text")
+    text = text.join(who, text["doc_id"].eqNullSafe(who["doc_id"]) & (text["t"] == who["t"])).select("key", "text")
 
     def sets(batches):
         for b in batches:
@@ -250,9 +250,10 @@ def _across(least: np.ndarray):
 def groups(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, t, n_shingles, component_id, kept."""
     least = least_matches(miss)
+    first_id = F.struct(F.col("doc_id").isNull(), "doc_id", "t")
     rows = materialize(signatures(docs), "dup-rows")
     # One row for each class; what belongs to its set is equal in all its rows.
-    classes = rows.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "t")).alias("d"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min(first_id).alias("d"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = materialize(classes.select("key", "d.doc_id", "d.t", "bands", "sig"), "dup-classes")
     bands = classes.select(F.explode("bands").alias("bucket"), "key")
     full = bands.groupBy("bucket").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -290,7 +291,7 @@ def groups(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
         label = components(links.union(more))
     ids = classes.join(label, "key", "left").select("key", "doc_id", "t", F.coalesce("label", "key").alias("label"))
     ids = materialize(ids, "dup-labels")
-    first = ids.groupBy("label").agg(F.min(F.struct("doc_id", "t")).alias("head"))
+    first = ids.groupBy("label").agg(F.min(first_id).alias("head"))
     ids = ids.join(first, "label").select("key", F.col("head.doc_id").alias("component_id"), F.col("head.t").alias("component_t"))
     out = rows.select("doc_id", "t", "n", "key").join(ids, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

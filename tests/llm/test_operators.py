@@ -301,6 +301,18 @@ def test_near_duplicates(spark, docs, none, monkeypatch):
     assert neardup.groups(none).count() == 0
 
 
+def test_near_copies_with_null_ids(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(60)) for c in "pq"]
+    near = [t.replace(" p30 ", " new ").replace(" q30 ", " new ") for t in texts]
+    rows = [(7, texts[0]), (None, texts[0]), (3, near[0]), (None, texts[1]), (9, near[1]), (None, near[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.groups(docs).collect()]
+    assert Counter(got) == Counter([(7, 3, False), (None, 3, False), (3, 3, True), (None, 9, False), (9, 9, True), (None, 9, False)])
+    assert sorted(r["doc_id"] for r in neardup.deduplicated(docs).collect()) == [3, 9]
+    nameless = spark.createDataFrame([(None, texts[0]), (None, near[0])], docs.schema)
+    assert neardup.deduplicated(nameless).count() == 1
+
+
 def test_large_buckets_are_verified_in_place(spark, monkeypatch):
     """Many near copies about the threshold of one base, shared out in small tiles."""
     monkeypatch.setattr(neardup, "SMALL", 2)
