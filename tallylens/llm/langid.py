@@ -22,7 +22,7 @@ from .common import in_arrow_batches
 MARK = "▁"
 #: Longest piece that is looked up, in characters.
 LONGEST = 16
-#: Words up to this length are scored in plain numbers, longer ones in logarithms.
+#: Words up to this length are scored and learned from in plain numbers, longer ones in logarithms.
 SHORT = 24
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Scores of words kept in memory; when there are more, the memory starts anew.
@@ -160,6 +160,39 @@ class Scorer:
         return out
 
 
+def _expected_long(lattice: Lattice, counts: dict[str, int], words: list[str], p: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece in words of any lengths, in logarithms. Words are padded to the longest."""
+    sizes = np.array([len(w) for w in words])
+    width, n = int(sizes.max()), len(words)
+    found = lattice.find([w.ljust(width, "\0") for w in words], width)
+    found = np.where(np.arange(width + 1)[:, None, None] > sizes, lattice.none, found)
+    with np.errstate(divide="ignore"):
+        logp = np.log(p)
+    a, b = np.full((width + 1, n), -np.inf), np.full((width + 1, n), -np.inf)
+    a[0] = b[sizes, np.arange(n)] = 0
+    for e in range(1, width + 1):
+        k = np.arange(1, min(e, LONGEST) + 1)
+        a[e] = np.logaddexp.reduce(a[e - k] + logp[found[e, k - 1]], axis=0)
+    for s in range(width - 1, -1, -1):
+        k = np.arange(1, min(width - s, LONGEST) + 1)
+        b[s] = np.logaddexp(b[s], np.logaddexp.reduce(b[s + k] + logp[found[s + k, k - 1]], axis=0))
+    seen, rest = np.zeros(len(p)), np.log([counts[w] for w in words]) - a[sizes, np.arange(n)]
+    for k in range(1, min(width, LONGEST) + 1):
+        ids = found[k:, k - 1]
+        seen += np.bincount(ids.ravel(), np.exp(a[:-k] + logp[ids] + b[k:] + rest).ravel(), len(p))
+    return seen
+
+
+def _batches(words: list[str], chars: int = 1 << 17) -> list[list[str]]:
+    """Words of like lengths together, so many that little more than `chars` characters are padded."""
+    out: list[list[str]] = []
+    for w in sorted(words, key=lambda w: (len(w), w)):
+        if not out or len(w) > 2 * len(out[-1][0]) or len(w) * (len(out[-1]) + 1) > chars:
+            out.append([])
+        out[-1].append(w)
+    return out
+
+
 def fit_language(lattice: Lattice, counts: dict[str, int], rounds: int = 4, smooth: float = 0.05) -> np.ndarray:
     """Log probabilities of all pieces and the unknown one, by expectation maximisation over the words."""
     size = lattice.unknown + 1
@@ -167,6 +200,7 @@ def fit_language(lattice: Lattice, counts: dict[str, int], rounds: int = 4, smoo
     for w in counts:
         if len(w) <= SHORT:
             by.setdefault(len(w), []).append(w)
+    long = _batches([w for w in counts if len(w) > SHORT])
     p = np.append(np.full(size, 1 / size), 0.0)
     for _ in range(rounds):
         seen = np.zeros(size + 1)
@@ -188,6 +222,8 @@ def fit_language(lattice: Lattice, counts: dict[str, int], rounds: int = 4, smoo
                     for k in range(1, min(e, LONGEST) + 1):
                         ids = found[e, k - 1]
                         seen += np.bincount(ids, a[e - k] * p[ids] * b[e] * scale, size + 1)
+        for part in long:
+            seen += _expected_long(lattice, counts, part, p)
         seen[-1] = 0
         p = (seen + smooth) / (seen.sum() + smooth * size)
         p[-1] = 0

@@ -228,6 +228,26 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(a, langid.forward(scorer.lattice.find(["abaabb"], 6), scorer.logp, False))
 
 
+def test_long_words_are_learned_from(monkeypatch):
+    lattice = langid.Lattice(["▁", "a", "b", "ab", "ba"])
+    counts = {"▁ab": 3, "▁" + "ab" * 12: 2, "▁" + "ba" * 20 + "z": 2, "▁" + "ab" * 900: 1}
+    few = {w: n for w, n in counts.items() if len(w) <= langid.SHORT}
+    got = langid.fit_language(lattice, counts)
+    assert np.isfinite(got).all() and not np.allclose(got, langid.fit_language(lattice, few))
+    some = {w: n for w, n in counts.items() if len(w) < 100}
+    got = langid.fit_language(lattice, some)
+    monkeypatch.setattr(langid, "SHORT", 100)  # all in plain numbers
+    assert np.allclose(got, langid.fit_language(lattice, some))
+
+
+def test_language_without_spaces_is_learned(spark):
+    texts = [("abcd" * 20, "x"), ("dcba" * 20, "y")]
+    docs = spark.createDataFrame([(i, *texts[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    lang, score = langid.decide(langid.scorer_of(model), model, ["abcd" * 18, "dcba" * 18])
+    assert lang == ["x", "y"] and min(score) > 0.99
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_scores(docs, none, order):
     texts = [(r[0], split(low(r[1]))) for r in ROWS]
