@@ -404,3 +404,42 @@ def test_pipeline_stages_take_the_rows_of_the_one_before(spark, docs, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {"shard", "slot", *keep.columns} == set(out.columns) and 0 < out.count()
     assert out.where("text is null or text = ''").count() == 0
+
+
+def test_pipeline_rows_equal_brute_force(spark, tmp_path):
+    """All stages, rows included. The sources' words are 1 : 2 : 3 after cleaning, as the mix's weights are,
+    so each clean row stays exactly once."""
+    import corpus_pipeline
+
+    passage = [f"item{k}" for k in range(10)]
+    made = [(i, " ".join(f"w{i}x{k}" for k in range(12)), ["en", "de"][i % 2], "a" if i < 5 else "b" if i < 15 else "c") for i in range(30)]
+    made += [(30 + k, " ".join([*made[k][1].split()[:11], "other"]), "en", made[k][3]) for k in (0, 7, 20)]
+    made += [made[3], (60, made[4][1], "de", "b"), (61, None, "en", "a"), (62, "", None, "b"), (63, "12 34 !!", "de", "c")]
+    made += [(70 + k, " ".join(["left"] * k + passage + ["right"] * (9 * k)), "en", "b") for k in (0, 1)]
+    rows = [(*r, len(r[1] or "")) for r in made]
+    spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    known = sorted({r for r in rows if any(map(str.isalpha, r[1] or ""))})
+    _, label = brute_groups([r[1] for r in known])
+    heads = {}
+    for r, k in zip(known, label, strict=True):
+        heads.setdefault(k, r)
+    clean = [r for r in heads.values() if not any(WORD.findall(low(r[1]))[k : k + 10] == passage for k in range(len(r[1])))]
+    words = Counter()
+    for r in clean:
+        words[r[3]] += len(split(r[1]))
+    assert words == {"a": 60, "b": 120, "c": 180}
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in out) == Counter(clean)
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) and 0 <= k < 16 for k, x in slots.items())
+
+
+def test_mixed_documents_meet_targets_in_whole_rows(spark):
+    made = [(i, " ".join(f"w{i}x{k}" for k in range(9)), "ab"[i % 2]) for i in range(60)]
+    got = Counter(map(tuple, mixing.mixed_documents(spark.createDataFrame(made, "doc_id long, text string, source string")).collect()))
+    a, b = ([got[r] for r in made if r[2] == s] for s in "ab")
+    assert set(got) <= set(made) and set(a) <= {0, 1} and set(b) <= {1, 2}
+    assert abs(9 * sum(a) - 180) <= 9 and abs(9 * sum(b) - 360) <= 9
