@@ -2,8 +2,13 @@
 
 A text is cut where the tokenizer's own pattern always starts a new pre-token: before a space that
 follows no white space, and before a line feed between two other characters that are no white space; where
-there are rare kinds of white space, also before a tab or carriage return, and never after a rare one. Merges never cross pre-tokens, so the ids of a text are the ids of its pieces in a row, and a piece that
-was met before needs no new encoding. In ids(), texts with rare kinds are encoded in one go.
+there are rare kinds of white space, also before a tab or carriage return, and never after a rare one.
+Merges never cross pre-tokens, so the ids of a text are the ids of its pieces in a row, and a piece that
+was met before needs no new encoding. Whole batches are cut and their distinct pieces found by Arrow's
+kernels, so that Python sees each distinct piece of a batch once. In encode(), texts with rare kinds of
+white space, or with spaces or line feeds in a row, go to the tokenizer in one go.
+
+The tokenizer's special tokens are found in texts, as its plain call does; they hold no white space.
 """
 
 from __future__ import annotations
@@ -12,14 +17,19 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Kinds of white space (and what some pattern engines take for it) besides space and line feed.
-_SPACES = "\\x09\\x0b-\\x0d\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
-_RARE = re.compile(f"[{_SPACES}]")
+#: Kinds of white space (and what some pattern engines take for it) besides space and line feed: from, to.
+_KINDS = ((0x09, 0x09), (0x0B, 0x0D), (0x1C, 0x1F), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xFEFF, 0xFEFF))
+_SPACES = "".join(f"{chr(a)}-{chr(b)}" for a, b in _KINDS)
 _CUT = re.compile(rf"(?<=[^\s{_SPACES}])(?=[ \t\r]|\n[^\s{_SPACES}])")
-_PAIRS = ("  ", "\n\n", " \n", "\n ")
+#: A text that isn't plain: a space or line feed at an end or beside another, or a rare kind.
+_UNEVEN = r"\A[ \n]|[ \n]\z|[ \n][ \n]|[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _KINDS) + "]"
+#: Stands before a text's first piece, which has no space before it. No plain text holds it.
+_HEAD = "\n\n"
 #: Pieces kept in memory; when there are more, those met least often are forgotten.
 LIMIT = 600_000
 #: Pieces joined into one call of the tokenizer.
@@ -32,9 +42,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def plain(text: str) -> bool:
-    """Whether every space and line feed of text stands alone between other characters."""
-    return not (text[0] in " \n" or text[-1] in " \n" or any(p in text for p in _PAIRS) or _RARE.search(text))
+def plain(texts: pa.Array) -> np.ndarray:
+    """Whether every space and line feed of a text, neither null nor empty, stands alone between other characters."""
+    even = pc.invert(pc.match_substring_regex(texts, _UNEVEN))
+    return pc.fill_null(pc.and_(even, pc.greater(pc.binary_length(texts), 0)), False).to_numpy(zero_copy_only=False)
 
 
 def cut(text: str) -> list[str]:
@@ -51,7 +62,6 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path or tokenizer_path())
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.limit = limit
         size = self.tok.get_vocab_size()
         tokens = [self.tok.id_to_token(i) or "" for i in range(size)]
@@ -60,7 +70,8 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
+        #: The pieces, and of each its ids, how many, and how often it was met.
+        self.names = pa.array([], pa.string())
         self.parts: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
         self.hits = np.zeros(0, dtype="int64")
@@ -72,33 +83,40 @@ class Pieces:
         keep = np.flatnonzero(self.hits > 1)
         if len(keep) > self.limit // 2:
             keep = np.sort(keep[np.argsort(-self.hits[keep], kind="stable")[: self.limit // 2]])
-        names, n = list(self.code), size[keep]
-        at = np.repeat(first[keep] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        hits = self.hits[keep] // 2
+        names, hits, kept = self.names.take(pa.array(keep)), self.hits[keep] // 2, _spread(ids, first[keep], size[keep])
         self.clear()
-        self.code = {names[k]: j for j, k in enumerate(keep)}
-        self.parts, self.sizes, self.hits = [ids[at]], [n], hits
+        self.names, self.parts, self.sizes, self.hits = names, [kept], [size[keep]], hits
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, by the tokenizer alone."""
         return [np.array(e.ids, dtype="int32") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Adds pieces; in them a leading space is left out, and a leading line feed stands for itself."""
-        full = [p if p[:1] == "\n" else " " + p for p in new]
+    def _learn(self, new: pa.Array) -> None:
+        """Adds pieces; in them a leading space is left out, a leading line feed stands for itself, and the
+        mark before a text's first piece for nothing."""
+        head = pc.starts_with(new, _HEAD)
+        heads, rest = new.filter(head), new.filter(pc.invert(head))
+        full = pc.if_else(pc.starts_with(rest, "\n"), rest, pc.binary_join_element_wise("", rest, " ")).to_pylist()
         groups = [full[a : a + JOIN] for a in range(0, len(full), JOIN)]
-        for group, ids in zip(groups, self.encode(["".join(g) for g in groups]), strict=True):
+        for group, ids in zip(groups, self.whole(["".join(g) for g in groups]), strict=True):
             at = np.flatnonzero(self.opens[ids])
             if len(at) == len(group) and at[0] == 0:
-                sizes = np.diff(np.append(at, len(ids)))
+                self._add(ids, np.diff(np.append(at, len(ids))))
             else:
-                each = self.encode(group)
-                ids, sizes = np.concatenate(each), np.array([len(x) for x in each])
-            self.parts.append(ids)
-            self.sizes.append(sizes)
-        for p in new:
-            self.code[p] = len(self.code)
+                self._add_each(self.whole(group))
+        if len(heads):
+            self._add_each(self.whole(pc.utf8_slice_codeunits(heads, len(_HEAD)).to_pylist()))
+        self.names = pa.concat_arrays([self.names, rest, heads])
+        self.hits = np.append(self.hits, np.zeros(len(new), dtype="int64"))
         self._flat = None
 
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.parts.append(ids)
+        self.sizes.append(sizes)
+
+    def _add_each(self, each: list[np.ndarray]) -> None:
+        self._add(np.concatenate(each), np.array([len(x) for x in each], dtype="int64"))
+
     def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and each piece's first place and size."""
         if self._flat is None:
@@ -108,41 +126,67 @@ class Pieces:
             self._flat = ids, np.cumsum(sizes) - sizes, sizes
         return self._flat
 
-    def codes(self, lists: list[list[str]]) -> list[np.ndarray]:
-        """Numbers of the pieces of each list."""
-        if len(self.code) > self.limit:
+    def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of plain texts: the numbers of all pieces in a row, and each text's first place."""
+        if len(self.names) > self.limit:
             self.forget()
-        new: set[str] = set()
-        for x in lists:
-            new.update(x)
-        new.difference_update(self.code)
-        if new:
-            self._learn(list(new))
-        get = self.code.__getitem__
-        out = [np.fromiter(map(get, x), dtype="int32", count=len(x)) for x in lists]
-        if out:
-            hits = np.bincount(np.concatenate(out), minlength=len(self.code))
-            hits[: len(self.hits)] += self.hits
-            self.hits = hits
-        return out
+        spaced = pc.replace_substring(texts, "\n", " \n")
+        lists = pc.split_pattern(pc.binary_join_element_wise(_HEAD, spaced, ""), " ")
+        words = lists.flatten()
+        number = pc.index_in(words, value_set=self.names)
+        if number.null_count:
+            first = len(self.names)
+            unknown = words.filter(number.is_null())
+            self._learn(unknown.unique())
+            late = pc.index_in(unknown, value_set=self.names[first:])
+            new = number.is_null().to_numpy(zero_copy_only=False)
+            number = number.fill_null(0).to_numpy().copy()
+            number[new] = late.to_numpy() + first
+        else:
+            number = number.to_numpy()
+        self.hits += np.bincount(number, minlength=len(self.names))
+        offsets = lists.offsets.to_numpy().astype("int64")
+        return number, offsets[:-1] - offsets[0]
+
+    def chars(self) -> np.ndarray:
+        """The characters of each piece, with the space that its name lacks."""
+        n = pc.utf8_length(self.names).to_numpy().astype("int64")
+        head, feed = (pc.starts_with(self.names, x).to_numpy(zero_copy_only=False) for x in (_HEAD, "\n"))
+        return np.where(head, n - len(_HEAD), np.where(feed, n, n + 1))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has; a null or empty text has none."""
+        even = plain(texts)
+        sizes = np.zeros(len(texts), dtype="int64")
+        ids = np.zeros(0, dtype="int32")
+        if even.any():
+            codes, starts = self.codes(texts.filter(pa.array(even)))
+            flat, first, size = self.flat()
+            ids = _spread(flat, first[codes], size[codes])
+            sizes[even] = np.add.reduceat(size[codes], starts)
+        slow = np.flatnonzero(~even & pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False))
+        if not len(slow):
+            return ids, sizes
+        each = self.whole(texts.take(pa.array(slow)).to_pylist())
+        sizes[slow] = [len(x) for x in each]
+        out = np.zeros(int(sizes.sum()), dtype="int32")
+        out[np.repeat(even, sizes)] = ids
+        for x, end in zip(each, np.cumsum(sizes)[slow], strict=True):
+            out[end - len(x) : end] = x
+        return out, sizes
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text; of a null or empty text none."""
-        out: list = [np.zeros(0, dtype="int32")] * len(texts)
-        fast = [k for k, t in enumerate(texts) if t and plain(t)]
-        lists = [texts[k].replace("\n", " \n").split(" ") for k in fast]
-        codes = self.codes([x[1:] for x in lists])
-        ids, first, size = self.flat()
-        heads = self.encode([x[0] for x in lists])
-        for k, head, c in zip(fast, heads, codes, strict=True):
-            n = size[c]
-            at = np.repeat(first[c] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            out[k] = np.concatenate([head, ids[at]])
-        quick = set(fast)
-        slow = [k for k, t in enumerate(texts) if t and k not in quick]
-        for k, x in zip(slow, self.encode([texts[k] for k in slow]), strict=True):
-            out[k] = x
-        return out
+        """The ids of each text."""
+        flat, sizes = self.encode(pa.array(texts, pa.string()))
+        return np.split(flat, np.cumsum(sizes)[:-1]) if len(texts) else []
+
+
+def _spread(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at first and have the given sizes, in a row."""
+    ends = np.cumsum(size)
+    at = np.repeat((first - ends + size).astype("int32"), size)
+    at += np.arange(len(at), dtype="int32")
+    return flat[at]
 
 
 _shared: dict = {}

@@ -33,12 +33,24 @@ _WIDTHS = [60 // n for n in _COUNTS]
 ESCAPE = 15
 
 
+#: Blocks encoded together, which bounds the memory of encoding.
+STRIP = 512
+
+
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """(words, first word of each block) of unsigned ids."""
+    words, firsts, place = [np.zeros(0, dtype="<u8")], [np.zeros(0, dtype="int64")], 0
+    for at in range(0, len(ids), STRIP * block):
+        more, first = _encode_strip(ids[at : at + STRIP * block], block)
+        words.append(more)
+        firsts.append(first + place)
+        place += len(more)
+    return np.concatenate(words), np.concatenate(firsts)
+
+
+def _encode_strip(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     ids = ids.astype("uint64")
     blocks = -(-len(ids) // block)
-    if not blocks:
-        return np.zeros(0, dtype="<u8"), np.zeros(0, dtype="int64")
     room = _COUNTS[0]
     grid = np.zeros((blocks, block + room), dtype="uint64")
     flat = np.zeros(blocks * block, dtype="uint64")
@@ -109,13 +121,14 @@ def decode_blocks(words: np.ndarray, first_word: np.ndarray, n_ids: int, block:
         return out
     sel = (words >> np.uint64(60)).astype("uint8")
     raw = np.zeros(len(words), dtype=bool)  # the words after escapes, which may look like selectors
-    if (sel == ESCAPE).any():
-        starts = set(first_word.tolist())
-        k = 0
-        hits = np.flatnonzero(sel == ESCAPE)
-        for k in hits:
-            if not raw[k] or k in starts:
-                raw[k + 1] = True
+    hits = np.flatnonzero(sel == ESCAPE)
+    if len(hits):
+        # In a run of words that look like escapes, which begins after another word or with a block, escapes
+        # and raw words take turns; the word after the last escape is raw, however it looks.
+        start = np.ones(len(hits), dtype=bool)
+        start[1:] = (np.diff(hits) > 1) | np.isin(hits[1:], first_word)
+        head = np.maximum.accumulate(np.where(start, np.arange(len(hits)), 0))
+        raw[hits[(np.arange(len(hits)) - head) % 2 == 0] + 1] = True
     step = np.array([*_COUNTS, *[0] * (ESCAPE - len(_COUNTS)), 1], dtype="int64")[sel]
     step[raw] = 0
     owner = np.searchsorted(first_word, np.arange(len(words)), side="right") - 1
@@ -184,10 +197,11 @@ def read(uri: str):
 def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: int = 2, rows_per_part: int = 8192, max_parts: int = 1 << 16) -> DataFrame:
     """Encodes docs(doc_id, text) into files in folder; returns part, uri, n_docs, n_ids of each, written.
 
-    Null text is empty, and has its end id alone. Rows with an equal doc_id stand together in the order of
+    Special tokens are found in texts as the tokenizer's plain call finds them. Null text is empty, and has its
+    end id alone. Rows with an equal doc_id stand together in the order of
     their texts' hashes; a null doc_id comes first."""
     spark = docs.sparkSession
-    in_arrow_batches(spark)
+    in_arrow_batches(spark, 3000)
     path = tokenizer or tokenizer_path()
     n = docs.count()
     parts = max(1, min(max_parts, -(-n // rows_per_part)))
@@ -202,12 +216,12 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id:
         for b in batches:
             writer = writer or Writer(uri, f"{folder}/.{part}-{context.taskAttemptId()}")
             docs_ = b.column("doc_id")
-            each = pieces.ids(b.column("text").to_pylist())
-            sizes = np.array([len(x) + 1 for x in each], dtype="int64")
-            flat = np.full(int(sizes.sum()), end_id, dtype="int64")
+            ids, sizes = pieces.encode(b.column("text"))
+            sizes += 1
+            flat = np.full(int(sizes.sum()), end_id, dtype="int32")
             keep = np.ones(len(flat), dtype=bool)
             keep[np.cumsum(sizes) - 1] = False
-            flat[keep] = np.concatenate(each) if each else []
+            flat[keep] = ids
             writer.add(docs_.fill_null(0).to_numpy(zero_copy_only=False), docs_.is_valid().to_numpy(zero_copy_only=False), sizes, flat)
             n_docs, n_ids = n_docs + len(sizes), n_ids + len(flat)
         if writer:

@@ -130,12 +130,14 @@ def test_token_files(spark, docs, none):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenfiles.tokenizer_path())
-    tok.encode_special_tokens = True
-    parts = tokenfiles.write(docs, fresh_dir(spark, "test"), rows_per_part=20)
+    # The null doc_id comes first; the tokenizer's own call finds the special token.
+    more = spark.createDataFrame([(None, "no id"), (70, "a <|endoftext|> b"), (71, "x<|endoftext|>")], "doc_id long, text string")
+    parts = tokenfiles.write(docs.unionByName(more, allowMissingColumns=True), fresh_dir(spark, "test"), rows_per_part=20)
     assert parts.count() > 1
     got = tokenfiles.read_documents(parts).orderBy("start").collect()
-    assert [r["doc_id"] for r in got] == sorted(r[0] for r in ROWS)
-    texts = {r[0]: r[1] or "" for r in ROWS}
+    assert [r["doc_id"] for r in got] == [None, *sorted(r[0] for r in ROWS), 70, 71]
+    texts = {r[0]: r[1] or "" for r in ROWS} | {r["doc_id"]: r["text"] for r in more.collect()}
+    assert tok.encode(texts[70], add_special_tokens=False).ids == [64, 220, 50256, 275]
     start = 0
     for r in got:
         ids = tok.encode(texts[r["doc_id"]], add_special_tokens=False).ids + [2]
@@ -148,19 +150,41 @@ def test_edited_counts(docs, none):
     from tallylens.llm.segments import Pieces
 
     tok = Pieces().tok
-    got = Counter((r["doc_id"], r["n_tokens"], r["n_tokens_edited"]) for r in tokencounts.count_edited(docs).collect())
+    count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    got = Counter((r["doc_id"], r["n_tokens"], r["n_tokens_edited"], r["n_chars_edited"]) for r in tokencounts.count_edited(docs).collect())
+    lengths = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    given = {r[0]: r[1] for r in docs.select("doc_id", tokencounts.sampled_edits(F.col("doc_id"), lengths)).collect()}
     want = Counter()
     for i, t, *_ in ROWS:
-        t = t or ""
-        n = len(tok.encode(t, add_special_tokens=False).ids)
-        for a, b, new in tokencounts.sample_edits(len(t), i):
-            a = min(a, len(t))
-            b = max(a, min(b, len(t)))
-            t = t[:a] + new + t[b:]
-        want[(i, n, len(tok.encode(t, add_special_tokens=False).ids))] += 1
+        after = t or ""
+        for e in given[i]:
+            after = after[: e["start"]] + e["new"] + after[max(e["start"], e["end"]) :]
+        want[(i, count(t or ""), count(after), len(after))] += 1
     assert got == want and tokencounts.count_edited(none).count() == 0
 
 
+def test_stored_trees_take_edits_of_a_table_again_and_again(spark, docs, none):
+    from tallylens.llm.segments import Pieces
+
+    tok = Pieces().tok
+    edits = [(1, 2, 0, 4, "first "), (1, 1, 5, 5, None), (5, 1, None, None, "x"), (60, 1, 3, 9, "of null"), (65, 1, 5000, 90000, " end"), (9999, 1, 0, 0, "no one"), (None, 1, 0, 1, "lost")]
+    table = spark.createDataFrame(edits, "doc_id long, seq int, start long, end long, new string")
+    stored = tokencounts.with_trees(docs)
+    once = tokencounts.edited(tokencounts.with_edits(stored, table))
+    twice = tokencounts.edited(tokencounts.with_edits(once, table)).collect()
+    want = Counter()
+    for i, t, *_ in ROWS:
+        t = t or ""
+        for _ in range(2):
+            for _, _, a, b, new in sorted((e for e in edits if e[0] == i), key=lambda e: e[1]):
+                a = min(a or 0, len(t))
+                t = t[:a] + (new or "") + t[max(a, b or 0) :]
+        want[(i, t, len(tok.encode(t, add_special_tokens=False).ids))] += 1
+    assert Counter((r["doc_id"], r["text"], r["n_tokens_edited"]) for r in twice) == want
+    assert all(sum(r["leaf_tokens"]) == r["n_tokens_edited"] and sum(r["leaf_chars"]) == len(r["text"]) for r in twice)
+    assert tokencounts.edited(tokencounts.with_edits(tokencounts.with_trees(none), table)).count() == 0
+
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
