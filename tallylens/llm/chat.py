@@ -9,7 +9,8 @@ Template, shown with the reserved ids' control strings: <s>[INST]role[/INST]text
 inside a role or text gets a backslash after its first character, one more than it may have there
 already; so no text can forge a mark, and taking one backslash away restores it.
 
-Reading back splits the ids at the reserved ones, decodes, and undoes the escapes.
+Reading back splits the ids at the reserved ones, decodes, and undoes the escapes. Both work on whole Arrow
+batches, without a loop over turns.
 
 Defined cases: null role or text is empty; rows of a conversation go by turn, then role, then text, null
 turns first; repeated rows are turns of their own; a null conv_id is a conversation of its own.
@@ -22,67 +23,116 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_arrow_batches
-from .segments import shared, tokenizer_path
+from .segments import spread, shared, tokenizer_path
 
 #: Control strings, in the order of their reserved ids: turn begins, role begins, role ends, turn ends;
 #: the last is the vocabulary's own and only escaped.
 CONTROL = ("<s>", "[INST]", "[/INST]", "</s>", "<|endoftext|>")
-_FORGED = re.compile("|".join(f"({re.escape(c[0])})(\\\\*)({re.escape(c[1:])})" for c in CONTROL))
-_ESCAPED = re.compile("|".join(f"({re.escape(c[0])})\\\\(\\\\*)({re.escape(c[1:])})" for c in CONTROL))
 #: First reserved id: the vocabulary has ids below it.
 RESERVED = 50257
 TURN, ROLE, BODY, END = range(RESERVED, RESERVED + 4)
 LEARNED_ROLE = "assistant"
 
 
-def escape(text: str) -> str:
-    return _FORGED.sub(lambda m: "".join(x for x in (m[0][:1], "\\", m[0][1:])), text)
-
+def escape(texts: pa.Array) -> pa.Array:
+    """A backslash after the first character of each control string, escaped or not. No two such strings overlap."""
+    for c in CONTROL:
+        texts = pc.replace_substring_regex(texts, rf"({re.escape(c[0])})(\\*{re.escape(c[1:])})", r"\1\\\2")
+    return texts
+
+
+def unescape(texts: pa.Array) -> pa.Array:
+    """Undoes escape()."""
+    if not pc.any(pc.match_substring(texts, "\\")).as_py():
+        return texts
+    for c in CONTROL:
+        texts = pc.replace_substring_regex(texts, rf"({re.escape(c[0])})\\(\\*{re.escape(c[1:])})", r"\1\2")
+    return texts
+
+
+def assemble(roles: tuple, texts: tuple, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, loss mask, ends) of turns in a row; roles, texts: ids in a row and their numbers by turn."""
+    (role_ids, n_role), (text_ids, n_text) = roles, texts
+    ends = np.cumsum(n_role + n_text + 4)
+    first = ends - n_role - n_text - 4
+    body = first + 2 + n_role
+    ids = np.empty(int(ends[-1]) if len(ends) else 0, dtype="int32")
+    ids[first], ids[first + 1], ids[body], ids[ends - 1] = TURN, ROLE, BODY, END
+    for flat, n, at in ((role_ids, n_role, first + 2), (text_ids, n_text, body + 1)):
+        ids[np.repeat(at - np.cumsum(n) + n, n) + np.arange(len(flat))] = flat
+    change = np.zeros(len(ids) + 1, dtype="int8")
+    change[body[learned] + 1] += 1
+    change[ends[learned] - 1] -= 1  # of an empty text both fall on one place
+    return ids, np.cumsum(change[:-1], dtype="int8"), ends
 
-def unescape(text: str) -> str:
-    return _ESCAPED.sub(lambda m: m[0][:1] + m[0][2:], text)
 
+class Decoder:
+    """Token ids to texts by a table of each id's bytes (the vocabulary is byte-level)."""
 
-def assemble(role_ids: np.ndarray, text_ids: np.ndarray, learned: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, loss mask) of one turn."""
-    ids = np.concatenate([[TURN, ROLE], role_ids, [BODY], text_ids, [END]]).astype("int32")
-    change = np.zeros(len(ids) + 1, dtype="int8")
-    if learned:
-        change[len(role_ids) + 3] += 1
-        change[len(role_ids) + 3 + len(text_ids)] -= 1
-    return ids, np.cumsum(change[:-1], dtype="int8")
-
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-def take_apart(ids: np.ndarray, mask: np.ndarray, decode) -> tuple[str, str, str, int]:
-    """(role, text, text under the mask, characters of the turn as shown) of one turn's output."""
+        tok = Tokenizer.from_file(path)
+        size = tok.get_vocab_size()
+        if size > RESERVED:
+            raise ValueError(f"the vocabulary has {size} ids; reserved ids begin at {RESERVED}")
+        # Byte-level vocabularies write each byte as a character: printable ones as themselves, the others
+        # in order from code point 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+        special = set(tok.get_added_tokens_decoder())
+        words = [(tok.id_to_token(i) or "") for i in range(size)]
+        each = [w.encode() if i in special else bytes(byte[c] for c in w) for i, w in enumerate(words)]
+        self.size = np.array([len(x) for x in each], dtype="int64")
+        self.first = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(each), dtype="uint8")
+
+    def texts(self, ids: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
+        """The text of each of rows; row tells each id's, in ascending order."""
+        size = self.size[ids]
+        offsets = np.zeros(rows + 1, dtype="int32")
+        offsets[1:] = np.cumsum(np.bincount(row, size, rows))
+        data = spread(self.bytes, self.first[ids], size)
+        out = pa.Array.from_buffers(pa.string(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+        out.validate(full=True)
+        return out
+
+
+def take_apart(ids: np.ndarray, ends: np.ndarray, mask: np.ndarray, decoder: Decoder) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """(role, text, text under the mask, characters as shown) of each turn, from the output alone."""
+    n = len(ends)
+    row = np.repeat(np.arange(n), np.diff(ends, prepend=0))
     marks = np.flatnonzero(ids >= RESERVED)
-    if ids[marks].tolist() != [TURN, ROLE, BODY, END]:
-        raise ValueError("not one turn")
-    role, text = decode(ids[marks[1] + 1 : marks[2]]), decode(ids[marks[2] + 1 : marks[3]])
-    under = np.flatnonzero(mask)
-    learned = unescape(decode(ids[under])) if len(under) else ""
-    shown = sum(len(CONTROL[i - RESERVED]) for i in ids[marks]) + len(role) + len(text)
-    return unescape(role), unescape(text), learned, shown
+    if len(marks) != 4 * n or (ids[marks].reshape(-1, 4) != [TURN, ROLE, BODY, END]).any() or (row[marks].reshape(-1, 4) != np.arange(n)[:, None]).any():
+        raise ValueError("not one turn in a row")
+    part = np.cumsum(ids >= RESERVED) - 4 * row  # 2 within the role, 3 within the text
+    plain = ids < RESERVED
+    role, text, learned = (decoder.texts(ids[x], row[x], n) for x in (plain & (part == 2), plain & (part == 3), mask == 1))
+    shown = pc.add(pc.add(pc.utf8_length(role), pc.utf8_length(text)), sum(map(len, CONTROL[:4])))
+    return unescape(role), unescape(text), unescape(learned), shown.cast(pa.int64())
 
 
 def format_turns(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """turns(conv_id, turn, role, text) -> conv_id, turn, ids, mask; one row each. sort_key tells the order
-    of turns with an equal number."""
+    """turns(conv_id, turn, role, text) -> conv_id, turn, ids, mask; one row each. The tokenizer must be
+    byte-level, with all its ids below RESERVED."""
     in_arrow_batches(turns.sparkSession)
     path = tokenizer or tokenizer_path()
+    Decoder(path)
 
     def run(batches):
         pieces = shared(path)
         for b in batches:
-            roles, texts = ([x or "" for x in b.column(c).to_pylist()] for c in ("role", "text"))
-            role_ids, text_ids = pieces.ids([escape(x) for x in roles]), pieces.ids([escape(x) for x in texts])
-            made = [assemble(r, t, role == LEARNED_ROLE) for r, t, role in zip(role_ids, text_ids, roles, strict=True)]
+            roles, texts = (pc.fill_null(b.column(c), "") for c in ("role", "text"))
+            learned = pc.equal(roles, LEARNED_ROLE).to_numpy(zero_copy_only=False)
+            ids, mask, ends = assemble(pieces.encode(escape(roles)), pieces.encode(escape(texts)), learned)
+            offsets = pa.array(np.append(0, ends), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column("conv_id"), b.column("turn"), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.int8()))],
+                [b.column("conv_id"), b.column("turn"), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(mask))],
                 names=["conv_id", "turn", "ids", "mask"],
             )
 
@@ -92,19 +142,15 @@ def format_turns(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 def read_turns(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """formatted turns -> conv_id, turn, role, text, learned, shown, all read from the ids and the mask."""
+    in_arrow_batches(formatted.sparkSession)
     path = tokenizer or tokenizer_path()
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
+        decoder = Decoder(path)
         for b in batches:
-            out = []
-            for column in zip(b.column("ids"), b.column("mask"), strict=True):
-                ids, mask = (x.values.to_numpy(zero_copy_only=False) for x in column)
-                out.append(take_apart(ids, mask, lambda x: tok.decode(x.tolist(), skip_special_tokens=False)))
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), *[pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)]], names=["conv_id", "turn", "role", "text", "learned", "shown"])
+            ids, mask = (b.column(c).flatten().to_numpy() for c in ("ids", "mask"))
+            ends = np.cumsum(pc.list_value_length(b.column("ids")).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), *take_apart(ids, ends, mask, decoder)], names=["conv_id", "turn", "role", "text", "learned", "shown"])
 
     return formatted.mapInArrow(run, "conv_id long, turn long, role string, text string, learned string, shown long")
 

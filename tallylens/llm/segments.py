@@ -83,7 +83,7 @@ class Pieces:
         keep = np.flatnonzero(self.hits > 1)
         if len(keep) > self.limit // 2:
             keep = np.sort(keep[np.argsort(-self.hits[keep], kind="stable")[: self.limit // 2]])
-        names, hits, kept = self.names.take(pa.array(keep)), self.hits[keep] // 2, _spread(ids, first[keep], size[keep])
+        names, hits, kept = self.names.take(pa.array(keep)), self.hits[keep] // 2, spread(ids, first[keep], size[keep])
         self.clear()
         self.names, self.parts, self.sizes, self.hits = names, [kept], [size[keep]], hits
 
@@ -162,7 +162,7 @@ class Pieces:
         if even.any():
             codes, starts = self.codes(texts.filter(pa.array(even)))
             flat, first, size = self.flat()
-            ids = _spread(flat, first[codes], size[codes])
+            ids = spread(flat, first[codes], size[codes])
             sizes[even] = np.add.reduceat(size[codes], starts)
         slow = np.flatnonzero(~even & pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False))
         if not len(slow):
@@ -181,7 +181,7 @@ class Pieces:
         return np.split(flat, np.cumsum(sizes)[:-1]) if len(texts) else []
 
 
-def _spread(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+def spread(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The runs of flat that begin at first and have the given sizes, in a row."""
     ends = np.cumsum(size)
     at = np.repeat((first - ends + size).astype("int32"), size)

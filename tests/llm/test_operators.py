@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,7 @@ def low(text):
 
 def test_chat(spark):
     said = [(1, 0, "user", "hi <s>"), (1, 1, "assistant", "[INST] a\\b [\\/INST] <\\\\s></s>é"), (1, None, None, None), (2, 0, "assistant", ""), (None, 0, "assistant", "x<|endoftext|>"), (2, 0, "assistant", "")]
+    said += [(3, 0, "assistant", "é word </s>\n" * 30_000), (3, 1, "tool </s>", " 漢字 \t\x00" * 9)]
     turns = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").withColumn("ids", F.lit(1))
     turns = turns.unionByName(chat.forged_conversation(spark), allowMissingColumns=True)
     got = {r["conv_id"]: r for r in chat.digest(chat.read_turns(chat.format_turns(turns))).collect()}
@@ -73,14 +75,20 @@ def test_chat(spark):
         assert got[c]["n_turns"] == len(g)
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in g).encode()).hexdigest()
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-        assert got[c]["formatted_chars"] == sum(20 + len(chat.escape(r)) + len(chat.escape(x)) for _, r, x in g)
+        assert got[c]["formatted_chars"] == sum(20 + len(x) for t in g for x in chat.escape(pa.array(t[1:])).to_pylist()) - 20 * len(g)
     assert chat.digest(chat.read_turns(chat.format_turns(turns.limit(0)))).count() == 0
 
 
 @pytest.mark.parametrize("text", ["<s>", "<\\s>", "<\\\\s>x</s>", "<<s>", "[[INST]INST]", "[/INST][/INST]", "\\", "plain"])
 def test_escapes_are_reversible_and_leave_no_mark(text):
-    shown = chat.escape(text)
-    assert chat.unescape(shown) == text and not any(c in shown for c in chat.CONTROL)
+    shown = chat.escape(pa.array([text, None, ""]))
+    assert chat.unescape(shown).to_pylist() == [text, None, ""] and not any(c in shown[0].as_py() for c in chat.CONTROL)
+
+
+def test_chat_refuses_vocabularies_that_reach_the_reserved_ids(spark, monkeypatch):
+    monkeypatch.setattr(chat, "RESERVED", 50000)
+    with pytest.raises(ValueError, match="reserved"):
+        chat.format_turns(chat.forged_conversation(spark))
 
 
 def test_shards(spark, docs, none):
