@@ -4,7 +4,9 @@ Each language has a probability for every piece of a fixed public vocabulary. A
 word's beginning) scores the sum over all its segmentations into pieces of the product of their
 probabilities, by a forward recursion; a text scores the product over its words and the language's share.
 Characters that no piece covers count as one rare piece. Probabilities are fitted by expectation
-maximisation on a bounded sample of labelled documents; prediction sees the text alone.
+maximisation on a bounded sample of labelled documents, whose words are counted by the tasks that read
+them; prediction sees the text alone. Words are lower-cased runs between Unicode white space, found by
+Arrow's kernels for learning and prediction alike.
 
 Defined cases: null text and text without a letter give `und` with score 0; null lang is no label; with
 no labelled document at all every text is `und`; equal scores go to the language first by code point.
@@ -14,16 +16,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow_batches
+from .common import in_arrow_batches, materialize
 
 MARK = "▁"
 #: Longest piece that is looked up, in characters.
 LONGEST = 16
-#: Words up to this length are scored and learned from in plain numbers, longer ones in logarithms.
-SHORT = 24
+#: Words up to this length are scored and learned from in plain numbers, longer ones in logarithms, and
+#: those above LONG by stretches side by side. Learning cuts words into stretches of at most LEARNED.
+SHORT, LONG, LEARNED = 24, 256, 4096
+#: Characters of a very long word looked up together.
+STRIP = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Scores of words kept in memory; when there are more, the memory starts anew.
 LIMIT = 300_000
@@ -109,6 +115,61 @@ def forward(found: np.ndarray, logp: np.ndarray, in_logs: bool) -> np.ndarray:
     return np.log(a[width])
 
 
+def _transfer(pieces: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How the sums at a stretch's last LONGEST places follow from those before it, for all stretches at once.
+
+    pieces: stretch x place x length. Gives m[j, stretch, s, language], the sum j places before the end if
+    the one s places before the beginning were 1 and the others 0, and the logs of what m is divided by."""
+    n, width, longest = pieces.shape
+    ring = np.zeros((longest, n, longest, p.shape[1]))
+    ring[np.arange(longest), :, np.arange(longest)] = 1
+    scale, head = np.zeros(ring.shape[1:]), 0
+    for e in range(width):
+        now = np.zeros(ring.shape[1:])
+        for k in range(longest):
+            now += ring[(head + k) % longest] * p[pieces[:, e, k]][:, None]
+        head = (head - 1) % longest
+        ring[head] = now
+        if e % 8 == 7 or e == width - 1:
+            top = ring.max(0)
+            top[top == 0] = 1
+            ring /= top
+            scale += np.log(top)
+    scale[ring.max(0) == 0] = -np.inf  # no piece reaches that far back
+    return np.roll(ring, -head, axis=0), scale
+
+
+def forward_long(lattice: Lattice, word: str, logp: np.ndarray) -> np.ndarray:
+    """As forward() of one word, which may be very long: stretches of it are worked on side by side, and the
+    memory is that of STRIP characters."""
+    p, langs = np.exp(logp), logp.shape[1]
+    state, total = np.zeros((LONGEST, langs)), np.zeros(langs)
+    state[0] = 1
+    for at in range(0, len(word), STRIP):
+        lead = min(at, LONGEST - 1)
+        part = word[at - lead : at + STRIP]
+        found = lattice.find([part], len(part))[lead + 1 :, :, 0]
+        found = np.pad(found, ((0, 0), (0, LONGEST - found.shape[1])), constant_values=lattice.none)
+        width = max(1, int(np.sqrt(len(found))))
+        full = len(found) // width * width
+        for stretches in (found[:full].reshape(-1, width, LONGEST), found[full:][None]):
+            if not stretches.size:
+                continue
+            m, scale = _transfer(stretches, p)
+            for k in range(len(stretches)):
+                w = np.where(state > 0, scale[k], -np.inf)
+                top = w.max(0)
+                state = np.einsum("jsl,sl->jl", m[:, k], state * np.exp(w - top))
+                norm = state.max(0)
+                state, total = state / norm, total + top + np.log(norm)
+    return total + np.log(state[0])
+
+
+def words_of(texts: pa.Array) -> pa.ListArray:
+    """The lower-cased words of each text, without the mark of a word's beginning."""
+    return pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(texts)))
+
+
 class Scorer:
     """Scores words and texts under every language."""
 
@@ -118,8 +179,8 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.table = np.zeros((1024, self.logp.shape[1]))
+        self.names = pa.array([], pa.string())
+        self.table = np.zeros((0, self.logp.shape[1]))
 
     def words(self, words: list[str], batch: int = 4096) -> np.ndarray:
         """Log scores of words, which carry the mark already."""
@@ -128,6 +189,10 @@ class Scorer:
         for k, w in enumerate(words):
             by.setdefault(len(w), []).append(k)
         for width, who in by.items():
+            if width > LONG:
+                for k in who:
+                    out[k] = forward_long(self.lattice, words[k], self.logp)
+                continue
             step = batch if width <= SHORT else max(1, batch // width)
             for a in range(0, len(who), step):
                 part = who[a : a + step]
@@ -135,29 +200,20 @@ class Scorer:
                 out[part] = forward(found, self.logp, width > SHORT)
         return out
 
-    def texts(self, texts: list[str]) -> np.ndarray:
-        """Log scores of whole texts: the sums over their words."""
-        if len(self.code) > self.limit:
+    def texts(self, texts: pa.Array) -> np.ndarray:
+        """Log scores of whole texts that have a word: the sums over their words."""
+        if len(self.names) > self.limit:
             self.clear()
-        lists = [t.lower().split() for t in texts]
-        new: set[str] = set()
-        for x in lists:
-            new.update(x)
-        new.difference_update(self.code)
-        if new:
-            fresh = list(new)
-            n = len(self.code)
-            for k, w in enumerate(fresh, n):
-                self.code[w] = k
-            if len(self.code) > len(self.table):
-                self.table = np.vstack([self.table, np.zeros((len(self.code), self.table.shape[1]))])
-            self.table[n : n + len(fresh)] = self.words([MARK + w for w in fresh])
-        get = self.code.__getitem__
-        out = np.zeros((len(texts), self.table.shape[1]))
-        for k, x in enumerate(lists):
-            if x:
-                out[k] = self.table[np.fromiter(map(get, x), dtype="int32", count=len(x))].sum(0)
-        return out
+        lists = words_of(texts)
+        words = lists.flatten()
+        number = pc.index_in(words, value_set=self.names)
+        if number.null_count:
+            new = words.filter(number.is_null()).unique()
+            self.table = np.vstack([self.table, self.words([MARK + w for w in new.to_pylist()])])
+            self.names = pa.concat_arrays([self.names, new])
+            number = pc.index_in(words, value_set=self.names)
+        offsets = lists.offsets.to_numpy()
+        return np.add.reduceat(self.table[number.to_numpy()], offsets[:-1] - offsets[0])
 
 
 def _expected_long(lattice: Lattice, counts: dict[str, int], words: list[str], p: np.ndarray) -> np.ndarray:
@@ -183,6 +239,15 @@ def _expected_long(lattice: Lattice, counts: dict[str, int], words: list[str], p
     return seen
 
 
+def _stretches(counts: dict[str, int]) -> dict[str, int]:
+    """The counts with words longer than LEARNED cut into consecutive stretches."""
+    out: dict[str, int] = {}
+    for w, n in counts.items():
+        for a in range(0, len(w), LEARNED):
+            out[w[a : a + LEARNED]] = out.get(w[a : a + LEARNED], 0) + n
+    return out
+
+
 def _batches(words: list[str], chars: int = 1 << 17) -> list[list[str]]:
     """Words of like lengths together, so many that little more than `chars` characters are padded."""
     out: list[list[str]] = []
@@ -196,6 +261,7 @@ def _batches(words: list[str], chars: int = 1 << 17) -> list[list[str]]:
 def fit_language(lattice: Lattice, counts: dict[str, int], rounds: int = 4, smooth: float = 0.05) -> np.ndarray:
     """Log probabilities of all pieces and the unknown one, by expectation maximisation over the words."""
     size = lattice.unknown + 1
+    counts = _stretches(counts)
     by: dict[int, list[str]] = {}
     for w in counts:
         if len(w) <= SHORT:
@@ -235,6 +301,21 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
+def _word_counts(sample: DataFrame) -> DataFrame:
+    """lang, word, n of sample(lang, text): the distinct words of a bounded sample."""
+    in_arrow_batches(sample.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            lists = words_of(b.column("text"))
+            t = pa.table({"lang": b.column("lang").take(pc.list_parent_indices(lists)), "word": lists.flatten()})
+            t = t.group_by(["lang", "word"]).aggregate([([], "count_all")])
+            yield from t.select(["lang", "word", "count_all"]).rename_columns(["lang", "word", "n"]).to_batches()
+
+    by = sample.select("lang", "text").mapInArrow(run, "lang string, word string, n long")
+    return by.where("word != ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
 def fit(docs: DataFrame, *, docs_per_language: int = 400, most_docs: int = 40_000, vocabulary_path: str | None = None) -> dict:
     """Fits on docs(doc_id, text, lang) with a label that are not held out. The sample is bounded: about
     docs_per_language whole documents of each language, most_docs in all, drawn by a hash of doc_id;
@@ -251,10 +332,9 @@ def fit(docs: DataFrame, *, docs_per_language: int = 400, most_docs: int = 40_00
     # One row for each language, as many as the totals that are here already: texts needn't be shuffled.
     sample = known.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("lang", "text")
     counts: dict = {k: {} for k in langs}
-    for lang, text in sample.toLocalIterator():
-        own = counts[lang]
-        for w in text.lower().split():
-            own[MARK + w] = own.get(MARK + w, 0) + 1
+    seen = materialize(_word_counts(sample), "lang-words").toArrow()
+    for lang, word, n in sorted(zip(*seen.to_pydict().values(), strict=True)):
+        counts[lang][MARK + word] = n
     pieces = vocabulary(vocabulary_path)
     lattice = Lattice(pieces)
     logp = np.stack([fit_language(lattice, counts[k]) for k in langs], axis=1)
@@ -262,17 +342,17 @@ def fit(docs: DataFrame, *, docs_per_language: int = 400, most_docs: int = 40_00
     return {"langs": langs, "pieces": pieces, "logp": logp, "prior": prior}
 
 
-def decide(scorer: Scorer | None, model: dict, texts: list) -> tuple[list[str], np.ndarray]:
-    """The language of each text and its posterior probability."""
-    lang, score = ["und"] * len(texts), np.zeros(len(texts))
-    usable = [k for k, t in enumerate(texts) if scorer and t and any(map(str.isalpha, t))]
-    if usable:
-        x = scorer.texts([texts[k] for k in usable]) + model["prior"]
+def decide(scorer: Scorer | None, model: dict, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each text's language, that of no language being one more, and its posterior probability."""
+    none = len(model["langs"])
+    lang, score = np.full(len(texts), none), np.zeros(len(texts))
+    usable = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False)
+    if scorer and pc.any(usable).as_py():
+        x = scorer.texts(texts.filter(usable)) + model["prior"]
         x = np.exp(x - x.max(1, keepdims=True))
-        best = x.argmax(1)
-        score[usable] = x[np.arange(len(best)), best] / x.sum(1)
-        for k, b in zip(usable, best, strict=True):
-            lang[k] = model["langs"][b]
+        who, best = usable.to_numpy(zero_copy_only=False), x.argmax(1)
+        score[who] = x[np.arange(len(best)), best] / x.sum(1)
+        lang[who] = best
     return lang, score
 
 
@@ -282,14 +362,15 @@ def scorer_of(model: dict) -> Scorer | None:
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, held_out, lang_pred, score."""
-    in_arrow_batches(docs.sparkSession)
+    in_arrow_batches(docs.sparkSession, 2000)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages numbers
 
     def run(batches):
         scorer = scorer_of(shared.value)
         for b in batches:
-            lang, score = decide(scorer, shared.value, b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+            lang, score = decide(scorer, shared.value, b.column("text"))
+            names = pa.array([*shared.value["langs"], "und"], pa.string()).take(pa.array(lang))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), names, pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", "text", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))
     kind = dict(docs.dtypes)["doc_id"]
@@ -298,13 +379,13 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
 def kept_documents(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
     """The rows of docs whose language is found with a posterior of at least `least`; all columns stay."""
-    in_arrow_batches(docs.sparkSession)
+    in_arrow_batches(docs.sparkSession, 2000)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         scorer = scorer_of(shared.value)
         for b in batches:
-            lang, score = decide(scorer, shared.value, b.column("text").to_pylist())
-            yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+            lang, score = decide(scorer, shared.value, b.column("text"))
+            yield b.filter(pa.array((lang < len(shared.value["langs"])) & (score >= least)))
 
     return docs.mapInArrow(run, docs.schema)
