@@ -3,8 +3,12 @@
 Each source's documents are put in a hash-shuffled order and laid end to end as one sequence of words,
 which is cut into blocks of nearly equal word counts. A golden-ratio sequence u_i = frac(i * phi) is
 mapped through the cumulative weights of the sources; the slots that fall to a source are ranked, and
-rank r takes block r of the source's (repeated) sequence. The last slot of a source is trimmed, so that
-each source gives its target exactly, to the rounding of one word.
+rank r takes block r of the source's (repeated) sequence: the schedule decides at which slot a document
+comes, and any prefix of the slots holds every source near its share. The last slot of a source is trimmed,
+so that each source gives its target exactly, to the rounding of one word.
+
+Sources are few: a table of one row for each is worked on in one task. No product of two sizes is taken, so
+a source may have as many words as a bigint counts.
 
 Defined cases: null text has size 0; documents of size 0 are never taken; the null source is a source
 of its own and comes last; repeated rows count as rows of their own; an empty table gives an empty mix.
@@ -19,9 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, materialize
 
-#: Slots asked of a source beyond its need. The count of golden-ratio points in an interval differs from
-#: its share by about 2 + ln(N), so the pad covers any N that a bigint can count.
-PAD = 64
 #: Rows that a window over one bucket of a source's shuffled order should hold.
 BUCKET_ROWS = 2048
 #: Consecutive slots ranked together.
@@ -79,74 +80,99 @@ def golden(i):
     return x - F.floor(x)
 
 
-def _slots(sources: DataFrame, n_points: int) -> DataFrame:
-    """slot, idx, rank: golden-ratio points through the cumulative weights, ranked per source."""
+def _slots(sources: DataFrame, n_points: int, n_sources: int, sequence=golden) -> DataFrame:
+    """slot, idx, rank: points of the sequence through the cumulative weights, ranked per source.
+
+    There are as many points as slots. The golden-ratio points in an interval differ from their share by at
+    most 3 + (1 / ln phi + 1 / ln 2) ln n: points above a source's need are passed over, and what it lacks
+    comes last."""
     spark = sources.sparkSession
     cells = 4096
     up_to = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    parts = sources.where("need > 0").withColumn("hi", F.sum("asked").over(up_to)).withColumn("lo", F.col("hi") - F.col("asked"))
+    some = sources.where("need > 0")
+    parts = some.withColumn("hi", F.sum("need").over(up_to)).withColumn("lo", F.col("hi") - F.col("need"))
     parts = parts.select("idx", "need", "nb", "source_size", "goal", (F.col("lo") / n_points).alias("lo"), (F.col("hi") / n_points).alias("hi"))
     # A range join as an equi-join on grid cells: a source meets only the points of the cells it touches.
     parts = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.floor(F.col("hi") * cells))))
-    points = spark.range(n_points).select(F.col("id").alias("slot"), golden(F.col("id")).alias("u"))
+    points = spark.range(n_points).select(F.col("id").alias("slot"), sequence(F.col("id")).alias("u"))
     points = points.withColumn("cell", F.floor(F.col("u") * cells))
     met = points.join(parts, "cell").where("u >= lo and u < hi")
     met = met.withColumn("chunk", F.floor(F.col("slot") / CHUNK))
     inner = Window.partitionBy("idx", "chunk").orderBy("slot")
     met = met.withColumn("r", F.row_number().over(inner) - 1)
     counts = met.groupBy("idx", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    over = Window.partitionBy("idx").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("idx", "chunk", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("earlier"))
-    met = met.join(counts, ["idx", "chunk"]).withColumn("rank", F.col("r") + F.col("earlier")).where("rank < need")
+    earlier = F.sum("n").over(Window.partitionBy("idx").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("idx", "chunk", F.coalesce(earlier, F.lit(0)).alias("earlier"), "n")
+    columns = ["slot", "idx", "rank", "need", "nb", "source_size", "goal"]
+    last = some.join(counts.groupBy("idx").agg(F.sum("n").alias("n")), "idx", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < need")
+    last = last.withColumn("rank", F.explode(F.expr("sequence(n, need - 1)"))).withColumn("slot", F.expr(f"{n_points} + (rank - n) * {n_sources} + idx"))
+    met = met.join(counts.drop("n"), ["idx", "chunk"]).withColumn("rank", F.col("r") + F.col("earlier")).where("rank < need")
+    met = met.select(columns).union(last.select(columns))
     met = met.withColumn("epoch", F.expr("rank div nb")).withColumn("block", F.expr("rank % nb"))
-    met = met.withColumn("block_lo", F.expr("block * source_size div nb")).withColumn("block_hi", F.expr("(block + 1) * source_size div nb"))
+    met = met.withColumn("block_lo", F.expr(_begin("block"))).withColumn("block_hi", F.expr(_begin("(block + 1)")))
     met = met.withColumn("take", F.expr("least(block_hi - block_lo, goal - epoch * source_size - block_lo)"))
     return met.where("take > 0").select("slot", "idx", "rank", "epoch", "block", "block_lo", "take")
 
 
-def plan(rows: DataFrame, *, slots: int = 1 << 16, block_limit: int = 1 << 20, weights=(1, 2, 3), cap: int = 3, seed: int = 20):
+def _begin(block: str) -> str:
+    """First word of a block: the first source_size % nb blocks have a word more than the others."""
+    return f"({block} * (source_size div nb) + least({block}, source_size % nb))"
+
+
+def _block_of(word: str) -> str:
+    """The block of a word; there are at most as many blocks as words."""
+    wide = "(source_size div nb + 1)"
+    return f"CASE WHEN {word} < source_size % nb * {wide} THEN {word} div {wide} ELSE source_size % nb + ({word} - source_size % nb * {wide}) div (source_size div nb) END"
+
+
+def plan(rows: DataFrame, *, slots: int = 1 << 16, block_limit: int = 1 << 20, weights=(1, 2, 3), cap: int = 3, seed: int = 20, sequence=golden):
     """rows(doc_id, source, size) -> (rows with idx, source_size, target, start; mix).
 
     mix(slot, idx, epoch, block, doc_id, start, words): what each slot takes, in the order of slots.
-    slots: about how many blocks the whole mix has; block_limit: the most words in a block."""
+    slots: about how many blocks the whole mix has; block_limit: the most words in a block; sequence: the
+    points in [0, 1) of a column of slot numbers."""
     n_rows, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     words = max(1, min(block_limit, total // slots))
     sources = source_targets(rows, weights, cap)
-    sources = sources.withColumn("nb", F.greatest(F.lit(1), F.round(F.col("source_size") / words)).cast("long"))
+    sources = sources.withColumn("nb", F.expr(f"greatest(1, source_size div {words})"))
     sources = sources.withColumn("goal", F.round("target").cast("long"))
-    sources = sources.withColumn("rest", F.when(F.col("source_size") > 0, F.expr("goal - (goal div source_size) * source_size")).otherwise(0))
-    need = F.when(F.col("source_size") > 0, F.expr("(goal div source_size) * nb + cast(ceil(rest * nb / source_size) as bigint)")).otherwise(0)
-    sources = sources.withColumn("need", need).withColumn("asked", F.when(F.col("need") > 0, F.col("need") + PAD).otherwise(0))
-    sources = materialize(sources.drop("rest"), "mix-sources")
-    n_points = sources.agg(F.coalesce(F.sum("asked"), F.lit(0))).first()[0]
+    sources = sources.withColumn("rest", F.expr("if(source_size > 0, goal % source_size, 0)"))
+    need = F.expr(f"if(source_size > 0, goal div source_size * nb + if(rest > 0, {_block_of('(rest - 1)')} + 1, 0), 0)")
+    sources = materialize(sources.withColumn("need", need).drop("rest"), "mix-sources")
+    n_points, n_sources = sources.agg(F.coalesce(F.sum("need"), F.lit(0)), F.count(F.lit(1))).first()
     placed = materialize(_sequence(rows, sources.select("idx", "source", "source_size", "target", "nb"), seed, n_rows), "mix-rows")
-    block_of = "cast((({0} + 1) * nb - 1) div source_size as bigint)"
-    pieces = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence({block_of.format('start')}, {block_of.format('(start + size - 1)')})")))
-    met = _slots(sources, n_points).join(pieces.select("idx", "block", "doc_id", "start", "size"), ["idx", "block"])
+    pieces = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence({_block_of('start')}, {_block_of('(start + size - 1)')})")))
+    met = _slots(sources, n_points, n_sources, sequence).join(pieces.select("idx", "block", "doc_id", "start", "size"), ["idx", "block"])
     met = met.withColumn("words", F.expr("least(start + size, block_lo + take) - greatest(start, block_lo)")).where("words > 0")
-    return placed, met.select("slot", "idx", "epoch", "block", "doc_id", "start", "words")
+    return placed, met.select("slot", "idx", "epoch", "block", "doc_id", "start", "size", "words")
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
-    """Per row of docs(doc_id, text, source): doc_id, source, size, source_size, target, taken.
-    Further columns of docs are ignored."""
+    """Per row of docs(doc_id, text, source): doc_id, source, size, source_size, target, taken, first_slot
+    (the first slot of the mix that takes some of its words; null if none does). Further columns of docs are
+    ignored."""
     rows = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     placed, taken = plan(rows, **params)
     # A row with words is known by its source and start; rows without words are taken by no slot.
-    taken = taken.groupBy("idx", "start").agg(F.sum("words").alias("taken")).withColumn("some", F.lit(True))
+    taken = taken.groupBy("idx", "start").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot")).withColumn("some", F.lit(True))
     placed = placed.withColumn("some", F.col("size") > 0)
-    return placed.join(taken, ["idx", "start", "some"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return placed.join(taken, ["idx", "start", "some"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it: taken / size, rounded. All columns stay."""
-    cols = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text"))
-    # Equal rows are told apart by a number, so that the join back gives each row its own share.
-    keyed = keyed.withColumn("_no", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id")))
-    rows = materialize(keyed.select(F.struct("_key", "_no").alias("doc_id"), "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    placed, taken = plan(rows, **params)
-    copies = taken.groupBy("doc_id").agg(F.sum("words").alias("taken")).join(rows.select("doc_id", "size"), "doc_id")
-    copies = copies.select(F.col("doc_id._key").alias("_key"), F.col("doc_id._no").alias("_no"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_n")).where("_n > 0")
-    met = keyed.join(copies, ["_key", "_no"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return met.select(*cols)
+    """The rows of docs in the order of the schedule's slots, each as often as the mix takes it: taken / size,
+    rounded; the n-th time at the slot that begins its n-th repetition. All columns stay, whatever their names.
+
+    Rows that are equal in every column stand for each other: one of them carries the slots of all."""
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    hashed = [F.to_json(F.struct(c)) if t.startswith(("map", "variant")) else F.col(c) for c, t in docs.dtypes]
+    who = F.struct(F.xxhash64(*hashed).alias("h"), F.crc32(F.to_json(F.struct("doc_id"))).alias("c")).alias("doc_id")
+    rows = materialize(docs.select(who, "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    _, taken = plan(rows, **params)
+    # A row has at most cap + 1 repetitions.
+    each = taken.groupBy("idx", "start", "doc_id", "size", "epoch").agg(F.min("slot").alias("slot"), F.sum("words").alias("words"))
+    each = each.groupBy("idx", "start", "doc_id", "size").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list("slot")).alias("slots"))
+    each = each.select("doc_id", F.explode(F.slice("slots", 1, F.round(F.col("words") / F.col("size")).cast("int"))).alias("slot"))
+    # Equal rows meet before they move, and the join finds them where they are.
+    whole = docs.select(who, row.alias("row")).groupBy("doc_id").agg(F.first("row").alias("row"))
+    return whole.join(each, "doc_id").orderBy("slot").select("row.*")

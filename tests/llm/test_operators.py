@@ -255,7 +255,10 @@ def test_forward_sums_all_segmentations():
         return sum(math.exp(p[pieces.index(x)][0]) * brute(w[len(x) :]) for x in pieces if w.startswith(x)) + (0.1 * brute(w[1:]) if w[0] not in "ab" else 0)
 
     words = ["a", "abab", "aba", "xab", "abaabba" * 5]
-    assert np.allclose(scorer.words(words)[:, 0], [math.log(brute(w)) for w in words[:4]] + [scorer.words(words[4:])[0, 0]])
+    sums = [1.0]  # over the prefixes of the long word, which is too long for the brute force
+    for e in range(1, 36):
+        sums.append(sum(math.exp(p[pieces.index(x)][0]) * sums[e - len(x)] for x in pieces if words[4][:e].endswith(x)))
+    assert np.allclose(scorer.words(words)[:, 0], [math.log(brute(w)) for w in words[:4]] + [math.log(sums[-1])])
     a = langid.forward(scorer.lattice.find(["abaabb"], 6), scorer.logp, True)
     assert np.allclose(a, langid.forward(scorer.lattice.find(["abaabb"], 6), scorer.logp, False))
 
@@ -272,12 +275,92 @@ def test_long_words_are_learned_from(monkeypatch):
     assert np.allclose(got, langid.fit_language(lattice, some))
 
 
+def test_very_long_words_are_scored_in_stretches(monkeypatch):
+    rng = np.random.default_rng(6)
+    pieces = sorted({"".join(rng.choice(list("abc"), n)) for n in (1, 1, 1, 2, 2, 3, 4, 7, 16, 16)} | {"a" * 16})
+    logp = np.log(rng.dirichlet(np.ones(len(pieces) + 1), 3).T)
+    scorer = langid.Scorer(pieces, logp)
+    monkeypatch.setattr(langid, "STRIP", 50)
+    for n in (1, 2, 15, 16, 17, 49, 50, 51, 100, 257, 1000):
+        word = "".join(rng.choice(list("abcx"), n)) + "a" * (n % 40)
+        want = langid.forward(scorer.lattice.find([word], len(word)), scorer.logp, True)[0]
+        assert np.allclose(langid.forward_long(scorer.lattice, word, scorer.logp), want)
+    monkeypatch.undo()
+    assert np.isfinite(scorer.words(["ab" * 150_000, "漢字かな" * 20_000])).all()
+
+
+def segmentations(word, pieces):
+    """All ways to write a word as pieces; a character that is no piece is the piece None."""
+    if not word:
+        return [[]]
+    out = []
+    for n in range(1, len(word) + 1):
+        if word[:n] in pieces or n == 1:
+            out += [[word[:n] if word[:n] in pieces else None, *rest] for rest in segmentations(word[n:], pieces)]
+    return out
+
+
+def test_fit_and_prediction_equal_brute_force(spark, monkeypatch):
+    pieces = sorted(["▁", "a", "b", "ab", "▁a", "ba", "bab", "c"])
+    monkeypatch.setattr(langid, "vocabulary", lambda path=None: pieces)
+    rng = np.random.default_rng(8)
+    made = [(i, " ".join("".join(rng.choice(list(["abb", "aab", "cabé"][i % 3]), int(rng.integers(1, 7)))) for _ in range(6)) + ["\n", " \t", ""][i % 3], ["x", "y", None][i % 3] if i % 7 else "z") for i in range(60)]
+    made += [(60, None, "x"), (61, "", "y"), (62, "12 !", "z"), (None, "abba ab", "x"), (63, "ABBA\u2003Ab", None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    learned = [(t, g) for i, t, g in made if t is not None and g and not (i is not None and zlib.crc32(str(i).encode()) % 4 == 2)]
+    langs = sorted({g for _, g in learned})
+    assert model["langs"] == langs
+    names, logp = [*pieces, None], {}
+    for g in langs:
+        words = Counter("▁" + w for t, k in learned if k == g for w in t.lower().split())
+        p = {x: 1 / len(names) for x in names}
+        for _ in range(4):
+            seen = dict.fromkeys(names, 0.05)
+            for w, n in words.items():
+                ways = segmentations(w, pieces)
+                share = [math.prod(p[x] for x in way) for way in ways]
+                for way, q in zip(ways, share, strict=True):
+                    for x in way:
+                        seen[x] += n * q / sum(share)
+            p = {x: v / sum(seen.values()) for x, v in seen.items()}
+        logp[g] = p
+    assert np.allclose(np.exp(model["logp"]), [[logp[g][x] for g in langs] for x in names])
+    shares = Counter(g for _, g in learned)
+    got = {(r["doc_id"], r["held_out"]): (r["lang_pred"], r["score"]) for r in langid.predict(docs, model).collect()}
+    for i, t, _ in made:
+        held = i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+        if not t or not any(map(str.isalpha, t)):
+            assert got[i, held] == ("und", 0.0)
+            continue
+        odds = [math.log(shares[g] / len(learned)) + sum(math.log(sum(math.prod(logp[g][x] for x in way) for way in segmentations("▁" + w, pieces))) for w in t.lower().split()) for g in langs]
+        odds = np.exp(np.array(odds) - max(odds))
+        assert got[i, held][0] == langs[int(odds.argmax())] and got[i, held][1] == pytest.approx(odds.max() / odds.sum())
+
+
+def test_equal_scores_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(i, "same words here", ["b", "é", "a", "Z"][i % 4]) for i in range(16) if zlib.crc32(str(i).encode()) % 4 != 2], "doc_id long, text string, lang string")
+    docs = docs.groupBy("lang").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    got = {(r["lang_pred"], round(r["score"], 9)) for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert got == {("Z", 0.25)}
+
+
+def test_held_out_accuracy(spark):
+    """Each language has its own words; the held-out documents' words are mixed anew."""
+    rng = np.random.default_rng(5)
+    vocab = {g: ["".join(rng.choice(list("etaoinshrdlu"), int(rng.integers(3, 9)))) for _ in range(300)] for g in ("k", "l", "m")}
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(vocab[g], 30)), g) for i, g in enumerate(np.tile(["k", "l", "m"], 80).tolist())], "doc_id long, text string, lang string")
+    got = langid.predict(docs, langid.fit(docs)).join(docs, "doc_id").where("held_out")
+    assert got.count() > 30 and got.where("lang = lang_pred").count() >= 0.98 * got.count()
+
+
 def test_language_without_spaces_is_learned(spark):
-    texts = [("abcd" * 20, "x"), ("dcba" * 20, "y")]
-    docs = spark.createDataFrame([(i, *texts[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    texts = [("abcd" * 20, "x"), ("dcba" * 20, "y"), ("漢字仮名" * 50, "z"), ("名仮字漢" * 50, "w")]
+    docs = spark.createDataFrame([(i, *texts[i % 4]) for i in range(80)], "doc_id long, text string, lang string")
     model = langid.fit(docs)
-    lang, score = langid.decide(langid.scorer_of(model), model, ["abcd" * 18, "dcba" * 18])
-    assert lang == ["x", "y"] and min(score) > 0.99
+    asked = pa.array(["abcd" * 18, "dcba" * 18, "漢字仮名" * 900])
+    lang, score = langid.decide(langid.scorer_of(model), model, asked)
+    assert [model["langs"][k] for k in lang] == ["x", "y", "z"] and min(score[:2]) > 0.99
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
@@ -421,9 +504,48 @@ def test_mix_uses_no_python(docs):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_mixed_documents_keep_columns(docs):
+def test_the_sequence_decides_the_schedule(spark):
+    rows = spark.range(400).selectExpr("id AS doc_id", "concat('s', id % 4) AS source", "20 + id % 7 AS size")
+    total = 400 * 20
+
+    def schedule(**params):
+        return [tuple(r) for r in mixing.plan(rows, slots=600, **params)[1].groupBy("slot", "idx").agg(F.sum("words")).orderBy("slot").collect()]
+
+    golden = schedule()
+    other = schedule(sequence=lambda i: F.pmod(i * 0.41421356 + 0.3, F.lit(1.0)))
+    assert golden != other and sum(r[2] for r in golden) == sum(r[2] for r in other) >= total
+    taken, all_of, done = Counter(), Counter(), 0
+    for _, idx, words in golden:
+        all_of[idx] += words
+    whole = sum(all_of.values())
+    block = max(r[2] for r in golden)
+    for _, idx, words in golden:
+        taken[idx] += words
+        done += words
+        assert all(abs(taken[k] - all_of[k] * done / whole) <= 6 * block for k in all_of)
+    poor = schedule(sequence=lambda i: F.lit(0.01))
+    assert sum(r[2] for r in poor) == whole and max(r[0] for r in golden) <= 600 + 4 * 30 < max(r[0] for r in poor)
+
+
+def test_mix_of_very_large_sources(spark):
+    rows = spark.createDataFrame([(0, "a", 8 * 10**12), (1, "a", 7), (2, "b", 3 * 10**12 + 1), (3, None, 0), (4, "c", 5)], "doc_id long, source string, size long")
+    placed, taken = mixing.plan(rows, slots=300, block_limit=1 << 40)
+    target = {r["source"]: r["target"] for r in placed.collect()}
+    got = Counter()
+    for r in taken.join(rows.drop("size"), "doc_id").collect():
+        got[r["source"]] += r["words"]
+    assert all(abs(got[k] - x) <= 1 for k, x in target.items()) and sum(got.values()) > 10**13
+
+
+def test_mixed_documents_keep_columns_and_follow_the_slots(spark, docs):
     got = mixing.mixed_documents(docs)
     assert got.columns == docs.columns and max(r["count"] for r in got.groupBy("doc_id").count().collect()) <= 9
+    clash = spark.createDataFrame([(i, f"w{i} x y", "ab"[i % 2], 1, {"k": i}, i) for i in range(40)], "doc_id long, text string, source string, _n int, m map<string,int>, slot long").withColumn("row", F.lit(2)).withColumn("_key", F.lit("z"))
+    mixed = mixing.mixed_documents(clash)
+    assert mixed.columns == clash.columns and all(r["text"].startswith(f"w{r['slot']} ") and r["m"] == {"k": r["doc_id"]} and r["_n"] == 1 and r["row"] == 2 for r in mixed.collect())
+    assert any(r["first_slot"] is not None for r in mixing.mix(clash).collect())
+    order = [r["source"] for r in mixed.collect()]  # a and b weigh 1 and 2
+    assert all(abs(order[:n].count("a") - n * order.count("a") / len(order)) <= 4 for n in range(len(order)))
 
 
 def test_pipeline_stages_take_the_rows_of_the_one_before(spark, docs, tmp_path):
