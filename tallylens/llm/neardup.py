@@ -299,13 +299,11 @@ def groups(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
-    """The rows of docs that stay, one of each group; all columns stay."""
-    stay = groups(docs, miss).where("kept and head").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    on = keyed["doc_id"].cast("long").eqNullSafe(stay["_id"]) & (keyed["_h"] == stay["_t"])
-    kept = keyed.join(stay, on, "left_semi")
-    # Rows with an equal doc_id and text: one of them.
-
-
-    kept = kept.withColumn("_no", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("_h")))
-    return kept.where("_no = 1").select(*docs.columns)
+    """The rows of docs that stay, one of each group; all columns stay, whatever their names. Of rows with an
+    equal doc_id and text one stays."""
+    number = lambda c: F.struct(c.isNull().alias("no"), F.coalesce(c.cast("long"), F.lit(0)).alias("id"))
+    stay = groups(docs, miss).where("kept and head").select(number(F.col("doc_id")).alias("id"), "t").distinct()
+    # Repeated rows meet before they move, and the join finds them where they are.
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    whole = docs.select(number(F.col("doc_id")).alias("id"), F.xxhash64("text").alias("t"), row).groupBy("id", "t").agg(F.first("row").alias("row"))
+    return whole.join(stay, ["id", "t"], "left_semi").select("row.*")

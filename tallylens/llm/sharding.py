@@ -6,7 +6,8 @@ then added up over all rows, ranges that came out overfull are sampled again on
 subdivided, and consecutive ranges are joined into shards whose sizes are near equal. A boundary moves
 to the edge of a group of equal texts where that costs less than `slack` of a shard.
 
-Only splitters, range sizes and counts (at most max_ranges of each) reach the driver.
+What reaches the driver is bounded: per_range samples for each of at most max_ranges ranges (16 x 65,536
+keys), the splitters, and the sizes and counts of the ranges.
 
 Defined cases: null text has size 1 and crc32 0; repeated rows are rows of their own; a row larger than
 a shard fills one alone; an empty table gives an empty result; with fewer rows than shards some stay empty.
@@ -29,27 +30,22 @@ def _ranged(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
     """Adds `range`: how many splitters (h, d) are at or below the row's (h, d)."""
     if not splitters:
         return rows.withColumn("range", F.lit(0))
-    spark = rows.sparkSession
-    by_h: dict[int, list[tuple[int, int]]] = {}
-    for at, (h, d) in enumerate(splitters, 1):
-        by_h.setdefault(h, []).append((d, at))
-    hs = sorted(by_h)
-    # Nearest h at or below by binary search, then within it over its d's.
-    shared = spark.sparkContext.broadcast((hs, [sorted(by_h[h]) for h in hs]))
+    # Sorted pairs, as two arrays: at most max_ranges, and the edges of their groups.
+    shared = rows.sparkSession.sparkContext.broadcast(tuple(np.array(x, dtype="int64") for x in zip(*sorted(splitters), strict=True)))
 
     @F.pandas_udf("int")
     def place(h: pd.Series, d: pd.Series) -> pd.Series:
-        keys, inner = shared.value
-        at = np.searchsorted(np.array(keys, dtype="int64"), h.to_numpy(), side="right") - 1
-        ends = np.array([x[-1][1] for x in inner], dtype="int32")
-        out = np.where(at >= 0, ends[np.maximum(at, 0)], 0).astype("int32")
-        same = (at >= 0) & (np.array(keys, dtype="int64")[np.maximum(at, 0)] == h.to_numpy())
-        ds = d.to_numpy()
-        for k in np.unique(at[same]) if same.any() else ():
-            who = np.flatnonzero(same & (at == k))
-            dd, first = [x[0] for x in inner[k]], inner[k][0][1] - 1
-            out[who] = first + np.searchsorted(np.array(dd, dtype="int64"), ds[who], side="right")
-        return pd.Series(out)
+        hs, ds = shared.value
+        at, end = (np.searchsorted(hs, h.to_numpy(), side=x) for x in ("left", "right"))
+        # Where splitters have the row's h, a binary search among their d's.
+        own = np.flatnonzero(at < end)
+        lo, hi, key = at[own], end[own], d.to_numpy()[own]
+        while (open_ := lo < hi).any():
+            mid = np.minimum((lo + hi) // 2, len(ds) - 1)
+            below = ds[mid] <= key
+            lo, hi = np.where(open_ & below, mid + 1, lo), np.where(open_ & ~below, mid, hi)
+        end[own] = lo
+        return pd.Series(end.astype("int32"))
 
     return rows.withColumn("range", place("h", "d"))
 
@@ -142,18 +138,24 @@ def shard_of_ranges(cuts: list, heads: list, shards: int, slack: float) -> list[
     return out
 
 
-def shard(docs: DataFrame, shards: int = 16, *, rows_per_range: int = 1 << 16, max_ranges: int = 1 << 16, slack: float = 0.01) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, size, text_crc32, law, shard, slot, grown_shard; law is `bytes`."""
+def _keyed(docs: DataFrame, *more) -> DataFrame:
+    """doc_id, size, text_crc32, and the order's h (hash of text) and d (doc_id, the null one first)."""
     text = F.coalesce("text", F.lit(""))
-    thin = docs.select(
+    return docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("d"),
+        *more,
     )
-    ship(docs.sparkSession)
-    thin = materialize(thin, "shard-sizes")
+
+
+def _placed(docs: DataFrame, shards: int, *more, rows_per_range: int = 1 << 16, max_ranges: int = 1 << 16, slack: float = 0.01) -> DataFrame:
+    """Keyed rows of docs, with shard and slot; more columns are carried along in the one shuffle by range."""
+    spark = docs.sparkSession
+    ship(spark)
+    thin = materialize(_keyed(docs), "shard-sizes")
     n, total = thin.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = int(min(max_ranges, max(64 * shards, n // rows_per_range)))
     cuts, heads = splitters(thin, total, ranges, shards)
@@ -162,22 +164,22 @@ def shard(docs: DataFrame, shards: int = 16, *, rows_per_range: int = 1 << 16, m
     for (_, rows), s in zip(heads, where, strict=True):
         offsets.append(used.get(s, 0))
         used[s] = offsets[-1] + rows
-    spark = docs.sparkSession
     table = spark.createDataFrame(list(zip(range(len(where)), where, offsets, strict=True)), "range int, shard int, first long")
-    placed = _ranged(thin, cuts)
+    placed = _ranged(_keyed(docs, *more) if more else thin, cuts)
     order = Window.partitionBy("range").orderBy("h", "d", "size")
     placed = placed.withColumn("within", F.row_number().over(order) - 1).join(F.broadcast(table), "range")  # at most max_ranges rows
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("within")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return placed.withColumn("slot", F.col("first") + F.col("within"))
 
 
-def sharded_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """The rows of docs with shard and slot; joined back on (doc_id, crc32, size), repeated rows by number."""
-    text = F.coalesce("text", F.lit(""))
-    key = ["doc_id", "size", "text_crc32"]
-    keyed = docs.withColumn("_size", (F.octet_length(text) + 1).cast("long")).withColumn("_crc", F.crc32(text))
-    keyed = keyed.withColumn("_no", F.row_number().over(Window.partitionBy("doc_id", "_size", "_crc").orderBy("doc_id")))
-    where = shard(docs, shards)
-    where = where.withColumn("_no", F.row_number().over(Window.partitionBy(*key).orderBy("shard", "slot")))
-    where = where.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "_no", "shard", "slot")
-    on = keyed["doc_id"].eqNullSafe(where["_id"]) & (keyed["_size"] == where["_size"]) & (keyed["_crc"] == where["_crc"]) & (keyed["_no"] == where["_no"])
-    return keyed.join(where, on).select(*[keyed[c] for c in docs.columns if c not in ("shard", "slot")], where["shard"], where["slot"])
+def shard(docs: DataFrame, shards: int = 16, **params) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, size, text_crc32, law, shard, slot, grown_shard; law is `bytes`.
+    Further columns of docs are ignored."""
+    return _placed(docs, shards, **params).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sharded_documents(docs: DataFrame, shards: int = 16, **params) -> DataFrame:
+    """The rows of docs with shard and slot; other columns stay as they are, whatever their names, but a
+    column named shard or slot gives way. Whole rows move once, to their range."""
+    keep = [c for c in docs.columns if c not in ("shard", "slot")]
+    placed = _placed(docs, shards, F.struct(*[F.col(c) for c in keep]).alias("row"), **params)
+    return placed.select("row.*", "shard", "slot")

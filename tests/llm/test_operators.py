@@ -107,9 +107,58 @@ def test_shards(spark, docs, none):
     assert len(sizes) == 16 and max(sizes) < 1.05 * min(sizes)  # a third of the rows are copies of one text
 
 
+def clashing(spark):
+    """Rows whose columns have the names that the operators use inside; the first three are near copies, and
+    one has no doc_id."""
+    words = [f"w{k}" for k in range(60)]
+    made = [(k, " ".join([*words[:59], "other"] if k == 1 else words)) for k in (0, 1, 2)] + [(k, f"text {k} of its own") for k in range(3, 40)] + [(None, "no id"), (None, None), (3, "text 3 of its own")]
+    names = ("_size", "_crc", "_no", "_h", "_id", "_t", "_n", "_key", "h", "d", "t", "id", "row", "key", "range", "first", "within", "size", "kept", "head", "law", "text_crc32", "n_shingles", "bucket")
+    df = spark.createDataFrame(made, "doc_id long, text string").withColumn("source", F.lit("a"))
+    for k, n in enumerate(names):
+        df = df.withColumn(n, F.concat(F.lit(f"{n}{k}"), F.coalesce("text", F.lit(""))))
+    return df
+
+
+def test_operators_on_documents_keep_clashing_columns(spark):
+    docs = clashing(spark)
+    every = Counter(map(str, docs.collect()))
+    sharded = sharding.sharded_documents(docs.withColumn("shard", F.lit(9)), 4)
+    assert sharded.columns == [*docs.columns, "shard", "slot"] and Counter(map(str, sharded.drop("shard", "slot").collect())) == every
+    stays = Counter(str(r) for r in docs.collect() if r["doc_id"] not in (1, 2))
+    stays = Counter(dict.fromkeys(stays, 1))  # of the repeated row one stays
+    alone = neardup.deduplicated(docs)
+    assert alone.columns == docs.columns and Counter(map(str, alone.collect())) == stays
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and set(map(str, mixed.collect())) <= set(every)
+    spoken = langid.kept_documents(docs, langid.fit(docs.withColumn("lang", F.lit("en"))))
+    assert Counter(map(str, spoken.collect())) == Counter(str(r) for r in docs.collect() if r["text"])
+    bench = spark.createDataFrame([(1, "text 5 of its own")], "item_id long, text string")
+    assert Counter(map(str, decontamination.clean_documents(docs, bench).collect())) == Counter(str(r) for r in docs.collect() if r["doc_id"] != 5)
+
+
 def test_sharded_documents_keep_rows_and_columns(docs):
     got = sharding.sharded_documents(docs, 4)
     assert set(docs.columns) <= set(got.columns) and got.count() == len(ROWS)
+    want = Counter((r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard(docs, 4).collect())
+    assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in got.collect()) == want
+
+
+def test_shards_of_rows_without_doc_id_and_of_one_text(spark):
+    rows = spark.createDataFrame([(None if k % 3 else k, "the same" if k % 2 else f"other {k}") for k in range(300)], "doc_id long, text string")
+    for part in (rows, rows.where("text = 'the same'")):
+        got = sharding.shard(part, 4, max_ranges=64).collect()
+        assert len(got) == part.count() and sum(r["doc_id"] is None for r in got) == part.where("doc_id is null").count()
+        slots = defaultdict(list)
+        for r in got:
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_ranges_count_splitters(spark):
+    rng = np.random.default_rng(2)
+    cuts = sorted({(int(h), int(d)) for h, d in zip(rng.integers(-3, 4, 25), rng.integers(-5, 6, 25), strict=True)} | {(0, sharding.LOWEST)})
+    rows = spark.createDataFrame([(h, d) for h in range(-4, 5) for d in range(-6, 7)], "h long, d long")
+    assert all(r["range"] == sum(c <= (r["h"], r["d"]) for c in cuts) for r in sharding._ranged(rows, cuts).collect())
 
 
 def test_neighbours(spark):
