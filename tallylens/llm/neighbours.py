@@ -1,19 +1,25 @@
 """Approximate nearest neighbours: inverted lists with an adaptive scan of dimensions.
 
-Vectors are put in lists by their nearest centroid. A query probes its nearest lists. There vectors are
-rotated by a random orthogonal matrix, so that the squared distance over the first d of D dimensions
-estimates the whole; a pair is given up as soon as that estimate is above the query's present k-th
-distance by more than the test's margin, and only pairs that pass every column block are measured, in
-double precision, on the original vectors.
-
-Centroids are fitted on a bounded sample; every valid vector is indexed. Equal vectors are one entry that
-keeps their k + 1 smallest ids, which is all that any answer can need. Lists are split into blocks of
-entries and chunks of queries, so that no task grows with the largest list.
+Vectors are put in lists by their nearest centroid. A query scans its nearest lists first; the k-th distance
+found there bounds its search in the others. Of these it probes those that should hold all but a share
+`miss` of the vectors within that bound, by a normal model of the angles in a list: few lists where vectors
+form clusters, many where they don't.
+
+Within a list, vectors are rotated by a random orthogonal matrix, so that the squared distance over the first
+d of D dimensions estimates the whole; a candidate is given up as soon as that estimate is above the query's
+present k-th distance by more than the test's margin. The present k-th distance falls as candidates pass, and
+goes along from list to list. Only pairs that pass every column block are measured, in double precision, on
+the original vectors.
+
+Centroids are fitted on a bounded sample (documented at centroids_of); every valid vector is indexed. Equal
+vectors are one entry that keeps their k + 1 smallest ids, which is all that any answer can need. Small lists
+are packed into cells of about `block` entries, large ones split into blocks, and queries into chunks, so
+that no task grows with the largest list, and a query moves once to each cell that holds its lists.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or have another length
-than most (ties: the shorter), and rows without an id take no part; rows with an equal id are one row to
-a query with that id; ties of distance go to the smaller id; with few vectors a query probes on until it
-has k candidates or all.
+than most (ties: the shorter), and rows without an id take no part; of rows with an equal id that are
+queries the least vector asks, and none of them is an answer to it; ties of distance go to the smaller id;
+with fewer than k candidates near, a query probes all lists.
 """
 
 from __future__ import annotations
@@ -30,7 +36,8 @@ from .common import materialize, ship
 
 #: Width of a column block, and the margin of the test in standard deviations.
 COLUMNS, MARGIN = 16, 2.1
-SAMPLE = 20_000
+#: Vectors in the sample for centroids, and how many numbers the centroids may have (64 MB).
+SAMPLE, NUMBERS = 20_000, 1 << 23
 
 
 def valid(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
@@ -44,13 +51,18 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int
 
 
 def centroids_of(rows: DataFrame, n: int, lists: int, rounds: int = 8) -> np.ndarray:
-    """k-means on a sample of about SAMPLE vectors drawn by a hash of the id."""
+    """k-means on a sample of about SAMPLE vectors, or 8 for each list, drawn by a hash of the id. One job
+    writes the sample; one row at least is drawn."""
+    want = max(SAMPLE, 8 * lists)
     draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(31)), 11) / float(1 << 53)
-    sample = np.array([r[0] for r in rows.where(draw < SAMPLE / max(1, n)).select("v").toLocalIterator()])
-    if not len(sample):
-        sample = np.array([r[0] for r in rows.select("v").limit(lists).collect()])
+    drawn = materialize(rows.where(draw < want / max(1, n)).select("v"), "ann-sample").toArrow()
+    if not len(drawn):
+        drawn = rows.orderBy("id", "v").select("v").limit(lists).toArrow()
+    return k_means(np.unique(np.stack(drawn.column("v").to_numpy()), axis=0), lists, rounds)
+
+
+def k_means(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(5)
-    sample = np.unique(sample, axis=0)
     centre = sample[rng.permutation(len(sample))[:lists]]
     for _ in range(rounds):
         near = nearest(sample, centre)
@@ -74,29 +86,49 @@ def rotation(dims: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(queries: np.ndarray, entries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, entry) that no test gave up. Both in rotated coordinates."""
-    dims = entries.shape[1]
-    out = []
-    seed = min(len(entries), max(4 * k, 64))
-    for at in range(0, len(queries), 256):
-        q = queries[at : at + 256]
-        first = squared(q, entries[:seed])
-        have = min(k, seed)
-        tau = np.partition(first, have - 1, axis=1)[:, have - 1] if have == k else np.full(len(q), np.inf)
-        d = min(COLUMNS, dims)
-        partial = squared(q[:, :d], entries[:, :d])
-        i, j = np.nonzero(partial <= (tau * bound(d, dims))[:, None])
-        part = partial[i, j]
-        while d < dims:
-            more = min(COLUMNS, dims - d)
-            diff = q[i, d : d + more] - entries[j, d : d + more]
-            part = part + (diff * diff).sum(1)
-            d += more
-            keep = part <= tau[i] * (bound(d, dims) if d < dims else 1 + 1e-9)
-            i, j, part = i[keep], j[keep], part[keep]
-        out.append((i + at, j))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def scan(queries: np.ndarray, entries: np.ndarray, best: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (query, entry, squared distance) that no test gave up; queries and entries in rotated coordinates.
+
+    best: each query's least squared distances so far, which the scan updates; bounds: squared distances that
+    bound the search from outside. The first entries are few, as there may be no bound yet."""
+    dims, out, at, width = entries.shape[1], [], 0, 64
+    while at < len(entries):
+        e = entries[at : at + width]
+        for first in range(0, len(queries), 256):
+            own = slice(first, first + 256)
+            q, tau = queries[own], np.minimum(best[own, -1], bounds[own]) * (1 + 1e-9)
+            d = min(COLUMNS, dims)
+            partial = squared(q[:, :d], e[:, :d])
+            i, j = np.nonzero(partial <= (tau * bound(d, dims) if d < dims else tau * (1 + 1e-6))[:, None])
+            part = partial[i, j]
+            while d < dims:
+                more = min(COLUMNS, dims - d)
+                diff = q[i, d : d + more] - e[j, d : d + more]
+                part = part + (diff * diff).sum(1)
+                d += more
+                keep = part <= tau[i] * (bound(d, dims) if d < dims else 1 + 1e-6)
+                i, j, part = i[keep], j[keep], part[keep]
+            if len(i):
+                out.append((i + first, j + at, part))
+                tighten(best[own], i, part)
+        at += width
+        width = min(1024, 2 * width)
+    if not out:
+        return np.zeros(0, dtype="int64"), np.zeros(0, dtype="int64"), np.zeros(0)
+    i, j, part = (np.concatenate(x) for x in zip(*out, strict=True))
+    keep = part <= np.minimum(best[i, -1], bounds[i]) * (1 + 1e-6)
+    return i[keep], j[keep], part[keep]
+
+
+def tighten(best: np.ndarray, i: np.ndarray, part: np.ndarray) -> None:
+    """Merges new distances of queries i into the sorted rows of best."""
+    order = np.lexsort((part, i))
+    i, part = i[order], part[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    few = place < best.shape[1]
+    new = np.full(best.shape, np.inf)
+    new[i[few], place[few]] = part[few]
+    best[:] = np.sort(np.concatenate([best, new], axis=1), axis=1)[:, : best.shape[1]]
 
 
 def bound(d: int, dims: int) -> float:
@@ -105,6 +137,36 @@ def bound(d: int, dims: int) -> float:
     return d / dims * (1 + MARGIN / math.sqrt(d)) ** 2
 
 
+def expected(far: np.ndarray, size: np.ndarray, spread: np.ndarray, tau: np.ndarray, dims: int) -> np.ndarray:
+    """How many entries of each list should lie within each query's tau. far: squared distances from queries
+    to centroids; spread: mean squared distance of a list's entries from its centroid. The cosine of the angle
+    between the two is taken for normal with variance 1 / dims."""
+    z = (far + spread - tau[:, None] ** 2) / np.maximum(2 * np.sqrt(far * spread), 1e-12) * math.sqrt(dims)
+    z = np.clip(z, -30, 30)
+    return size * 0.5 * (1 - np.tanh(math.sqrt(2 / math.pi) * (z + 0.044715 * z**3)))
+
+
+def near_lists(far: np.ndarray, size: np.ndarray, held: np.ndarray, first: int, want: int) -> np.ndarray:
+    """Which lists a query scans first: its nearest ones that have entries, `first` at least, until they hold
+    `want` ids."""
+    order = np.where(size > 0, far, np.inf).argsort(1, kind="stable")
+    before = np.cumsum(held[order], axis=1) - held[order]
+    out = np.zeros(far.shape, dtype=bool)
+    np.put_along_axis(out, order, ((np.arange(far.shape[1]) < first) | (before < want)) & (size[order] > 0), axis=1)
+    return out
+
+
+def late_lists(far, size, spread, tau, dims: int, miss: float) -> np.ndarray:
+    """Which lists, densest in expected hits first, should hold all but `miss` of the entries within tau; all
+    lists where there is no tau."""
+    hits = expected(far, size, spread, np.where(np.isinf(tau), 0, tau), dims)
+    order = (-hits / np.maximum(size, 1)).argsort(1, kind="stable")
+    run = np.cumsum(np.take_along_axis(hits, order, axis=1), axis=1)
+    out = np.zeros(far.shape, dtype=bool)
+    np.put_along_axis(out, order, run - np.take_along_axis(hits, order, axis=1) < (1 - miss) * run[:, -1:], axis=1)
+    return (out | np.isinf(tau)[:, None]) & (size > 0)
+
+
 def _entries(rows: DataFrame, k: int) -> DataFrame:
     """Distinct vectors with their k + 1 smallest ids: first per batch, then per salt, then in all."""
 
@@ -125,10 +187,9 @@ def _entries(rows: DataFrame, k: int) -> DataFrame:
     return part
 
 
-def search(vectors: DataFrame, is_query, *, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", most_lists: int = 1024, probe: float = 0.6, block: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, is_query, *, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", most_lists: int = 4096, first: int = 4, miss: float = 0.08, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that is_query (a condition on `id`)
-    picks. probe: the share of the lists that a query probes, at least 16. The default gives a recall above
-    0.95 on vectors without clusters, where neighbours lie in many lists; clustered ones need far less."""
+    picks. first: lists scanned for the bound; miss: the share of entries within it that may stay unseen."""
     spark = vectors.sparkSession
     ship(spark)
     out = "query_id long, rank int, vec_id long, score double"
@@ -136,53 +197,65 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, id_col: str = "vec_id",
     if not dims:
         return spark.createDataFrame([], out)
     n = rows.count()
-    centre = centroids_of(rows, n, max(1, min(most_lists, round(math.sqrt(n)))))
-    shared = spark.sparkContext.broadcast((centre, rotation(dims)))  # most_lists x dims numbers
+    centre = centroids_of(rows, n, max(1, min(most_lists, NUMBERS // dims, round(math.sqrt(n)))))
+    lists = len(centre)
+    shared = spark.sparkContext.broadcast((centre, rotation(dims)))  # at most NUMBERS + dims^2 numbers
 
     def assign(batches):
         for b in batches:
             x = np.stack(b.column("v").to_numpy(zero_copy_only=False)) if len(b) else np.zeros((0, dims))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest(x, shared.value[0]) if len(b) else [], pa.int32())], names=[*b.schema.names, "list"])
-
-    entries = _entries(rows, k).mapInArrow(assign, "v array<double>, ids array<long>, list int")
-    entries = materialize(entries, "ann-entries")
-    sizes = np.zeros(len(centre), dtype="int64")
-    held = np.zeros(len(centre), dtype="int64")
-    for r in entries.groupBy("list").agg(F.count(F.lit(1)), F.sum(F.size("ids"))).collect():
-        sizes[r[0]], held[r[0]] = r[1], r[2]
-    blocks = np.maximum(1, -(-sizes // block))
-    probes = min(len(centre), max(16, math.ceil(probe * len(centre))))
-
-    def route(batches):
+            own = nearest(x, shared.value[0]) if len(b) else np.zeros(0, dtype="int64")
+            gap = ((x - shared.value[0][own]) ** 2).sum(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int32()), pa.array(gap)], names=[*b.schema.names, "list", "gap"])
+
+    entries = materialize(_entries(rows, k).mapInArrow(assign, "v array<double>, ids array<long>, list int, gap double"), "ann-entries")
+    size, held, spread = np.zeros(lists, dtype="int64"), np.zeros(lists, dtype="int64"), np.zeros(lists)
+    for r in entries.groupBy("list").agg(F.count(F.lit(1)), F.sum(F.size("ids")), F.avg("gap")).collect():  # one row for each list
+        size[r[0]], held[r[0]], spread[r[0]] = r[1], r[2], r[3]
+    # Lists in a row make cells of about `block` entries; a larger list is a cell of several blocks.
+    cell = (np.cumsum(size) - size) // block
+    cell = np.cumsum(np.diff(cell, prepend=0) > 0).astype("int32")
+    blocks = np.maximum(1, np.bincount(cell, size) // block).astype("int32")
+    shape = spark.sparkContext.broadcast((size, held, spread, cell))
+
+    def route(batches, near: bool):
+        size, held, spread, cell = shape.value
         for b in batches:
             if not len(b):
                 continue
-            x = np.stack(b.column("v").to_numpy(zero_copy_only=False))
-            order = squared(x, shared.value[0]).argsort(1, kind="stable")
-            found = np.cumsum(held[order], axis=1)
-            need = np.maximum(probes, 1 + (found < k + 1).sum(1))  # on until there are k besides the query
-            take = (np.arange(order.shape[1])[None] < need[:, None]) & (sizes[order] > 0)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array([o[t] for o, t in zip(order, take, strict=True)], pa.list_(pa.int32()))], names=["id", "v", "lists"])
-
-    asked = rows.where(is_query).dropDuplicates(["id"])
-    asked = asked.mapInArrow(route, "id long, v array<double>, lists array<int>").select("id", "v", F.explode("lists").alias("list"))
-    asked = materialize(asked, "ann-queries")
-    wanted = np.zeros(len(centre), dtype="int64")
-    for r in asked.groupBy("list").count().collect():
-        wanted[r[0]] = r[1]
-    chunks = np.maximum(1, -(-wanted // block))
-    parts = spark.createDataFrame([(i, int(b), int(c)) for i, (b, c) in enumerate(zip(blocks, chunks, strict=True))], "list int, blocks int, chunks int")
-    parts = F.broadcast(parts)  # one row for each list
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(parts, "list").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("block", each("blocks")).select("list", "block", "chunk", "id", "v")
-    right = entries.join(parts, "list").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("chunk", each("chunks")).select("list", "block", "chunk", "ids", "v")
+            x, tau = np.stack(b.column("v").to_numpy(zero_copy_only=False)), b.column("tau").to_numpy(zero_copy_only=False)
+            ids, who = b.column("id").to_numpy(), np.arange(len(x))
+            for part in (who[a : a + 256] for a in range(0, len(who), 256)):
+                far = squared(x[part], shared.value[0])
+                pick = near_lists(far, size, held, first, 4 * k)
+                if not near:
+                    pick = late_lists(far, size, spread, tau[part], dims, miss) & ~pick
+                q, of = np.nonzero(pick)
+                edge = np.flatnonzero(np.append(True, (np.diff(q) != 0) | (np.diff(cell[of]) != 0))) if len(q) else np.zeros(0, dtype="int64")
+                asked = pa.ListArray.from_arrays(pa.array(np.append(edge, len(q)), pa.int32()), pa.array(of, pa.int32()))
+                own = part[q[edge]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), b.column("v").take(pa.array(own)), pa.array(tau[own]), pa.array(cell[of[edge]]), asked], names=["id", "v", "tau", "cell", "lists"])
 
     def meet(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         if not len(ask) or not len(have):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         q, e = np.stack(ask["v"].to_numpy()), np.stack(have["v"].to_numpy())
-        turn = shared.value[1]
-        i, j = scan(q @ turn, e @ turn, k + 1)  # the query itself may be among them
+        rq, re = q @ shared.value[1], e @ shared.value[1]
+        best, bounds = np.full((len(q), k + 1), np.inf), ask["tau"].to_numpy() ** 2  # the query itself may be among them
+        asker = np.repeat(np.arange(len(q)), [len(x) for x in ask["lists"]])
+        wanted, of = np.concatenate(ask["lists"].to_numpy()), have["list"].to_numpy()
+        found = []
+        for one in np.intersect1d(wanted, of):
+            who, what = asker[wanted == one], np.flatnonzero(of == one)
+            mine = best[who]
+            i, j, part = scan(rq[who], re[what], mine, bounds[who])
+            best[who] = mine
+            found.append((who[i], what[j], part))
+        if not found:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        i, j, part = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = part <= np.minimum(best[i, -1], bounds[i]) * (1 + 1e-6)
+        i, j = i[keep], j[keep]
         diff = q[i] - e[j]
         score = np.sqrt((diff * diff).sum(1))
         ids = have["ids"].to_numpy()
@@ -191,7 +264,24 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, id_col: str = "vec_id",
         found = found[found["query_id"] != found["vec_id"]].sort_values(["query_id", "score", "vec_id"])
         return found.groupby("query_id").head(k)
 
-    keys = ["list", "block", "chunk"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
+    def scanned(asked: DataFrame, near: bool) -> DataFrame:
+        """What the queries find in their near or late lists."""
+        columns = "id long, v array<double>, tau double, cell int, lists array<int>"
+        sent = materialize(asked.mapInArrow(lambda batches: route(batches, near), columns), "ann-queries")
+        wanted = {r[0]: r[1] for r in sent.groupBy("cell").count().collect()}  # one row for each cell
+        parts = [(i, int(b), max(1, -(-wanted.get(i, 0) // block))) for i, b in enumerate(blocks)]
+        parts = F.broadcast(spark.createDataFrame(parts, "cell int, blocks int, chunks int"))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        cells = F.broadcast(spark.createDataFrame([(i, int(c)) for i, c in enumerate(cell)], "list int, cell int"))
+        left = sent.join(parts, "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("block", each("blocks")).select("cell", "block", "chunk", "id", "v", "tau", "lists")
+        right = entries.join(cells, "list").join(parts, "cell").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("chunk", each("chunks")).select("cell", "block", "chunk", "list", "ids", "v")
+        keys = ["cell", "block", "chunk"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
+
+    asked = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
+    found = materialize(scanned(asked.withColumn("tau", F.lit(float("inf"))), True), "ann-near")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    kth = found.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("tau"))
+    asked = asked.join(kth, "id", "left").withColumn("tau", F.coalesce("tau", F.lit(float("inf")))).select("id", "v", "tau")
+    found = found.unionByName(scanned(asked, False))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -183,6 +183,50 @@ def test_neighbours(spark):
     assert neighbours.search(df.where("vec_id >= 900"), F.col("id") >= 0).count() == 0
 
 
+def recall(spark, x, per, **params):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = defaultdict(list)
+    for r in neighbours.search(df, F.col("id") % per == 0, **params).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    met = 0
+    for q in range(0, len(x), per):
+        d = ((x - x[q]) ** 2).sum(1)
+        met += len(set(got[q]) & {int(i) for i in np.lexsort((np.arange(len(x)), d)) if i != q and d[i] <= np.sort(d)[10]})
+    return met / (10 * len(range(0, len(x), per)))
+
+
+def test_recall_of_the_registered_search_without_clusters(spark):
+    x = np.random.default_rng(9).standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert recall(spark, x, 20) >= 0.94
+    # More cells, blocks of a list and chunks of queries.
+    assert recall(spark, x, 20, block=16, most_lists=30) >= 0.94
+
+
+def test_clustered_vectors_need_few_lists():
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal((40, 32)) * 6)[rng.integers(0, 40, 4000)] + rng.standard_normal((4000, 32))
+    centre = neighbours.k_means(x, 63)
+    own = neighbours.nearest(x, centre)
+    size, spread = np.bincount(own, minlength=63), np.bincount(own, ((x - centre[own]) ** 2).sum(1), 63)
+    far, d = neighbours.squared(x[:200], centre), neighbours.squared(x[:200], x)
+    pick = neighbours.late_lists(far, size, spread / np.maximum(size, 1), np.sqrt(np.sort(d, axis=1)[:, 10]), 32, 0.08)
+    near = d.argsort(1)[:, 1:11]
+    assert np.mean([pick[q, own[near[q]]].mean() for q in range(200)]) > 0.95 and (pick * size).sum() < 0.15 * 200 * 4000
+
+
+def test_the_bound_tightens_while_entries_are_scanned():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 48)) @ neighbours.rotation(48)
+    best = np.full((5, 11), np.inf)
+    i, j, part = neighbours.scan(x[:5], x, best, np.full(5, np.inf))
+    d = neighbours.squared(x[:5], x)
+    assert np.allclose(best, np.sort(d, axis=1)[:, :11], atol=1e-9) and len(i) < 5 * 14
+    tight = np.sort(d, axis=1)[:, 3]
+    i, j, part = neighbours.scan(x[:5], x, np.full((5, 11), np.inf), tight)
+    assert np.bincount(i).tolist() == [4] * 5
+
+
 def test_token_files(spark, docs, none):
     from tokenizers import Tokenizer
 
