@@ -6,29 +6,36 @@ binary-searched in it as a window of `window` words (an item with fewer words is
 whose first two words no window starts with cannot match and are left out of the array. Matches at
 consecutive places of document and item join into longest verbatim matches.
 
-The benchmark is read in blocks of at most block_chars characters; blocks follow each other as narrow
-steps of one stage, so neither its size nor the documents' is bounded by a task's memory, and nothing
-is shuffled.
+The benchmark is split into blocks of about block_chars characters (an item is never split), built one
+after another and written to the shared folder. A shard is searched for one block after another by the same
+worker, which keeps HELD blocks in memory: neither the benchmark's size nor the documents' is bounded by a
+task's memory, and nothing is shuffled.
 
 Defined cases: null or wordless text has no words and no hits; null or wordless items match nothing;
-rows with an equal item_id count as one item; repeated documents are rows of their own.
+rows with an equal item_id count as one item, those without an item_id as one whose name is empty; repeated
+documents are rows of their own; of equally long matches the first in the document, then the item with the
+first name, is the longest.
 """
 
 from __future__ import annotations
 
+import pickle
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow_batches
+from .common import fresh_dir, in_arrow_batches
 
 #: Word bytes: 0-9, a-z and all beyond ASCII; A-Z become a-z, all else a space.
 _TABLE = bytes(c if chr(c).isdigit() and c < 128 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
-_STATE = "doc_id long, text string, n_words long, spans array<int>, items array<string>, best array<long>"
+#: Blocks that a worker keeps in memory.
+HELD = 4
+_FOUND = "n_words long, spans array<int>, items array<string>, longest long, longest_at long, longest_item string, longest_item_at long"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -41,14 +48,15 @@ class Block:
     def __init__(self, items: list[tuple], window: int):
         self.window = window
         self.vocab: dict[bytes, int] = {}
-        self.names = sorted({str(i) for i, _ in items})
+        items = [("" if i is None else str(i), t) for i, t in items]
+        self.names = sorted({i for i, _ in items})
         at_name = {n: k for k, n in enumerate(self.names)}
         found: dict[tuple, list] = {}
         for name, text in items:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words((text or "").encode())]
             n = min(window, len(ids))
             for q in range(len(ids) - n + 1) if n else ():
-                found.setdefault(tuple(ids[q : q + n]), []).append((at_name[str(name)], q))
+                found.setdefault(tuple(ids[q : q + n]), []).append((at_name[name], q))
         self.bits = max(1, len(self.vocab).bit_length())
         self.per = 62 // self.bits
         keys = sorted(found)
@@ -59,7 +67,7 @@ class Block:
         self.low = self.pack(grid)
         top = (1 << self.bits) - 1
         self.high = self.pack(np.where(np.arange(window)[None, :] < self.lengths[:, None], grid, top))
-        spots = [found[k] for k in keys]
+        spots = [sorted(set(found[k])) for k in keys]
         self.first = np.concatenate([[0], np.cumsum([len(x) for x in spots])]).astype("int64")
         self.where = np.array([x for y in spots for x in y], dtype="int64").reshape(-1, 2)
         self.single = np.unique(grid[self.lengths == 1, 0])
@@ -132,13 +140,14 @@ def _longest(block: Block, place, which, doc) -> dict[int, tuple]:
     start = np.flatnonzero(new)
     length = np.diff(np.append(start, len(p))) + block.lengths[w[start]] - 1
     out: dict[int, tuple] = {}
-    for k in np.lexsort((p[start], -length, d[start])):
+    for k in np.lexsort((q[start], item[start], p[start], -length, d[start])):
         out.setdefault(int(d[start[k]]), (int(length[k]), int(p[start[k]]), int(item[start[k]]), int(q[start[k]])))
     return out
 
 
 def scan(block: Block, texts: list) -> list[tuple]:
-    """(n_words, spans, items, best) of each text: spans is a flat list of merged [from, to) word places."""
+    """(n_words, spans, items, best) of each text: spans is a flat list of merged [from, to) word places, best
+    the longest match as (-length, place, item, place in item), or None."""
     get = block.vocab.get
     parts = []
     for t in texts:
@@ -148,7 +157,7 @@ def scan(block: Block, texts: list) -> list[tuple]:
     gap = np.zeros(1, dtype="int32")
     ids = np.concatenate([x for p in parts for x in (p, gap)]) if parts else gap
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-    out = [(int(n), [], [], []) for n in sizes]
+    out = [[int(n), [], [], None] for n in sizes]
     place, which = search(block, ids)
     if not len(place):
         return out
@@ -166,7 +175,7 @@ def scan(block: Block, texts: list) -> list[tuple]:
         k, w = divmod(int(x), len(block.lengths))
         out[k][2].extend(block.names[i] for i in block.where[block.first[w] : block.first[w + 1], 0])
     for k, (length, p, item, q) in _longest(block, place, which, doc).items():
-        out[k][3].extend((length, p - int(starts[k]), item, q))
+        out[k][3] = (-length, p - int(starts[k]), block.names[item], q)
     return out
 
 
@@ -180,50 +189,68 @@ def merged(spans: list[int], more: list[int]) -> list[int]:
     return out
 
 
-def _step(df: DataFrame, shared) -> DataFrame:
-    """One block over documents in state form; earlier blocks' findings are kept."""
-
-    def run(batches):
-        block = shared.value
-        for b in batches:
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            rows = scan(block, texts)
-            old = [b.column(c).to_pylist() for c in ("spans", "items", "best")]
-            spans = [merged(o or [], r[1]) for o, r in zip(old[0], rows, strict=True)]
-            items = [sorted({*(o or []), *r[2]}) for o, r in zip(old[1], rows, strict=True)]
-            best = [max(o or [], r[3][:2], key=lambda x: x[:1]) for o, r in zip(old[2], rows, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text"), pa.array([r[0] for r in rows], pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(best, pa.list_(pa.int64()))],
-                names=["doc_id", "text", "n_words", "spans", "items", "best"],
-            )
-
-    return df.mapInArrow(run, _STATE)
-
-
-def blocks_of(benchmark: DataFrame, window: int, block_chars: int):
-    """Broadcast blocks of about block_chars characters each, one after another."""
+def blocks_of(benchmark: DataFrame, window: int, block_chars: int) -> list[str]:
+    """Writes the blocks, of about block_chars characters each, one after another; where they lie."""
     spark = benchmark.sparkSession
-    in_arrow_batches(spark, 2000)
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-size // block_chars) or 1
     numbered = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("b"))
+    folder, out = fresh_dir(spark, "benchmark"), []
     for k in range(blocks):
         items = [(r[0], r[1]) for r in numbered.where(F.col("b") == k).select("item_id", "text").collect()]
-        yield spark.sparkContext.broadcast(Block(items, window))
+        files, path = fs.FileSystem.from_uri(f"{folder}/{k}")
+        files.create_dir(path.rpartition("/")[0], recursive=True)
+        with files.open_output_stream(path) as f:
+            f.write(pickle.dumps(Block(items, window)))
+        out.append(f"{folder}/{k}")
+    return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_chars: int = 8 << 20) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, text, n_words, spans (flat array of hit word ranges), items
-    (ids that occur, as strings), best (length and place of the longest verbatim match)."""
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("n_words", "long"), ("spans", "array<int>"), ("items", "array<string>"), ("best", "array<long>"))]
-    out = docs.select("doc_id", "text", *none)
-    for block in blocks_of(benchmark, window, block_chars):
-        out = _step(out, block)
+_held: dict[str, Block] = {}
+
+
+def _block(uri: str) -> Block:
+    if uri not in _held:
+        while len(_held) >= HELD:
+            del _held[next(iter(_held))]
+        files, path = fs.FileSystem.from_uri(uri)
+        with files.open_input_stream(path) as f:
+            _held[uri] = pickle.loads(f.read())
+    return _held[uri]
+
+
+def scan_all(uris: list[str], texts: list) -> list[list]:
+    """What scan() finds for all blocks together."""
+    out = scan(_block(uris[0]), texts)
+    for uri in uris[1:]:
+        for one, more in zip(out, scan(_block(uri), texts), strict=True):
+            one[1], one[2] = merged(one[1], more[1]), one[2] + more[2]
+            one[3] = min((x for x in (one[3], more[3]) if x), default=None)
     return out
 
 
+def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_chars: int = 8 << 20) -> DataFrame:
+    """Per row of docs(doc_id, text): doc_id, n_words, spans (flat array of hit word ranges), items (names of
+    those that occur, sorted), and the longest verbatim match: its words, place, item and place in the item.
+    Further columns of docs are ignored."""
+    in_arrow_batches(docs.sparkSession, 2000)
+    uris = blocks_of(benchmark, window, block_chars)
+    kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.string(), pa.int64())
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            rows = scan_all(uris, b.column("text").cast(pa.binary()).to_pylist())
+            best = [r[3] or (0, None, None, None) for r in rows]
+            cols = [[r[0] for r in rows], [r[1] for r in rows], [sorted(set(r[2])) for r in rows], [-x[0] for x in best], *[[x[k] for x in best] for k in (1, 2, 3)]]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["doc_id", *names])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {_FOUND}")
+
+
 def report(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, longest_at."""
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, longest_at,
+    longest_item, longest_item_at."""
     found = find(docs, benchmark, **params)
     signed = F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
     hit = F.aggregate(signed, F.lit(0).cast("long"), lambda a, x: a + x)
@@ -234,20 +261,18 @@ def report(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
-        F.coalesce(F.get("best", F.lit(0)), F.lit(0)).alias("longest"),
-        F.get("best", F.lit(1)).alias("longest_at"),
+        *[x.split()[0] for x in _FOUND.split(", ")[3:]],
     )
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_chars: int = 8 << 20) -> DataFrame:
     """The rows of docs without any hit; all columns stay."""
-    out = docs
-    for block in blocks_of(benchmark, window, block_chars):
+    in_arrow_batches(docs.sparkSession, 2000)
+    uris = blocks_of(benchmark, window, block_chars)
 
-        def run(batches, block=block):
-            for b in batches:
-                rows = scan(block.value, b.column("text").cast(pa.binary()).to_pylist())
-                yield b.filter(pa.array([not r[1] for r in rows], pa.bool_()))
+    def run(batches):
+        for b in batches:
+            rows = scan_all(uris, b.column("text").cast(pa.binary()).to_pylist())
+            yield b.filter(pa.array([not r[1] for r in rows], pa.bool_()))
 
-        out = out.mapInArrow(run, out.schema)
-    return out
+    return docs.mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ def op4_simple8b_token_files(spark, sf_dir):
 
 def op5_suffix_array_decontamination(spark, sf_dir):
     found = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.fillna({"longest_at": -1, "longest_item": "", "longest_item_at": -1})
 
 
 def op6_segmentation_marginal_language_id(spark, sf_dir):
@@ -91,10 +91,22 @@ WITH low AS (
 ), windows AS (
   SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS s
   FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM lengths)
+), placed AS (
+  SELECT DISTINCT item_id, n, q, array_to_string(w[q : q + n - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS q FROM lengths)
 ), sizes AS (SELECT DISTINCT n FROM lengths), grams AS (
   SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM low, sizes WHERE len(w) >= n)
-), met AS (SELECT doc_id, i, g.n, item_id FROM grams g JOIN windows USING (n, s)), hit AS (
+), met AS (SELECT doc_id, i, g.n, item_id FROM grams g JOIN windows USING (n, s)), runs AS (
+  -- Windows met at consecutive places of document and item are one match.
+  SELECT doc_id, item_id, i - q AS shift, n, i, q, i - row_number() OVER (PARTITION BY doc_id, item_id, i - q, n ORDER BY i) AS run
+  FROM (SELECT DISTINCT g.doc_id, g.n, g.i, p.item_id, p.q FROM grams g JOIN placed p USING (n, s))
+), matches AS (
+  SELECT doc_id, item_id, min(i) - 1 AS doc_at, min(q) - 1 AS item_at, count(*) + any_value(n) - 1 AS length FROM runs GROUP BY doc_id, item_id, shift, n, run
+), longest AS (
+  SELECT doc_id, length AS longest, doc_at AS longest_at, CAST(item_id AS VARCHAR) AS longest_item, item_at AS longest_item_at FROM matches
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, doc_at, CAST(item_id AS VARCHAR), item_at) = 1
+), hit AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY 1
 ), named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s
@@ -105,8 +117,9 @@ WITH low AS (
 
 _OP5 += """
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(longest, 0) AS longest, coalesce(longest_at, -1) AS longest_at, coalesce(longest_item, '') AS longest_item, coalesce(longest_item_at, -1) AS longest_item_at
+FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 

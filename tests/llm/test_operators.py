@@ -293,24 +293,31 @@ WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 def test_decontamination(spark, docs, none, block_chars):
     texts = {r[0]: r[1] for r in ROWS}
     long = " ".join(texts[1].split()[10:30]).upper().replace(" ", ", ")
-    items = [(1, long), (2, "one two"), (3, None), (4, "!!"), (5, "w1 w2 nowhere"), (10, long), (6, "x"), (2, "One, two")]
+    items = [(1, long), (2, "one two"), (3, None), (4, "!!"), (5, "w1 w2 nowhere"), (10, long), (6, "x"), (2, "One, two"), (10, long), (None, "ü ﬁ"), (None, "123")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("b", F.lit(1))
-    got = Counter(tuple(r) for r in decontamination.report(docs, bench, block_chars=block_chars).drop("longest", "longest_at").collect())
-    windows = defaultdict(set)
+    got = Counter(tuple(r) for r in decontamination.report(docs, bench, block_chars=block_chars).collect())
+    windows, spots = defaultdict(set), defaultdict(set)
     for i, t in items:
         w = WORD.findall(low(t))
         n = min(10, len(w))
         for q in range(len(w) - n + 1) if n else ():
-            windows[tuple(w[q : q + n])].add(str(i))
+            windows[tuple(w[q : q + n])].add("" if i is None else str(i))
+            spots[tuple(w[q : q + n])].add(("" if i is None else str(i), q, tuple(w)))
     want = Counter()
     for i, t, *_ in ROWS:
-        w, hit, ids = WORD.findall(low(t)), set(), set()
+        w, hit, ids, best = WORD.findall(low(t)), set(), set(), (0, None, None, None)
         for p in range(len(w)):
             for n in range(1, 11):
                 if tuple(w[p : p + n]) in windows and p + n <= len(w):
                     hit |= set(range(p, p + n))
                     ids |= windows[tuple(w[p : p + n])]
-        want[(i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit))] += 1
+                    for name, q, item in spots[tuple(w[p : p + n])]:
+                        size = n
+                        while p + size < len(w) and q + size < len(item) and w[p + size] == item[q + size]:
+                            size += 1
+                        found = (-size, p, name, q)
+                        best = min(best, found, key=lambda x: (x[0], *(("",) if x[1] is None else x[1:])))
+        want[(i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit), -best[0], *best[1:])] += 1
     assert got == want
     clean = decontamination.clean_documents(docs, bench, block_chars=block_chars)
     assert clean.columns == docs.columns and clean.count() == sum(n for k, n in want.items() if not k[5])
