@@ -1,12 +1,15 @@
 """Comparison of a source and a target table: rows, columns and schema, in the form that ingest reads.
 
-One full outer join on the keys carries every measure. Copies of a key are numbered on either side, so
-that surplus copies show up as rows that the other side lacks and nothing fans out.
+One full outer join on the keys, null-safe, carries every measure. Where a key has several rows, equal rows
+of either side are matched first and the rest are numbered, so that surplus copies show up as rows that the
+other side lacks, and nothing fans out. What differs is kept once for counts and details alike.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +25,8 @@ class Pair:
     column_map: dict[str, str] = field(default_factory=dict)
     source_filter: str = ""
     target_filter: str = ""
-    unique_keys: bool = False
+    #: Whether no key has two rows on a side; None: looked up, on the key columns alone.
+    unique_keys: bool | None = None
 
 
 def differs(s: Column, t: Column, same_type: bool) -> Column:
@@ -30,26 +34,54 @@ def differs(s: Column, t: Column, same_type: bool) -> Column:
     return ~s.eqNullSafe(t) if same_type else ~s.cast("string").eqNullSafe(t.cast("string"))
 
 
+def _unique(df: DataFrame, keys: list[str]) -> bool:
+    return df.groupBy(*keys).count().where("count > 1").limit(1).isEmpty()
+
+
+def _meet(s: DataFrame, t: DataFrame, on: list[str]) -> DataFrame:
+    """Full outer join, null-safe, of sides with `_row`, renamed to `_s` and `_t`; the columns `on` come from
+    either side."""
+    s = s.withColumnRenamed("_row", "_s").withColumnsRenamed({c: f"_s_{c}" for c in on})
+    t = t.withColumnRenamed("_row", "_t").withColumnsRenamed({c: f"_t_{c}" for c in on})
+    both = s.join(t, reduce(and_, [F.col(f"_s_{c}").eqNullSafe(F.col(f"_t_{c}")) for c in on], F.lit(True)), "full_outer")
+    return both.select(*[F.coalesce(f"_s_{c}", f"_t_{c}").alias(c) for c in on], *[c for c in both.columns if not c.startswith(("_s_", "_t_"))])
+
+
 def joined(source: DataFrame, target: DataFrame, pair: Pair) -> tuple[DataFrame, list[str]]:
-    """Full outer join with `_s`, `_t` (structs of each side's row, null if it has none); common columns."""
+    """Full outer join with `_s`, `_t` (structs of each side's row, null if it has none); common columns.
+
+    With unique keys that is one join. Otherwise a side's equal rows (by two hashes of the common columns) are
+    counted first, which also pre-adds a key's many copies; as many as both sides have are matched, and the
+    rest are numbered by key and joined on key and number."""
     if pair.source_filter:
         source = source.where(pair.source_filter)
     if pair.target_filter:
         target = target.where(pair.target_filter)
-    for old, new in pair.column_map.items():
-        source = source.withColumnRenamed(old, new)
+    source = source.withColumnsRenamed(pair.column_map)
     common = [c for c in source.columns if c in target.columns and c not in pair.keys]
-    sides, on = [], list(pair.keys)
+    keys, sides = list(pair.keys), []
+    unique = pair.unique_keys
+    if unique is None:
+        unique = bool(keys) and _unique(source, keys) and _unique(target, keys)
+    types = [dict(source.dtypes), dict(target.dtypes)]
+    alike = lambda c: F.col(c) if types[0][c] == types[1][c] else F.col(c).cast("string")
     for df in (source, target):
-        df = df.select(*pair.keys, F.struct(F.lit(True).alias("_here"), *[F.col(c) for c in df.columns]).alias("_row"))
-        if not pair.unique_keys:
-            order = Window.partitionBy(*pair.keys).orderBy(F.xxhash64(*[F.col("_row")[c] for c in common]) if common else F.lit(0))
-            df = df.withColumn("_copy", F.row_number().over(order))
-        sides.append(df)
-    if not pair.unique_keys:
-        on.append("_copy")
-    s, t = sides[0].withColumnRenamed("_row", "_s"), sides[1].withColumnRenamed("_row", "_t")
-    return s.join(t, on, "full_outer"), common
+        row = F.struct(F.lit(True).alias("_here"), *[F.col(c) for c in df.columns]).alias("_row")
+        hashes = [F.xxhash64(F.lit(k), *[alike(c) for c in common]).alias(f"_h{k}") for k in (0, 1)]
+        sides.append(df.select(*keys, row) if unique else df.select(*keys, *hashes, row))
+    if unique:
+        return _meet(*sides, keys), common
+    by = [*keys, "_h0", "_h1"]
+    s, t = (x.groupBy(*by).agg(F.count(F.lit(1)).alias(f"_n{k}"), F.first("_row").alias("_row")) for k, x in enumerate(sides))
+    met = _meet(s, t, by).withColumns({n: F.coalesce(n, F.lit(0)) for n in ("_n0", "_n1")}).withColumn("_both", F.least("_n0", "_n1"))
+    times = lambda n: F.explode(F.sequence(F.lit(1), n))
+    equal = met.where("_both > 0").select(*keys, F.explode(F.sequence(F.lit(-1), (-F.col("_both")).cast("int"))).alias("_copy"), "_s", "_t")
+    rest = []
+    for row, n in (("_s", "_n0"), ("_t", "_n1")):
+        left = met.where(F.col(n) > F.col("_both")).select(*by, times(F.col(n) - F.col("_both")), F.col(row).alias("_row"))
+        order = Window.partitionBy(*keys).orderBy("_h0", "_h1")
+        rest.append(left.select(*keys, F.row_number().over(order).alias("_copy"), "_row"))
+    return equal.unionByName(_meet(*rest, [*keys, "_copy"])), common
 
 
 def measures(both: DataFrame, source: DataFrame, target: DataFrame, common: list[str], keys: list[str]) -> tuple[DataFrame, dict[str, Column]]:
@@ -57,9 +89,7 @@ def measures(both: DataFrame, source: DataFrame, target: DataFrame, common: list
     types_s, types_t = dict(source.dtypes), dict(target.dtypes)
     here = F.col("_s").isNotNull() & F.col("_t").isNotNull()
     flags = {c: here & differs(F.col("_s")[c], F.col("_t")[c], types_s.get(c) == types_t[c]) for c in common}
-    some = F.lit(False)
-    for f in flags.values():
-        some = some | f
+    some = _any(flags)
     counts = both.agg(
         F.count_if(F.col("_s").isNotNull()).alias("source_rows"),
         F.count_if(F.col("_t").isNotNull()).alias("target_rows"),
@@ -71,6 +101,10 @@ def measures(both: DataFrame, source: DataFrame, target: DataFrame, common: list
     return counts, flags
 
 
+def _any(flags: dict[str, Column]) -> Column:
+    return reduce(or_, flags.values(), F.lit(False))
+
+
 def _text(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit(NULL_TEXT))
 
@@ -120,7 +154,12 @@ def compare(source: DataFrame, target: DataFrame, pair: Pair, *, recon_id: str,
     """(main, metrics, details) of one pair of tables."""
     spark = source.sparkSession
     both, common = joined(source, target, pair)
-    counts, flags = measures(both, source, target, common, pair.keys)
+    _, flags = measures(both, source.withColumnsRenamed(pair.column_map), target, common, pair.keys)
+    # Rows that are equal on both sides count for the sizes alone, which need no join.
+    both = both.where(F.col("_s").isNull() | F.col("_t").isNull() | _any(flags)).persist()
+    counts = measures(both, source.withColumnsRenamed(pair.column_map), target, common, pair.keys)[0].drop("source_rows", "target_rows")
+    for side, condition, name in ((source, pair.source_filter, "source_rows"), (target, pair.target_filter, "target_rows")):
+        counts = counts.crossJoin((side.where(condition) if condition else side).agg(F.count(F.lit(1)).alias(name)))  # single rows
     invalid = [r for r in schema_rows(source, target, pair) if r["is_valid"] == "false"]
     listed = F.array_join(F.filter(F.array(*[F.when(F.col(f"n_{c}") > 0, F.lit(c)) for c in common]) if common else F.array().cast("array<string>"), lambda x: x.isNotNull()), ",")
     metrics = counts.select(

@@ -1,14 +1,16 @@
 """Confirmation on the whole tables: one join for each pair of tables, whatever the number of findings.
 
-All measures of all columns are aggregates over the same joined rows, so a pair is scanned once."""
+All measures of all columns are aggregates over the same joined rows, so each side is scanned once. Rows
+meet as in the comparison: null-safe, equal copies of a key first, and nothing fans out."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.probes import wall_micros
-from ..schemas import COLUMN, MISSING_IN_SOURCE, MISSING_IN_TARGET
+from ..functions.probes import canonical_json, wall_micros
+from ..schemas import COLUMN, MISSING_IN_SOURCE, MISSING_IN_TARGET, SCHEMA
+from . import compare
 from .classify import evidence, top
 from .passes import raised
 
@@ -17,9 +19,17 @@ def _seconds(x: Column) -> Column:
     return F.floor(wall_micros(x.try_cast("timestamp_ntz")) / 1_000_000)
 
 
-def column_measures(c: str, category: str, s: Column, t: Column) -> dict[str, Column]:
+_NUMBER = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def differs(s: Column, t: Column, types: tuple[str, str]) -> Column:
+    """Null-safe inequality: of values where both are numbers or of one type, else of their texts."""
+    return compare.differs(s, t, types[0] == types[1] or all(x.startswith(_NUMBER) for x in types))
+
+
+def column_measures(c: str, category: str, s: Column, t: Column, types: tuple[str, str]) -> dict[str, Column]:
     """Aggregates over joined rows that confirm one column's category. Null-safe throughout."""
-    differ = ~s.eqNullSafe(t)
+    differ = differs(s, t, types)
     when = lambda x: F.when(differ, x)
     out = {"n": F.count_if(differ), "null_involved": F.count_if(differ & (s.isNull() | t.isNull()))}
     if category == "timezone":
@@ -29,24 +39,41 @@ def column_measures(c: str, category: str, s: Column, t: Column) -> dict[str, Co
         a, b = s.try_cast("double"), t.try_cast("double")
         gap = when(F.abs(a - b))
         out |= {"avg_abs_diff": F.avg(gap), "max_abs_diff": F.max(gap), "eq_at_2dp": F.count_if(differ & (F.round(a, 2) == b))}
+    if category == "semi_structured":
+        out |= {"same_content": F.count_if(differ & (canonical_json(s.cast("string")) == canonical_json(t.cast("string"))))}
+    if category == "env_config":
+        days = when(F.date_diff(t.try_cast("date"), s.try_cast("date")))
+        out |= {"distinct_shifts": F.count_distinct(days), "shift_days": F.max(days)}
     if category == "string_format":
         same = F.lower(F.trim(s.cast("string"))) == F.lower(F.trim(t.cast("string")))
         out |= {"cosmetic": F.count_if(differ & same)}
     return {f"{c}.{k}": v for k, v in out.items()}
 
 
+def sides(source: DataFrame, target: DataFrame, pair: compare.Pair) -> tuple[DataFrame, DataFrame]:
+    """Both tables as the pair compares them: filtered, and the source's columns under the target's names."""
+    if pair.source_filter:
+        source = source.where(pair.source_filter)
+    if pair.target_filter:
+        target = target.where(pair.target_filter)
+    return source.withColumnsRenamed(pair.column_map), target
+
+
 def confirm_columns(source: DataFrame, target: DataFrame, keys: list[str], categories: dict[str, str]) -> DataFrame:
     """column, category, measures (map), confirmed; one join and one scan for all columns."""
     wanted = list(categories)
-    s = source.select(*keys, F.struct(*wanted).alias("_s"))
-    t = target.select(*keys, F.struct(*wanted).alias("_t"))
+    both, _ = compare.joined(source.select(*keys, *wanted), target.select(*keys, *wanted), compare.Pair(keys=keys))
+    drift = [c for c, k in categories.items() if k == "upstream_drift"]
+    here = F.col("_s").isNotNull() & F.col("_t").isNotNull()
+    if not drift:
+        both = both.where(here)  # an inner join
+    types = dict(source.dtypes), dict(target.dtypes)
     aggregates: dict[str, Column] = {}
     for c, category in categories.items():
-        aggregates |= column_measures(c, category, F.col("_s")[c], F.col("_t")[c])
-    one = s.join(t, keys).agg(*[v.cast("double").alias(k.replace(".", "\x1f")) for k, v in aggregates.items()])
-    nulls = source.agg(F.count(F.lit(1)).alias("src_total"), *[F.count_if(F.col(c).isNull()).alias(f"nulls\x1f{c}") for c, k in categories.items() if k == "upstream_drift"]) if "upstream_drift" in categories.values() else None
-    if nulls is not None:
-        one = one.crossJoin(nulls)  # two single rows
+        value = [F.when(here, F.col(side)[c]) for side in ("_s", "_t")]  # rows of one side alone have no difference
+        aggregates |= column_measures(c, category, *value, (types[0][c], types[1][c]))
+    totals = [F.count("_s").alias("src_total"), *[F.count_if(F.col("_s").isNotNull() & F.col("_s")[c].isNull()).alias(f"nulls\x1f{c}") for c in drift]]
+    one = both.agg(*[v.cast("double").alias(k.replace(".", "\x1f")) for k, v in aggregates.items()], *totals)
     rows = []
     for c, category in categories.items():
         names = [k for k in aggregates if k.rpartition(".")[0] == c]
@@ -60,6 +87,8 @@ def confirm_columns(source: DataFrame, target: DataFrame, keys: list[str], categ
         "confirmed",
         F.when(F.col("category") == "timezone", m["distinct_offsets"] == 1)
         .when(F.col("category") == "string_format", (m["n"] > 0) & (m["cosmetic"] == m["n"]))
+        .when(F.col("category") == "semi_structured", (m["n"] > 0) & (m["same_content"] == m["n"]))
+        .when(F.col("category") == "env_config", (m["distinct_shifts"] == 1) & (m["shift_days"] != 0))
         .when(F.col("category") == "upstream_drift", F.lit(True))
         .when(F.col("category").isin("type_precision", "transpilation", "null_boolean"), m["n"] > 0)
         .otherwise(False),
@@ -73,36 +102,67 @@ def confirm_missing(source: DataFrame, target: DataFrame, keys: list[str]) -> Da
 
 
 def confirm_extra(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """Target rows whose whole key the source lacks, and surplus copies of keys that it has."""
-    extra = target.join(source.select(*keys).distinct(), keys, "left_anti").agg(F.count(F.lit(1)).alias("extra"))
-    copies = target.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(source.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")), keys)
-    surplus = copies.agg(F.coalesce(F.sum(F.greatest(F.col("n") - F.col("m"), F.lit(0))), F.lit(0)).alias("duplicates"))
-    return extra.crossJoin(surplus).withColumn("confirmed", (F.col("extra") > 0) | (F.col("duplicates") > 0))  # two single rows
-
-
-def drill(source: DataFrame, target: DataFrame, keys: list[str], findings: DataFrame, hypotheses: DataFrame) -> DataFrame:
-    """finding_id, label detail, data, confirmed, exact_n for the findings of one pair of tables.
-
-    The pair's findings are few; they are read to write the one query."""
-    rows = top(hypotheses).join(findings.select("finding_id", "recon_type", "column"), "finding_id").select("finding_id", "recon_type", "column", "category").collect()
-    spark = findings.sparkSession
-    shape = "finding_id string, detail string, data map<string,string>, confirmed boolean, exact_n long"
-    out = spark.createDataFrame([], shape)
-    both = set(source.columns) & set(target.columns) - set(keys)
-    columns = {r["column"]: (r["finding_id"], r["category"]) for r in rows if r["recon_type"] == COLUMN and r["column"] in both and r["category"] not in ("semi_structured", "env_config", "unknown")}
+    """Target rows whose whole key the source lacks, and surplus copies of keys that it has: one aggregate over
+    both sides' keys, in which null keys are keys."""
+    side = lambda df, s, t: df.select(*keys, F.lit(s).alias("_m"), F.lit(t).alias("_n"))
+    both = side(source, 1, 0).union(side(target, 0, 1)).groupBy(*keys).agg(F.sum("_m").alias("m"), F.sum("_n").alias("n"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    one = both.agg(total(F.when(F.col("m") == 0, F.col("n"))).alias("extra"), total(F.when(F.col("m") > 0, F.greatest(F.col("n") - F.col("m"), F.lit(0)))).alias("duplicates"))
+    return one.withColumn("confirmed", (F.col("extra") > 0) | (F.col("duplicates") > 0))
+
+
+#: One confirmation.
+DRILLED = "finding_id string, detail string, data map<string,string>, confirmed boolean, exact_n long, query string"
+
+
+def _name(*parts: str) -> str:
+    return ".".join(f"`{x.replace('`', '')}`" for p in parts for x in p.split("."))
+
+
+def rerun(pair: compare.Pair, source: str, target: str, kind: str, column: str | None = None) -> str:
+    """SQL that shows a finding's rows once more on the named tables."""
+    names = {new: old for old, new in pair.column_map.items()}
+    own = lambda c: _name(names.get(c, c))
+    s, t = (f"(SELECT * FROM {_name(n)}{f' WHERE {c}' if c else ''})" for n, c in ((source, pair.source_filter), (target, pair.target_filter)))
+    on = " AND ".join(f"s.{own(k)} <=> t.{_name(k)}" for k in pair.keys)
+    if kind == MISSING_IN_TARGET:
+        return f"SELECT s.* FROM {s} s LEFT ANTI JOIN {t} t ON {on}"
+    if kind == MISSING_IN_SOURCE:
+        return f"SELECT t.* FROM {t} t LEFT ANTI JOIN {s} s ON {on}"
+    if kind == SCHEMA:
+        return f"DESCRIBE {_name(target)}"
+    return f"SELECT {', '.join(f't.{_name(k)}' for k in pair.keys)}, s.{own(column)} AS source_value, t.{_name(column)} AS target_value FROM {s} s JOIN {t} t ON {on} WHERE NOT s.{own(column)} <=> t.{_name(column)}"
+
+
+def drill(source: DataFrame, target: DataFrame, pair: compare.Pair, heads: list, source_name: str, target_name: str) -> list[DataFrame]:
+    """The confirmations, as in DRILLED, of the findings of one pair of tables.
+
+    heads: finding_id, recon_type, column and category of the findings' top hypotheses."""
+    s, t = sides(source, target, pair)
+    keys, out = pair.keys, []
+    spark = source.sparkSession
+    query = lambda kind, column=None: rerun(pair, source_name, target_name, kind, column)
+    both = set(s.columns) & set(t.columns) - set(keys)
+    columns = {r["column"]: (r["finding_id"], r["category"]) for r in heads if r["recon_type"] == COLUMN and r["column"] in both and r["category"] != "unknown"}
     if columns and keys:
-        ids = spark.createDataFrame([(c, i) for c, (i, _) in columns.items()], "column string, finding_id string")
-        done = confirm_columns(source, target, keys, {c: k for c, (_, k) in columns.items()}).join(ids, "column")
+        ids = spark.createDataFrame([(c, i, query(COLUMN, c)) for c, (i, _) in columns.items()], "column string, finding_id string, query string")
+        done = confirm_columns(s, t, keys, {c: k for c, (_, k) in columns.items()}).join(F.broadcast(ids), "column")  # a row for each column
         text = F.concat_ws(", ", F.transform(F.map_entries("measures"), lambda e: F.concat_ws("=", e["key"], F.format_string("%.6g", e["value"]))))
-        out = out.unionByName(done.select("finding_id", F.concat(F.when(F.col("confirmed"), "Confirmed: ").otherwise("Not confirmed: "), text).alias("detail"), F.transform_values("measures", lambda k, v: v.cast("string")).alias("data"), "confirmed", F.col("measures")["n"].cast("long").alias("exact_n")))
+        out.append(done.select("finding_id", F.concat(F.when(F.col("confirmed"), "Confirmed: ").otherwise("Not confirmed: "), text).alias("detail"), F.transform_values("measures", lambda k, v: v.cast("string")).alias("data"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"), F.col("measures")["n"].cast("long").alias("exact_n"), "query"))
     for kind, check, flag in ((MISSING_IN_TARGET, confirm_missing, "watermark"), (MISSING_IN_SOURCE, confirm_extra, "confirmed")):
-        for r in rows:
+        for r in heads:
             if r["recon_type"] == kind and keys:
-                one = check(source, target, keys)
+                one = check(s, t, keys)
                 names = [c for c in one.columns if c != flag]
                 data = F.create_map(*[x for c in names for x in (F.lit(c), F.col(c).cast("string"))])
                 detail = F.concat(F.when(F.col(flag), "Confirmed: ").otherwise("Not confirmed: "), F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in names]))
-                out = out.unionByName(one.select(F.lit(r["finding_id"]).alias("finding_id"), detail.alias("detail"), data.alias("data"), F.coalesce(F.col(flag), F.lit(False)).alias("confirmed"), F.lit(None).cast("long").alias("exact_n")))
+                out.append(one.select(F.lit(r["finding_id"]).alias("finding_id"), detail.alias("detail"), data.alias("data"), F.coalesce(F.col(flag), F.lit(False)).alias("confirmed"), F.lit(None).cast("long").alias("exact_n"), F.lit(query(kind)).alias("query")))
+    for r in heads:
+        if r["recon_type"] == SCHEMA:
+            types = [dict(x.dtypes) for x in (s, t)]
+            differ = {c: f"{types[0].get(c, 'none')} -> {types[1].get(c, 'none')}" for c in sorted({*types[0], *types[1]}) if types[0].get(c) != types[1].get(c)}
+            said = ", ".join(f"{c}: {x}" for c, x in differ.items())
+            out.append(spark.createDataFrame([(r["finding_id"], f"Confirmed: {said}" if differ else "Not confirmed: the types agree", differ, bool(differ), None, query(SCHEMA))], DRILLED))
     return out
 
 
@@ -113,7 +173,7 @@ def finalise(findings: DataFrame, hypotheses: DataFrame, drilled: DataFrame) ->
     generated by the code. Time offsets that vary are put back to review."""
     exact = findings.join(drilled.select("finding_id", "exact_n"), "finding_id", "left")
     exact = exact.withColumn("mismatch_count", F.when(F.col("exact_n") > 0, F.col("exact_n")).otherwise(F.col("mismatch_count"))).drop("exact_n")
-    heads = top(hypotheses).select("finding_id", "seq").join(drilled.select("finding_id", "detail", "data", "confirmed"), "finding_id")
+    heads = top(hypotheses).select("finding_id", "seq").join(drilled.select("finding_id", "detail", "data", "confirmed", "query"), "finding_id")
     out = hypotheses.join(heads, ["finding_id", "seq"], "left")
     hit = F.coalesce(F.col("confirmed"), F.lit(False))
     generated = F.col("code_generated") if "code_generated" in hypotheses.columns else F.lit(False)
@@ -122,6 +182,6 @@ def finalise(findings: DataFrame, hypotheses: DataFrame, drilled: DataFrame) ->
     new = {
         "confidence": F.when(hit, raised(F.col("confidence"), 0.15, 0.98)).otherwise(F.col("confidence")),
         "verdict": F.when(varies, "needs_review").when(hit & (F.col("verdict") == "needs_review") & ~generated, promoted).otherwise(F.col("verdict")),
-        "evidence": F.when(F.col("detail").isNotNull(), F.concat(F.array(evidence("drilldown", F.col("detail"), data=F.col("data"))), F.col("evidence"))).otherwise(F.col("evidence")),
+        "evidence": F.when(F.col("detail").isNotNull(), F.concat(F.array(evidence("drilldown", F.col("detail"), F.col("query"), F.col("data"))), F.col("evidence"))).otherwise(F.col("evidence")),
     }
     return exact, out.select(*[new[c].alias(c) if c in new else F.col(c) for c in hypotheses.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..schemas import COLUMN, MISSING_IN_SOURCE, MISSING_IN_TARGET, SAMPLE_CAP, SCHEMA
 
 # Fixed value: names that look like a date or time column.
-DATE_NAME = r"(?i)(date|dt|_ts|timestamp|datetime|_at$|time)"
+DATE_NAME = r"(?i)(date|dt|_ts|timestamp|time|day|month|year)"
 
 
 def full_name(name: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """target after MERGE: rows with a key in changes are replaced, new keys are added. Idempotent."""
+    """target after MERGE: rows with a key in changes are replaced, new keys are added. Idempotent. Two changes
+    of one key are an error, as which of them holds isn't known."""
+    same = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
+    once = F.when(same, F.raise_error(F.lit("two changes have the same key")))
+    changes = changes.withColumn("_once", once).where("_once is null").drop("_once")
     kept = target.join(changes.select(*keys).distinct(), keys, "left_anti")
     return kept.select(*target.columns).unionByName(changes.select(*target.columns))
 
@@ -21,9 +25,11 @@ def with_ingest_time(rows: DataFrame, name: str = "_ingest_ts") -> DataFrame:
     return rows.withColumn(name, F.current_timestamp())
 
 
-def overwrite(rows: DataFrame, table: str, schema: str | None = None) -> None:
+def overwrite(rows: DataFrame, table: str, schema: str | None = None, location: str | None = None) -> None:
+    """Replaces a table by rows with their load time. location: where a schema that is made new keeps its tables."""
     spark = rows.sparkSession
     if schema:
-        spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{schema.replace('`', '``')}`")
+        place = f" LOCATION '{location}'" if location else ""
+        spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{schema.replace('`', '``')}`{place}")
         table = f"{schema}.{table}"
     with_ingest_time(rows).write.mode("overwrite").option("overwriteSchema", "true").saveAsTable(table)

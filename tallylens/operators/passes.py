@@ -24,11 +24,16 @@ def raised(confidence: Column, by: float, most: float) -> Column:
     return F.round(F.least(F.lit(most), F.greatest(confidence, F.lit(0.6)) + by), 2)
 
 
+def stem(path: Column) -> Column:
+    """A file's name without folders, ending and leading number, in lower case: the table that it makes."""
+    name = F.lower(F.element_at(F.split(path, r"[/\\\\]"), -1))
+    return F.regexp_replace(F.regexp_replace(name, r"[.][a-z0-9]+$", ""), r"^[0-9]+[_-]", "")
+
+
 def issue_match(tables: DataFrame, issues: DataFrame) -> DataFrame:
-    """Transpiler issues whose path holds a table's name. Both sides are small dimension tables."""
-    name = F.lower(F.element_at(F.split(F.col("target_table"), "[.]"), -1))
-    on = F.contains(F.lower(issues["path"]), name)
-    return tables.join(F.broadcast(issues), on)
+    """Transpiler issues of the files named after a table. Both sides are small dimension tables."""
+    name = short_name(F.col("target_table"))
+    return tables.join(F.broadcast(issues), stem(issues["path"]) == name)
 
 
 def code_pass(findings: DataFrame, hypotheses: DataFrame, transforms: DataFrame, types: DataFrame | None = None, filters: DataFrame | None = None, issues: DataFrame | None = None) -> DataFrame:

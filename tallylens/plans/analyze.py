@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import knowledge
-from ..operators import classify, drilldown, ingest, lineage, passes
+from ..operators import classify, compare, drilldown, ingest, lineage, passes
+from ..scratch import materialize
 from ..sources import artifacts
 
 
@@ -38,28 +42,55 @@ def analyze(
     table: Callable[[str], DataFrame] | None = None,
     mapping: dict[str, artifacts.TableMapping] | None = None,
     upstreams: DataFrame | None = None,
+    drills: int = 4,
 ) -> Analysis:
     """table: gives a compared table by its full name; without it nothing is confirmed on whole tables.
-    mapping: code artifacts. upstreams: as from lineage.upstreams."""
-    # Details are at most SAMPLE_CAP rows for each column of each pair.
-    findings, samples, summaries = ingest.ingest(main, metrics, details.persist(), recon_id)
-    findings, samples, summaries = (x.persist() for x in (findings, samples, summaries))
+    mapping: code artifacts; their keys, renamed columns and load filters hold for the confirmation too.
+    upstreams: as from lineage.upstreams. drills: pairs confirmed at a time."""
+    # Details are at most SAMPLE_CAP rows for each column of each pair. Each step's frames are written once.
+    findings, samples, summaries = ingest.ingest(main, metrics, materialize(details, "details"), recon_id)
+    if mapping:
+        summaries = known(spark, summaries, mapping)
+    findings, samples, summaries = (materialize(x, "analysis") for x in (findings, samples, summaries))
     pack = knowledge.load(dialect)
-    hypotheses = classify.classify(findings, samples, knowledge.remediation(spark, pack)).persist()
+    hypotheses = materialize(classify.classify(findings, samples, knowledge.remediation(spark, pack)), "analysis")
     hypotheses = classify.freshness_pass(findings, hypotheses)
     if mapping:
         hypotheses = passes.code_pass(findings, hypotheses, **artifacts.frames(spark, mapping))
-    hypotheses = hypotheses.persist()
+    if table is not None or upstreams is not None:
+        hypotheses = materialize(hypotheses, "analysis")
     if table is not None:
-        drilled = None
-        for r in summaries.select("recon_table_id", "source_table", "target_table", "join_keys").collect():
-            known = (mapping or {}).get(artifacts.short(r["target_table"]))
-            keys = (known.keys if known and known.keys else None) or r["join_keys"]
-            own = findings.where(findings["recon_table_id"] == r["recon_table_id"])
-            one = drilldown.drill(table(r["source_table"]), table(r["target_table"]), keys, own, hypotheses)
-            drilled = one if drilled is None else drilled.unionByName(one)
-        if drilled is not None:
-            findings, hypotheses = drilldown.finalise(findings, hypotheses, drilled.persist())
+        drilled = drill_all(spark, findings, hypotheses, summaries, table, mapping or {}, drills)
+        findings, hypotheses = drilldown.finalise(findings, hypotheses, drilled)
     if upstreams is not None:
         hypotheses = lineage.lineage_pass(findings, hypotheses, upstreams)
-    return Analysis(recon_id, findings, samples, hypotheses, summaries)
+    return Analysis(recon_id, *(materialize(x, "analysis") for x in (findings, samples, hypotheses)), summaries)
+
+
+def known(spark: SparkSession, summaries: DataFrame, mapping: dict[str, artifacts.TableMapping]) -> DataFrame:
+    """Summaries with the join keys and date column that the artifacts name in place of the guessed ones."""
+    rows = [(k, m.keys or None, m.date_column or None) for k, m in mapping.items()]
+    given = spark.createDataFrame(rows, "_t string, _keys array<string>, _date string")
+    met = summaries.join(F.broadcast(given), ingest.short_name(F.col("target_table")) == F.col("_t"), "left")  # a row for each mapped table
+    new = {"join_keys": F.coalesce("_keys", "join_keys"), "date_column": F.coalesce("_date", "date_column")}
+    return met.select(*[new.get(c, F.col(c)).alias(c) for c in summaries.columns])
+
+
+def drill_all(spark: SparkSession, findings: DataFrame, hypotheses: DataFrame, summaries: DataFrame, table: Callable[[str], DataFrame], mapping: dict, drills: int) -> DataFrame:
+    """The confirmations of all pairs. Findings and confirmations are a row each, so the driver holds them:
+    one job reads the findings, then each pair has its own small plan, some of them at a time."""
+    by = defaultdict(list)
+    heads = classify.top(hypotheses).join(findings.select("finding_id", "recon_table_id", "recon_type", "column"), "finding_id")
+    for r in heads.select("finding_id", "recon_table_id", "recon_type", "column", "category").collect():
+        by[r["recon_table_id"]].append(r)
+
+    def one(r) -> list:
+        m = mapping.get(artifacts.short(r["target_table"]))
+        pair = compare.Pair(keys=list(r["join_keys"] or []), column_map=dict(m.column_map) if m else {}, source_filter=m.compared[0] if m else "", target_filter=m.compared[1] if m else "")
+        todo = drilldown.drill(table(r["source_table"]), table(r["target_table"]), pair, by[r["recon_table_id"]], r["source_table"], r["target_table"])
+        return [x for df in todo for x in df.collect()]
+
+    pairs = [r for r in summaries.select("recon_table_id", "source_table", "target_table", "join_keys").collect() if r["recon_table_id"] in by]
+    with ThreadPoolExecutor(drills) as pool:
+        rows = [x for done in pool.map(one, pairs) for x in done]
+    return spark.createDataFrame(rows, drilldown.DRILLED)

@@ -9,6 +9,8 @@ from dataclasses import dataclass, field, fields
 
 from pyspark.sql import SparkSession
 
+from ..operators import merge
+
 
 @dataclass
 class Config:
@@ -46,6 +48,7 @@ def output_dir(spark: SparkSession, name: str) -> str:
 
 
 def layers(spark: SparkSession, steps: list[tuple[str, str]]) -> None:
-    """Runs (table, SQL) steps in order, each over the tables before it: bronze, silver, gold."""
+    """Runs (table, SQL) steps in order, each over the tables before it: bronze, silver, gold. A table can be
+    replaced while nothing reads it, so a step may not read its own."""
     for table, sql in steps:
-        spark.sql(sql).write.mode("overwrite").saveAsTable(table)
+        merge.overwrite(spark.sql(sql), table)

@@ -415,13 +415,14 @@ def q_scale_loss(spark, sf_dir):
     return spark.table("part").select("p_partkey", scale.alias("scale"), (scale > passes.scale_of(F.lit("CAST(x AS DECIMAL(18,2))"))).alias("loses"))
 
 
-@query("SELECT n_name AS target_table, '/out/' || lower(n_name) || '.sql' AS path FROM nation")
+@query("SELECT 'tgt.' || n_name AS target_table, '/out/' || CASE WHEN n_nationkey % 2 = 0 THEN '2' || CAST(n_nationkey AS VARCHAR) || '_' ELSE '' END || lower(n_name) || '.sql' AS path FROM nation")
 def q_issue_match(spark, sf_dir):
     views(spark, sf_dir)
     n = spark.table("nation")
-    issues = n.select(F.concat(F.lit("/out/"), F.lower("n_name"), F.lit(".sql")).alias("path"))
-    met = passes.issue_match(n.select(F.col("n_name").alias("target_table")), issues)
-    return met.where(F.col("path") == F.concat(F.lit("/out/"), F.lower("target_table"), F.lit(".sql")))
+    number = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("2"), F.col("n_nationkey").cast("string"), F.lit("_"))).otherwise("")
+    issues = n.select(F.concat(F.lit("/out/"), number, F.lower("n_name"), F.lit(".sql")).alias("path"))
+    issues = issues.union(n.select(F.concat(F.lit("/oman/x"), F.lower("n_name"), F.lit(".sql"))))  # tables of other names
+    return passes.issue_match(n.select(F.concat(F.lit("tgt."), F.col("n_name")).alias("target_table")), issues)
 
 
 @query("SELECT 'tgt.t' || (c_custkey % 3) AS t, string_agg(DISTINCT 'src.n' || c_nationkey, ',' ORDER BY 'src.n' || c_nationkey) AS upstream FROM customer WHERE c_custkey % 4 <> 0 GROUP BY 1")
@@ -515,11 +516,11 @@ def q_flag_encoding(spark, sf_dir):
     return found.select("c_custkey", "source_flag", "target_flag", F.col("x.category").alias("category"))
 
 
-@query("SELECT p_partkey, lower(p_brand) AS short, list_filter([p_name, 'load_dt', 'k'], lambda x: regexp_matches(x, '(?i)(date|dt|_ts|timestamp|datetime|_at$|time)'))[1] AS date_column FROM part")
+@query("SELECT p_partkey, lower(p_brand) AS short, CASE WHEN p_partkey % 4 = 0 THEN 'sale_month' WHEN p_partkey % 4 = 1 THEN 'Updated_TS' WHEN p_partkey % 4 = 2 THEN 'weekday' ELSE '-' END AS date_column FROM part")
 def q_names(spark, sf_dir):
     views(spark, sf_dir)
     full = F.concat(F.lit("cat.`s`.`"), F.col("p_brand"), F.lit("`"))
-    return spark.table("part").select("p_partkey", ingest.short_name(full).alias("short"), ingest.date_column(F.array("p_name", F.lit("load_dt"), F.lit("k"))).alias("date_column"))
+    return spark.table("part").select("p_partkey", ingest.short_name(full).alias("short"), F.coalesce(ingest.date_column(F.array(F.lit("qty"), F.get(F.array(*map(F.lit, ("sale_month", "Updated_TS", "weekday", "amount"))), F.col("p_partkey") % 4), F.lit("k"))), F.lit("-")).alias("date_column"))
 
 
 @query("SELECT o_orderkey, 'k' AS keys FROM orders WHERE o_orderkey % 3 = 0")
@@ -538,12 +539,12 @@ def q_semi_join(spark, sf_dir):
     return spark.table("orders").join(poor, "o_custkey", "left_semi").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"))
 
 
-@query("SELECT n_nationkey, 'T' || CAST(n_regionkey AS VARCHAR) AS kind FROM nation WHERE n_nationkey % 5 <> 0")
+@query("SELECT n_nationkey, 'T' || CAST(n_regionkey AS VARCHAR) AS kind, '/o/' || n_name || '.sql' AS path, 'can''t parse ''' || n_name || ''', line 3' AS message FROM nation WHERE n_nationkey % 5 <> 0")
 def q_error_log(spark, sf_dir):
     views(spark, sf_dir)
-    line = F.when(F.col("n_nationkey") % 5 == 0, "noise").otherwise(F.format_string("code=%d, kind=T%d, severity=warning, path='/o/%s.sql', message='m, n'", "n_nationkey", "n_regionkey", "n_name"))
+    line = F.when(F.col("n_nationkey") % 5 == 0, "noise").otherwise(F.format_string("code=%d, kind=T%d, severity=warning, path='/o/%s.sql', message='can't parse '%s', line 3'%s", "n_nationkey", "n_regionkey", "n_name", "n_name", F.when(F.col("n_nationkey") % 2 == 0, ")").otherwise("")))
     parsed = artifacts.parse_errors(spark.table("nation").select(line.alias("value")))
-    return parsed.select(F.col("code").cast("int").alias("n_nationkey"), "kind")
+    return parsed.select(F.col("code").cast("int").alias("n_nationkey"), "kind", "path", "message")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'genuine_data' WHEN c_custkey % 4 = 1 THEN 'benign' WHEN c_custkey % 4 = 2 THEN 'migration_induced' ELSE 'needs_review' END AS verdict FROM customer")
@@ -556,8 +557,12 @@ def q_verdict_rules(spark, sf_dir):
 
 
 def queries() -> dict:
+    from . import surface_queries  # noqa: F401  it adds its own
+
     return {f"q_probe_{n}": _probe_query(n) for n in PAIRS} | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import surface_queries  # noqa: F401
+
     return {f"q_probe_{n}": _probe_sql(n) for n in PAIRS} | SQL

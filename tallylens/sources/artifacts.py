@@ -8,10 +8,14 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.ingest import DATE_NAME
+from ..operators.passes import stem
 
 
 @dataclass
@@ -33,7 +37,10 @@ class TableMapping:
     date_column: str | None = None
     column_map: dict[str, str] = field(default_factory=dict)
     source_filter: str = ""
+    #: The filter under which the target is loaded, from code or config.
     target_filter: str = ""
+    #: The filters (source, target) under which the tables are compared, from the config alone.
+    compared: tuple[str, str] = ("", "")
     transforms: dict[str, Transform] = field(default_factory=dict)
     source_types: dict[str, str] = field(default_factory=dict)
     issues: list[dict] = field(default_factory=list)
@@ -78,7 +85,8 @@ def recon_config(spark: SparkSession, path: str) -> dict[str, TableMapping]:
         keys, filters = list(t.get("join_columns") or []), t.get("filters") or {}
         renamed = {c["source_name"]: c.get("target_name") for c in t.get("column_mapping") or [] if c.get("source_name")}
         when = next((k for k in keys if re.search(DATE_NAME, k)), None)
-        out[short(target)] = TableMapping(target, source, keys, when, renamed, filters.get("source") or "", filters.get("target") or "")
+        both = (filters.get("source") or "", filters.get("target") or "")
+        out[short(target)] = TableMapping(target, source, keys, when, renamed, *both, both)
     return out
 
 
@@ -159,6 +167,8 @@ def merged(into: dict[str, TableMapping], more: dict[str, TableMapping]) -> dict
         have = into.setdefault(k, TableMapping(target_table=m.target_table))
         have.transforms |= m.transforms
         have.source_types |= m.source_types
+        have.compared = have.compared if any(have.compared) else m.compared
+        have.column_map = m.column_map | have.column_map
         for f in ("source_table", "target_filter", "source_filter", "date_column"):
             setattr(have, f, getattr(have, f) or getattr(m, f))
         have.keys = have.keys or m.keys
@@ -212,13 +222,12 @@ def declared(spark: SparkSession, path: str) -> dict[str, dict[str, str]]:
 
 
 def parse_errors(lines: DataFrame) -> DataFrame:
-    """Translation issues: code, kind, severity, path, message of each line that has them all."""
-    from pyspark.sql import functions as F
-
+    """Translation issues: code, kind, severity, path, message of each line that has them all. A message runs
+    to the last quote of its line."""
     line = F.col("value")
-    parts = {k: F.regexp_extract(line, rf"\b{k}=([^,]+)", 1) for k in ("code", "kind", "severity")}
-    parts |= {k: F.regexp_extract(line, rf"\b{k}='((?:[^'\\]|\\.)*)'", 1) for k in ("path", "message")}
-    return lines.select(*[F.trim(v).alias(k) for k, v in parts.items()]).where("code != '' and severity != '' and message != ''")
+    forms = {"code": r"\bcode=([^,]*),", "kind": r"\bkind=(\w+)", "severity": r"\bseverity=(\w+)", "path": r"\bpath='([^']*)'", "message": r"\bmessage='(.*)'\)?\s*$"}
+    has_all = reduce(and_, [line.rlike(f) for f in forms.values()])
+    return lines.where(has_all).select(*[F.trim(F.regexp_extract(line, f, 1)).alias(k) for k, f in forms.items()])
 
 
 def errors(spark: SparkSession, path: str) -> DataFrame:
@@ -238,6 +247,11 @@ def manifest(spark: SparkSession, path: str) -> list[dict]:
         return (yaml.safe_load(text) or {}).get("tables", [])
 
 
+def only(found: dict):
+    """The one thing that a script named in a manifest defines, whatever its name."""
+    return next(iter(found.values())) if len(found) == 1 else None
+
+
 def apply_manifest(spark: SparkSession, mapping: dict[str, TableMapping], entries: list[dict]) -> dict[str, TableMapping]:
     """Lays a manifest's entries over a mapping: what it names for a table goes before what was found."""
     for e in entries:
@@ -249,13 +263,17 @@ def apply_manifest(spark: SparkSession, mapping: dict[str, TableMapping], entrie
         have.keys = list(e.get("join_keys") or []) or have.keys
         have.date_column = e.get("date_column") or have.date_column
         if e.get("target_script"):
+            found = {}
             for text in texts(spark, e["target_script"]):
-                merged(mapping, {n: m for n, m in parse_sql(spark, text).items() if n == k})
+                merged(found, parse_sql(spark, text))
+            own = found.get(k) or only(found)
+            if own:
+                merged(mapping, {k: own})
         if e.get("source_script"):
-            found: dict = {}
+            found = {}
             for text in texts(spark, e["source_script"]):
                 found |= parse_ddl(text)
-            have.source_types |= found.get(short(have.source_table or k)) or found.get(k) or {}
+            have.source_types |= found.get(short(have.source_table or k)) or found.get(k) or only(found) or {}
     return mapping
 
 
@@ -271,10 +289,9 @@ def build_mapping(spark: SparkSession, *, config: str | None = None, translated_
     if manifest_entries:
         apply_manifest(spark, mapping, manifest_entries)
     if error_log:
-        for r in errors(spark, error_log).collect():
-            for k, m in mapping.items():
-                if k in r["path"].lower():
-                    m.issues.append(r.asDict())
+        for r in errors(spark, error_log).withColumn("stem", stem(F.col("path"))).collect():
+            if r["stem"] in mapping:
+                mapping[r["stem"]].issues.append({k: r[k] for k in ("code", "kind", "severity", "path", "message")})
     return mapping
 
 
