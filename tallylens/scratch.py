@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders made by fresh_dir and not dropped yet, in order.
-made: list[str] = []
+class _Made(threading.local):
+    """The folders that a thread has made and not dropped yet, in order."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,8 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, kind: str) -> str:
-    made.append(f"{shared_dir(spark)}/tallylens/{kind}-{uuid.uuid4().hex}")
-    return made[-1]
+    _made.paths.append(f"{shared_dir(spark)}/tallylens/{kind}-{uuid.uuid4().hex}")
+    return _made.paths[-1]
+
+
+def mark() -> int:
+    """How many folders the thread has made and not dropped."""
+    return len(_made.paths)
 
 
 def materialize(df: DataFrame, kind: str) -> DataFrame:
@@ -39,10 +51,10 @@ def materialize(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_from(spark: SparkSession, mark: int, keep: int = 0) -> None:
-    """Deletes the folders made since there were `mark` of them, but for the last `keep`: nothing may read
-    them any more."""
-    for path in made[mark : len(made) - keep]:
+def drop_from(spark: SparkSession, first: int, keep: int = 0) -> None:
+    """Deletes the folders that the thread made since mark() was `first`, but for the last `keep`: nothing may
+    read them any more."""
+    for path in _made.paths[first : mark() - keep]:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        made.remove(path)
+        _made.paths.remove(path)
