@@ -8,7 +8,7 @@ are written as Parquet and read again as the next one's docs. All but the last k
 from __future__ import annotations
 
 from tallylens.llm import decontamination, langid, mixing, neardup, sharding
-from tallylens.llm.common import materialize, table
+from tallylens.llm.common import drop_from, mark, materialize, table
 
 
 def language(spark, docs, sf_dir):
@@ -51,8 +51,10 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
+    first = mark()
     for k, (name, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES):
             docs = materialize(docs, name)
+            drop_from(spark, first, keep=1)  # what the stage wrote on its way, and its input
     return docs

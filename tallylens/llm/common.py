@@ -1,15 +1,16 @@
-"""Helpers shared by the training-data operators: shared scratch folders and table access."""
+"""Helpers shared by the training-data operators."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import drop_from, fresh_dir, mark, materialize, shared_dir  # noqa: F401
+
 #: White space that separates words in the word contracts, as a character class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -18,40 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and all
-    runs in one local JVM, a folder of our own that is then set as the session's checkpoint folder."""
-    sc = spark.sparkContext
-    known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if known:
-        return known.rstrip("/")
-    master = sc.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tallylens-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/tallylens/{kind}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, kind: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage without keeping
-    blocks on executors, so a lost executor costs only the tasks that it was running."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Delete a folder made by fresh_dir; nothing may read it any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def lower_ascii(col):
     """Lower-case A-Z only; other letters stay as they are."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

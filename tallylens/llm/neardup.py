@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow_batches, materialize
+from .common import drop_from, in_arrow_batches, mark, materialize
 
 WORDS, THRESHOLD = 5, 0.75
 BANDS, ROWS = 32, 4
@@ -175,6 +175,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> key, label: the least key of each key's component; keys without edges are left out."""
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
+    first = mark()
     edges = materialize(edges, "dup-edges")
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -188,6 +189,7 @@ def components(edges: DataFrame) -> DataFrame:
         # It is done when no key has two neighbours below it and no key is both below and above another.
         more = small.groupBy("u").count().where("count > 1").limit(1).count() or small.join(small.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
         edges = small
+        drop_from(edges.sparkSession, first, keep=1)  # earlier rounds' edges
         if not more:
             return edges.select(F.col("u").alias("key"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
 
