@@ -1,15 +1,18 @@
 """Value-difference probes: Column functions of a (source, target) pair of texts.
 
 Each gives array<struct<category, strength, detail, meta>>; `signals` joins them in registry order. A probe
-never raises: whatever doesn't parse is NULL and fires nothing. Decimals are DECIMAL(38,18), so numbers of
+that works in steps can also lay its steps over a table as columns (`with_signals`), each computed once and
+within generated code; that is the way for many rows. A probe never raises: whatever doesn't parse is NULL and
+fires nothing. Decimals are DECIMAL(38,18), so numbers of
 1e20 and more fire no numeric probe.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import NULL_TEXT, SIGNAL
@@ -30,9 +33,13 @@ TIME_FORM = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?$"
 ZONE_FORM = r"^\d{4}-\d{1,2}-\d{1,2}( \d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}|T\d{1,2}:\d{1,2}:\d{1,2})(Z|[+-]\d{2}:?\d{2})$"
 
 
+#: All white space, as Unicode has it.
+_BLANK = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(_BLANK))
 
 
 def signal(when: Column, category: str, strength: float, detail: str | Column, **meta: Column) -> Column:
@@ -52,8 +59,39 @@ def bind(body: Callable[[Column], Column], **values: Column) -> Column:
     return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
 
 
+class Steps:
+    """A probe in steps. A step gives new values by name from those before it, `source` and `target` first;
+    `final` gives the signals."""
+
+    def __init__(self, *steps: Callable, final: Callable):
+        self.steps, self.final = steps, final
+
+    def __call__(self, source: Column, target: Column) -> Column:
+        def go(p, names: list[str], steps: tuple) -> Column:
+            if not steps:
+                return self.final(p)
+            new = steps[0](p)
+            kept = {n: p[n] for n in names} | new
+            return bind(lambda q: go(q, list(kept), steps[1:]), **kept)
+
+        return go({"source": source, "target": target}, ["source", "target"], self.steps)
+
+    def laid(self, df: DataFrame, source: str, target: str, prefix: str) -> tuple[DataFrame, Column]:
+        """df with a column for each value, and the signals."""
+        p = {"source": F.col(source), "target": F.col(target)}
+        for step in self.steps:
+            new = step(p)
+            df = df.withColumns({prefix + n: c for n, c in new.items()})
+            p |= {n: F.col(prefix + n) for n in new}
+        return df, self.final(p)
+
+
+# Fixed value: how a number may begin.
+NUMBER_FORM = r"^\s*[-+]?[0-9.]"
+
+
 def decimal(text: Column) -> Column:
-    return strip(text).try_cast("decimal(38,18)")
+    return F.when(text.rlike(NUMBER_FORM), strip(text).try_cast("decimal(38,18)"))
 
 
 def scale(x: Column) -> Column:
@@ -61,21 +99,32 @@ def scale(x: Column) -> Column:
     return F.length(F.rtrim(F.element_at(F.split(x.cast("string"), "[.]"), 2), F.lit("0")))
 
 
-def rounded_equal(a: Column, b: Column, digits: Column) -> Column:
-    """Whether a and b are equal once rounded half-even; bround needs a constant scale, hence the ladder."""
-    out = F.lit(None).cast("boolean")
-    for k in range(18, -1, -1):
-        out = F.when(digits == k, F.bround(a, k) == F.bround(b, k)).otherwise(out)
-    return out
+def _power(digits: Column, factor: int) -> Column:
+    """factor * 10^-digits, from a constant table; digits from 0 to 18."""
+    return F.get(F.array(*[F.lit(f"{Decimal(factor).scaleb(-k):f}").cast("decimal(38,18)") for k in range(19)]), digits)
+
+
+def rounded_equal(fine: Column, coarse: Column, digits: Column) -> Column:
+    """Whether fine, rounded half-even to the digits of coarse, is coarse: it is less than half a unit away, or
+    half a unit from an even digit. A digit less makes room for an exact difference, so numbers of 1e19 and
+    more aren't called equal."""
+    fine, coarse = (x.try_cast("decimal(37,18)") for x in (fine, coarse))
+    gap, half = F.abs(fine - coarse), _power(digits + 1, 5)
+    tie = (gap == half) & (F.abs(coarse) % _power(digits, 2) == 0)
+    return F.coalesce((digits < 18) & ((gap < half) | tie), F.lit(False))
 
 
-def numeric(source: Column, target: Column) -> Column:
-    return bind(lambda p: bind(_numeric, s=p["s"], t=p["t"], a=scale(p["s"]), b=scale(p["t"])), s=decimal(source), t=decimal(target))
+def _decimals(p) -> dict[str, Column]:
+    return {"s": decimal(p["source"]), "t": decimal(p["target"])}
 
 
-def _numeric(p: Column) -> Column:
-    s, t, scale_s, scale_t = p["s"], p["t"], p["a"], p["b"]
-    differ = s.isNotNull() & t.isNotNull() & (s != t)
+def _scales(p) -> dict[str, Column]:
+    differ = p["s"].isNotNull() & p["t"].isNotNull() & (p["s"] != p["t"])
+    return {"differ": differ, "scale_s": F.when(differ, scale(p["s"])), "scale_t": F.when(differ, scale(p["t"]))}
+
+
+def _numeric(p) -> dict[str, Column]:
+    s, t, scale_s, scale_t, differ = (p[n] for n in ("s", "t", "scale_s", "scale_t", "differ"))
     whole_s, whole_t = scale_s == 0, scale_t == 0
     wide = s.cast("decimal(38,0)")
 
@@ -85,22 +134,23 @@ def _numeric(p: Column) -> Column:
 
     digits = F.least(scale_s, scale_t)
     gap = F.try_divide(F.abs(s.cast("double") - t.cast("double")), F.greatest(F.abs(s.cast("double")), F.abs(t.cast("double"))))
-    # A narrow literal keeps the product's scale at 15 digits.
-    factor = F.coalesce(*[F.when(s == F.try_multiply(t, F.lit(f).cast("decimal(3,2)" if "." in f else "decimal(4,0)")), F.lit(f)) for f in FACTORS])
-    found = {
+    # A narrow literal keeps the product's scale at 15 digits; the ratio tells smaller numbers apart.
+    ratio = F.try_divide(s.cast("double"), t.cast("double"))
+    near = lambda f: F.abs(ratio / float(f) - 1) < 1e-9
+    factor = F.coalesce(*[F.when(near(f) & (s == F.try_multiply(t, F.lit(f).cast("decimal(3,2)" if "." in f else "decimal(4,0)"))), F.lit(f)) for f in FACTORS])
+    equal = F.when(scale_s > scale_t, rounded_equal(s, t, scale_t)).when(scale_t > scale_s, rounded_equal(t, s, scale_s)).otherwise(False)
+    return {
         "digits": digits,
         "to_whole": (digits == 0) & (scale_s > 0),
         "bits": F.when(differ & whole_s & whole_t, F.when(wraps(32), 32).when(wraps(64), 64)),
-        "equal": F.when(differ, F.coalesce(rounded_equal(s, t, digits), F.lit(False))).otherwise(False),
-        "differ": differ,
+        "equal": F.when(differ, equal).otherwise(False),
         "gap": gap,
         "cut": whole_t & ~whole_s & (gap < 0.05),
         "factor": F.when(differ & (t != 0), factor),
     }
-    return bind(_numeric_signals, **found)
 
 
-def _numeric_signals(p: Column) -> Column:
+def _numeric_signals(p) -> Column:
     wrapped, equal, to_whole, gap, cut = p["bits"].isNotNull(), p["equal"], p["to_whole"], p["gap"], p["cut"]
     rest = F.coalesce(p["differ"], F.lit(False)) & ~wrapped
     return fired(
@@ -116,9 +166,11 @@ def _numeric_signals(p: Column) -> Column:
 
 def timestamp(text: Column) -> Column:
     """Wall-clock time of a text in an accepted form; an offset is left out."""
-    plain = F.regexp_replace(strip(text), r"(Z|[+-]\d{2}:?\d{2})$", "")
     x = strip(text)
-    return F.when(x.rlike(DATE_FORM) | x.rlike(TIME_FORM), x.try_cast("timestamp_ntz")).when(x.rlike(ZONE_FORM), plain.try_cast("timestamp_ntz"))
+    plain = F.regexp_replace(x, r"(Z|[+-]\d{2}:?\d{2})$", "")
+    # A year with a hyphen behind it begins every form.
+    dated = F.substring(x, 5, 1) == "-"
+    return F.when(dated, F.when(x.rlike(DATE_FORM) | x.rlike(TIME_FORM), x.try_cast("timestamp_ntz")).when(x.rlike(ZONE_FORM), plain.try_cast("timestamp_ntz")))
 
 
 def wall_micros(x: Column) -> Column:
@@ -128,13 +180,15 @@ def wall_micros(x: Column) -> Column:
     return (day * 1440 + minute) * 60_000_000 + (F.date_part(F.lit("SECOND"), x) * 1_000_000).cast("long")
 
 
-def temporal(source: Column, target: Column) -> Column:
-    dated = ~source.contains(":") & ~target.contains(":")
-    times = bind(lambda p: F.abs(wall_micros(p["t"]) - wall_micros(p["s"])), s=timestamp(source), t=timestamp(target))
-    return bind(_temporal, micros=times, dated=dated)
+def _times(p) -> dict[str, Column]:
+    return {"s": timestamp(p["source"]), "t": timestamp(p["target"]), "dated": ~p["source"].contains(":") & ~p["target"].contains(":")}
+
 
+def _gap(p) -> dict[str, Column]:
+    return {"micros": F.when(p["s"] != p["t"], F.abs(wall_micros(p["t"]) - wall_micros(p["s"])))}
 
-def _temporal(p: Column) -> Column:
+
+def _temporal(p) -> Column:
     micros = p["micros"]
     differ = micros > 0
     day, seconds = 86_400_000_000, micros / 1_000_000
@@ -150,39 +204,43 @@ def _temporal(p: Column) -> Column:
     )
 
 
-def string(source: Column, target: Column) -> Column:
-    differ = source != target
-    spaces = strip(source) == strip(target)
-    case = F.lower(source) == F.lower(target)
+def _stripped(p) -> dict[str, Column]:
+    return {"s": strip(p["source"]), "t": strip(p["target"]), "case": F.lower(p["source"]) == F.lower(p["target"])}
+
+
+def _string(p) -> Column:
+    differ, spaces, case = p["source"] != p["target"], p["s"] == p["t"], p["case"]
     # UNICODE_CI compares composed and decomposed forms, and letters of either case, as equal.
-    both = F.collate(strip(source), "UNICODE_CI") == F.collate(strip(target), "UNICODE_CI")
+    both = F.collate(p["s"], "UNICODE_CI") == F.collate(p["t"], "UNICODE_CI")
     return fired(
         signal(differ & spaces, "string_format", 0.9, "Equal without white space at the ends."),
         signal(differ & ~spaces & case, "string_format", 0.85, "Equal but for case."),
-        signal(differ & ~spaces & ~case & both, "string_format", 0.8, "Equal once normalised: Unicode form, case and white space."),
+        signal(F.when(differ & ~spaces & ~case, both), "string_format", 0.8, "Equal once normalised: Unicode form, case and white space."),
     )
 
 
-def null_boolean(source: Column, target: Column) -> Column:
+def _words(p) -> dict[str, Column]:
     def nullish(x: Column) -> Column:
         return x.isNull() | F.coalesce(x.isin(NULLISH), F.lit(False))
 
-    def word(x: Column) -> Column:
-        return F.lower(strip(x))
+    return {"ns": nullish(p["source"]), "nt": nullish(p["target"]), "ws": F.lower(strip(p["source"])), "wt": F.lower(strip(p["target"]))}
 
-    def truth(x: Column) -> Column:
-        return F.when(word(x).isin(TRUE_WORDS), True).when(word(x).isin(FALSE_WORDS), False)
 
-    ns, nt = nullish(source), nullish(target)
+def _null_boolean(p) -> Column:
+    source, target, ns, nt = (p[n] for n in ("source", "target", "ns", "nt"))
+
+    def truth(word: Column) -> Column:
+        return F.when(word.isin(TRUE_WORDS), True).when(word.isin(FALSE_WORDS), False)
+
     both, one = ns & nt, ns != nt
     other = F.when(ns, target).otherwise(source)
-    sentinel = F.coalesce(word(other).isin(SENTINELS), F.lit(False))
+    sentinel = F.coalesce(F.when(ns, p["wt"]).otherwise(p["ws"]).isin(SENTINELS), F.lit(False))
     shown = [F.coalesce(x, F.lit("None")) for x in (source, target)]
     return fired(
         signal(both & (shown[0] != shown[1]), "null_boolean", 0.85, "Both are forms of no value."),
         signal(one & sentinel, "null_boolean", 0.85, "A sentinel stands for no value.", sentinel=other),
         signal(one & ~sentinel, "upstream_drift", 0.8, "Only one side has a value.", populated_side=F.when(ns, "target").otherwise("source"), provenance_candidate=F.lit(True)),
-        signal(~both & ~one & (source != target) & (truth(source) == truth(target)), "null_boolean", 0.85, "The same truth value in another form."),
+        signal(~both & ~one & (source != target) & (truth(p["ws"]) == truth(p["wt"])), "null_boolean", 0.85, "The same truth value in another form."),
     )
 
 
@@ -191,11 +249,12 @@ def canonical_json(text: Column) -> Column:
     return F.when(strip(text).rlike(r"(?s)^[\[{].*[\]}]$"), F.to_json(F.try_parse_json(text)))
 
 
-def semi_structured(source: Column, target: Column) -> Column:
-    return bind(_semi_structured, source=source, target=target, s=canonical_json(source), t=canonical_json(target))
+def _canonical(p) -> dict[str, Column]:
+    both = strip(p["source"]).rlike(r"^[\[{]") & strip(p["target"]).rlike(r"^[\[{]")
+    return {"s": F.when(both, canonical_json(p["source"])), "t": F.when(both, canonical_json(p["target"]))}
 
 
-def _semi_structured(p: Column) -> Column:
+def _semi_structured(p) -> Column:
     source, target, s, t = p["source"], p["target"], p["s"], p["t"]
     keys_s, keys_t = (F.array_sort(F.json_object_keys(x)) for x in (s, t))
     objects = s.startswith("{") & t.startswith("{")
@@ -207,6 +266,12 @@ def _semi_structured(p: Column) -> Column:
     )
 
 
+numeric = Steps(_decimals, _scales, _numeric, final=_numeric_signals)
+temporal = Steps(_times, _gap, final=_temporal)
+string = Steps(_stripped, final=_string)
+null_boolean = Steps(_words, final=_null_boolean)
+semi_structured = Steps(_canonical, final=_semi_structured)
+
 #: Probes in the order that decides ties.
 REGISTRY: dict[str, Probe] = {"numeric": numeric, "temporal": temporal, "string": string, "null_boolean": null_boolean, "semi_structured": semi_structured}
 
@@ -216,7 +281,24 @@ def register(name: str, probe: Probe) -> None:
     REGISTRY[name] = probe
 
 
+def _together(picked: list[Column]) -> Column:
+    return F.flatten(F.array(*[F.coalesce(x, F.array().cast(f"array<{SIGNAL}>")) for x in picked]))
+
+
 def signals(source: Column, target: Column, names: list[str] | None = None) -> Column:
     """All signals of a pair, in registry order."""
-    picked = [F.coalesce(REGISTRY[n](source, target), F.array().cast(f"array<{SIGNAL}>")) for n in names or REGISTRY]
-    return F.flatten(F.array(*picked))
+    return _together([REGISTRY[n](source, target) for n in names or REGISTRY])
+
+
+def with_signals(df: DataFrame, source: str, target: str, out: str = "found", names: list[str] | None = None) -> DataFrame:
+    """df with the signals of two of its columns, as signals() gives them. Probes in steps are laid out as
+    columns; others are called on the two columns."""
+    kept, picked = df.columns, []
+    for n in names or REGISTRY:
+        probe = REGISTRY[n]
+        if isinstance(probe, Steps):
+            df, x = probe.laid(df, source, target, f"_{n}_")
+        else:
+            x = probe(F.col(source), F.col(target))
+        picked.append(x)
+    return df.select(*kept, _together(picked).alias(out))

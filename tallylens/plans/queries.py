@@ -71,7 +71,7 @@ def _probe_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir)
         rows = spark.sql(f"SELECT o_orderkey AS id, {source} AS s, {target} AS t FROM orders")
-        found = rows.select("id", F.explode(probes.signals(F.col("s"), F.col("t"))).alias("x"))
+        found = probes.with_signals(rows, "s", "t").select("id", F.explode("found").alias("x"))
         return found.select("id", "x.category", "x.strength")
 
     return run

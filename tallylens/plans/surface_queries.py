@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import reports, streaming
+from ..functions import probes
 from ..operators import compare, drilldown, ingest, lineage, merge
 from ..scratch import fresh_dir
 from ..sources import artifacts
@@ -62,6 +63,55 @@ def q_compare_table_with_itself(spark, sf_dir):
     return ingest.tables(*parts[:2], "r").select("missing_in_source", "missing_in_target", "absolute_mismatch", "source_count")
 
 
+# --- probes on mixed pairs: the conditions are written out over the numbers that the pairs are made of ------
+_K = "SELECT o_orderkey AS id, (o_orderkey * 7919 + o_custkey) % 100003 AS k FROM orders"
+
+
+def _mixed(spark, sf_dir, numbers: str, source: str, target: str, probe: str) -> DataFrame:
+    views(spark, sf_dir)
+    rows = spark.sql(numbers).selectExpr("id", f"{source} AS s", f"{target} AS t")
+    found = probes.with_signals(rows, "s", "t", names=[probe]).select("id", F.explode("found").alias("x"))
+    return found.select("id", "x.category", "x.strength")
+
+
+@query(
+    f"""SELECT id, CASE WHEN (k // 10) % 10 = 0 THEN 'transpilation' ELSE 'type_precision' END AS category,
+  CAST(CASE WHEN (k // 10) % 10 = 0 THEN 0.85 WHEN k % 10 < 5 OR (k % 10 = 5 AND (k // 10) % 2 = 0) THEN 0.9 ELSE 0.6 END AS DOUBLE) AS strength
+FROM ({_K}) WHERE k % 10 > 0 AND ((k // 10) % 10 = 0 OR k % 10 < 5 OR (k % 10 = 5 AND (k // 10) % 2 = 0) OR (k % 10) / k < 0.001)"""
+)
+def q_probe_mixed_cut_digits(spark, sf_dir):
+    """Hundredths against the same cut to tenths: equal, rounded down, rounded up to even, or just near."""
+    shown = "concat({0} div {1}, '.', lpad({0} % {1}, {2}, '0'))"
+    return _mixed(spark, sf_dir, _K, shown.format("k", 100, 2), shown.format("(k div 10)", 10, 1), "numeric")
+
+
+@query(
+    f"""SELECT id, CASE WHEN d >= 86400 THEN 'upstream_drift' ELSE 'timezone' END AS category, CAST(CASE WHEN d >= 86400 THEN 0.65 ELSE 0.9 END AS DOUBLE) AS strength
+FROM (SELECT id, (k % 2000) * 150 AS d FROM ({_K})) WHERE (d > 0 AND d % 3600 = 0) OR d IN (1800, 12600, 16200, 19800) OR d >= 86400
+UNION ALL SELECT id, 'timezone', 0.9 FROM (SELECT id, (k % 2000) * 150 AS d FROM ({_K})) WHERE d >= 86400 AND d IN (1800, 12600, 16200, 19800)"""
+)
+def q_probe_mixed_times(spark, sf_dir):
+    """Times that lie any number of steps of two and a half minutes apart, up to three days."""
+    return _mixed(spark, sf_dir, _K, "'2026-03-01 00:00:00'", "date_format(timestamp_ntz'2026-03-01 00:00:00' + make_dt_interval(0, 0, 0, (k % 2000) * 150), 'yyyy-MM-dd HH:mm:ss')", "temporal")
+
+
+_LEFT, _RIGHT = "NULL, '', 'null', 'Y', 'no', '-1', 'x', 'TRUE'", "NULL, 'None', 'true', '0', 'n/a', 'X', 'x', 'Null'"
+
+
+@query(
+    f"""WITH p AS (SELECT id, [{_LEFT}][CAST(k % 8 + 1 AS INTEGER)] AS s, [{_RIGHT}][CAST(k // 8 % 8 + 1 AS INTEGER)] AS t FROM ({_K})),
+q AS (SELECT *, s IS NULL OR s IN ('', 'null') AS ns, t IS NULL OR t = 'None' AS nt, lower(s) AS a, lower(t) AS b FROM p)
+SELECT id, 'null_boolean' AS category, CAST(0.85 AS DOUBLE) AS strength FROM q WHERE ns AND nt AND coalesce(s, 'None') <> coalesce(t, 'None')
+UNION ALL SELECT id, CASE WHEN coalesce(CASE WHEN ns THEN b ELSE a END IN ('-1', 'n/a', 'null'), false) THEN 'null_boolean' ELSE 'upstream_drift' END,
+  CASE WHEN coalesce(CASE WHEN ns THEN b ELSE a END IN ('-1', 'n/a', 'null'), false) THEN 0.85 ELSE 0.8 END FROM q WHERE ns <> nt
+UNION ALL SELECT id, 'null_boolean', 0.85 FROM q WHERE NOT ns AND NOT nt AND s <> t AND ((a IN ('y', 'true') AND b = 'true') OR (a = 'no' AND b = '0'))"""
+)
+def q_probe_mixed_nulls(spark, sf_dir):
+    """Every pair of eight forms of no value, truth and text on either side."""
+    pick = "get(array({}), cast(({}) % 8 as int))"
+    return _mixed(spark, sf_dir, _K, pick.format(_LEFT, "k"), pick.format(_RIGHT, "k div 8"), "null_boolean")
+
+
 # --- confirmations -----------------------------------------------------------------------------------------
 def _confirm(spark, sf_dir, source: str, target: str, category: str) -> DataFrame:
     views(spark, sf_dir)

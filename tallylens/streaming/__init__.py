@@ -19,8 +19,7 @@ def on_new_runs(details: DataFrame, sink: Callable[[DataFrame, int], None]) -> D
     from ..operators.ingest import column_samples
 
     def run(batch: DataFrame, number: int) -> None:
-        samples = column_samples(batch)
-        found = samples.withColumn("found", probes.signals(F.col("source_value"), F.col("target_value")))
+        found = probes.with_signals(column_samples(batch), "source_value", "target_value")
         sink(found.select("recon_table_id", "column", "seq", F.explode("found").alias("signal")), number)
 
     return details.writeStream.foreachBatch(run)

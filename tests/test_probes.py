@@ -1,64 +1,155 @@
-"""One case for each branch of the probes; the first signal of greatest strength decides."""
+"""The probes against plain Python: each branch with pairs about its limits, and many random pairs."""
+
+import itertools
+import random
+from decimal import ROUND_HALF_EVEN, Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallylens.functions import probes
 
-CASES = [
-    ("12.3456", "12.35", "type_precision"),
-    ("2026-01-01 00:00:00", "2026-01-01 05:30:00", "timezone"),
-    ('{"segment":"A","channel":"web"}', '{"channel":"web","segment":"A"}', "semi_structured"),
-    ("SKU-0001", "sku-0001  ", "string_format"),
-    ("1234.50", "1235.00", "transpilation"),
-    ("Y", "true", "null_boolean"),
-    (None, "", "null_boolean"),
-    ("0.100000", "0.10000000000000001", "type_precision"),
-    ("3000000000", "-1294967296", "type_precision"),
-    ("2026-01-05", "2026-01-04", "env_config"),
-    ("s10@vendor.com", None, "upstream_drift"),
-    ('{"retries":3}', '{"retries":5}', "semi_structured"),
-    (None, "-1", "null_boolean"),
-    ("1", "true", "null_boolean"),
-    ("Acme", "Acme   ", "string_format"),
-    ("Café", "Café", "string_format"),
-    ("1000", "100", "transpilation"),
-    ("2026-01-01T00:00:00", "2026-03-01T00:00:00", "upstream_drift"),
-    ("2026-01-01 00:00:00.1", "2026-01-01 00:00:00.2", "type_precision"),
-    ("Y", "y", "string_format"),
-    ("0", "5", None),
-    ("abc", "abd", None),
-    (None, None, None),
-    ("same", "same", None),
-    ("1e400", "nan", None),
-    ("2026-13-45", "2026-01-01", None),
-    ("{broken", "{broken}", None),
-    ("99999999999999999999999999", "1", None),
-    ("2026-01-01 01:30:00", "2026-01-01 00:00:00", None),
-]
-
-
-@pytest.fixture(scope="module")
-def found(spark):
-    rows = spark.createDataFrame([(i, s, t) for i, (s, t, _) in enumerate(CASES)], "i int, s string, t string")
-    return {r["i"]: r["x"] for r in rows.select("i", probes.signals(F.col("s"), F.col("t")).alias("x")).collect()}
-
-
-@pytest.mark.parametrize("i", range(len(CASES)))
-def test_top_category(found, i):
-    signals = found[i]
-    top = max(signals, key=lambda x: x["strength"], default=None)
-    assert (top and top["category"]) == CASES[i][2]
-
-
-def test_whitespace_of_every_kind_is_stripped(spark):
-    assert spark.range(1).select(probes.strip(F.lit(" \t x \n"))).first()[0] == "x"
+SPACES = ["", " ", "\t", " ", "\xa0\n"]
+
+
+def numeric_oracle(source, target):
+    """Categories and strengths, in order, of two decimals of at most 18 digits after the point."""
+    if source == target:
+        return []
+    scale = [max(0, -x.normalize().as_tuple().exponent) for x in (source, target)]
+    whole = [n == 0 for n in scale]
+    if all(whole):
+        for bits in (32, 64):
+            if (int(source) + (1 << bits - 1)) % (1 << bits) - (1 << bits - 1) == target:
+                return [("type_precision", 0.92)]
+    digits = min(scale)
+    at = [x.quantize(Decimal(1).scaleb(-digits), ROUND_HALF_EVEN) for x in (source, target)]
+    gap = abs(float(source) - float(target)) / max(abs(float(source)), abs(float(target)))
+    out = []
+    if at[0] == at[1]:
+        out.append(("transpilation", 0.85) if digits == 0 and scale[0] > 0 else ("type_precision", 0.9))
+    elif whole[1] and not whole[0] and gap < 0.05:
+        out.append(("transpilation", 0.72))
+    elif gap < 1e-3:
+        out.append(("type_precision", 0.7 if gap < 1e-6 else 0.6))
+    if target and source / target in [Decimal(f) for f in probes.FACTORS]:
+        out.append(("transpilation", 0.6))
+    return out
+
+
+def numeric_pairs():
+    rng = random.Random(4)
+    for d in (0, 1, 3, 8, 16, 17):  # about the half of a unit, on even and odd digits
+        unit = Decimal(1).scaleb(-d)
+        for base, off in itertools.product((Decimal(rng.randrange(1, 10**6)), Decimal(7), Decimal(8), Decimal(-3)), (4, 5, 6)):
+            coarse = base * unit
+            fine = coarse + off * unit / 10
+            yield fine, coarse
+            yield coarse, fine
+    for bits in (32, 64):  # at the edges of what wraps
+        for k in (0, 1, 17, (1 << bits - 1) - 1):
+            yield Decimal((1 << bits) + k), Decimal(k)
+            yield Decimal((1 << bits) + k), Decimal(k + 1)
+    for rel in ("0.00000099", "0.00000101", "0.00099", "0.00101", "0.049", "0.051"):  # at the limits of nearness
+        yield Decimal("1000000.125"), (Decimal("1000000.125") * (1 + Decimal(rel))).quantize(Decimal("1e-9"))
+        yield Decimal("10000.5"), (Decimal("10000.5") * (1 - Decimal(rel))).quantize(Decimal(1))
+    for f in probes.FACTORS:
+        yield Decimal(37) * Decimal(f), Decimal(37)
+    for _ in range(300):
+        s = Decimal(rng.randrange(-(10**9), 10**9)).scaleb(-rng.randrange(0, 10))
+        yield s, rng.choice([s.quantize(Decimal(1).scaleb(-rng.randrange(0, 6)), ROUND_HALF_EVEN), s + Decimal(rng.randrange(1, 100)).scaleb(-rng.randrange(0, 12)), s])
+
+
+NUMBERS = list(numeric_pairs())
+
+
+def temporal_pairs():
+    """(source, target, categories)"""
+    day, at = "2031-05-%02d", "2031-05-%02d %02d:%02d:%02d"
+    for n in (1, 6, 7, 8):  # whole days, up to six
+        yield day % 10, day % (10 + n), ["env_config"] if n <= 6 else ["upstream_drift"]
+    for minutes in (60, 30, 210, 270, 330, 90, 150, 1, 23 * 60):
+        whole = minutes % 60 == 0 or minutes in (30, 210, 270, 330)
+        yield at % (10, 0, 0, 0), at % (10, minutes // 60, minutes % 60, 0), ["timezone"] if whole else []
+        yield (at % (10, 0, 0, 0)).replace(" ", "T"), (at % (10, minutes // 60, minutes % 60, 0)).replace(" ", "T") + "Z", ["timezone"] if whole else []
+    yield at % (10, 0, 0, 0) + ".25", at % (10, 0, 0, 0) + ".5", ["type_precision"]
+    yield at % (10, 0, 0, 0) + ".25", at % (10, 0, 0, 1) + ".25", []
+    yield at % (10, 0, 0, 0), at % (11, 0, 0, 0), ["upstream_drift"]
+    yield at % (10, 0, 0, 0), at % (10, 0, 0, 0), []
+    for bad in ("2031-13-01", "2031-02-30", "31-05-2031", "2031/05/10", "yesterday"):
+        yield day % 10, bad, []
+
+
+def other_pairs():
+    """(probe, source, target, categories and strengths)"""
+    for a, b in itertools.product(SPACES, SPACES):
+        yield "string", a + "Ort", "Ort" + b, [("string_format", 0.9)] if a or b else []
+    yield "string", "Ort", "oRT", [("string_format", 0.85)]
+    yield "string", "Ort", " oRT", [("string_format", 0.8)]
+    yield "string", "Zoë", "Zoë", [("string_format", 0.8)]
+    yield "string", "Ort", "Orte", []
+    for a, b in itertools.product([None, *probes.NULLISH], repeat=2):
+        yield "null_boolean", a, b, [("null_boolean", 0.85)] if (a or "None" if a is None else a) != ("None" if b is None else b) else []
+    for x in probes.SENTINELS:
+        if x not in probes.NULLISH:
+            yield "null_boolean", None, x.upper(), [("null_boolean", 0.85)] if x.upper() not in probes.NULLISH else []
+            yield "null_boolean", f" {x} ", "", [("null_boolean", 0.85)]
+    yield "null_boolean", "7", None, [("upstream_drift", 0.8)]
+    for a, b in itertools.product([*probes.TRUE_WORDS, *probes.FALSE_WORDS, "maybe"], repeat=2):
+        same = any(a in w and b in w for w in (probes.TRUE_WORDS, probes.FALSE_WORDS))
+        yield "null_boolean", a, b.upper(), [("null_boolean", 0.85)] if same and a != b.upper() else []
+    yield "semi_structured", '{"p": 1, "q": [1, 2]}', '{"q":[1,2],"p":1}', [("semi_structured", 0.9)]
+    yield "semi_structured", '{"p": 1, "q": 2}', '{"q":2,"p":3}', [("semi_structured", 0.6)]
+    yield "semi_structured", '{"p": 1}', '{"q":1}', []
+    yield "semi_structured", "[1,2]", "[1, 2]", [("semi_structured", 0.9)]
+    yield "semi_structured", "[1,2]", "[2,1]", []
+    yield "semi_structured", '{"p": 1', '{"p":1}', []
+    yield "semi_structured", "1", " 1", []
+
+
+def found(spark, rows, names, staged):
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "i int, s string, t string")
+    df = probes.with_signals(df, "s", "t", "x", names) if staged else df.withColumn("x", probes.signals(F.col("s"), F.col("t"), names))
+    return [[(x["category"], x["strength"]) for x in r["x"]] for r in df.orderBy("i").collect()]
+
+
+@pytest.mark.parametrize("staged", [False, True])
+def test_numeric(spark, staged):
+    shown = [(f"{s:f}" + SPACES[k % 5], SPACES[k % 3] + f"{t:f}") for k, (s, t) in enumerate(NUMBERS)]
+    for (s, t), got in zip(NUMBERS, found(spark, shown, ["numeric"], staged), strict=True):
+        assert got == numeric_oracle(s, t), (s, t)
+
+
+@pytest.mark.parametrize("staged", [False, True])
+def test_temporal(spark, staged):
+    pairs = list(temporal_pairs())
+    for (s, t, want), got in zip(pairs, found(spark, [x[:2] for x in pairs], ["temporal"], staged), strict=True):
+        assert [c for c, _ in got] == want, (s, t)
+
+
+@pytest.mark.parametrize("staged", [False, True])
+@pytest.mark.parametrize("name", ["string", "null_boolean", "semi_structured"])
+def test_others(spark, name, staged):
+    pairs = [x for x in other_pairs() if x[0] == name]
+    for (_, s, t, want), got in zip(pairs, found(spark, [x[1:3] for x in pairs], [name], staged), strict=True):
+        assert got == want, (s, t)
+
+
+def test_odd_texts_fire_no_numeric_or_temporal_probe(spark):
+    odd = [("nan", "1"), ("1e400", "2"), ("9" * 30, "1"), ("-", "."), (None, "1"), ("", "1"), ("1,5", "1.5"), ("0x1", "1")]
+    assert found(spark, odd, ["numeric", "temporal"], True) == [[]] * len(odd)
+
+
+def test_staged_probes_are_in_generated_code(spark):
+    df = spark.range(10).selectExpr("cast(id as string) AS s", "cast(id + 1 as string) AS t")
+    plan = probes.with_signals(df, "s", "t", names=["numeric", "temporal"])._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan.replace("lambda x_", "") or plan.count("transform(") == 0
 
 
 def test_own_probe_can_be_added(spark):
     probes.register("length", lambda s, t: probes.fired(probes.signal(F.length(s) != F.length(t), "recon_config", 0.1, "lengths differ")))
     try:
-        got = spark.range(1).select(probes.signals(F.lit("a"), F.lit("zz"), ["length"]).alias("x")).first()["x"]
-        assert [x["category"] for x in got] == ["recon_config"]
+        for staged in (False, True):
+            assert found(spark, [("a", "zz"), ("a", "b")], ["length"], staged) == [[("recon_config", 0.1)], []]
     finally:
         del probes.REGISTRY["length"]
