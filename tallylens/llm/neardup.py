@@ -194,18 +194,44 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("key"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
 
 
-def _listed(least: np.ndarray):
-    """Of a small bucket: pairs of classes of different components that no test gives up. Pairs with the
-    hub have been verified before."""
+def _halves(column: pa.Array) -> np.ndarray:
+    """16-byte values as pairs of numbers in their order."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=">u8").reshape(-1, 2)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig, label, key = _matrix(pdf["sig"]), pd.factorize(pdf["label"])[0], pdf["key"].to_numpy()
-        i, j = np.triu_indices(len(pdf), 1)
-        rest = key != pdf["hub"].iloc[0]
-        keep = (label[i] != label[j]) & rest[i] & rest[j]
+
+def _listed(least: np.ndarray):
+    """Of small buckets, whose rows come together: pairs of classes of different components that no test gives
+    up. Pairs with the hub have been verified before. All buckets of a batch are worked on at once."""
+
+    def survivors(t: pa.RecordBatch) -> pa.RecordBatch:
+        bucket, n = t.column("bucket").to_numpy(), len(t)
+        edge = np.flatnonzero(np.diff(bucket, append=bucket[-1:] + 1))
+        later = np.repeat(edge, np.diff(edge, prepend=-1)) - np.arange(n)  # rows of the bucket after each row
+        i = np.repeat(np.arange(n), later)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+        key, label, hub = (_halves(t.column(c)) for c in ("key", "label", "hub"))
+        free = (key != hub).any(1)
+        keep = free[i] & free[j] & (label[i] != label[j]).any(1)
+        i, j, sig = i[keep], j[keep], _matrix(t.column("sig").to_pylist())
+        keep = np.concatenate([surviving(sig[i[a : a + (1 << 18)]], sig[j[a : a + (1 << 18)]], least) for a in range(0, max(1, len(i)), 1 << 18)])
         i, j = i[keep], j[keep]
-        keep = surviving(sig[i], sig[j], least)
-        return pd.DataFrame([(min(key[x], key[y]), max(key[x], key[y])) for x, y in zip(i[keep], j[keep], strict=True)], columns=["a", "b"])
+        swap = (key[i, 0] > key[j, 0]) | ((key[i, 0] == key[j, 0]) & (key[i, 1] > key[j, 1]))
+        column = t.column("key")
+        return pa.RecordBatch.from_arrays([column.take(pa.array(np.where(swap, j, i))), column.take(pa.array(np.where(swap, i, j)))], names=["a", "b"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+            if not len(t):
+                continue
+            bucket = t.column("bucket").to_numpy()
+            end = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+            held = t.slice(end).combine_chunks().to_batches()[0]
+            if end:
+                yield survivors(t.slice(0, end).combine_chunks().to_batches()[0])
+        if held is not None:
+            yield survivors(held)
 
     return run
 
@@ -217,7 +243,8 @@ def _across(least: np.ndarray):
         sig, key, bands = _matrix(pdf["sig"]), pdf["key"].to_numpy(), np.stack(pdf["bands"].to_numpy())
         label, names = pd.factorize(pdf["label"])
         root = np.arange(len(names))
-        column = int(np.flatnonzero((bands == pdf["bucket"].iloc[0]).all(0))[0])
+        # The band in which each class is in the bucket; by a collision of hashes it may not be one for all.
+        column = (bands == pdf["bucket"].iloc[0]).argmax(1)
         sets = [np.frombuffer(x, dtype="uint64") for x in pdf["set"]]
         sizes = np.array([len(x) for x in sets])
         _, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -229,7 +256,7 @@ def _across(least: np.ndarray):
         for p in left:
             q = right[(root[label[right]] != root[label[p]]) & ((right > p) | (i != j))]
             # A pair that meets in an earlier band is compared there.
-            q = q[~(bands[q, :column] == bands[p, :column]).any(1)]
+            q = q[~(bands[q, : column[p]] == bands[p, : column[p]]).any(1)]
             q = q[surviving(np.broadcast_to(sig[p], (len(q), sig.shape[1])), sig[q], least)] if len(q) else q
             if not len(q):
                 continue
@@ -278,8 +305,9 @@ def groups(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     marked = materialize(marked, "dup-marked")
     open_ = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
     marked = marked.join(open_, "bucket")
-    few = marked.where(F.col("size") <= SMALL).join(signs, "key").select("bucket", "key", "hub", "label", "sig")
-    late = materialize(few.groupBy("bucket").applyInPandas(_listed(least), "a binary, b binary").distinct(), "dup-late")
+    few = materialize(marked.where(F.col("size") <= SMALL).join(signs, "key").select("bucket", "key", "hub", "label", "sig"), "dup-few")
+    few = few.repartition(max(1, -(-few.count() // 4096)), "bucket").sortWithinPartitions("bucket")
+    late = materialize(few.mapInArrow(_listed(least), "a binary, b binary").distinct(), "dup-late")
     more = _verified(late, classes, docs)
     many = materialize(marked.where(F.col("size") > SMALL), "dup-many")
     if many.limit(1).count():

@@ -548,9 +548,10 @@ def test_near_copies_with_null_ids(spark):
     assert neardup.deduplicated(nameless).count() == 1
 
 
-def test_large_buckets_are_verified_in_place(spark, monkeypatch):
-    """Many near copies about the threshold of one base, shared out in small tiles."""
-    monkeypatch.setattr(neardup, "SMALL", 2)
+@pytest.mark.parametrize("small", [2, 12, 1000])
+def test_buckets_of_any_size_give_the_same_links(spark, monkeypatch, small):
+    """Many near copies about the threshold of one base: all in tiles, both ways, all listed."""
+    monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "TILE", 16)
     rng = np.random.default_rng(9)
     base = [f"b{i}" for i in range(120)]
