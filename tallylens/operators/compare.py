@@ -34,8 +34,9 @@ def differs(s: Column, t: Column, same_type: bool) -> Column:
     return ~s.eqNullSafe(t) if same_type else ~s.cast("string").eqNullSafe(t.cast("string"))
 
 
-def _unique(df: DataFrame, keys: list[str]) -> bool:
-    return df.groupBy(*keys).count().where("count > 1").limit(1).isEmpty()
+def _unique(sides: list[DataFrame], keys: list[str]) -> bool:
+    twice = [df.groupBy(*keys).count().where("count > 1").select(F.lit(1).alias("x")) for df in sides]
+    return twice[0].union(twice[1]).limit(1).isEmpty()
 
 
 def _meet(s: DataFrame, t: DataFrame, on: list[str]) -> DataFrame:
@@ -62,7 +63,7 @@ def joined(source: DataFrame, target: DataFrame, pair: Pair) -> tuple[DataFrame,
     keys, sides = list(pair.keys), []
     unique = pair.unique_keys
     if unique is None:
-        unique = bool(keys) and _unique(source, keys) and _unique(target, keys)
+        unique = bool(keys) and _unique([source, target], keys)
     types = [dict(source.dtypes), dict(target.dtypes)]
     alike = lambda c: F.col(c) if types[0][c] == types[1][c] else F.col(c).cast("string")
     for df in (source, target):

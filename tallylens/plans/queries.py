@@ -151,10 +151,12 @@ def q_compare_ingest_tables(spark, sf_dir):
 
 
 @query(
-    """SELECT count(*) AS source_count, count(*) FILTER (WHERE o_orderkey % 50 <> 7) AS common_rows, CAST(0 AS BIGINT) AS matched_rows, CAST(0 AS DOUBLE) AS row_match_pct FROM orders"""
+    """SELECT source_count, common_rows, matched_rows, round(100.0 * matched_rows / source_count, 2) AS row_match_pct
+FROM (SELECT count(*) AS source_count, count(*) FILTER (WHERE o_orderkey % 50 <> 7) AS common_rows, count(*) FILTER (WHERE o_orderkey % 50 <> 7 AND o_orderkey % 10 <> 0) AS matched_rows FROM orders)"""
 )
 def q_row_match_pct(spark, sf_dir):
-    _, _, (main, metrics, _) = _compared(spark, sf_dir)
+    s, t = (x.select("k", "status") for x in pair(spark, sf_dir))
+    main, metrics, _ = compare.compare(s, t, compare.Pair(keys=["k"]), recon_id="r1", table_id=1, source_name="a.s", target_name="a.t")
     return ingest.with_rates(ingest.tables(main, metrics, "r1")).select("source_count", "common_rows", "matched_rows", "row_match_pct")
 
 
@@ -245,11 +247,12 @@ def q_weekly_agg(spark, sf_dir):
     return spark.table("orders").groupBy(F.to_date(F.date_trunc("week", "o_orderdate")).alias("week_start"), F.weekofyear("o_orderdate").alias("week_id")).agg(F.count(F.lit(1)).alias("orders"))
 
 
-@query("SELECT DISTINCT CAST(date_trunc('week', o_orderdate) AS DATE) AS week_start, 'env_config' AS category, CAST(1 AS BIGINT) AS days FROM orders")
+@query("SELECT week_start, CASE WHEN d < 7 THEN 'env_config' ELSE 'upstream_drift' END AS category, CAST(d AS BIGINT) AS days FROM (SELECT DISTINCT CAST(date_trunc('week', o_orderdate) AS DATE) AS week_start, 1 + dayofyear(CAST(date_trunc('week', o_orderdate) AS DATE)) % 9 AS d FROM orders)")
 def q_weekly_agg_shift(spark, sf_dir):
     weeks = q_weekly_agg(spark, sf_dir).select("week_start").distinct()
-    shifted = weeks.select("week_start", F.explode(probes.temporal(F.col("week_start").cast("string"), F.date_sub("week_start", 1).cast("string"))).alias("x"))
-    return shifted.select("week_start", "x.category", F.col("x.meta")["days"].cast("long").alias("days"))
+    shifted = F.date_sub("week_start", 1 + F.dayofyear("week_start") % 9).cast("string")
+    found = weeks.select("week_start", F.explode(probes.temporal(F.col("week_start").cast("string"), shifted)).alias("x"))
+    return found.select("week_start", "x.category", F.col("x.meta")["days"].cast("long").alias("days"))
 
 
 @query(f"{_WITH} SELECT s.status AS source_value, t.status AS target_value, count(*) AS n FROM s JOIN t USING (k) WHERE s.status IS DISTINCT FROM t.status GROUP BY 1, 2")
@@ -316,19 +319,23 @@ def q_get_json(spark, sf_dir):
     return spark.table("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT event_id, true AS same FROM events")
+@query("SELECT event_id, event_id % 3 = 0 AS same FROM events")
 def q_json_canonical(spark, sf_dir):
     views(spark, sf_dir)
-    k = F.get_json_object("props", "$.k")
-    a, b = (F.format_string(x, k) for x in ('{"k":%s,"a":[1]}', '{"a": [1], "k": %s}'))
+    k = F.get_json_object("props", "$.k").cast("long")
+    kind = F.col("event_id") % 3
+    a = F.format_string('{"k":%d,"a":[1,2]}', k)
+    b = F.when(kind == 0, F.format_string('{"a": [1, 2], "k": %d}', k)).when(kind == 1, F.format_string('{"a":[2,1],"k":%d}', k)).otherwise(F.format_string('{"k":%d,"a":[1,2]}', k + 1))
     return spark.table("events").select("event_id", (probes.canonical_json(a) == probes.canonical_json(b)).alias("same"))
 
 
-@query("SELECT event_id, 'k' AS changed FROM events")
+@query("SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 2 = 0 THEN 'k' END, CASE WHEN event_id % 3 = 0 THEN 'm' END], lambda x: x IS NOT NULL), ',') AS changed FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0")
 def q_json_changed(spark, sf_dir):
     views(spark, sf_dir)
-    other = F.format_string('{"k":%d}', F.get_json_object("props", "$.k").cast("long") + 1)
-    found = spark.table("events").select("event_id", F.explode(probes.semi_structured(F.col("props"), other)).alias("x"))
+    k, i = F.get_json_object("props", "$.k").cast("long"), F.col("event_id")
+    a = F.format_string('{"k":%d,"m":"x","n":null}', k)
+    b = F.format_string('{"n": null, "m":"%s","k":%d}', F.when(i % 3 == 0, "y").otherwise("x"), k + F.when(i % 2 == 0, 1).otherwise(0))
+    found = spark.table("events").select("event_id", F.explode(probes.semi_structured(a, b)).alias("x")).where("x.strength < 0.8")
     return found.select("event_id", F.col("x.meta")["changed_keys"].alias("changed"))
 
 
@@ -350,25 +357,27 @@ def q_classify_columns(spark, sf_dir):
     return classify.top(hypotheses).join(findings.where("column is not null"), "finding_id").select("column", "category", "verdict", "confidence")
 
 
-@query("SELECT * FROM (VALUES ('column_mismatch', CAST(4 AS BIGINT)), ('missing_in_target', CAST(1 AS BIGINT)), ('missing_in_source', CAST(1 AS BIGINT))) v(recon_type, n)")
+@query("SELECT f AS finding_id, seq, confidence FROM (SELECT c_custkey % 100 AS f, c_custkey AS seq, (c_custkey // 100) % 7 / 10.0 AS confidence FROM customer) QUALIFY row_number() OVER (PARTITION BY f ORDER BY confidence DESC, seq) = 1")
 def q_top_hypothesis(spark, sf_dir):
-    findings, _, hypotheses = _classified(spark, sf_dir)
-    return classify.top(hypotheses).join(findings, "finding_id").groupBy("recon_type").agg(F.count(F.lit(1)).alias("n"))
+    views(spark, sf_dir)
+    return classify.top(spark.table("customer").selectExpr("c_custkey % 100 AS finding_id", "c_custkey AS seq", "cast((c_custkey div 100) % 7 / 10 as double) AS confidence"))
 
 
-@query("SELECT * FROM (VALUES ('migration_induced', CAST(5 AS BIGINT)), ('genuine_data', CAST(1 AS BIGINT)), ('benign', CAST(0 AS BIGINT)), ('needs_review', CAST(0 AS BIGINT))) v(verdict, n)")
+@query("SELECT v.verdict, count(c_custkey) AS n FROM (VALUES ('migration_induced', 0), ('genuine_data', 1), ('benign', 2), ('needs_review', 9)) v(verdict, k) LEFT JOIN customer ON c_custkey % 5 = k OR (k = 0 AND c_custkey % 5 > 2) GROUP BY 1")
 def q_verdict_counts(spark, sf_dir):
-    _, _, hypotheses = _classified(spark, sf_dir)
-    return classify.verdict_counts(classify.top(hypotheses)).select("verdict", "n")
+    views(spark, sf_dir)
+    k = F.col("c_custkey") % 5
+    return classify.verdict_counts(spark.table("customer").select(F.when(k == 1, "genuine_data").when(k == 2, "benign").otherwise("migration_induced").alias("verdict"))).select("verdict", "n")
 
 
-@query("SELECT * FROM (VALUES ('orders', CAST(5 AS BIGINT), CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT))) v(\"table\", migration_induced, genuine_data, benign, needs_review)")
+@query("SELECT 'n' || c_nationkey AS \"table\", count(*) FILTER (WHERE c_custkey % 5 IN (0, 3, 4)) AS migration_induced, count(*) FILTER (WHERE c_custkey % 5 = 1) AS genuine_data, count(*) FILTER (WHERE c_custkey % 5 = 2) AS benign, CAST(0 AS BIGINT) AS needs_review FROM customer GROUP BY 1")
 def q_verdict_rollup(spark, sf_dir):
-    from ..schemas import VERDICTS
+    from ..reports import tally
 
-    findings, _, hypotheses = _classified(spark, sf_dir)
-    heads = classify.top(hypotheses).join(findings, "finding_id").withColumn("table", ingest.short_name(F.col("target_table")))
-    return heads.groupBy("table").pivot("verdict", list(VERDICTS)).agg(F.count(F.lit(1))).fillna(0)
+    views(spark, sf_dir)
+    k = F.col("c_custkey") % 5
+    heads = spark.table("customer").select(F.format_string("Db.s.`N%d`", "c_nationkey").alias("target_table"), F.when(k == 1, "genuine_data").when(k == 2, "benign").otherwise("migration_induced").alias("verdict"))
+    return tally(heads.withColumn("table", ingest.short_name(F.col("target_table"))), "table")
 
 
 @query("SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 50 <> 7) > 0 AS any_rows, 'upstream_drift' AS category, CAST(0.55 AS DOUBLE) AS confidence")

@@ -14,13 +14,17 @@ from ..schemas import COLUMN, KINDS, VERDICTS
 RATIONALE, FIX = 110, 130
 
 
+def tally(heads: DataFrame, by: str) -> DataFrame:
+    """Findings per verdict of each value of a column, with zeros."""
+    return heads.groupBy(by).pivot("verdict", list(VERDICTS)).agg(F.count(F.lit(1))).fillna(0, list(VERDICTS))
+
+
 def overview(analysis) -> DataFrame:
     """For each table: findings per verdict, missing rows, and the columns that differ."""
     heads = analysis.top()
-    tally = heads.groupBy("target_table").pivot("verdict", list(VERDICTS)).agg(F.count(F.lit(1)))
     columns = heads.where(F.col("recon_type") == COLUMN).groupBy("target_table").agg(F.sort_array(F.collect_list("column")).alias("columns"))
     rows = analysis.summaries.select("source_table", "target_table", "missing_in_target", "missing_in_source", "row_match_pct")
-    out = rows.join(tally, "target_table", "left").join(columns, "target_table", "left")
+    out = rows.join(tally(heads, "target_table"), "target_table", "left").join(columns, "target_table", "left")
     return out.fillna(0, list(VERDICTS)).orderBy("target_table")
 
 
