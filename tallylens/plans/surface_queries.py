@@ -5,13 +5,14 @@ from __future__ import annotations
 
 import json
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import reports, streaming
 from ..functions import probes
-from ..operators import compare, drilldown, ingest, lineage, merge
+from ..operators import classify, compare, drilldown, ingest, lineage, merge, passes
 from ..scratch import fresh_dir
 from ..sources import artifacts
 from . import config, scenarios, scripts
@@ -157,6 +158,16 @@ def _written(spark, text: str, name: str = "part") -> str:
     return path
 
 
+def _file(spark, name: str, text: str) -> str:
+    """A folder of the shared place with a file of the given name."""
+    folder = fresh_dir(spark, "files")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return folder
+
+
 @query(f"SELECT 'tgt.' || {_T_NAME} AS target_table, 'src.' || {_T_NAME} AS source_table, CASE WHEN n_nationkey % 2 = 0 THEN 'id,load_dt' ELSE 'id' END AS keys, CASE WHEN n_nationkey % 2 = 0 THEN 'load_dt' ELSE '-' END AS date_column, 'r = ' || n_regionkey AS source_filter, 'new_' || n_nationkey AS renamed FROM nation")
 def q_recon_config(spark, sf_dir):
     tables = [{"source_name": f"src.{x['name']}", "target_name": f"tgt.{x['name']}", "join_columns": ["id", "load_dt"][: 2 - x["n"] % 2], "filters": {"source": f"r = {x['r']}"}, "column_mapping": [{"source_name": "old", "target_name": f"new_{x['n']}"}]} for x in _nations(spark, sf_dir)]
@@ -299,8 +310,6 @@ class _Run:
     """An analysis without confirmation, as the reports read it."""
 
     def __init__(self, spark, sf_dir):
-        from ..operators import classify
-
         _, _, (main, metrics, details) = _compared(spark, sf_dir)
         self.recon_id = "r1"
         self.findings, self.samples, self.hypotheses = _classified(spark, sf_dir)
@@ -382,3 +391,135 @@ def q_scenario_totals(spark, sf_dir):
     found = n.where(kind < 2).select(F.col("t").alias("finding_id"), F.concat(F.lit("x."), F.upper("t")).alias("target_table"), F.lit("schema").alias("recon_type"), F.lit(None).cast("string").alias("column"))
     said = n.where(kind < 2).select(F.col("t").alias("finding_id"), F.lit("type_precision").alias("category"), F.when(kind == 0, "migration_induced").otherwise("needs_review").alias("verdict"), F.lit(0.7).alias("confidence"), F.lit(1).alias("seq"))
     return scenarios.totals(scenarios.matched(asked, found, said))
+
+
+# --- passes and reports over one finding for each nation -----------------------------------------------------
+_EVIDENCE = "array<struct<label:string,detail:string,query:string,data:map<string,string>>>"
+
+
+def _findings(spark, sf_dir, recon_type: str, column: str = "'c'", category: str = "'upstream_drift'", verdict: str = "'genuine_data'", confidence: str = "0.8") -> tuple[DataFrame, DataFrame]:
+    """(findings, hypotheses), by expressions over nation."""
+    views(spark, sf_dir)
+    n = spark.table("nation")
+    f = n.selectExpr("cast(n_nationkey as string) AS finding_id", "cast(n_nationkey as bigint) AS recon_table_id", f"{recon_type} AS recon_type", f"{column} AS column", f"concat('src.', {_T_NAME}) AS source_table", f"concat('tgt.', {_T_NAME}) AS target_table", "cast(n_nationkey + 1 as bigint) AS mismatch_count", "cast(100 as bigint) AS total_count")
+    h = n.selectExpr("cast(n_nationkey as string) AS finding_id", f"{category} AS category", f"{verdict} AS verdict", f"cast({confidence} as double) AS confidence", "repeat('r', cast(n_nationkey * 10 as int)) AS rationale", f"cast(array() as {_EVIDENCE}) AS evidence", "1 AS seq", "concat('owner', n_regionkey) AS owner", "repeat('f', cast(n_nationkey * 10 as int)) AS remediation")
+    return f, h
+
+
+_KIND = "case n_nationkey % 3 when 0 then 'schema' when 1 then 'missing_in_target' else 'missing_in_source' end"
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'type_precision' WHEN 1 THEN 'volume_missing' ELSE 'volume_extra' END AS category, 'migration_induced' AS verdict, CAST(CASE n_nationkey % 3 WHEN 0 THEN 0.7 ELSE 0.6 END AS DOUBLE) AS confidence, 'migration engineer' AS owner FROM nation")
+def q_row_and_schema_findings(spark, sf_dir):
+    f, _ = _findings(spark, sf_dir, _KIND)
+    none = spark.createDataFrame([], "finding_id string, seq int, source_value string, target_value string")
+    done = classify.classify(f, none)
+    return done.select(F.col("finding_id").cast("int").alias("n_nationkey"), "category", "verdict", "confidence", "owner")
+
+
+@query(
+    """SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'needs_review' ELSE 'genuine_data' END AS verdict, n_nationkey % 2 = 0 AS code_generated,
+  CASE WHEN n_nationkey % 2 = 0 THEN 'migration engineer + data owner (decide)' ELSE 'owner' || n_regionkey END AS owner, CAST(0.9 AS DOUBLE) AS confidence,
+  CASE WHEN n_nationkey % 5 = 0 THEN 'error parse line ' || n_nationkey ELSE '-' END AS issue FROM nation"""
+)
+def q_generated_columns_and_issues(spark, sf_dir):
+    """A derivation that doesn't name its column makes it up; translation issues come with the column's findings."""
+    f, h = _findings(spark, sf_dir, "'column_mismatch'")
+    n = spark.table("nation")
+    made = F.col("n_nationkey") % 2 == 0
+    t = n.select(F.expr(_T_NAME).alias("table"), F.lit("c").alias("column"), F.when(made, "upper('x')").otherwise("upper(c)").alias("expr"), F.array(F.lit("UPPER")).alias("functions"), F.lit(False).alias("is_direct"), F.when(made, F.array().cast("array<string>")).otherwise(F.array(F.lit("C"))).alias("references"))
+    issues = n.where("n_nationkey % 5 = 0").select(F.expr(_T_NAME).alias("table"), F.lit("error").alias("severity"), F.lit("parse").alias("kind"), F.format_string("line %d", "n_nationkey").alias("message"))
+    done = passes.code_pass(f, h, t, issues=issues)
+    said = F.filter("evidence", lambda e: e["label"] == "transpile")
+    return done.select(F.col("finding_id").cast("int").alias("n_nationkey"), "verdict", "code_generated", "owner", "confidence", F.coalesce(F.get(said, F.lit(0))["detail"], F.lit("-")).alias("issue"))
+
+
+@query(f"SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 3 THEN '-' WHEN n_nationkey % 4 = 2 THEN 'Fed by raw.a, raw.b' WHEN n_nationkey % 4 = 1 THEN 'Fed by raw.other; not the source it is compared with.' ELSE 'Fed by raw.' || {_T_NAME} END AS detail FROM nation")
+def q_lineage_evidence(spark, sf_dir):
+    """A column's one upstream that isn't its source is said so; several are listed; some have none."""
+    f, h = _findings(spark, sf_dir, "'column_mismatch'")
+    k = F.col("n_nationkey") % 4
+    fed = F.when(k == 0, F.array(F.concat(F.lit("raw."), F.expr(_T_NAME)))).when(k == 1, F.array(F.lit("raw.other"))).when(k == 2, F.array(F.lit("raw.b"), F.lit("raw.a")))
+    ups = spark.table("nation").select(F.concat(F.lit("tgt."), F.expr(_T_NAME)).alias("t"), F.lit("c").alias("column"), F.explode(fed).alias("upstream"))
+    done = lineage.lineage_pass(f, h, ups)
+    return done.select(F.col("finding_id").cast("int").alias("n_nationkey"), F.coalesce(F.get("evidence", F.lit(0))["detail"], F.lit("-")).alias("detail"))
+
+
+class _Made:
+    """An analysis of given findings and hypotheses."""
+
+    def __init__(self, f: DataFrame, h: DataFrame):
+        self.recon_id, self.findings, self.hypotheses = "r1", f, h
+        self.summaries = f.selectExpr("recon_table_id", "source_table", "target_table", "array('id') AS join_keys").distinct()
+
+
+def _shortened(column: str, most: int) -> str:
+    return f"CASE WHEN n_nationkey * 10 <= {most} THEN repeat('{column}', n_nationkey * 10) ELSE repeat('{column}', {most - 3}) || '...' END"
+
+
+_VERDICT = "case n_nationkey % 4 when 0 then 'migration_induced' when 1 then 'genuine_data' when 2 then 'benign' else 'needs_review' end"
+
+
+@query(
+    f"""SELECT '**tgt.' || {_T_NAME} || '**' AS line FROM nation UNION ALL
+SELECT '- c: timezone (' || {_VERDICT} || ', 0.' || CAST(50 + n_nationkey AS VARCHAR) || ')' || rtrim(' ' || {_shortened('r', 110)}) FROM nation UNION ALL SELECT '## In short' UNION ALL
+SELECT count(*) FILTER (WHERE n_nationkey % 4 = 0) || ' migration induced, ' || count(*) FILTER (WHERE n_nationkey % 4 = 1) || ' genuine data, ' || count(*) FILTER (WHERE n_nationkey % 4 = 2) || ' benign, ' || count(*) FILTER (WHERE n_nationkey % 4 = 3) || ' needs review' FROM nation"""
+)
+def q_report_short(spark, sf_dir):
+    made = _Made(*_findings(spark, sf_dir, "'column_mismatch'", category="'timezone'", verdict=_VERDICT, confidence="0.5 + n_nationkey / 100"))
+    return spark.createDataFrame([(x.strip(),) for x in reports.tldr(reports.findings(made)).split("\n") if x], "line string")
+
+
+@query(f"SELECT '### owner' || n_regionkey AS line FROM nation GROUP BY n_regionkey UNION ALL SELECT '- tgt.' || {_T_NAME} || '.c: ' || CASE WHEN n_nationkey = 0 THEN 'look into it' ELSE {_shortened('f', 130)} END FROM nation UNION ALL SELECT '## Who does what'")
+def q_report_conclusion(spark, sf_dir):
+    made = _Made(*_findings(spark, sf_dir, "'column_mismatch'"))
+    return spark.createDataFrame([(x,) for x in reports.conclusion(reports.findings(made)).split("\n") if x], "line string")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n_nationkey, place) AS BIGINT) AS place, what FROM nation, (VALUES (1, 'schema'), (2, 'missing in target'), (3, 'missing in source'), (4, 'c')) v(place, what)")
+def q_notebook_order(spark, sf_dir):
+    """Table by table: schema, missing rows, surplus rows, columns; each section with a cell to run."""
+    parts = [_findings(spark, sf_dir, f"'{k}'", "'c'" if k == "column_mismatch" else "cast(null as string)") for k in ("column_mismatch", "missing_in_source", "schema", "missing_in_target")]
+    number = lambda df, k: df.withColumns({"finding_id": F.concat("finding_id", F.lit(f"/{k}"))} | ({"target_table": F.format_string("tgt.n%02d", "recon_table_id")} if "target_table" in df.columns else {}))
+    f, h = (reduce(DataFrame.unionByName, [number(p[i], k) for k, p in enumerate(parts)]) for i in (0, 1))
+    cells = reports.notebook(_Made(f, h))["cells"]
+    titles = [c["source"].split("\n")[0] for c in cells if c["source"].startswith("### tgt.n")]
+    what = [t[len("### tgt.n00") :].strip(" .()") for t in titles]
+    return spark.createDataFrame(list(enumerate(what, 1)), "place long, what string")
+
+
+@query(f"SELECT n_nationkey, count(*) FILTER (WHERE o_orderkey % 20 = 0 AND o_orderkey % 50 <> 7) AS column_rows, count(*) FILTER (WHERE o_orderkey % 50 = 7) AS missing, count(*) FILTER (WHERE o_orderkey % 97 = 3) AS extra FROM orders, nation WHERE n_nationkey = 0 GROUP BY 1")
+def q_rerun_evidence(spark, sf_dir):
+    """The SQL that evidence carries gives the findings' rows again."""
+    s, t = pair(spark, sf_dir)
+    s.createOrReplaceTempView("rerun_s"), t.createOrReplaceTempView("rerun_t")
+    p = compare.Pair(keys=["k"])
+    n = [spark.sql(drilldown.rerun(p, "rerun_s", "rerun_t", kind, c)).count() for kind, c in (("column_mismatch", "custkey"), ("missing_in_target", None), ("missing_in_source", None))]
+    return spark.createDataFrame([(0, *n)], "n_nationkey int, column_rows long, missing long, extra long")
+
+
+@query(f"SELECT {_T_NAME} AS \"table\", 'key' AS keys, CASE WHEN n_nationkey % 2 = 0 THEN 'ROUND' ELSE '-' END AS functions, 'DECIMAL(18,' || n_regionkey || ')' AS source_type, CASE WHEN n_nationkey % 3 = 0 THEN 'found ' || n_nationkey ELSE '-' END AS issue, CASE WHEN n_nationkey % 2 = 0 THEN 'v > ' || n_nationkey ELSE '-' END AS target_filter FROM nation")
+def q_build_mapping(spark, sf_dir):
+    """Config, translated SQL, source types, manifest and error log laid over one another."""
+    every = _nations(spark, sf_dir)
+    code = "\n".join(f"INSERT INTO tgt.{x['name']} SELECT id, round(v, 2) AS v FROM src.{x['name']} WHERE v > {x['n']};" for x in every if x["n"] % 2 == 0)
+    scripts_ = _file(spark, "load.sql", code)
+    ddl = _file(spark, "tables.sql", "\n".join(f"CREATE TABLE src.{x['name']} (id NUMBER(38,0), v NUMBER(18,{x['r']}));" for x in every))
+    config_ = _written(spark, json.dumps({"tables": [{"source_name": f"src.{x['name']}", "target_name": f"tgt.{x['name']}", "join_columns": ["guess"]} for x in every]}), "config")
+    log = _written(spark, "\n".join(f"code=7, kind=k, severity=error, path='/x/{x['name']}.sql', message='found {x['n']}'" for x in every if x["n"] % 3 == 0), "log")
+    found = artifacts.build_mapping(spark, config=config_, translated_sql=scripts_, source_scripts=ddl, error_log=log, manifest_entries=[{"target": f"tgt.{x['name']}", "join_keys": ["key"]} for x in every])
+    rows = [(k, ",".join(m.keys), ",".join(m.transforms["v"].functions) if m.transforms else "-", m.source_types["v"], m.issues[0]["message"] if m.issues else "-", (m.target_filter or "-").strip("()")) for k, m in found.items()]
+    return spark.createDataFrame(rows, "table string, keys string, functions string, source_type string, issue string, target_filter string")
+
+
+@query(f"SELECT 'tgt.' || {_T_NAME} AS target_table, n_nationkey + 1 AS mismatch_count, 'timezone' AS category FROM nation")
+def q_report_json(spark, sf_dir):
+    made = _Made(*_findings(spark, sf_dir, "'column_mismatch'", category="'timezone'"))
+    rows = json.loads(json.dumps(reports.to_dict(made), default=str))["findings"]
+    return spark.createDataFrame([(f["target_table"], f["mismatch_count"], f["hypotheses"][0]["category"]) for f in rows], "target_table string, mismatch_count long, category string")
+
+
+@query("SELECT n_nationkey, n_name || chr(233) AS shown, 'cafe' || chr(769) AS made, true AS has_user FROM nation")
+def q_string_codes(spark, sf_dir):
+    views(spark, sf_dir)
+    return spark.table("nation").select("n_nationkey", F.decode(F.unhex(F.concat(F.hex("n_name"), F.lit("C3A9"))), "UTF-8").alias("shown"), F.expr("concat('caf', 'e', decode(unhex('CC81'), 'UTF-8'))").alias("made"), (F.length(F.current_user()) > 0).alias("has_user"))
