@@ -37,6 +37,8 @@ CONTROL = ("<s>", "[INST]", "[/INST]", "</s>", "<|endoftext|>")
 RESERVED = 50257
 TURN, ROLE, BODY, END = range(RESERVED, RESERVED + 4)
 LEARNED_ROLE = "assistant"
+#: Turns in an Arrow batch, as they are short; its bytes are bounded besides.
+TURNS = 8000
 
 
 def escape(texts: pa.Array) -> pa.Array:
@@ -120,7 +122,7 @@ def take_apart(ids: np.ndarray, ends: np.ndarray, mask: np.ndarray, decoder: Dec
 def format_turns(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """turns(conv_id, turn, role, text) -> conv_id, turn, ids, mask; one row each. The tokenizer must be
     byte-level, with all its ids below RESERVED."""
-    in_arrow_batches(turns.sparkSession)
+    in_arrow_batches(turns.sparkSession, TURNS)
     path = tokenizer or tokenizer_path()
     Decoder(path)
 
@@ -142,7 +144,7 @@ def format_turns(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 def read_turns(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """formatted turns -> conv_id, turn, role, text, learned, shown, all read from the ids and the mask."""
-    in_arrow_batches(formatted.sparkSession)
+    in_arrow_batches(formatted.sparkSession, TURNS)
     path = tokenizer or tokenizer_path()
 
     def run(batches):
