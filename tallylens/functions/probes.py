@@ -292,7 +292,7 @@ def signals(source: Column, target: Column, names: list[str] | None = None) -> C
 
 def with_signals(df: DataFrame, source: str, target: str, out: str = "found", names: list[str] | None = None) -> DataFrame:
     """df with the signals of two of its columns, as signals() gives them. Probes in steps are laid out as
-    columns; others are called on the two columns."""
+    columns; others are called on the two columns. Explode them by each_signal()."""
     kept, picked = df.columns, []
     for n in names or REGISTRY:
         probe = REGISTRY[n]
@@ -302,3 +302,9 @@ def with_signals(df: DataFrame, source: str, target: str, out: str = "found", na
             x = probe(F.col(source), F.col(target))
         picked.append(x)
     return df.select(*kept, _together(picked).alias(out))
+
+
+def each_signal(df: DataFrame, *columns: str, found: str = "found") -> DataFrame:
+    """columns, place (in the row's signals) and signal, a row for each signal. A plain explode would infer a
+    filter on the signals and push it below all steps, which writes every step out in it."""
+    return df.select(*columns, F.posexplode_outer(found).alias("place", "signal")).where("signal is not null")

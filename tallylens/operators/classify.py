@@ -33,7 +33,7 @@ def evidence(label: str, detail: Column, query: Column | None = None, data: Colu
 def sample_signals(samples: DataFrame) -> DataFrame:
     """finding_id, seq, place (of the signal in its sample), signal: one row for each that fired."""
     found = probes.with_signals(samples, "source_value", "target_value")
-    return found.select("finding_id", "seq", F.posexplode("found").alias("place", "signal"))
+    return probes.each_signal(found, "finding_id", "seq")
 
 
 def classify_columns(findings: DataFrame, samples: DataFrame, provenance_wide: bool = True) -> DataFrame:

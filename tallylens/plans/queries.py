@@ -71,8 +71,8 @@ def _probe_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir)
         rows = spark.sql(f"SELECT o_orderkey AS id, {source} AS s, {target} AS t FROM orders")
-        found = probes.with_signals(rows, "s", "t").select("id", F.explode("found").alias("x"))
-        return found.select("id", "x.category", "x.strength")
+        found = probes.each_signal(probes.with_signals(rows, "s", "t"), "id")
+        return found.select("id", "signal.category", "signal.strength")
 
     return run
 

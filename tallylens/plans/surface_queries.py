@@ -71,8 +71,8 @@ _K = "SELECT o_orderkey AS id, (o_orderkey * 7919 + o_custkey) % 100003 AS k FRO
 def _mixed(spark, sf_dir, numbers: str, source: str, target: str, probe: str) -> DataFrame:
     views(spark, sf_dir)
     rows = spark.sql(numbers).selectExpr("id", f"{source} AS s", f"{target} AS t")
-    found = probes.with_signals(rows, "s", "t", names=[probe]).select("id", F.explode("found").alias("x"))
-    return found.select("id", "x.category", "x.strength")
+    found = probes.each_signal(probes.with_signals(rows, "s", "t", names=[probe]), "id")
+    return found.select("id", "signal.category", "signal.strength")
 
 
 @query(

@@ -13,13 +13,11 @@ def on_new_runs(details: DataFrame, sink: Callable[[DataFrame, int], None]) -> D
 
     details: a stream of recon_table_id, recon_type, mismatch_columns, source_count, seq, row. Each value
     pair is probed on its own, so no state is kept and a batch that runs twice gives the same rows."""
-    from pyspark.sql import functions as F
-
     from ..functions import probes
     from ..operators.ingest import column_samples
 
     def run(batch: DataFrame, number: int) -> None:
         found = probes.with_signals(column_samples(batch), "source_value", "target_value")
-        sink(found.select("recon_table_id", "column", "seq", F.explode("found").alias("signal")), number)
+        sink(probes.each_signal(found, "recon_table_id", "column", "seq").drop("place"), number)
 
     return details.writeStream.foreachBatch(run)
