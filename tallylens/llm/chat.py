@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow_batches
+from .common import in_arrow_batches, lean
 from .segments import spread, shared, tokenizer_path
 
 #: Control strings, in the order of their reserved ids: turn begins, role begins, role ends, turn ends;
@@ -139,7 +139,7 @@ def format_turns(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
             )
 
     picked = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return picked.mapInArrow(run, "conv_id long, turn long, ids array<int>, mask array<tinyint>")
+    return picked.mapInArrow(lean(run), "conv_id long, turn long, ids array<int>, mask array<tinyint>")
 
 
 def read_turns(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -154,7 +154,7 @@ def read_turns(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
             ends = np.cumsum(pc.list_value_length(b.column("ids")).to_numpy())
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), *take_apart(ids, ends, mask, decoder)], names=["conv_id", "turn", "role", "text", "learned", "shown"])
 
-    return formatted.mapInArrow(run, "conv_id long, turn long, role string, text string, learned string, shown long")
+    return formatted.mapInArrow(lean(run), "conv_id long, turn long, role string, text string, learned string, shown long")
 
 
 def digest(turns: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def digest(turns: DataFrame) -> DataFrame:
         if have:
             yield _rows([(key, n, turns_hash.hexdigest(), loss, loss_hash.hexdigest(), shown)])
 
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _rows(rows: list) -> pa.RecordBatch:

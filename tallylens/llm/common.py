@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,23 @@ def ship(spark: SparkSession) -> None:
     sc._tallylens_shipped = True
 
 
+def lean(run):
+    """run, a function over Arrow batches, that gives memory back when its task ends: Python workers serve task
+    after task and would keep what their largest one took."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not this C library
+                pass
+
+    return wrapped
+
+
 def in_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Ready the session for functions over whole texts: the package is shipped, and what one Arrow batch
     can hold is bounded in rows and bytes."""

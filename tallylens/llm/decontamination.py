@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, in_arrow_batches
+from .common import fresh_dir, in_arrow_batches, lean
 
 #: Word bytes: 0-9, a-z and all beyond ASCII; A-Z become a-z, all else a space.
 _TABLE = bytes(c if chr(c).isdigit() and c < 128 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -245,7 +245,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_chars
             cols = [[r[0] for r in rows], [r[1] for r in rows], [sorted(set(r[2])) for r in rows], [-x[0] for x in best], *[[x[k] for x in best] for k in (1, 2, 3)]]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {_FOUND}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), f"doc_id long, {_FOUND}")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
@@ -275,4 +275,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = 10,
             rows = scan_all(uris, b.column("text").cast(pa.binary()).to_pylist())
             yield b.filter(pa.array([not r[1] for r in rows], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow_batches, materialize
+from .common import in_arrow_batches, lean, materialize
 
 MARK = "▁"
 #: Longest piece that is looked up, in characters.
@@ -303,7 +303,7 @@ def held_out(doc_id):
 
 def _word_counts(sample: DataFrame) -> DataFrame:
     """lang, word, n of sample(lang, text): the distinct words of a bounded sample."""
-    in_arrow_batches(sample.sparkSession)
+    in_arrow_batches(sample.sparkSession, 500)
 
     def run(batches):
         for b in batches:
@@ -312,7 +312,7 @@ def _word_counts(sample: DataFrame) -> DataFrame:
             t = t.group_by(["lang", "word"]).aggregate([([], "count_all")])
             yield from t.select(["lang", "word", "count_all"]).rename_columns(["lang", "word", "n"]).to_batches()
 
-    by = sample.select("lang", "text").mapInArrow(run, "lang string, word string, n long")
+    by = sample.select("lang", "text").mapInArrow(lean(run), "lang string, word string, n long")
     return by.where("word != ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -362,7 +362,7 @@ def scorer_of(model: dict) -> Scorer | None:
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, held_out, lang_pred, score."""
-    in_arrow_batches(docs.sparkSession, 2000)
+    in_arrow_batches(docs.sparkSession, 500)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages numbers
 
     def run(batches):
@@ -374,12 +374,12 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
     rows = docs.select("doc_id", "text", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))
     kind = dict(docs.dtypes)["doc_id"]
-    return rows.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.select("doc_id", "held_out", "text").mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def kept_documents(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
     """The rows of docs whose language is found with a posterior of at least `least`; all columns stay."""
-    in_arrow_batches(docs.sparkSession, 2000)
+    in_arrow_batches(docs.sparkSession, 500)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -388,4 +388,4 @@ def kept_documents(docs: DataFrame, model: dict, least: float = 0.5) -> DataFram
             lang, score = decide(scorer, shared.value, b.column("text"))
             yield b.filter(pa.array((lang < len(shared.value["langs"])) & (score >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

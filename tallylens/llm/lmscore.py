@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow_batches, materialize
+from .common import in_arrow_batches, lean, materialize
 
 BACKOFF = 0.4
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -178,7 +178,7 @@ def score_documents(docs: DataFrame, *, order: int = 3, bucket_bytes: int = 12 <
         table = table.set_column(table.schema.get_field_index("b"), "b", pa.array(replies, pa.binary()))
         return table.set_column(table.schema.get_field_index("a"), "a", pa.nulls(len(table), pa.binary()))
 
-    answered = texts.mapInArrow(explode, _ROWS).groupBy("key").applyInArrow(answer, _ROWS)
+    answered = texts.mapInArrow(lean(explode), _ROWS).groupBy("key").applyInArrow(answer, _ROWS)
 
     def finish(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_pylist()
@@ -204,7 +204,7 @@ def score_documents(docs: DataFrame, *, order: int = 3, bucket_bytes: int = 12 <
             out.append(pa.table({"doc_id": pa.array(np.array(ids, dtype="int64"), mask=~known), "n_words": sizes, "logs": logs, "by_size": by_size, "n_backed_off": backed}))
         return pa.concat_tables(out)
 
-    done = answered.union(texts.mapInArrow(sequences, _ROWS)).groupBy("batch").applyInArrow(finish, "doc_id long, n_words long, logs double, by_size long, n_backed_off long")
+    done = answered.union(texts.mapInArrow(lean(sequences), _ROWS)).groupBy("batch").applyInArrow(finish, "doc_id long, n_words long, logs double, by_size long, n_backed_off long")
     done = materialize(done, "lm-scores")
     total = done.agg(F.sum("n_words")).first()[0] or 0
     log_score = F.col("logs") - F.col("by_size") * F.log(F.greatest(F.lit(1), F.lit(total) - F.col("n_words")).cast("double"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_from, in_arrow_batches, mark, materialize
+from .common import drop_from, in_arrow_batches, lean, mark, materialize
 
 WORDS, THRESHOLD = 5, 0.75
 BANDS, ROWS = 32, 4
@@ -133,7 +133,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
-    return rows.mapInArrow(run, "doc_id long, t long, n long, key binary, bands array<long>, sig binary")
+    return rows.mapInArrow(lean(run), "doc_id long, t long, n long, key binary, bands array<long>, sig binary")
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -150,7 +150,7 @@ def _sets(keys: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([shingles(t).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()], pa.binary())], names=["key", "set"])
 
-    return materialize(text.mapInArrow(sets, "key binary, set binary").dropDuplicates(["key"]), "dup-sets")
+    return materialize(text.mapInArrow(lean(sets), "key binary, set binary").dropDuplicates(["key"]), "dup-sets")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                 keep.append(100 * met >= 75 * (len(x) + len(y) - met))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(check), "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -297,7 +297,7 @@ def groups(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
                 x, y = (_matrix(b.column(c).to_pylist()) for c in ("x", "y"))
                 yield b.select(["a", "b"]).filter(pa.array(surviving(x, y, least), pa.bool_()))
 
-    pairs = materialize(pairs.select("a", "b", "x", "y").mapInArrow(test, "a binary, b binary"), "dup-pairs")
+    pairs = materialize(pairs.select("a", "b", "x", "y").mapInArrow(lean(test), "a binary, b binary"), "dup-pairs")
     links = materialize(_verified(pairs, classes, docs), "dup-links")
     label = components(links)
     # Second round: buckets that hold more than one component.
@@ -307,7 +307,7 @@ def groups(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     marked = marked.join(open_, "bucket")
     few = materialize(marked.where(F.col("size") <= SMALL).join(signs, "key").select("bucket", "key", "hub", "label", "sig"), "dup-few")
     few = few.repartition(max(1, -(-few.count() // 4096)), "bucket").sortWithinPartitions("bucket")
-    late = materialize(few.mapInArrow(_listed(least), "a binary, b binary").distinct(), "dup-late")
+    late = materialize(few.mapInArrow(lean(_listed(least)), "a binary, b binary").distinct(), "dup-late")
     more = _verified(late, classes, docs)
     many = materialize(marked.where(F.col("size") > SMALL), "dup-many")
     if many.limit(1).count():

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import lean, materialize, ship
 
 #: Width of a column block, and the margin of the test in standard deviations.
 COLUMNS, MARGIN = 16, 2.1
@@ -181,7 +181,7 @@ def _entries(rows: DataFrame, k: int) -> DataFrame:
 
     # -0.0 and 0.0 are one number.
     rows = rows.select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
-    part = rows.mapInArrow(run, "v array<double>, ids array<long>, salt int")
+    part = rows.mapInArrow(lean(run), "v array<double>, ids array<long>, salt int")
     for keys in (["v", "salt"], ["v"]):
         part = part.groupBy(*keys).agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
     return part
@@ -208,7 +208,7 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, id_col: str = "vec_id",
             gap = ((x - shared.value[0][own]) ** 2).sum(1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int32()), pa.array(gap)], names=[*b.schema.names, "list", "gap"])
 
-    entries = materialize(_entries(rows, k).mapInArrow(assign, "v array<double>, ids array<long>, list int, gap double"), "ann-entries")
+    entries = materialize(_entries(rows, k).mapInArrow(lean(assign), "v array<double>, ids array<long>, list int, gap double"), "ann-entries")
     size, held, spread = np.zeros(lists, dtype="int64"), np.zeros(lists, dtype="int64"), np.zeros(lists)
     for r in entries.groupBy("list").agg(F.count(F.lit(1)), F.sum(F.size("ids")), F.avg("gap")).collect():  # one row for each list
         size[r[0]], held[r[0]], spread[r[0]] = r[1], r[2], r[3]
@@ -267,7 +267,7 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, id_col: str = "vec_id",
     def scanned(asked: DataFrame, near: bool) -> DataFrame:
         """What the queries find in their near or late lists."""
         columns = "id long, v array<double>, tau double, cell int, lists array<int>"
-        sent = materialize(asked.mapInArrow(lambda batches: route(batches, near), columns), "ann-queries")
+        sent = materialize(asked.mapInArrow(lean(lambda batches: route(batches, near)), columns), "ann-queries")
         wanted = {r[0]: r[1] for r in sent.groupBy("cell").count().collect()}  # one row for each cell
         parts = [(i, int(b), max(1, -(-wanted.get(i, 0) // block))) for i, b in enumerate(blocks)]
         parts = F.broadcast(spark.createDataFrame(parts, "cell int, blocks int, chunks int"))

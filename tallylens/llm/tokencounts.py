@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow_batches, materialize
+from .common import in_arrow_batches, lean, materialize
 from .segments import Pieces, cut, plain, shared, tokenizer_path
 
 #: Pieces in a leaf, and children of a node.
@@ -179,7 +179,7 @@ def with_trees(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             chars, tokens = zip(*leaves_of(b.column("text"), encoder), strict=True) if len(b) else ((), ())
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x, pa.list_(pa.int32())) for x in (chars, tokens)]], names=["doc_id", "text", "leaf_chars", "leaf_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, text string, {_LEAVES}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), f"doc_id long, text string, {_LEAVES}")
 
 
 def sampled_edits(doc_id: Column, n_chars: Column) -> Column:
@@ -222,7 +222,7 @@ def edited(stored: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 names=["doc_id", "text", "leaf_chars", "leaf_tokens", *counts],
             )
 
-    return stored.select("doc_id", "text", "leaf_chars", "leaf_tokens", "edits").mapInArrow(run, schema)
+    return stored.select("doc_id", "text", "leaf_chars", "leaf_tokens", "edits").mapInArrow(lean(run), schema)
 
 
 def count_edited(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, in_arrow_batches, materialize
+from .common import fresh_dir, in_arrow_batches, lean, materialize
 from .segments import shared, tokenizer_path
 
 BLOCK = 1024
@@ -228,7 +228,7 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "uri": [uri], "n_docs": [n_docs], "n_ids": [n_ids]}, schema=pa.schema([("part", pa.int32()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    return materialize(ranged.mapInArrow(run, "part int, uri string, n_docs long, n_ids long"), "token-parts")
+    return materialize(ranged.mapInArrow(lean(run), "part int, uri string, n_docs long, n_ids long"), "token-parts")
 
 
 def read_documents(parts: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def read_documents(parts: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(docs, mask=known == 0), pa.array(ends - sizes + base), pa.array(sizes), pa.array(crc, pa.int64())], schema=schema)
                     base += len(ids)
 
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, **params) -> DataFrame:
