@@ -46,7 +46,7 @@ def signal(when: Column, category: str, strength: float, detail: str | Column, *
     pairs = [x for k, v in meta.items() for x in (F.lit(k), v.cast("string"))]
     bag = F.create_map(*pairs) if pairs else F.lit(None)
     text = F.lit(detail) if isinstance(detail, str) else detail
-    return F.when(when, F.struct(F.lit(category).alias("category"), F.lit(strength).alias("strength"), text.alias("detail"), bag.cast("map<string,string>").alias("meta")).cast(SIGNAL))
+    return F.when(when, F.struct(F.lit(category).alias("category"), F.lit(strength).alias("strength"), text.alias("detail"), bag.cast("map<string,string>").alias("meta")))
 
 
 def fired(*signals: Column) -> Column:
@@ -60,8 +60,8 @@ def bind(body: Callable[[Column], Column], **values: Column) -> Column:
 
 
 class Steps:
-    """A probe in steps. A step gives new values by name from those before it, `source` and `target` first;
-    `final` gives the signals."""
+    """A probe in steps. A step gives new values by name from those before it: `source` and `target`, and these
+    stripped, `ss` and `st`, first; `final` gives the signals."""
 
     def __init__(self, *steps: Callable, final: Callable):
         self.steps, self.final = steps, final
@@ -69,16 +69,17 @@ class Steps:
     def __call__(self, source: Column, target: Column) -> Column:
         def go(p, names: list[str], steps: tuple) -> Column:
             if not steps:
-                return self.final(p)
+                return fired(*self.final(p))
             new = steps[0](p)
             kept = {n: p[n] for n in names} | new
             return bind(lambda q: go(q, list(kept), steps[1:]), **kept)
 
-        return go({"source": source, "target": target}, ["source", "target"], self.steps)
+        first = {"source": source, "target": target, "ss": strip(source), "st": strip(target)}
+        return bind(lambda p: go(p, list(first), self.steps), **first)
 
-    def laid(self, df: DataFrame, source: str, target: str, prefix: str) -> tuple[DataFrame, Column]:
-        """df with a column for each value, and the signals."""
-        p = {"source": F.col(source), "target": F.col(target)}
+    def laid(self, df: DataFrame, first: dict[str, Column], prefix: str) -> tuple[DataFrame, list[Column]]:
+        """df with a column for each value, and the signals, null where they didn't fire."""
+        p = dict(first)
         for step in self.steps:
             new = step(p)
             df = df.withColumns({prefix + n: c for n, c in new.items()})
@@ -87,16 +88,16 @@ class Steps:
 
 
 # Fixed value: how a number may begin.
-NUMBER_FORM = r"^\s*[-+]?[0-9.]"
+NUMBER_FORM = r"^[-+]?[0-9.]"
 
 
-def decimal(text: Column) -> Column:
-    return F.when(text.rlike(NUMBER_FORM), strip(text).try_cast("decimal(38,18)"))
+def decimal(stripped: Column) -> Column:
+    return F.when(stripped.rlike(NUMBER_FORM), stripped.try_cast("decimal(38,18)"))
 
 
 def scale(x: Column) -> Column:
-    """Digits after the point without trailing zeros."""
-    return F.length(F.rtrim(F.element_at(F.split(x.cast("string"), "[.]"), 2), F.lit("0")))
+    """Digits after the point without trailing zeros, of a decimal with a scale."""
+    return F.length(F.rtrim(F.substring_index(x.cast("string"), ".", -1), F.lit("0")))
 
 
 def _power(digits: Column, factor: int) -> Column:
@@ -115,7 +116,7 @@ def rounded_equal(fine: Column, coarse: Column, digits: Column) -> Column:
 
 
 def _decimals(p) -> dict[str, Column]:
-    return {"s": decimal(p["source"]), "t": decimal(p["target"])}
+    return {"s": decimal(p["ss"]), "t": decimal(p["st"])}
 
 
 def _scales(p) -> dict[str, Column]:
@@ -150,10 +151,10 @@ def _numeric(p) -> dict[str, Column]:
     }
 
 
-def _numeric_signals(p) -> Column:
+def _numeric_signals(p) -> list[Column]:
     wrapped, equal, to_whole, gap, cut = p["bits"].isNotNull(), p["equal"], p["to_whole"], p["gap"], p["cut"]
     rest = F.coalesce(p["differ"], F.lit(False)) & ~wrapped
-    return fired(
+    return [
         signal(wrapped, "type_precision", 0.92, "Target is the source wrapped around a narrower integer.", bits=p["bits"]),
         signal(rest & equal & to_whole, "transpilation", 0.85, "Equal once the source is rounded to whole units: a rounding step differs.", scale=p["digits"]),
         signal(rest & equal & ~to_whole, "type_precision", 0.9, F.concat(F.lit("Equal at scale "), p["digits"].cast("string"), F.lit(": digits were lost.")), scale=p["digits"]),
@@ -161,12 +162,11 @@ def _numeric_signals(p) -> Column:
         signal(rest & ~equal & ~cut & (gap < 1e-6), "type_precision", 0.7, "Differs by less than a millionth: binary floating point or order of addition.", relative=gap),
         signal(rest & ~equal & ~cut & (gap >= 1e-6) & (gap < 1e-3), "type_precision", 0.6, "Differs by less than a thousandth: rounding or lost digits.", relative=gap),
         signal(rest & p["factor"].isNotNull(), "transpilation", 0.6, F.concat(F.lit("Source is target times "), p["factor"], F.lit(": a unit or scale differs.")), factor=p["factor"]),
-    )
+    ]
 
 
-def timestamp(text: Column) -> Column:
-    """Wall-clock time of a text in an accepted form; an offset is left out."""
-    x = strip(text)
+def timestamp(x: Column) -> Column:
+    """Wall-clock time of a stripped text in an accepted form; an offset is left out."""
     plain = F.regexp_replace(x, r"(Z|[+-]\d{2}:?\d{2})$", "")
     # A year with a hyphen behind it begins every form.
     dated = F.substring(x, 5, 1) == "-"
@@ -181,14 +181,14 @@ def wall_micros(x: Column) -> Column:
 
 
 def _times(p) -> dict[str, Column]:
-    return {"s": timestamp(p["source"]), "t": timestamp(p["target"]), "dated": ~p["source"].contains(":") & ~p["target"].contains(":")}
+    return {"s": timestamp(p["ss"]), "t": timestamp(p["st"]), "dated": ~p["source"].contains(":") & ~p["target"].contains(":")}
 
 
 def _gap(p) -> dict[str, Column]:
     return {"micros": F.when(p["s"] != p["t"], F.abs(wall_micros(p["t"]) - wall_micros(p["s"])))}
 
 
-def _temporal(p) -> Column:
+def _temporal(p) -> list[Column]:
     micros = p["micros"]
     differ = micros > 0
     day, seconds = 86_400_000_000, micros / 1_000_000
@@ -196,37 +196,37 @@ def _temporal(p) -> Column:
     hours = (micros % 3_600_000_000 == 0) & (micros < day)
     halves = micros.isin([x * 1_000_000 for x in HALF_HOURS])
     rest = differ & ~dates
-    return fired(
+    return [
         signal(differ & dates, "env_config", 0.75, "Dates are a few whole days apart: another start of the week or bucket.", days=(micros / day).cast("int")),
         signal(rest & (hours | halves), "timezone", 0.9, "Times are an offset of time zones apart.", offset_seconds=seconds.cast("long")),
         signal(rest & (micros < 1_000_000), "type_precision", 0.7, "Times differ below a second: another precision.", offset_seconds=seconds),
         signal(rest & (micros >= day), "upstream_drift", 0.65, "Times are a day or more apart: taken at another moment.", days=(micros / day).cast("int"), provenance_candidate=F.lit(True)),
-    )
+    ]
 
 
 def _stripped(p) -> dict[str, Column]:
-    return {"s": strip(p["source"]), "t": strip(p["target"]), "case": F.lower(p["source"]) == F.lower(p["target"])}
+    return {"spaces": p["ss"] == p["st"], "case": F.lower(p["source"]) == F.lower(p["target"])}
 
 
-def _string(p) -> Column:
-    differ, spaces, case = p["source"] != p["target"], p["s"] == p["t"], p["case"]
+def _string(p) -> list[Column]:
+    differ, spaces, case = p["source"] != p["target"], p["spaces"], p["case"]
     # UNICODE_CI compares composed and decomposed forms, and letters of either case, as equal.
-    both = F.collate(p["s"], "UNICODE_CI") == F.collate(p["t"], "UNICODE_CI")
-    return fired(
+    both = F.collate(p["ss"], "UNICODE_CI") == F.collate(p["st"], "UNICODE_CI")
+    return [
         signal(differ & spaces, "string_format", 0.9, "Equal without white space at the ends."),
         signal(differ & ~spaces & case, "string_format", 0.85, "Equal but for case."),
         signal(F.when(differ & ~spaces & ~case, both), "string_format", 0.8, "Equal once normalised: Unicode form, case and white space."),
-    )
+    ]
 
 
 def _words(p) -> dict[str, Column]:
     def nullish(x: Column) -> Column:
         return x.isNull() | F.coalesce(x.isin(NULLISH), F.lit(False))
 
-    return {"ns": nullish(p["source"]), "nt": nullish(p["target"]), "ws": F.lower(strip(p["source"])), "wt": F.lower(strip(p["target"]))}
+    return {"ns": nullish(p["source"]), "nt": nullish(p["target"]), "ws": F.lower(p["ss"]), "wt": F.lower(p["st"])}
 
 
-def _null_boolean(p) -> Column:
+def _null_boolean(p) -> list[Column]:
     source, target, ns, nt = (p[n] for n in ("source", "target", "ns", "nt"))
 
     def truth(word: Column) -> Column:
@@ -236,34 +236,42 @@ def _null_boolean(p) -> Column:
     other = F.when(ns, target).otherwise(source)
     sentinel = F.coalesce(F.when(ns, p["wt"]).otherwise(p["ws"]).isin(SENTINELS), F.lit(False))
     shown = [F.coalesce(x, F.lit("None")) for x in (source, target)]
-    return fired(
+    return [
         signal(both & (shown[0] != shown[1]), "null_boolean", 0.85, "Both are forms of no value."),
         signal(one & sentinel, "null_boolean", 0.85, "A sentinel stands for no value.", sentinel=other),
         signal(one & ~sentinel, "upstream_drift", 0.8, "Only one side has a value.", populated_side=F.when(ns, "target").otherwise("source"), provenance_candidate=F.lit(True)),
         signal(~both & ~one & (source != target) & (truth(p["ws"]) == truth(p["wt"])), "null_boolean", 0.85, "The same truth value in another form."),
-    )
+    ]
 
 
 def canonical_json(text: Column) -> Column:
     """Text of a JSON object or array with sorted keys; NULL for anything else."""
-    return F.when(strip(text).rlike(r"(?s)^[\[{].*[\]}]$"), F.to_json(F.try_parse_json(text)))
+    return _canonical_of(strip(text))
+
+
+def _canonical_of(stripped: Column) -> Column:
+    return F.when(_bracketed(stripped) & F.substring(stripped, -1, 1).isin("]", "}"), F.to_json(F.try_parse_json(stripped)))
+
+
+def _bracketed(stripped: Column) -> Column:
+    return F.substring(stripped, 1, 1).isin("[", "{")
 
 
 def _canonical(p) -> dict[str, Column]:
-    both = strip(p["source"]).rlike(r"^[\[{]") & strip(p["target"]).rlike(r"^[\[{]")
-    return {"s": F.when(both, canonical_json(p["source"])), "t": F.when(both, canonical_json(p["target"]))}
+    both = _bracketed(p["ss"]) & _bracketed(p["st"])
+    return {"s": F.when(both, _canonical_of(p["ss"])), "t": F.when(both, _canonical_of(p["st"]))}
 
 
-def _semi_structured(p) -> Column:
+def _semi_structured(p) -> list[Column]:
     source, target, s, t = p["source"], p["target"], p["s"], p["t"]
     keys_s, keys_t = (F.array_sort(F.json_object_keys(x)) for x in (s, t))
     objects = s.startswith("{") & t.startswith("{")
     values = lambda x: F.from_json(x, "map<string,string>")
     changed = F.filter(keys_s, lambda k: ~F.element_at(values(s), k).eqNullSafe(F.element_at(values(t), k)))
-    return fired(
+    return [
         signal((source != target) & (s == t), "semi_structured", 0.9, "The same content in another order or spacing.", semantically_equal=F.lit(True)),
         signal((s != t) & objects & (keys_s == keys_t), "semi_structured", 0.6, "The same keys with other values.", semantically_equal=F.lit(False), changed_keys=F.array_join(changed, ",")),
-    )
+    ]
 
 
 numeric = Steps(_decimals, _scales, _numeric, final=_numeric_signals)
@@ -281,27 +289,27 @@ def register(name: str, probe: Probe) -> None:
     REGISTRY[name] = probe
 
 
-def _together(picked: list[Column]) -> Column:
-    return F.flatten(F.array(*[F.coalesce(x, F.array().cast(f"array<{SIGNAL}>")) for x in picked]))
-
-
 def signals(source: Column, target: Column, names: list[str] | None = None) -> Column:
     """All signals of a pair, in registry order."""
-    return _together([REGISTRY[n](source, target) for n in names or REGISTRY])
+    none = F.array().cast(f"array<{SIGNAL}>")
+    return F.flatten(F.array(*[F.coalesce(REGISTRY[n](source, target), none) for n in names or REGISTRY]))
 
 
 def with_signals(df: DataFrame, source: str, target: str, out: str = "found", names: list[str] | None = None) -> DataFrame:
-    """df with the signals of two of its columns, as signals() gives them. Probes in steps are laid out as
-    columns; others are called on the two columns. Explode them by each_signal()."""
-    kept, picked = df.columns, []
+    """df with the signals of two of its columns, in the order of signals(), and nulls among them: to filter
+    an array takes a lambda, which no code is generated for. each_signal() leaves them out. Probes in steps are
+    laid out as columns; others are called on the two columns."""
+    kept, picked, none = df.columns, [], F.array().cast(f"array<{SIGNAL}>")
+    df = df.withColumns({"_probe_ss": strip(F.col(source)), "_probe_st": strip(F.col(target))})
+    first = {"source": F.col(source), "target": F.col(target), "ss": F.col("_probe_ss"), "st": F.col("_probe_st")}
     for n in names or REGISTRY:
         probe = REGISTRY[n]
         if isinstance(probe, Steps):
-            df, x = probe.laid(df, source, target, f"_{n}_")
+            df, found = probe.laid(df, first, f"_probe_{n}_")
+            picked.append(F.array(*found))
         else:
-            x = probe(F.col(source), F.col(target))
-        picked.append(x)
-    return df.select(*kept, _together(picked).alias(out))
+            picked.append(F.coalesce(probe(F.col(source), F.col(target)), none))
+    return df.select(*kept, F.concat(*picked).alias(out))
 
 
 def each_signal(df: DataFrame, *columns: str, found: str = "found") -> DataFrame:
