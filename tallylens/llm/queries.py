@@ -54,7 +54,7 @@ def op8_bayesian_minhash_dedup(spark, sf_dir):
 
 def op9_low_discrepancy_mix(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op10_edit_aware_token_counts(spark, sf_dir):
