@@ -27,11 +27,16 @@ class Config:
 
 
 def load(path: str | None) -> Config:
-    """The settings in a file over the defaults; names that aren't settings are ignored."""
+    """The settings in a file over the defaults."""
     if not path or not os.path.exists(path):
         return Config()
     with open(path) as f:
-        given = json.load(f)
+        return parse(f.read())
+
+
+def parse(text: str) -> Config:
+    """Settings in JSON over the defaults; null and names that aren't settings are ignored."""
+    given = json.loads(text)
     known = {f.name for f in fields(Config)}
     return Config(**{k: v for k, v in given.items() if k in known and v is not None})
 

@@ -4,7 +4,6 @@ lineage, reports, streaming and the acceptance scenarios."""
 from __future__ import annotations
 
 import json
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -208,10 +207,8 @@ def q_split_script(spark, sf_dir):
 def q_run_settings(spark, sf_dir):
     rows = []
     for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey").collect():
-        with tempfile.NamedTemporaryFile("w", suffix=".json") as f:  # read on the driver, where settings lie
-            json.dump({"recon_schema": f"orders_{r[0]}", "use_lineage": r[0] % 2 == 0, "output_dir": f"/reports/{r[0]}", "dialect": None, "unheard_of": 1}, f)
-            f.flush()
-            c = config.load(f.name)
+        given = {"recon_schema": f"orders_{r[0]}", "use_lineage": r[0] % 2 == 0, "output_dir": f"/reports/{r[0]}", "dialect": None, "unheard_of": 1}
+        c = config.parse(json.dumps(given))
         rows.append((c.recon_schema, c.dialect, c.use_lineage, config.output_dir(spark, c.output_dir)))
     return spark.createDataFrame(rows, "recon_schema string, dialect string, use_lineage boolean, output_dir string")
 

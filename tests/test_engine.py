@@ -253,6 +253,15 @@ def test_issues_go_to_the_file_of_their_table(spark, tmp_path):
     assert not got["oman"].issues and [i["message"] for i in got["romania"].issues] == ["can't parse it"]
 
 
+def test_settings_come_from_a_file_over_defaults(tmp_path):
+    from tallylens.plans import config
+
+    (tmp_path / "c.json").write_text('{"recon_schema": "r", "dialect": null, "tables": [{"target": "t"}], "odd": 1}')
+    got = config.load(str(tmp_path / "c.json"))
+    assert (got.recon_schema, got.dialect, got.tables, got.use_lineage) == ("r", "snowflake", [{"target": "t"}], False)
+    assert config.load(None) == config.load(str(tmp_path / "none.json")) == config.Config()
+
+
 def test_scratch_folders_are_dropped(spark):
     first = scratch.mark()
     kept = [scratch.materialize(spark.range(k), "test") for k in (1, 2, 3)]
