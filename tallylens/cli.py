@@ -15,6 +15,7 @@ from .sources import artifacts
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tallylens", description=__doc__)
+    # The names of the flags.
     p.add_argument("--recon-id", required=True)
     p.add_argument("--recon-catalog", default="")
     p.add_argument("--recon-schema", required=True)

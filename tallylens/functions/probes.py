@@ -87,7 +87,7 @@ class Steps:
         return df, self.final(p)
 
 
-# Fixed value: how a number may begin.
+#: How a number begins; other texts aren't tried as one.
 NUMBER_FORM = r"^[-+]?[0-9.]"
 
 

@@ -1,4 +1,7 @@
-"""Dialect packs: type mappings, functions whose meaning differs, and remediation by category."""
+"""Dialect packs: type mappings, functions whose meaning differs, and remediation by category.
+
+Fixed values in a pack: the names of source types, functions and categories. Functions that share a remark are
+listed one by one, as a name is looked for in code by itself. Remarks and remedies are our own."""
 
 from __future__ import annotations
 
