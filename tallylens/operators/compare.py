@@ -34,16 +34,21 @@ def differs(s: Column, t: Column, same_type: bool) -> Column:
     return ~s.eqNullSafe(t) if same_type else ~s.cast("string").eqNullSafe(t.cast("string"))
 
 
-def _unique(sides: list[DataFrame], keys: list[str]) -> bool:
-    twice = [df.groupBy(*keys).count().where("count > 1").select(F.lit(1).alias("x")) for df in sides]
-    return twice[0].union(twice[1]).limit(1).isEmpty()
-
-
-def _meet(s: DataFrame, t: DataFrame, on: list[str]) -> DataFrame:
-    """Full outer join, null-safe, of sides with `_row`, renamed to `_s` and `_t`; the columns `on` come from
-    either side."""
-    s = s.withColumnRenamed("_row", "_s").withColumnsRenamed({c: f"_s_{c}" for c in on})
-    t = t.withColumnRenamed("_row", "_t").withColumnsRenamed({c: f"_t_{c}" for c in on})
+def _keys_of(sides: list[DataFrame], keys: list[str]) -> tuple[bool, bool]:
+    """(no key has two rows on a side, no key holds a null), from one job over the key columns alone."""
+    some_null = reduce(or_, [F.col(k).isNull() for k in keys])
+    each = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(some_null).alias("z")).agg(F.max("n"), F.max("z")) for df in sides]
+    found = each[0].union(each[1]).collect()  # two rows
+    return all((r[0] or 0) < 2 for r in found), not any(r[1] for r in found)
+
+
+def _meet(s: DataFrame, t: DataFrame, on: list[str], nulls: bool = True) -> DataFrame:
+    """Full outer join, null-safe unless there are no nulls, of sides with `_row`, renamed to `_s` and `_t`; the
+    columns `on` come from either side."""
+    s, t = s.withColumnRenamed("_row", "_s"), t.withColumnRenamed("_row", "_t")
+    if not nulls:
+        return s.join(t, on, "full_outer")
+    s, t = s.withColumnsRenamed({c: f"_s_{c}" for c in on}), t.withColumnsRenamed({c: f"_t_{c}" for c in on})
     both = s.join(t, reduce(and_, [F.col(f"_s_{c}").eqNullSafe(F.col(f"_t_{c}")) for c in on], F.lit(True)), "full_outer")
     return both.select(*[F.coalesce(f"_s_{c}", f"_t_{c}").alias(c) for c in on], *[c for c in both.columns if not c.startswith(("_s_", "_t_"))])
 
@@ -61,9 +66,9 @@ def joined(source: DataFrame, target: DataFrame, pair: Pair) -> tuple[DataFrame,
     source = source.withColumnsRenamed(pair.column_map)
     common = [c for c in source.columns if c in target.columns and c not in pair.keys]
     keys, sides = list(pair.keys), []
-    unique = pair.unique_keys
+    unique, known = pair.unique_keys, False
     if unique is None:
-        unique = bool(keys) and _unique([source, target], keys)
+        unique, known = _keys_of([source, target], keys) if keys else (False, False)
     types = [dict(source.dtypes), dict(target.dtypes)]
     alike = lambda c: F.col(c) if types[0][c] == types[1][c] else F.col(c).cast("string")
     for df in (source, target):
@@ -71,7 +76,7 @@ def joined(source: DataFrame, target: DataFrame, pair: Pair) -> tuple[DataFrame,
         hashes = [F.xxhash64(F.lit(k), *[alike(c) for c in common]).alias(f"_h{k}") for k in (0, 1)]
         sides.append(df.select(*keys, row) if unique else df.select(*keys, *hashes, row))
     if unique:
-        return _meet(*sides, keys), common
+        return _meet(*sides, keys, nulls=not known), common
     by = [*keys, "_h0", "_h1"]
     s, t = (x.groupBy(*by).agg(F.count(F.lit(1)).alias(f"_n{k}"), F.first("_row").alias("_row")) for k, x in enumerate(sides))
     met = _meet(s, t, by).withColumns({n: F.coalesce(n, F.lit(0)) for n in ("_n0", "_n1")}).withColumn("_both", F.least("_n0", "_n1"))
