@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, langid, lmscore, mixing, neardup, neighbours, sharding, tokencounts, tokenfiles
+from . import chat, decontamination, divergence, langid, lmscore, mixing, neardup, neighbours, sharding, tokencounts, tokenfiles
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op10_edit_aware_token_counts(spark, sf_dir):
     return tokencounts.count_edited(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence_audit(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         f.__name__: f
@@ -76,6 +80,7 @@ def queries():
             op8_bayesian_minhash_dedup,
             op9_low_discrepancy_mix,
             op10_edit_aware_token_counts,
+            op11_source_divergence_audit,
         )
     }
 
@@ -188,5 +193,31 @@ FROM sizes LEFT JOIN scored USING (doc_id) GROUP BY doc_id, n_words
 """
 
 
+#: Every kept term beside every group of its language.
+_OP11 = """
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS d,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), groups AS (SELECT DISTINCT lang, source FROM docs), occ AS (SELECT lang, source, d, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM occ GROUP BY 1, 2 HAVING count(DISTINCT d) >= 10),
+counts AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM occ GROUP BY 1, 2, 3),
+sizes AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY 1), cells AS (
+  SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n FROM groups g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), whole AS (SELECT lang, source, sum(n) AS n FROM cells GROUP BY 1, 2), shares AS (
+  SELECT c.lang, c.source, c.term, c.n, CAST(1 + (1000000000 * (c.n + 2)) // (w.n + 2 * s.v) AS HUGEINT) AS p, CAST(1 + (1000000000 * (c.total + 2)) // (s.n + 2 * s.v) AS HUGEINT) AS q
+  FROM cells c JOIN whole w ON w.lang = c.lang AND w.source = c.source JOIN sizes s ON s.lang = c.lang
+), met AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS f
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN met ON met.lang = a.lang AND met.source = a.source AND met.item = b.source
+), terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql():
-    return {"op1_token_chat_format": _OP1, "op5_suffix_array_decontamination": _OP5, "op7_stupid_backoff_scores": _OP7, "op8_bayesian_minhash_dedup": _OP8}
+    return {"op11_source_divergence_audit": _OP11, "op1_token_chat_format": _OP1, "op5_suffix_array_decontamination": _OP5, "op7_stupid_backoff_scores": _OP7, "op8_bayesian_minhash_dedup": _OP8}
