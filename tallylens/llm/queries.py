@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, divergence, langid, lmscore, mixing, neardup, neighbours, sharding, tokencounts, tokenfiles
+from . import chat, decontamination, divergence, langid, lmscore, mixing, neardup, neighbours, packing, sharding, tokencounts, tokenfiles
 from .common import table
 
 
@@ -65,6 +65,11 @@ def op11_source_divergence_audit(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_space_filling_curve_packing(spark, sf_dir):
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries():
     return {
         f.__name__: f
@@ -81,6 +86,7 @@ def queries():
             op9_low_discrepancy_mix,
             op10_edit_aware_token_counts,
             op11_source_divergence_audit,
+            op13_space_filling_curve_packing,
         )
     }
 
