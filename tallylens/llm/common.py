@@ -63,3 +63,16 @@ def in_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)
+
+
+#: Rows of a small table that may be broadcast, and places that the rows of one key meet it in if it has more.
+SMALL, SALTS = 100_000, 32
+
+
+def join_spread(big: DataFrame, small: DataFrame, on: str, by: str, width: int = 1) -> DataFrame:
+    """big with the columns of small's one row for its key. A small table, counted first (its rows are `width` of a
+    broadcast's), is broadcast; else the key's rows are dealt by the column `by`, so that a hot key is spread."""
+    if small.count() * width <= SMALL:
+        return big.join(F.broadcast(small), on)
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("_salt", F.pmod(F.hash(by), F.lit(SALTS))).join(spread, [on, "_salt"]).drop("_salt")

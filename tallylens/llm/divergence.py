@@ -8,9 +8,8 @@ are whole and all arithmetic is exact.
 
 The vectors of a language are as long as it has sources, and its result has a row for each ordered pair of
 them, so sources are taken to be few; documents, terms and languages may be any number. What is known about
-a language (its sources, their sizes) is broadcast to its terms, if all languages together have no more than
-BROADCAST sources, and else joined by (lang, one of SALTS numbers), so that a language which holds most terms is
-spread.
+a language (its sources, their sizes) is broadcast to its terms if its measured size allows, and else joined so
+that a language which holds most terms is spread.
 
 Defined cases: null text, lang and source are empty; a row is a document, whatever its doc_id, so repeated
 rows count again; a group without terms takes part with counts of 0; a language without kept terms has pairs
@@ -25,13 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow_batches, lean, materialize
+from .common import in_arrow_batches, join_spread, lean, materialize
 from .words import LETTERS, tokens
 
 SCALE = 1_000_000_000
-#: So many sources of all languages together are broadcast with their sizes; of more, a language's terms meet
-#: its sizes in SALTS places.
-BROADCAST, SALTS = 200_000, 32
 
 
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
@@ -78,11 +74,8 @@ def _groups(docs: DataFrame) -> DataFrame:
 
 def _join_lang(terms: DataFrame, langs: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows of terms with the columns of their language's one row."""
-    entries = groups.agg(F.sum(F.size("sources") + 1)).first()[0] or 0
-    if entries <= BROADCAST:
-        return terms.join(F.broadcast(langs), "lang")
-    spread = langs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return terms.withColumn("salt", F.pmod(F.hash("term"), F.lit(SALTS))).join(spread, ["lang", "salt"]).drop("salt")
+    most = groups.agg(F.max(F.size("sources") + 1)).first()[0] or 0
+    return join_spread(terms, langs, "lang", "term", most)
 
 
 def _share(n: str, of: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, divergence, langid, lmscore, mixing, neardup, neighbours, packing, sharding, tokencounts, tokenfiles
+from . import chat, decontamination, divergence, langid, lmscore, mixing, neardup, neighbours, packing, phrases, sharding, tokencounts, tokenfiles
 from .common import table
 
 
@@ -65,6 +65,10 @@ def op11_source_divergence_audit(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_bucketed_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents")).drop("cut")
+
+
 def op13_space_filling_curve_packing(spark, sf_dir):
     packed = packing.pack(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -86,6 +90,7 @@ def queries():
             op9_low_discrepancy_mix,
             op10_edit_aware_token_counts,
             op11_source_divergence_audit,
+            op12_bucketed_phrase_collocations,
             op13_space_filling_curve_packing,
         )
     }
@@ -225,5 +230,28 @@ FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' O
 """
 
 
+#: All n-grams counted whole, every longer candidate looked into.
+_OP12 = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM words GROUP BY 1), starts AS (
+  SELECT lang, w[i : i + 4] AS w FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words)
+), grams AS (
+  SELECT lang, k, w[1:k] AS w, CAST(count(*) AS HUGEINT) AS f FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS k FROM starts) GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (SELECT lang, k, w, f AS a, unnest(range(1, k)) AS cut FROM grams WHERE k > 1), scored AS (
+  SELECT c.lang, c.k, c.w, c.a, c.cut, x.f AS l, y.f AS r, n, (1000 * c.a * n) // (x.f * y.f) AS score
+  FROM cuts c JOIN grams x ON x.lang = c.lang AND x.w = c.w[1 : cut] JOIN grams y ON y.lang = c.lang AND y.w = c.w[cut + 1 : c.k] JOIN sizes s ON s.lang = c.lang
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, cut) = 1), within AS (
+  SELECT DISTINCT lang, w[i : i + k - 1] AS w, f FROM (
+    SELECT lang, f, w, n, k, unnest(range(1, n - k + 2)) AS i FROM (SELECT lang, f, w, k AS n, unnest(range(2, k)) AS k FROM grams WHERE k > 2))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank, array_to_string(w, ' ') AS phrase,
+  CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best b WHERE NOT EXISTS (SELECT 1 FROM within x WHERE x.lang = b.lang AND x.w = b.w AND 100 * x.f >= 100 * b.a)
+QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql():
-    return {"op11_source_divergence_audit": _OP11, "op1_token_chat_format": _OP1, "op5_suffix_array_decontamination": _OP5, "op7_stupid_backoff_scores": _OP7, "op8_bayesian_minhash_dedup": _OP8}
+    return {"op12_bucketed_phrase_collocations": _OP12, "op11_source_divergence_audit": _OP11, "op1_token_chat_format": _OP1, "op5_suffix_array_decontamination": _OP5, "op7_stupid_backoff_scores": _OP7, "op8_bayesian_minhash_dedup": _OP8}
