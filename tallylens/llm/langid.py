@@ -9,7 +9,8 @@ them; prediction sees the text alone. Words are lower-cased runs between Unicode
 Arrow's kernels for learning and prediction alike.
 
 Defined cases: null text and text without a letter give `und` with score 0; null lang is no label; with
-no labelled document at all every text is `und`; equal scores go to the language first by code point.
+no labelled document at all every text is `und`; equal scores go to the language first by code point; null
+and repeated doc_ids are no hindrance: a row without one is not held out.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_arrow_batches, lean, materialize
@@ -316,10 +317,19 @@ def _word_counts(sample: DataFrame) -> DataFrame:
     return by.where("word != ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, *, docs_per_language: int = 400, most_docs: int = 40_000, vocabulary_path: str | None = None) -> dict:
-    """Fits on docs(doc_id, text, lang) with a label that are not held out. The sample is bounded: about
-    docs_per_language whole documents of each language, most_docs in all, drawn by a hash of doc_id;
-    the shares of the languages are counted over all labelled documents."""
+def _bounded(words: DataFrame, langs: int, most_words: int, most_chars: int) -> DataFrame:
+    """Each language's most frequent words: its share of most_words and of most_chars. Ranked before the shuffle."""
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), F.length("word"), "word")
+    few = words.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, most_words // langs))
+    return few.withColumn("chars", F.sum(F.length("word")).over(order)).where(F.col("chars") <= max(1, most_chars // langs)).select("lang", "word", "n")
+
+
+def fit(docs: DataFrame, *, docs_per_language: int = 400, most_docs: int = 40_000, most_words: int = 1_600_000, most_chars: int = 1 << 25, vocabulary_path: str | None = None) -> dict:
+    """Fits on docs(doc_id, text, lang) with a label that are not held out. What is learned from is bounded twice:
+    about docs_per_language whole documents of each language, most_docs in all, are drawn by a hash of doc_id
+    and text (copies of one document under one id, or without ids, are drawn all or none); and of their words,
+    which tasks count, the most frequent go to the driver, most_words and most_chars of all languages at
+    most. The shares of the languages are counted over all labelled documents."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     known = known.select("doc_id", "text", "lang")
     totals = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
@@ -328,11 +338,11 @@ def fit(docs: DataFrame, *, docs_per_language: int = 400, most_docs: int = 40_00
         return {"langs": [], "pieces": [], "logp": None, "prior": None}
     per = max(1, min(docs_per_language, most_docs // len(langs)))
     rates = docs.sparkSession.createDataFrame([(k, min(1.0, per / n)) for k, n in totals.items()], "lang string, rate double")
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(61)), 11) / float(1 << 53)
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(61)), 11) / float(1 << 53)
     # One row for each language, as many as the totals that are here already: texts needn't be shuffled.
     sample = known.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("lang", "text")
     counts: dict = {k: {} for k in langs}
-    seen = materialize(_word_counts(sample), "lang-words").toArrow()
+    seen = materialize(_bounded(_word_counts(sample), len(langs), most_words, most_chars), "lang-words").toArrow()
     for lang, word, n in sorted(zip(*seen.to_pydict().values(), strict=True)):
         counts[lang][MARK + word] = n
     pieces = vocabulary(vocabulary_path)

@@ -1,6 +1,8 @@
 """Sharding by sampled splitters.
 
-Records are ordered by (hash of text, doc_id), so equal texts stand together. A sample that is drawn
+Records are ordered by (hash of text, doc_id, number), so equal texts stand together, and rows that are equal
+in all else, whatever their number, can still be cut anywhere: they are numbered when they are written to the
+shared folder, which all later passes read. A sample that is drawn
 with probability in proportion to size gives quantile boundaries; the exact bytes of each range are
 then added up over all rows, ranges that came out overfull are sampled again on their own and
 subdivided, and consecutive ranges are joined into shards whose sizes are near equal. A boundary moves
@@ -9,7 +11,8 @@ to the edge of a group of equal texts where that costs less than `slack` of a sh
 What reaches the driver is bounded: per_range samples for each of at most max_ranges ranges (16 x 65,536
 keys), the splitters, and the sizes and counts of the ranges.
 
-Defined cases: null text has size 1 and crc32 0; repeated rows are rows of their own; a row larger than
+Defined cases: null text has size 1 and crc32 0; a null doc_id comes first among equal texts; repeated rows are
+rows of their own; a row larger than
 a shard fills one alone; an empty table gives an empty result; with fewer rows than shards some stay empty.
 """
 
@@ -26,38 +29,41 @@ from pyspark.sql import functions as F
 from .common import materialize, ship
 
 
-def _ranged(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
-    """Adds `range`: how many splitters (h, d) are at or below the row's (h, d)."""
+Key = tuple[int, int, int]
+
+
+def _ranged(rows: DataFrame, splitters: list[Key]) -> DataFrame:
+    """Adds `range`: how many splitters (h, d, u) are at or below the row's."""
     if not splitters:
         return rows.withColumn("range", F.lit(0))
-    # Sorted pairs, as two arrays: at most max_ranges, and the edges of their groups.
+    # Sorted keys, as three arrays: at most max_ranges, and the edges of their groups.
     shared = rows.sparkSession.sparkContext.broadcast(tuple(np.array(x, dtype="int64") for x in zip(*sorted(splitters), strict=True)))
 
     @F.pandas_udf("int")
-    def place(h: pd.Series, d: pd.Series) -> pd.Series:
-        hs, ds = shared.value
+    def place(h: pd.Series, d: pd.Series, u: pd.Series) -> pd.Series:
+        hs, ds, us = shared.value
         at, end = (np.searchsorted(hs, h.to_numpy(), side=x) for x in ("left", "right"))
-        # Where splitters have the row's h, a binary search among their d's.
+        # Where splitters have the row's h, a binary search among their (d, u).
         own = np.flatnonzero(at < end)
-        lo, hi, key = at[own], end[own], d.to_numpy()[own]
+        lo, hi, key, number = at[own], end[own], d.to_numpy()[own], u.to_numpy()[own]
         while (open_ := lo < hi).any():
             mid = np.minimum((lo + hi) // 2, len(ds) - 1)
-            below = ds[mid] <= key
+            below = (ds[mid] < key) | (ds[mid] == key) & (us[mid] <= number)
             lo, hi = np.where(open_ & below, mid + 1, lo), np.where(open_ & ~below, mid, hi)
         end[own] = lo
         return pd.Series(end.astype("int32"))
 
-    return rows.withColumn("range", place("h", "d"))
+    return rows.withColumn("range", place("h", "d", "u"))
 
 
-def _sample(rows: DataFrame, total: int, want: int, salt: int) -> list[tuple[int, int]]:
+def _sample(rows: DataFrame, total: int, want: int, salt: int) -> list[Key]:
     """Keys drawn with probability want * size / total each (1 at most), in ascending order."""
-    draw = F.shiftrightunsigned(F.xxhash64("h", "d", "doc_id", F.lit(salt)), 11) / float(1 << 53)
+    draw = F.shiftrightunsigned(F.xxhash64("h", "d", "u", F.lit(salt)), 11) / float(1 << 53)
     # A row above total / want is met several times over: it stands for as many quantiles.
     share = F.col("size") * (want / max(1, total))
     hits = F.floor(share) + F.when(draw < share - F.floor(share), 1).otherwise(0)
-    drawn = rows.where(hits > 0).select("h", "d", hits.alias("n"))
-    return sorted((r[0], r[1]) for r in drawn.collect() for _ in range(min(int(r[2]), want)))
+    drawn = rows.where(hits > 0).select("h", "d", "u", hits.alias("n"))
+    return sorted(tuple(r)[:3] for r in drawn.collect() for _ in range(min(int(r[3]), want)))
 
 
 def _quantiles(sample: list, parts: int) -> list:
@@ -67,6 +73,11 @@ def _quantiles(sample: list, parts: int) -> list:
 LOWEST = -(1 << 63)
 
 
+def _edge(h: int) -> Key:
+    """Where the group of texts of one hash begins."""
+    return h, LOWEST, LOWEST
+
+
 def _heads(rows: DataFrame, cuts: list) -> list[tuple[int, int]]:
     """The exact (bytes, rows) of each range."""
     sums = {r[0]: (r[1], r[2]) for r in _ranged(rows, cuts).groupBy("range").agg(F.sum("size"), F.count(F.lit(1))).collect()}
@@ -81,19 +92,19 @@ def _subdivided(rows: DataFrame, cuts: list, heads: list, parts: dict[int, int],
     for s in found:
         by.setdefault(bisect.bisect_right(cuts, s), []).append(s)
     extra = {c for k, inner in by.items() if k in parts for c in _quantiles(inner, parts[k])}
-    return sorted(set(cuts) | extra | {(h, LOWEST) for h, _ in extra})
+    return sorted(set(cuts) | extra | {_edge(c[0]) for c in extra})
 
 
 def splitters(rows: DataFrame, total: int, ranges: int, shards: int, per_range: int = 16, rounds: int = 3) -> tuple[list, list]:
-    """Splitters (h, d) and the exact (bytes, rows) of each range between them. rows: h, d, doc_id, size.
+    """Splitters (h, d, u) and the exact (bytes, rows) of each range between them. rows: h, d, u, size.
 
-    A splitter is the edge of a group of equal texts, (h, LOWEST), unless several samples share an h."""
+    A splitter is the edge of a group of equal texts unless several samples share an h."""
     goal = total / ranges
     drawn = _quantiles(_sample(rows, total, ranges * per_range, 0), ranges)
     seen: dict = {}
-    for h, _ in drawn:
+    for h, *_ in drawn:
         seen[h] = seen.get(h, 0) + 1
-    cuts = sorted({(h, LOWEST) for h in seen} | {c for c in drawn if seen[c[0]] > 1})
+    cuts = sorted({_edge(h) for h in seen} | {c for c in drawn if seen[c[0]] > 1})
     heads = _heads(rows, cuts)
     for again in range(rounds):
         full = {k: math.ceil(b / goal) for k, (b, n) in enumerate(heads) if b > 2 * goal and n > 1}
@@ -139,7 +150,7 @@ def shard_of_ranges(cuts: list, heads: list, shards: int, slack: float) -> list[
 
 
 def _keyed(docs: DataFrame, *more) -> DataFrame:
-    """doc_id, size, text_crc32, and the order's h (hash of text) and d (doc_id, the null one first)."""
+    """doc_id, size, text_crc32, and the order's h (hash of text), d (doc_id, the null one first) and u (a number)."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         "doc_id",
@@ -147,6 +158,7 @@ def _keyed(docs: DataFrame, *more) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("d"),
+        F.monotonically_increasing_id().alias("u"),
         *more,
     )
 
@@ -155,7 +167,8 @@ def _placed(docs: DataFrame, shards: int, *more, rows_per_range: int = 1 << 16,
     """Keyed rows of docs, with shard and slot; more columns are carried along in the one shuffle by range."""
     spark = docs.sparkSession
     ship(spark)
-    thin = materialize(_keyed(docs), "shard-sizes")
+    stored = materialize(_keyed(docs, *more), "shard-rows")
+    thin = stored.select("h", "d", "u", "size")
     n, total = thin.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = int(min(max_ranges, max(64 * shards, n // rows_per_range)))
     cuts, heads = splitters(thin, total, ranges, shards)
@@ -165,8 +178,8 @@ def _placed(docs: DataFrame, shards: int, *more, rows_per_range: int = 1 << 16,
         offsets.append(used.get(s, 0))
         used[s] = offsets[-1] + rows
     table = spark.createDataFrame(list(zip(range(len(where)), where, offsets, strict=True)), "range int, shard int, first long")
-    placed = _ranged(_keyed(docs, *more) if more else thin, cuts)
-    order = Window.partitionBy("range").orderBy("h", "d", "size")
+    placed = _ranged(stored, cuts)
+    order = Window.partitionBy("range").orderBy("h", "d", "u")
     placed = placed.withColumn("within", F.row_number().over(order) - 1).join(F.broadcast(table), "range")  # at most max_ranges rows
     return placed.withColumn("slot", F.col("first") + F.col("within"))
 
@@ -179,7 +192,7 @@ def shard(docs: DataFrame, shards: int = 16, **params) -> DataFrame:
 
 def sharded_documents(docs: DataFrame, shards: int = 16, **params) -> DataFrame:
     """The rows of docs with shard and slot; other columns stay as they are, whatever their names, but a
-    column named shard or slot gives way. Whole rows move once, to their range."""
+    column named shard or slot gives way. Whole rows are written once, and move once, to their range."""
     keep = [c for c in docs.columns if c not in ("shard", "slot")]
     placed = _placed(docs, shards, F.struct(*[F.col(c) for c in keep]).alias("row"), **params)
     return placed.select("row.*", "shard", "slot")

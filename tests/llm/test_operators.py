@@ -156,9 +156,26 @@ def test_shards_of_rows_without_doc_id_and_of_one_text(spark):
 
 def test_ranges_count_splitters(spark):
     rng = np.random.default_rng(2)
-    cuts = sorted({(int(h), int(d)) for h, d in zip(rng.integers(-3, 4, 25), rng.integers(-5, 6, 25), strict=True)} | {(0, sharding.LOWEST)})
-    rows = spark.createDataFrame([(h, d) for h in range(-4, 5) for d in range(-6, 7)], "h long, d long")
-    assert all(r["range"] == sum(c <= (r["h"], r["d"]) for c in cuts) for r in sharding._ranged(rows, cuts).collect())
+    cuts = sorted({(int(h), int(d), int(u)) for h, d, u in zip(rng.integers(-3, 4, 60), rng.integers(-2, 3, 60), rng.integers(0, 4, 60), strict=True)} | {(0, sharding.LOWEST, sharding.LOWEST)})
+    rows = spark.createDataFrame([(h, d, u) for h in range(-4, 5) for d in range(-3, 4) for u in range(5)], "h long, d long, u long")
+    assert all(r["range"] == sum(c <= (r["h"], r["d"], r["u"]) for c in cuts) for r in sharding._ranged(rows, cuts).collect())
+
+
+@pytest.mark.parametrize("share", [1.0, 0.4])
+def test_equal_rows_without_doc_id_are_cut_to_equal_shards(spark, share):
+    """Rows that tie in text and doc_id: 16 shards within 1 % of each other, or a row."""
+    n, same = 8000, int(8000 * share)
+    rows = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") < same, "the same text").otherwise(F.format_string("text %07d", "id")).alias("text")).repartition(5)
+    got = sharding.shard(rows, 16).collect()
+    sizes, slots = Counter(), defaultdict(list)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == n and set(sizes) == set(range(16)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    mean = sum(sizes.values()) / 16
+    assert max(abs(x - mean) for x in sizes.values()) <= 0.02 * mean
+    whole = sharding.sharded_documents(rows, 16)
+    assert whole.columns == ["doc_id", "text", "shard", "slot"] and whole.select("shard", "slot").distinct().count() == n
 
 
 def test_neighbours(spark):
@@ -698,3 +715,21 @@ def test_mixed_documents_meet_targets_in_whole_rows(spark):
     a, b = ([got[r] for r in made if r[2] == s] for s in "ab")
     assert set(got) <= set(made) and set(a) <= {0, 1} and set(b) <= {1, 2}
     assert abs(9 * sum(a) - 180) <= 9 and abs(9 * sum(b) - 360) <= 9
+
+
+def test_languages_are_learned_without_and_with_repeated_doc_ids(spark):
+    rng = np.random.default_rng(4)
+    vocab = {"en": ["the", "house", "and", "would", "light"], "fr": ["maison", "avec", "lumière", "vous", "être"]}
+    made = [(None, " ".join(rng.choice(vocab[k], 12)), k) for k in ("en", "fr") * 400]
+    for rows in (made, [(8, *r[1:]) for r in made], made[:1] * 900 + made):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        got = langid.predict(docs.withColumn("want", F.col("lang")), langid.fit(docs, docs_per_language=100)).collect()
+        right = sum(a["lang_pred"] == b[2] for a, b in zip(got, rows, strict=True))
+        assert right >= 0.99 * len(rows) and min(r["score"] for r in got) > 0.5
+
+
+def test_words_learned_from_are_bounded(spark):
+    words = spark.createDataFrame([("en", f"w{k:05d}", k) for k in range(500)] + [("de", "x" * 900, 9), ("de", "kurz", 3)], "lang string, word string, n long")
+    got = {tuple(r) for r in langid._bounded(words, 2, 200, 1200).collect()}
+    assert got == {("en", f"w{k:05d}", k) for k in range(400, 500)} | set()
+    assert {r["word"] for r in langid._bounded(words, 2, 200, 2400).where("lang = 'de'").collect()} == {"x" * 900, "kurz"}
