@@ -204,14 +204,31 @@ def _temporal(p) -> list[Column]:
     ]
 
 
+def folded(x: Column) -> Column:
+    """x in a form that two texts share where full case folding makes them equal: ß and ss, ligatures, final sigma.
+
+    Lower and then upper case, with special casing, part characters as folding does but for the dotless i, which
+    stands aside meanwhile."""
+    full = F.upper(F.translate(F.lower(x), "\u0131", "\uf8f0"))
+    return F.when(F.octet_length(x) == F.char_length(x), F.upper(x)).otherwise(full)
+
+
+#: Letters that collations take for two others though no normal form does, and what stands for them.
+_LIKE_TWO, _STAND_IN = "\u013f\u0e33\u0eb3\u0f77\u0f79", "\uf8f1\uf8f2\uf8f3\uf8f4\uf8f5"
+#: Control and format characters, which collations pass over.
+_IGNORED = r"[^\p{Cc}\p{Cf}]"
+
+
 def _stripped(p) -> dict[str, Column]:
-    return {"spaces": p["ss"] == p["st"], "case": F.lower(p["source"]) == F.lower(p["target"])}
+    return {"spaces": p["ss"] == p["st"], "case": folded(p["source"]) == folded(p["target"])}
 
 
 def _string(p) -> list[Column]:
     differ, spaces, case = p["source"] != p["target"], p["spaces"], p["case"]
-    # UNICODE_CI compares composed and decomposed forms, and letters of either case, as equal.
-    both = F.collate(p["ss"], "UNICODE_CI") == F.collate(p["st"], "UNICODE_CI")
+    # UNICODE compares composed and decomposed forms as equal, and tells all else apart but what it ignores.
+    form = lambda x: F.collate(F.translate(folded(x), _LIKE_TWO, _STAND_IN), "UNICODE")
+    alike = form(p["ss"]) == form(p["st"])
+    both = alike & (F.regexp_replace(p["ss"], _IGNORED, "") == F.regexp_replace(p["st"], _IGNORED, ""))
     return [
         signal(differ & spaces, "string_format", 0.9, "Equal without white space at the ends."),
         signal(differ & ~spaces & case, "string_format", 0.85, "Equal but for case."),

@@ -1,118 +1,60 @@
 """Comparison of a source and a target table: rows, columns and schema, in the form that ingest reads.
 
-One full outer join on the keys, null-safe, carries every measure. Where a key has several rows, equal rows
-of either side are matched first and the rest are numbered, so that surplus copies show up as rows that the
-other side lacks, and nothing fans out. What differs is kept once for counts and details alike.
+Rows meet as in meeting.py. One job reads both tables, writes the rows that differ, with a flag for each column,
+and observes the sizes on its way; counts and details then read what was written.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from functools import reduce
-from operator import and_, or_
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..schemas import NULL_TEXT, SAMPLE_CAP
-
-
-@dataclass
-class Pair:
-    """What to compare: keys, renamed columns (source name to target name) and filters on either side."""
-
-    keys: list[str]
-    column_map: dict[str, str] = field(default_factory=dict)
-    source_filter: str = ""
-    target_filter: str = ""
-    #: Whether no key has two rows on a side; None: looked up, on the key columns alone.
-    unique_keys: bool | None = None
-
-
-def differs(s: Column, t: Column, same_type: bool) -> Column:
-    """Null-safe inequality: of values where the types agree, else of their texts."""
-    return ~s.eqNullSafe(t) if same_type else ~s.cast("string").eqNullSafe(t.cast("string"))
-
-
-def _keys_of(sides: list[DataFrame], keys: list[str]) -> tuple[bool, bool]:
-    """(no key has two rows on a side, no key holds a null), from one job over the key columns alone."""
-    some_null = reduce(or_, [F.col(k).isNull() for k in keys])
-    each = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(some_null).alias("z")).agg(F.max("n"), F.max("z")) for df in sides]
-    found = each[0].union(each[1]).collect()  # two rows
-    return all((r[0] or 0) < 2 for r in found), not any(r[1] for r in found)
-
-
-def _meet(s: DataFrame, t: DataFrame, on: list[str], nulls: bool = True) -> DataFrame:
-    """Full outer join, null-safe unless there are no nulls, of sides with `_row`, renamed to `_s` and `_t`; the
-    columns `on` come from either side."""
-    s, t = s.withColumnRenamed("_row", "_s"), t.withColumnRenamed("_row", "_t")
-    if not nulls:
-        return s.join(t, on, "full_outer")
-    s, t = s.withColumnsRenamed({c: f"_s_{c}" for c in on}), t.withColumnsRenamed({c: f"_t_{c}" for c in on})
-    both = s.join(t, reduce(and_, [F.col(f"_s_{c}").eqNullSafe(F.col(f"_t_{c}")) for c in on], F.lit(True)), "full_outer")
-    return both.select(*[F.coalesce(f"_s_{c}", f"_t_{c}").alias(c) for c in on], *[c for c in both.columns if not c.startswith(("_s_", "_t_"))])
-
-
-def joined(source: DataFrame, target: DataFrame, pair: Pair) -> tuple[DataFrame, list[str]]:
-    """Full outer join with `_s`, `_t` (structs of each side's row, null if it has none); common columns.
-
-    With unique keys that is one join. Otherwise a side's equal rows (by two hashes of the common columns) are
-    counted first, which also pre-adds a key's many copies; as many as both sides have are matched, and the
-    rest are numbered by key and joined on key and number."""
-    if pair.source_filter:
-        source = source.where(pair.source_filter)
-    if pair.target_filter:
-        target = target.where(pair.target_filter)
-    source = source.withColumnsRenamed(pair.column_map)
-    common = [c for c in source.columns if c in target.columns and c not in pair.keys]
-    keys, sides = list(pair.keys), []
-    unique, known = pair.unique_keys, False
-    if unique is None:
-        unique, known = _keys_of([source, target], keys) if keys else (False, False)
-    types = [dict(source.dtypes), dict(target.dtypes)]
-    alike = lambda c: F.col(c) if types[0][c] == types[1][c] else F.col(c).cast("string")
-    for df in (source, target):
-        row = F.struct(F.lit(True).alias("_here"), *[F.col(c) for c in df.columns]).alias("_row")
-        hashes = [F.xxhash64(F.lit(k), *[alike(c) for c in common]).alias(f"_h{k}") for k in (0, 1)]
-        sides.append(df.select(*keys, row) if unique else df.select(*keys, *hashes, row))
-    if unique:
-        return _meet(*sides, keys, nulls=not known), common
-    by = [*keys, "_h0", "_h1"]
-    s, t = (x.groupBy(*by).agg(F.count(F.lit(1)).alias(f"_n{k}"), F.first("_row").alias("_row")) for k, x in enumerate(sides))
-    met = _meet(s, t, by).withColumns({n: F.coalesce(n, F.lit(0)) for n in ("_n0", "_n1")}).withColumn("_both", F.least("_n0", "_n1"))
-    times = lambda n: F.explode(F.sequence(F.lit(1), n))
-    equal = met.where("_both > 0").select(*keys, F.explode(F.sequence(F.lit(-1), (-F.col("_both")).cast("int"))).alias("_copy"), "_s", "_t")
-    rest = []
-    for row, n in (("_s", "_n0"), ("_t", "_n1")):
-        left = met.where(F.col(n) > F.col("_both")).select(*by, times(F.col(n) - F.col("_both")), F.col(row).alias("_row"))
-        order = Window.partitionBy(*keys).orderBy("_h0", "_h1")
-        rest.append(left.select(*keys, F.row_number().over(order).alias("_copy"), "_row"))
-    return equal.unionByName(_meet(*rest, [*keys, "_copy"])), common
-
-
-def measures(both: DataFrame, source: DataFrame, target: DataFrame, common: list[str], keys: list[str]) -> tuple[DataFrame, dict[str, Column]]:
-    """One row of counts: rows of either side, rows missing, rows that differ, and a count per column."""
-    types_s, types_t = dict(source.dtypes), dict(target.dtypes)
-    here = F.col("_s").isNotNull() & F.col("_t").isNotNull()
-    flags = {c: here & differs(F.col("_s")[c], F.col("_t")[c], types_s.get(c) == types_t[c]) for c in common}
-    some = _any(flags)
-    counts = both.agg(
-        F.count_if(F.col("_s").isNotNull()).alias("source_rows"),
-        F.count_if(F.col("_t").isNotNull()).alias("target_rows"),
-        F.count_if(F.col("_s").isNull()).alias("missing_in_source"),
-        F.count_if(F.col("_t").isNull()).alias("missing_in_target"),
-        F.count_if(some).alias("absolute_mismatch"),
-        *[F.count_if(f).alias(f"n_{c}") for c, f in flags.items()],
-    )
-    return counts, flags
-
-
-def _any(flags: dict[str, Column]) -> Column:
-    return reduce(or_, flags.values(), F.lit(False))
-
-
-def _text(x: Column) -> Column:
-    return F.coalesce(x.cast("string"), F.lit(NULL_TEXT))
+from ..scratch import materialize
+from . import meeting
+from .meeting import Pair, any_of, laid_out, meet, text  # noqa: F401
+
+
+def _flags(sides: meeting.Sides) -> dict[str, Column]:
+    """For each common column, whether it differs in a row of both sides."""
+    here = F.col("sn").isNotNull() & F.col("tn").isNotNull()
+    return {c: here & sides.differs(c) for c in sides.common}
+
+
+class Difference:
+    """The rows in which two tables differ: `rows`, written in the shared folder, with d0.. (whether a common column
+    differs), and `sizes`: rows of either side and the greatest first key of each."""
+
+    def __init__(self, source: DataFrame, target: DataFrame, pair: Pair):
+        self.sides = laid_out(source, target, pair)
+        met = meet(self.sides)
+        # Seen on the way to the result, so that a task that runs again counts once.
+        seen = Observation()
+        greatest = lambda n: F.max(F.when(F.col(n).isNotNull() & ~F.col("z0"), F.col("j0")))
+        sums = {"source_rows": F.sum("sn"), "target_rows": F.sum("tn"), "several": F.count_if(~F.col("alone")), "source_max": greatest("sn"), "target_max": greatest("tn")}
+        self.rows = materialize(self._differing(met.observe(seen, *[v.alias(k) for k, v in sums.items()])), "differing")
+        self.sizes = {k: v if k.endswith("max") else int(v or 0) for k, v in seen.get.items()}
+        if self.sizes.pop("several"):
+            self.rows = self.rows.unionByName(materialize(self._differing(meeting.copies(self.sides, met)), "differing-copies"))
+
+    def _differing(self, rows: DataFrame) -> DataFrame:
+        flags = [f.alias(f"d{k}") for k, f in enumerate(_flags(self.sides).values())]
+        rows = rows.where("alone").select("*", *flags)
+        return rows.where(any_of([F.col("sn").isNull(), F.col("tn").isNull(), *[F.col(f"d{k}") for k in range(len(flags))]]))
+
+    def flag(self, column: str) -> Column:
+        return F.col(f"d{self.sides.common.index(column)}")
+
+    def counts(self) -> DataFrame:
+        """One row: rows of either side, rows missing, rows that differ, and n_ and the name for each common column."""
+        flags = {c: self.flag(c) for c in self.sides.common}
+        return self.rows.agg(
+            *[F.lit(self.sizes[k]).cast("long").alias(k) for k in ("source_rows", "target_rows")],
+            F.count_if(F.col("sn").isNull()).alias("missing_in_source"),
+            F.count_if(F.col("tn").isNull()).alias("missing_in_target"),
+            F.count_if(any_of(list(flags.values()))).alias("absolute_mismatch"),
+            *[F.count_if(f).alias(f"n_{c}") for c, f in flags.items()],
+        )
 
 
 def schema_rows(source: DataFrame, target: DataFrame, pair: Pair) -> list[dict[str, str]]:
@@ -132,43 +74,43 @@ def schema_rows(source: DataFrame, target: DataFrame, pair: Pair) -> list[dict[s
     ]
 
 
-def detail_rows(both: DataFrame, flags: dict[str, Column], keys: list[str], side_columns: dict[str, list[str]]) -> DataFrame:
-    """recon_type, row (a map), at most SAMPLE_CAP rows of each kind and column, first by key.
-
-    The rank filter becomes a limit before the shuffle, so that a column that differs everywhere costs
-    SAMPLE_CAP rows a task."""
-    key = F.struct(*[F.col(k) for k in keys])
-    names = F.filter(F.array(*[F.when(f, F.lit(c)) for c, f in flags.items()]), lambda x: x.isNotNull()) if flags else F.array().cast("array<string>")
-    kinds = F.when(F.col("_t").isNull(), F.array(F.lit("missing_in_target"))).when(F.col("_s").isNull(), F.array(F.lit("missing_in_source"))).otherwise(names)
-    rows = both.withColumn("_what", F.explode(kinds))
-    order = Window.partitionBy("_what").orderBy(key)
-    rows = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= SAMPLE_CAP)
-    parts = [x for k in keys for x in (F.lit(k), _text(F.col(k)))]
-    for c, f in flags.items():
-        s, t = F.col("_s")[c], F.col("_t")[c]
-        parts += [F.lit(f"{c}_base"), _text(s), F.lit(f"{c}_compare"), _text(t), F.lit(f"{c}_match"), (~f).cast("string")]
-    mismatch = F.create_map(*parts)
-    whole = {n: F.create_map(*[x for c in cols for x in (F.lit(c), _text(F.col(n)[c]))]) for n, cols in side_columns.items()}
-    kind = F.when(F.col("_what").isin(list(flags)), "mismatch").otherwise(F.col("_what"))
-    row = F.when(F.col("_what") == "missing_in_target", whole["_s"]).when(F.col("_what") == "missing_in_source", whole["_t"]).otherwise(mismatch)
-    picked = rows.select(kind.alias("recon_type"), key.alias("_key"), *(["_copy"] if "_copy" in rows.columns else []), row.alias("row"))
-    # A row that differs in several columns is one detail row.
-    return picked.dropDuplicates(["recon_type", "_key", *(["_copy"] if "_copy" in picked.columns else [])])
+def detail_rows(found: Difference, cap: int = SAMPLE_CAP) -> DataFrame:
+    """recon_type, key, copy, row (a map): of each kind and column the first `cap` rows by key.
+
+    The least keys are picked from keys and flags alone, in each task before the shuffle, and then fetch their
+    values: at most `cap` rows for each kind and column."""
+    sides, on = found.sides, found.sides.on
+    names = F.array_compact(F.array(*[F.when(found.flag(c), F.lit(k)) for k, c in enumerate(sides.common)])) if sides.common else F.array().cast("array<int>")
+    kinds = F.when(F.col("tn").isNull(), F.array(F.lit(-1))).when(F.col("sn").isNull(), F.array(F.lit(-2))).otherwise(names)
+    order = Window.partitionBy("what").orderBy(*on, "copy")
+    picked = found.rows.select(*on, "copy", F.explode(kinds).alias("what"))
+    picked = picked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).select(*on, "copy").distinct()
+    rows = found.rows.join(F.broadcast(picked), [*on, "copy"], "left_semi")  # bounded by cap, kinds and columns
+
+    def shown(x: Column, t) -> Column:
+        return F.coalesce(text(x, t), F.lit(NULL_TEXT))
+
+    parts = [x for c in sides.keys for x in (F.lit(c), shown(sides.s(c), sides.source_types[c]))]
+    for c in sides.common:
+        s, t = (shown(getattr(sides, side)(c), kind) for side, kind in zip("st", sides.types(c), strict=True))
+        parts += [F.lit(f"{c}_base"), s, F.lit(f"{c}_compare"), t, F.lit(f"{c}_match"), (~found.flag(c)).cast("string")]
+    whole = {side: F.create_map(*[x for c, t in kinds_.items() for x in (F.lit(c), shown(getattr(sides, side)(c), t))]) for side, kinds_ in (("s", sides.source_types), ("t", sides.target_types))}
+    kind = F.when(F.col("tn").isNull(), "missing_in_target").when(F.col("sn").isNull(), "missing_in_source").otherwise("mismatch")
+    row = F.when(F.col("tn").isNull(), whole["s"]).when(F.col("sn").isNull(), whole["t"]).otherwise(F.create_map(*parts) if parts else F.expr("map()").cast("map<string,string>"))
+    # A key's place among nulls and values: null first.
+    key = F.struct(*[x for k in range(len(sides.keys)) for x in ((~F.col(f"z{k}")).alias(f"z{k}"), F.col(f"j{k}"))], F.col("copy"))
+    return rows.select(kind.alias("recon_type"), key.alias("key"), row.alias("row"))
 
 
 def compare(source: DataFrame, target: DataFrame, pair: Pair, *, recon_id: str, table_id: int, source_name: str, target_name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(main, metrics, details) of one pair of tables."""
+    """(main, metrics, details) of one pair of tables. Columns may have any name and type."""
     spark = source.sparkSession
-    both, common = joined(source, target, pair)
-    _, flags = measures(both, source.withColumnsRenamed(pair.column_map), target, common, pair.keys)
-    # Rows that are equal on both sides count for the sizes alone, which need no join.
-    both = both.where(F.col("_s").isNull() | F.col("_t").isNull() | _any(flags)).persist()
-    counts = measures(both, source.withColumnsRenamed(pair.column_map), target, common, pair.keys)[0].drop("source_rows", "target_rows")
-    for side, condition, name in ((source, pair.source_filter, "source_rows"), (target, pair.target_filter, "target_rows")):
-        counts = counts.crossJoin((side.where(condition) if condition else side).agg(F.count(F.lit(1)).alias(name)))  # single rows
+    found = Difference(source, target, pair)
+    common = found.sides.common
     invalid = [r for r in schema_rows(source, target, pair) if r["is_valid"] == "false"]
-    listed = F.array_join(F.filter(F.array(*[F.when(F.col(f"n_{c}") > 0, F.lit(c)) for c in common]) if common else F.array().cast("array<string>"), lambda x: x.isNotNull()), ",")
-    metrics = counts.select(
+    n = [F.col(meeting.quoted(f"n_{c}")) for c in common]
+    listed = F.array_join(F.array_compact(F.array(*[F.when(x > 0, F.lit(c)) for c, x in zip(common, n, strict=True)])), ",") if common else F.lit("")
+    metrics = found.counts().select(
         F.lit(table_id).cast("long").alias("recon_table_id"),
         F.struct(
             F.col("source_rows").alias("source_record_count"),
@@ -184,10 +126,8 @@ def compare(source: DataFrame, target: DataFrame, pair: Pair, *, recon_id: str,
         return F.struct(*[F.lit(p).cast("string").alias(n) for p, n in zip(parts, ("catalog", "schema", "table_name"), strict=True)])
 
     main = spark.range(1).select(F.lit(table_id).cast("long").alias("recon_table_id"), F.lit(recon_id).alias("recon_id"), named(source_name).alias("source_table"), named(target_name).alias("target_table"))
-    mapped = [pair.column_map.get(c, c) for c in source.columns]
-    rows = detail_rows(both, flags, pair.keys, {"_s": mapped, "_t": target.columns})
     # At most SAMPLE_CAP rows for each column and kind.
-    grouped = rows.groupBy("recon_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("_key", F.map_entries("row").alias("row")))), lambda x: F.map_from_entries(x["row"])).alias("data"))
+    grouped = detail_rows(found).groupBy("recon_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("key", F.map_entries("row").alias("row")))), lambda x: F.map_from_entries(x["row"])).alias("data"))
     details = grouped.select(F.lit(table_id).cast("long").alias("recon_table_id"), "recon_type", "data")
     if invalid:
         bad = spark.createDataFrame([(table_id, "schema", invalid)], "recon_table_id long, recon_type string, data array<map<string,string>>")

@@ -1,16 +1,20 @@
 """Confirmation on the whole tables: one join for each pair of tables, whatever the number of findings.
 
-All measures of all columns are aggregates over the same joined rows, so each side is scanned once. Rows
-meet as in the comparison: null-safe, equal copies of a key first, and nothing fans out."""
+All measures of all columns are aggregates over the same rows, which meet as in the comparison: null-safe, equal
+copies of a key first, and nothing fans out. Every measure is made of sums, least and greatest values and sketches,
+so that the rows of keys with copies, if there are any, are added to those of the others."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.probes import canonical_json, wall_micros
+from ..functions.probes import canonical_json, folded, wall_micros
 from ..schemas import COLUMN, MISSING_IN_SOURCE, MISSING_IN_TARGET, SCHEMA
-from . import compare
+from . import compare, meeting
 from .classify import evidence, top
 from .passes import raised
 
@@ -19,35 +23,71 @@ def _seconds(x: Column) -> Column:
     return F.floor(wall_micros(x.try_cast("timestamp_ntz")) / 1_000_000)
 
 
-_NUMBER = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+#: How the parts of a measure are put together.
+_ADD, _MOST, _LEAST, _SKETCH = F.sum, F.max, F.min, F.hll_union_agg
 
 
-def differs(s: Column, t: Column, types: tuple[str, str]) -> Column:
-    """Null-safe inequality: of values where both are numbers or of one type, else of their texts."""
-    return compare.differs(s, t, types[0] == types[1] or all(x.startswith(_NUMBER) for x in types))
+def _spread(what: str, value: Column) -> dict[str, tuple[Column, Callable]]:
+    return {f"{what}_least": (F.min(value), _LEAST), f"{what}_most": (F.max(value), _MOST), f"{what}_sketch": (F.hll_sketch_agg(value), _SKETCH)}
 
 
-def column_measures(c: str, category: str, s: Column, t: Column, types: tuple[str, str]) -> dict[str, Column]:
-    """Aggregates over joined rows that confirm one column's category. Null-safe throughout."""
-    differ = differs(s, t, types)
+def column_measures(category: str, differ: Column, s: Column, t: Column) -> dict[str, tuple[Column, Callable]]:
+    """Aggregates over joined rows that confirm one column's category, and what puts two of each together."""
     when = lambda x: F.when(differ, x)
-    out = {"n": F.count_if(differ), "null_involved": F.count_if(differ & (s.isNull() | t.isNull()))}
+    count = lambda x: (F.count_if(x), _ADD)
+    out = {"n": count(differ), "null_involved": count(differ & (s.isNull() | t.isNull()))}
     if category == "timezone":
-        offset = when(_seconds(t) - _seconds(s))
-        out |= {"distinct_offsets": F.count_distinct(offset), "offset_hours": F.max(offset) / 3600.0}
+        out |= _spread("offset", when(_seconds(t) - _seconds(s)).cast("long"))
     if category in ("type_precision", "transpilation"):
         a, b = s.try_cast("double"), t.try_cast("double")
         gap = when(F.abs(a - b))
-        out |= {"avg_abs_diff": F.avg(gap), "max_abs_diff": F.max(gap), "eq_at_2dp": F.count_if(differ & (F.round(a, 2) == b))}
+        out |= {"gap_sum": (F.sum(gap), _ADD), "gap_n": (F.count(gap), _ADD), "max_abs_diff": (F.max(gap), _MOST), "eq_at_2dp": count(differ & (F.round(a, 2) == b))}
+    if category == "semi_structured":
+        out |= {"same_content": count(differ & (canonical_json(s.cast("string")) == canonical_json(t.cast("string"))))}
+    if category == "env_config":
+        out |= _spread("shift", when(F.date_diff(t.try_cast("date"), s.try_cast("date"))).cast("long"))
+    if category == "string_format":
+        out |= {"cosmetic": count(differ & (folded(F.trim(s.cast("string"))) == folded(F.trim(t.cast("string")))))}
+    return out
+
+
+def _final(category: str, m: Callable[[str], Column]) -> dict[str, Column]:
+    """The measures of a column, from the added-up parts m(name)."""
+
+    def shifts(what: str) -> Column:
+        # One value if the least is the greatest, exactly; how many others there are, from the sketch.
+        least, most = m(f"{what}_least"), m(f"{what}_most")
+        return F.when(least.isNull(), 0).when(least == most, 1).otherwise(F.greatest(F.lit(2).cast("long"), F.hll_sketch_estimate(m(f"{what}_sketch"))))
+
+    out = {"n": m("n"), "null_involved": m("null_involved")}
+    if category == "timezone":
+        out |= {"distinct_offsets": shifts("offset"), "offset_hours": m("offset_most") / 3600.0}
+    if category in ("type_precision", "transpilation"):
+        out |= {"avg_abs_diff": F.try_divide(m("gap_sum"), m("gap_n")), "max_abs_diff": m("max_abs_diff"), "eq_at_2dp": m("eq_at_2dp")}
     if category == "semi_structured":
-        out |= {"same_content": F.count_if(differ & (canonical_json(s.cast("string")) == canonical_json(t.cast("string"))))}
+        out |= {"same_content": m("same_content")}
     if category == "env_config":
-        days = when(F.date_diff(t.try_cast("date"), s.try_cast("date")))
-        out |= {"distinct_shifts": F.count_distinct(days), "shift_days": F.max(days)}
+        out |= {"distinct_shifts": shifts("shift"), "shift_days": m("shift_most")}
     if category == "string_format":
-        same = F.lower(F.trim(s.cast("string"))) == F.lower(F.trim(t.cast("string")))
-        out |= {"cosmetic": F.count_if(differ & same)}
-    return {f"{c}.{k}": v for k, v in out.items()}
+        out |= {"cosmetic": m("cosmetic")}
+    if category == "upstream_drift":
+        out |= {"src_total": m("src_total"), "src_nulls": m("src_nulls")}
+    return out
+
+
+def fold(sides: meeting.Sides, how: str, parts: dict[str, tuple[Column, Callable]]) -> DataFrame:
+    """One row of aggregates over the rows of both sides: first over keys that are alone, and where there are
+    others, over their copies too. The parts must leave out rows that aren't alone."""
+    met = meeting.meet(sides, how)
+    spark = met.sparkSession
+    columns = [v.alias(k) for k, (v, _) in parts.items()]
+    one = met.agg(*columns, F.count_if(~F.col("alone")).alias("several"))
+    row = one.first()  # a single row
+    done = spark.createDataFrame([tuple(row)[:-1]], T.StructType(one.schema.fields[:-1]))
+    if row["several"]:
+        both = done.unionByName(meeting.copies(sides, met).agg(*columns))
+        done = both.agg(*[merge(k).alias(k) for k, (_, merge) in parts.items()])
+    return done
 
 
 def sides(source: DataFrame, target: DataFrame, pair: compare.Pair) -> tuple[DataFrame, DataFrame]:
@@ -59,27 +99,28 @@ def sides(source: DataFrame, target: DataFrame, pair: compare.Pair) -> tuple[Dat
     return source.withColumnsRenamed(pair.column_map), target
 
 
-def confirm_columns(source: DataFrame, target: DataFrame, keys: list[str], categories: dict[str, str]) -> DataFrame:
+def confirm_columns(source: DataFrame, target: DataFrame, keys: list[str], categories: dict[str, str], unique_keys: bool | None = None) -> DataFrame:
     """column, category, measures (map), confirmed; one join and one scan for all columns."""
-    wanted = list(categories)
-    both, _ = compare.joined(source.select(*keys, *wanted), target.select(*keys, *wanted), compare.Pair(keys=keys))
+    laid = meeting.laid_out(source, target, meeting.Pair(keys=keys, unique_keys=unique_keys), list(categories))
+    return confirm_laid_out(laid, categories)
+
+
+def confirm_laid_out(laid: meeting.Sides, categories: dict[str, str]) -> DataFrame:
     drift = [c for c, k in categories.items() if k == "upstream_drift"]
-    here = F.col("_s").isNotNull() & F.col("_t").isNotNull()
-    if not drift:
-        both = both.where(here)  # an inner join
-    types = dict(source.dtypes), dict(target.dtypes)
-    aggregates: dict[str, Column] = {}
-    for c, category in categories.items():
-        value = [F.when(here, F.col(side)[c]) for side in ("_s", "_t")]  # rows of one side alone have no difference
-        aggregates |= column_measures(c, category, *value, (types[0][c], types[1][c]))
-    totals = [F.count("_s").alias("src_total"), *[F.count_if(F.col("_s").isNotNull() & F.col("_s")[c].isNull()).alias(f"nulls\x1f{c}") for c in drift]]
-    one = both.agg(*[v.cast("double").alias(k.replace(".", "\x1f")) for k, v in aggregates.items()], *totals)
-    rows = []
-    for c, category in categories.items():
-        names = [k for k in aggregates if k.rpartition(".")[0] == c]
-        pairs = [x for k in names for x in (F.lit(k.rpartition(".")[2]), F.col(k.replace(".", "\x1f")))]
+    alone = F.col("alone")
+    both = alone & F.col("sn").isNotNull() & F.col("tn").isNotNull()
+    parts: dict[str, tuple[Column, Callable]] = {}
+    for i, (c, category) in enumerate(categories.items()):
+        measured = column_measures(category, both & laid.differs(c, as_numbers=True), laid.s(c), laid.t(c))
+        parts |= {f"c{i}_{k}": v for k, v in measured.items()}
         if category == "upstream_drift":
-            pairs += [F.lit("src_total"), F.col("src_total").cast("double"), F.lit("src_nulls"), F.col(f"nulls\x1f{c}").cast("double")]
+            nulls = F.when(alone & F.col("sn").isNotNull() & laid.s(c).isNull(), F.col("w"))
+            parts |= {f"c{i}_src_total": (F.sum(F.when(F.col("copy") == 0, F.coalesce("sn", F.lit(0)))), _ADD), f"c{i}_src_nulls": (F.coalesce(F.sum(nulls), F.lit(0)), _ADD)}
+    one = fold(laid, "full_outer" if drift else "inner", parts)
+    rows = []
+    for i, (c, category) in enumerate(categories.items()):
+        final = _final(category, lambda k, i=i: F.col(f"c{i}_{k}"))
+        pairs = [x for k, v in final.items() for x in (F.lit(k), v.cast("double"))]
         rows.append(F.struct(F.lit(c).alias("column"), F.lit(category).alias("category"), F.create_map(*pairs).alias("measures")))
     out = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     m = F.col("measures")
@@ -97,15 +138,16 @@ def confirm_columns(source: DataFrame, target: DataFrame, keys: list[str], categ
 
 def confirm_missing(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Greatest first key of either side and whether the target simply lags behind. Keys keep their type."""
-    k = keys[0]
+    k = meeting.quoted(keys[0])
     return source.agg(F.max(k).alias("src_max")).crossJoin(target.agg(F.max(k).alias("tgt_max"))).withColumn("watermark", F.col("tgt_max") < F.col("src_max"))  # two single rows
 
 
 def confirm_extra(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Target rows whose whole key the source lacks, and surplus copies of keys that it has: one aggregate over
     both sides' keys, in which null keys are keys."""
-    side = lambda df, s, t: df.select(*keys, F.lit(s).alias("_m"), F.lit(t).alias("_n"))
-    both = side(source, 1, 0).union(side(target, 0, 1)).groupBy(*keys).agg(F.sum("_m").alias("m"), F.sum("_n").alias("n"))
+    laid = meeting.laid_out(source, target, meeting.Pair(keys=keys), [])
+    side = lambda df, s, t: df.select(*laid.on, F.lit(s).alias("_m"), F.lit(t).alias("_n"))
+    both = side(laid.source, 1, 0).union(side(laid.target, 0, 1)).groupBy(*laid.on).agg(F.sum("_m").alias("m"), F.sum("_n").alias("n"))
     total = lambda x: F.coalesce(F.sum(x), F.lit(0))
     one = both.agg(total(F.when(F.col("m") == 0, F.col("n"))).alias("extra"), total(F.when(F.col("m") > 0, F.greatest(F.col("n") - F.col("m"), F.lit(0)))).alias("duplicates"))
     return one.withColumn("confirmed", (F.col("extra") > 0) | (F.col("duplicates") > 0))
@@ -146,7 +188,7 @@ def drill(source: DataFrame, target: DataFrame, pair: compare.Pair, heads: list,
     columns = {r["column"]: (r["finding_id"], r["category"]) for r in heads if r["recon_type"] == COLUMN and r["column"] in both and r["category"] != "unknown"}
     if columns and keys:
         ids = spark.createDataFrame([(c, i, query(COLUMN, c)) for c, (i, _) in columns.items()], "column string, finding_id string, query string")
-        done = confirm_columns(s, t, keys, {c: k for c, (_, k) in columns.items()}).join(F.broadcast(ids), "column")  # a row for each column
+        done = confirm_columns(s, t, keys, {c: k for c, (_, k) in columns.items()}, pair.unique_keys).join(F.broadcast(ids), "column")  # a row for each column
         text = F.concat_ws(", ", F.transform(F.map_entries("measures"), lambda e: F.concat_ws("=", e["key"], F.format_string("%.6g", e["value"]))))
         out.append(done.select("finding_id", F.concat(F.when(F.col("confirmed"), "Confirmed: ").otherwise("Not confirmed: "), text).alias("detail"), F.transform_values("measures", lambda k, v: v.cast("string")).alias("data"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"), F.col("measures")["n"].cast("long").alias("exact_n"), "query"))
     for kind, check, flag in ((MISSING_IN_TARGET, confirm_missing, "watermark"), (MISSING_IN_SOURCE, confirm_extra, "confirmed")):

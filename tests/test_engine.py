@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallylens import knowledge, reports, scratch
-from tallylens.operators import classify, compare, drilldown, ingest, lineage, merge, patterns, validate
+from tallylens.operators import classify, compare, drilldown, ingest, lineage, meeting, merge, patterns, validate
 from tallylens.plans import scripts
 from tallylens.plans.analyze import analyze
 from tallylens.sources import artifacts
@@ -116,8 +116,8 @@ def test_equal_tables_give_no_findings(spark, tables):
 def test_renamed_columns_and_filters(spark):
     s = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
     t = spark.createDataFrame([(1, "a"), (2, "x")], "k int, w string")
-    both, common = compare.joined(s, t, compare.Pair(keys=["k"], column_map={"v": "w"}, source_filter="k < 3", unique_keys=True))
-    assert common == ["w"] and compare.measures(both, s, t, common, ["k"])[0].first()["n_w"] == 1
+    found = compare.Difference(s, t, compare.Pair(keys=["k"], column_map={"v": "w"}, source_filter="k < 3", unique_keys=True))
+    assert found.sides.common == ["w"] and found.counts().first()["n_w"] == 1
 
 
 def test_freshness_pass_marks_unexplained_columns(spark):
@@ -137,12 +137,12 @@ def test_lineage_says_when_the_source_is_another(spark):
     assert "not the source" in lineage.lineage_pass(f, h, ups).first()["evidence"][0]["detail"]
 
 
-def test_drilldown_is_one_join(tables):
+def test_rows_meet_in_one_join(tables):
     s, t = tables
-    t = t.dropDuplicates(["id"])
-    for kinds, join in (({"amount": "type_precision", "ts": "timezone", "name": "string_format"}, "Join Inner"), ({"amount": "type_precision", "tier": "upstream_drift"}, "Join FullOuter")):
-        plan = drilldown.confirm_columns(s, t, ["id"], kinds)._jdf.queryExecution().optimizedPlan().toString()
-        assert plan.count("Join ") == plan.count(join) == 1
+    for unique, aggregates in ((True, 0), (None, 2)):
+        laid = meeting.laid_out(s, t, meeting.Pair(keys=["id"], unique_keys=unique), ["amount", "ts"])
+        plan = meeting.meet(laid, "inner")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == plan.count("Join Inner") == 1 and plan.count("Aggregate ") == aggregates
 
 
 def test_validation(spark, tables):
@@ -200,8 +200,7 @@ def test_duplicate_and_null_keys_equal_brute_force(spark, seed):
     rng = random.Random(seed)
     rows = [[(rng.choice([None, 1, 2, 3, 4]), rng.choice(["x", "y", "z", None])) for _ in range(rng.randrange(0, 14))] for _ in range(2)]
     s, t = (spark.createDataFrame(r, "k int, v string") for r in rows)
-    both, common = compare.joined(s, t, compare.Pair(keys=["k"]))
-    got = compare.measures(both, s, t, common, ["k"])[0].first()
+    got = compare.Difference(s, t, compare.Pair(keys=["k"])).counts().first()
     assert (got["source_rows"], got["target_rows"]) == tuple(map(len, rows))
     assert (got["missing_in_source"], got["missing_in_target"], got["absolute_mismatch"]) == brute_compare(*rows)
     main, metrics, details = compare.compare(s, t, compare.Pair(keys=["k"]), recon_id="r", table_id=1, source_name="a.s", target_name="a.t")
@@ -214,8 +213,7 @@ def test_duplicate_and_null_keys_equal_brute_force(spark, seed):
 def test_the_verdicts_cases_of_copies(spark):
     s = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
     t = spark.createDataFrame([(1, "y")], "k int, v string")
-    both, common = compare.joined(s, t, compare.Pair(keys=["k"]))
-    got = compare.measures(both, s, t, common, ["k"])[0].first()
+    got = compare.Difference(s, t, compare.Pair(keys=["k"])).counts().first()
     assert (got["absolute_mismatch"], got["missing_in_target"]) == (0, 1)
     many = spark.range(300).selectExpr("1 AS k", "cast(id as string) AS v")
     other = many.selectExpr("k", "concat(v, '!') AS v")

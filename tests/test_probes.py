@@ -154,3 +154,24 @@ def test_own_probe_can_be_added(spark):
             assert found(spark, [("a", "zz"), ("a", "b")], ["length"], staged) == [[("recon_config", 0.1)], []]
     finally:
         del probes.REGISTRY["length"]
+
+
+def test_case_folds_fully_as_python_does(spark):
+    """All letters that change with case or normal form, alone and within a text."""
+    import unicodedata
+
+    pairs = [("STRASSE", "straße"), ("ﬁne", "FINE"), ("ŉ", "ʼN"), ("ΌΣΟΣ", "όσος"), ("ıx", "IX"), ("İx", "i̇x"), ("a\u200bb", "ab"), ("a\u200bB", "a\u200bb"), ("e\u0301", "É "), ("ª", "a")]
+    for c in map(chr, (*range(0x80, 0x2200), *range(0xA640, 0xABC0), *range(0xFB00, 0xFB18), *range(0x10400, 0x10450))):
+        if unicodedata.category(c) != "Cn":
+            other = {c.upper(), c.lower(), c.casefold(), unicodedata.normalize("NFD", c), unicodedata.normalize("NFD", c).upper(), unicodedata.normalize("NFKC", c)} - {c}
+            pairs += [p for d in sorted(other) for p in ((c, d), (f"a{c}b", f"A{d}B"))]
+
+    def want(a, b):
+        if a.strip() == b.strip() or a.casefold() == b.casefold():
+            return 0.9 if a.strip() == b.strip() else 0.85
+        a, b = (unicodedata.normalize("NFC", x).strip().casefold() for x in (a, b))
+        return 0.8 if a == b else None
+
+    found = probes.with_signals(spark.createDataFrame(pairs, "a string, b string"), "a", "b", names=["string"])
+    got = found.select("a", "b", F.get(F.filter("found", lambda x: x.isNotNull()), F.lit(0))["strength"].alias("n")).collect()
+    assert len(got) > 5000 and [(r["a"], r["b"], r["n"]) for r in got if r["a"] != r["b"] and r["n"] != want(r["a"], r["b"])] == []
