@@ -6,8 +6,9 @@ are sorted by key over range partitions, so that neighbours in a sequence tend t
 their ids are laid in a row and cut at every multiple of the sequence length. What remains behind the last
 full sequence goes to sequences whose lengths are powers of two, which need no padding: no sequence does.
 
-A text is encoded once. Its ids move once, to their range, as 32-bit numbers; each part's rows carry how many
-ids stand before them in the part, so that the whole order needs only the parts' sums (one row a part).
+A text is encoded once. Its ids move once, to their range, as 16-bit numbers if the vocabulary allows and as
+32-bit ones else; each part's rows carry how many ids stand before them in the part, so that the whole order needs
+only the parts' sums (one row a part). The ids as first written are deleted once the parts are.
 
 Defined cases: null and empty text have the end id alone; rows of equal key and text stand together by doc_id,
 a null doc_id first, and repeated rows are rows of their own, whom a stored number tells apart, so that any
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow_batches, lean, materialize
+from .common import drop_from, in_arrow_batches, lean, mark, materialize
 from .segments import shared, tokenizer_path
 
 #: Places of a hashed vector, dimensions it is projected to, and bits of each on the curve (63 in all).
@@ -79,35 +80,38 @@ def project(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.minimum((scaled * (1 << BITS)).astype("int64"), (1 << BITS) - 1)
 
 
-_ENCODED = "doc_id long, key long, tie long, n long, ids binary"
+_ENCODED = "doc_id long, key long, tie long, n long, width int, ids binary"
 
 
 def encoded(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, key (place on the curve), tie (of the ids), n, ids (little-endian, 32 bits)."""
+    """docs(doc_id, text) -> doc_id, key (place on the curve), tie (of the ids), n, width, ids (little-endian, of
+    width bytes each)."""
     in_arrow_batches(docs.sparkSession, 2000)
     path = tokenizer or tokenizer_path()
 
     def run(batches):
         pieces = shared(path)
+        width = 2 if max(pieces.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         for b in batches:
             ids, sizes = pieces.encode(b.column("text"))
             key = hilbert(project(ids, sizes), BITS).astype("int64")
             sizes = sizes + 1
-            flat = np.full(int(sizes.sum()), end_id, dtype="<u4")
+            flat = np.full(int(sizes.sum()), end_id, dtype=f"<u{width}")
             keep = np.ones(len(flat), dtype=bool)
             keep[np.cumsum(sizes) - 1] = False
             flat[keep] = ids
-            ends = np.append(0, np.cumsum(sizes) * 4)
+            ends = np.append(0, np.cumsum(sizes) * width)
             data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype("int64")), pa.py_buffer(flat)])
             view = memoryview(flat).cast("B")
             tie = [zlib.crc32(view[x:y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key), pa.array(tie, pa.int64()), pa.array(sizes), data.cast(pa.binary())], names=["doc_id", "key", "tie", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key), pa.array(tie, pa.int64()), pa.array(sizes), pa.array(np.full(len(sizes), width, dtype="int32")), data.cast(pa.binary())], names=["doc_id", "key", "tie", "n", "width", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), _ENCODED)
 
 
 def laid_out(rows: DataFrame, ids_per_part: int = 1 << 24, max_parts: int = 1 << 16) -> DataFrame:
-    """rows of encoded() in curve order: part, before (ids before it in its part), doc_id, n, ids."""
+    """rows of encoded() in curve order: part, before (ids before it in its part), doc_id, n, width, ids."""
+    first = mark()
     # Written with a number of their own, so that rows equal in all else can be told apart.
     stored = materialize(rows.withColumn("u", F.monotonically_increasing_id()), "packing-ids")
     total = stored.agg(F.sum("n")).first()[0] or 0
@@ -121,11 +125,13 @@ def laid_out(rows: DataFrame, ids_per_part: int = 1 << 24, max_parts: int = 1 <<
             n = b.column("n").to_numpy()
             at = before + np.cumsum(n) - n
             before += int(n.sum())
-            yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(at), b.column("doc_id"), b.column("n"), b.column("ids")], names=["part", "before", "doc_id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(at), b.column("doc_id"), *[b.column(c) for c in ("n", "width", "ids")]], names=["part", "before", "doc_id", "n", "width", "ids"])
 
     # A part is one task's rows in order.
-    placed = ranged.select("part", "doc_id", "n", "ids").mapInArrow(run, "part int, before long, doc_id long, n long, ids binary")
-    return materialize(placed, "packing-parts")
+    placed = ranged.select("part", "doc_id", "n", "width", "ids").mapInArrow(run, "part int, before long, doc_id long, n long, width int, ids binary")
+    done = materialize(placed, "packing-parts")
+    drop_from(rows.sparkSession, first, keep=1)
+    return done
 
 
 def tail_of(total: int, length: int = LENGTH) -> list[int]:
@@ -158,22 +164,24 @@ def pieces_of(at: np.ndarray, n: np.ndarray, total: int, length: int = LENGTH) -
 
 
 def pieces(parts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """parts of laid_out() -> doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary) of each piece."""
+    """parts of laid_out() -> doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian, 32 bits) of each piece."""
     sums = parts.groupBy("part").agg(F.sum("n").alias("n"))  # at most max_parts rows
     total = sums.agg(F.sum("n")).first()[0] or 0
     sums = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    based = parts.join(F.broadcast(sums), "part").select((F.col("base") + F.col("before")).alias("at"), "doc_id", "n", "ids")
+    based = parts.join(F.broadcast(sums), "part").select((F.col("base") + F.col("before")).alias("at"), "doc_id", "n", "width", "ids")
     names = ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")
 
     def run(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             n = b.column("n").to_numpy()
             doc, start, size, seq, offset = pieces_of(b.column("at").to_numpy(), n, total, length)
-            # A document's pieces cover its ids in order, so only the offsets into the batch's data change.
-            ids = b.column("ids").cast(pa.large_binary())
-            first = np.frombuffer(ids.buffers()[1], dtype="int64")[ids.offset]
-            ends = pa.py_buffer(first + 4 * np.append(0, np.cumsum(size)))
-            cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, ends, ids.buffers()[2]])
+            # A document's pieces cover its ids in order, so the ids of the batch stay as they are, in other runs.
+            ids = b.column("ids")
+            begin = int(np.frombuffer(ids.buffers()[1], dtype="int32")[ids.offset])
+            wide = np.frombuffer(ids.buffers()[2], dtype=f"<u{b.column('width')[0].as_py()}", offset=begin, count=int(n.sum())).astype("<u4")
+            cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(4 * np.append(0, np.cumsum(size))), pa.py_buffer(wide)])
             arrays = [b.column("doc_id").take(pa.array(doc)), *[pa.array(x, pa.int64()) for x in (start, size, n[doc], seq, offset)], cut.cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, "ids"])
 
