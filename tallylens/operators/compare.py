@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import NULL_TEXT, SAMPLE_CAP
 from ..scratch import materialize
-from . import meeting
+from . import checksums, meeting
 from .meeting import Pair, any_of, laid_out, meet, text  # noqa: F401
 
 
@@ -25,8 +25,9 @@ class Difference:
     """The rows in which two tables differ: `rows`, written in the shared folder, with d0.. (whether a common column
     differs), and `sizes`: rows of either side and the greatest first key of each."""
 
-    def __init__(self, source: DataFrame, target: DataFrame, pair: Pair):
-        self.sides = laid_out(source, target, pair)
+    def __init__(self, sides: meeting.Sides, totals: tuple[int, int] | None = None):
+        """totals: the tables' rows, where the sides are only those of ranges that differ."""
+        self.sides = sides
         met = meet(self.sides)
         # Seen on the way to the result, so that a task that runs again counts once.
         seen = Observation()
@@ -34,9 +35,20 @@ class Difference:
         sums = {"source_rows": F.sum("sn"), "target_rows": F.sum("tn"), "several": F.count_if(~F.col("alone")), "source_max": greatest("sn"), "target_max": greatest("tn")}
         self.rows = materialize(self._differing(met.observe(seen, *[v.alias(k) for k, v in sums.items()])), "differing")
         self.sizes = {k: v if k.endswith("max") else int(v or 0) for k, v in seen.get.items()}
+        if totals is not None:
+            self.sizes |= {"source_rows": totals[0], "target_rows": totals[1]}
         if self.sizes.pop("several"):
             self.rows = self.rows.unionByName(materialize(self._differing(meeting.copies(self.sides, met)), "differing-copies"))
 
+    @classmethod
+    def of(cls, source: DataFrame, target: DataFrame, pair: Pair, narrowed: bool = False) -> Difference:
+        """narrowed: by digests first, so that only ranges that differ are joined; worth two scans where most is equal."""
+        sides = laid_out(source, target, pair)
+        if not narrowed:
+            return cls(sides)
+        tree = checksums.tree(sides)
+        return cls(tree.open, (tree.source_rows, tree.target_rows))
+
     def _differing(self, rows: DataFrame) -> DataFrame:
         flags = [f.alias(f"d{k}") for k, f in enumerate(_flags(self.sides).values())]
         rows = rows.where("alone").select("*", *flags)
@@ -102,10 +114,12 @@ def detail_rows(found: Difference, cap: int = SAMPLE_CAP) -> DataFrame:
     return rows.select(kind.alias("recon_type"), key.alias("key"), row.alias("row"))
 
 
-def compare(source: DataFrame, target: DataFrame, pair: Pair, *, recon_id: str, table_id: int, source_name: str, target_name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(main, metrics, details) of one pair of tables. Columns may have any name and type."""
+def compare(
+    source: DataFrame, target: DataFrame, pair: Pair, *, recon_id: str, table_id: int, source_name: str, target_name: str, narrowed: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(main, metrics, details) of one pair of tables. Columns may have any name and type. narrowed: see Difference.of."""
     spark = source.sparkSession
-    found = Difference(source, target, pair)
+    found = Difference.of(source, target, pair, narrowed)
     common = found.sides.common
     invalid = [r for r in schema_rows(source, target, pair) if r["is_valid"] == "false"]
     n = [F.col(meeting.quoted(f"n_{c}")) for c in common]

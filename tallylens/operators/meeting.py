@@ -84,7 +84,7 @@ _NO_KEY = {T.StringType: "", T.BooleanType: False, T.DateType: "1970-01-01", T.T
 
 
 def _key(x: Column, own: T.DataType, shared: T.DataType) -> Column:
-    if _holds(shared, T.StructType, T.ArrayType, T.MapType, T.VariantType, T.BinaryType):
+    if isinstance(shared, (T.StructType, T.ArrayType, T.MapType, T.VariantType, T.BinaryType)):
         return F.coalesce(F.to_json(F.struct(comparable(x, own).alias("k"))), F.lit(""))
     none = 0 if isinstance(shared, T.NumericType) else _NO_KEY.get(type(shared), "")
     return F.coalesce(x.cast(shared), F.lit(none).cast(shared))
@@ -163,14 +163,21 @@ def meet(sides: Sides, how: str = "full_outer") -> DataFrame:
     return both.withColumns({"alone": alone, "copy": F.lit(0).cast("long"), "w": F.lit(1).cast("long")})
 
 
-def _hashes(sides: Sides, side: str) -> list[Column]:
-    """Two hashes of a row's common columns, alike on both sides."""
-    parts = []
+def _parts(sides: Sides, side: str) -> list[Column]:
+    """The common columns of a row in a form that is alike on both sides."""
+    out = []
     for c in sides.common:
         own, other = sides.types(c)[:: 1 if side == "s" else -1]
         x = getattr(sides, side)(c)
-        parts.append(comparable(x, own) if own == other else text(x, own))
-    return [F.xxhash64(F.lit(k), *parts).alias(f"h{k}") for k in (0, 1)]
+        out.append(comparable(x, own) if own == other else text(x, own))
+    return out
+
+
+def row_hashes(sides: Sides, side: str, with_keys: bool = True) -> list[Column]:
+    """Two hashes of a row's common columns, and of its keys; a null counts by its place."""
+    parts = _parts(sides, side)
+    nulls = F.concat(*[F.when(x.isNull(), "1").otherwise("0") for x in parts]) if parts else F.lit("")
+    return [F.xxhash64(F.lit(k), *(sides.on if with_keys else []), nulls, *parts) for k in (0, 1)]
 
 
 def _numbered(rows: DataFrame, on: list[str]) -> DataFrame:
@@ -196,7 +203,8 @@ def copies(sides: Sides, met: DataFrame) -> DataFrame:
     each = []
     for df, side in ((sides.source, "s"), (sides.target, "t")):
         values = [c for c in df.columns if c not in on]
-        rows = df.join(several, on, "left_semi").select(*on, *values, *_hashes(sides, side))
+        hashes = [h.alias(f"h{k}") for k, h in enumerate(row_hashes(sides, side, with_keys=False))]
+        rows = df.join(several, on, "left_semi").select(*on, *values, *hashes)
         each.append(rows.groupBy(*by).agg(F.count(F.lit(1)).alias(f"{side}d"), *[F.first(c).alias(c) for c in values]))
     both = materialize(each[0].join(each[1], by, "full_outer").withColumn("least", F.least(F.coalesce("sd", F.lit(0)), F.coalesce("td", F.lit(0)))), "copies")
     here = {"alone": F.lit(True), "copy": F.lit(-1).cast("long"), "w": F.col("least"), "sn": F.lit(1).cast("long"), "tn": F.lit(1).cast("long")}

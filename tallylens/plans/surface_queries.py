@@ -39,7 +39,7 @@ def _copies(spark, sf_dir):
 @query(_RESTS + "SELECT CAST(sum(a) AS BIGINT) AS source_rows, CAST(sum(b) AS BIGINT) AS target_rows, CAST(sum(rb - least(ra, rb)) AS BIGINT) AS missing_in_source, CAST(sum(ra - least(ra, rb)) AS BIGINT) AS missing_in_target, CAST(sum(least(ra, rb)) AS BIGINT) AS absolute_mismatch, CAST(sum(least(ra, rb)) AS BIGINT) AS n_status FROM rests")
 def q_compare_duplicate_and_null_keys(spark, sf_dir):
     s, t = _copies(spark, sf_dir)
-    return compare.Difference(s, t, compare.Pair(keys=["k"])).counts()
+    return compare.Difference.of(s, t, compare.Pair(keys=["k"])).counts()
 
 
 @query(_RESTS + "SELECT CAST(sum(least(ra, rb)) AS BIGINT) AS n, CAST((SELECT count(*) FROM s) AS BIGINT) AS src_total FROM rests")

@@ -116,7 +116,7 @@ def test_equal_tables_give_no_findings(spark, tables):
 def test_renamed_columns_and_filters(spark):
     s = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
     t = spark.createDataFrame([(1, "a"), (2, "x")], "k int, w string")
-    found = compare.Difference(s, t, compare.Pair(keys=["k"], column_map={"v": "w"}, source_filter="k < 3", unique_keys=True))
+    found = compare.Difference.of(s, t, compare.Pair(keys=["k"], column_map={"v": "w"}, source_filter="k < 3", unique_keys=True))
     assert found.sides.common == ["w"] and found.counts().first()["n_w"] == 1
 
 
@@ -200,7 +200,7 @@ def test_duplicate_and_null_keys_equal_brute_force(spark, seed):
     rng = random.Random(seed)
     rows = [[(rng.choice([None, 1, 2, 3, 4]), rng.choice(["x", "y", "z", None])) for _ in range(rng.randrange(0, 14))] for _ in range(2)]
     s, t = (spark.createDataFrame(r, "k int, v string") for r in rows)
-    got = compare.Difference(s, t, compare.Pair(keys=["k"])).counts().first()
+    got = compare.Difference.of(s, t, compare.Pair(keys=["k"])).counts().first()
     assert (got["source_rows"], got["target_rows"]) == tuple(map(len, rows))
     assert (got["missing_in_source"], got["missing_in_target"], got["absolute_mismatch"]) == brute_compare(*rows)
     main, metrics, details = compare.compare(s, t, compare.Pair(keys=["k"]), recon_id="r", table_id=1, source_name="a.s", target_name="a.t")
@@ -213,7 +213,7 @@ def test_duplicate_and_null_keys_equal_brute_force(spark, seed):
 def test_the_verdicts_cases_of_copies(spark):
     s = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
     t = spark.createDataFrame([(1, "y")], "k int, v string")
-    got = compare.Difference(s, t, compare.Pair(keys=["k"])).counts().first()
+    got = compare.Difference.of(s, t, compare.Pair(keys=["k"])).counts().first()
     assert (got["absolute_mismatch"], got["missing_in_target"]) == (0, 1)
     many = spark.range(300).selectExpr("1 AS k", "cast(id as string) AS v")
     other = many.selectExpr("k", "concat(v, '!') AS v")
