@@ -4,7 +4,9 @@ Each Arrow batch of documents is a shard. Its words become numbers of the benchm
 any other word), a suffix array over the shard's words is sorted, and every benchmark suffix is
 binary-searched in it as a window of `window` words (an item with fewer words is one window). Suffixes
 whose first two words no window starts with cannot match and are left out of the array. Matches at
-consecutive places of document and item join into longest verbatim matches.
+consecutive places of document and item join into longest verbatim matches; where windows are so common
+that there are too many pairs of places, a suffix array over the items gives each place's longest match from
+its neighbours in the array instead, however many items say the same.
 
 The benchmark is split into blocks of about block_chars characters (an item is never split), built one
 after another and written to the shared folder. A shard is searched for one block after another by the same
@@ -35,6 +37,8 @@ _TABLE = bytes(c if chr(c).isdigit() and c < 128 or 97 <= c <= 122 or c >= 128 e
 
 #: Blocks that a worker keeps in memory.
 HELD = 4
+#: Pairs of places of a batch and the items that are joined; of more, the items' suffix array is searched.
+PAIRS = 2_000_000
 _FOUND = "n_words long, spans array<int>, items array<string>, longest long, longest_at long, longest_item string, longest_item_at long"
 
 
@@ -52,9 +56,12 @@ class Block:
         self.names = sorted({i for i, _ in items})
         at_name = {n: k for k, n in enumerate(self.names)}
         found: dict[tuple, list] = {}
+        long: dict[tuple, tuple] = {}
         for name, text in items:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words((text or "").encode())]
             n = min(window, len(ids))
+            if n == window:
+                long[tuple(ids)] = min(long.get(tuple(ids), (name,)), (name,))
             for q in range(len(ids) - n + 1) if n else ():
                 found.setdefault(tuple(ids[q : q + n]), []).append((at_name[name], q))
         self.bits = max(1, len(self.vocab).bit_length())
@@ -70,10 +77,21 @@ class Block:
         spots = [sorted(set(found[k])) for k in keys]
         self.first = np.concatenate([[0], np.cumsum([len(x) for x in spots])]).astype("int64")
         self.where = np.array([x for y in spots for x in y], dtype="int64").reshape(-1, 2)
+        # The distinct texts of at least a window, in the order of their first names.
+        self.long = [(at_name[name], np.array(ids, dtype="int32")) for (name,), ids in sorted((v, k) for k, v in long.items())]
+        #: Made where they are needed.
+        self.array: ItemSuffixes | None = None
+        self._items: dict[int, np.ndarray] = {}
         self.single = np.unique(grid[self.lengths == 1, 0])
         many = grid[self.lengths > 1]
         self.pairs = np.unique(many[:, 0] << self.bits | many[:, 1]) if len(many) else np.zeros(0, dtype="int64")
 
+    def items(self, window: int) -> np.ndarray:
+        """The items that have a window, each once."""
+        if window not in self._items:
+            self._items[window] = np.unique(self.where[self.first[window] : self.first[window + 1], 0])
+        return self._items[window]
+
     def pack(self, grid: np.ndarray) -> list[np.ndarray]:
         """Columns of whole words, most significant first, in integers."""
         out = []
@@ -127,24 +145,136 @@ def search(block: Block, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return suffixes[at], which
 
 
-def _longest(block: Block, place, which, doc) -> dict[int, tuple]:
+class ItemSuffixes:
+    """The suffix array of a block's items, with names for their stretches of 1, 2, 4, ... words: equal stretches
+    have equal names, so that common prefixes are measured in steps of halved length."""
+
+    def __init__(self, long: list[tuple[int, np.ndarray]]):
+        self.item = np.array([k for k, _ in long], dtype="int64")
+        sizes = np.array([len(x) for _, x in long], dtype="int64")
+        self.starts = np.cumsum(sizes + 1) - sizes - 1
+        self.text = np.concatenate([y for _, x in long for y in (x, np.zeros(1, dtype="int32"))]).astype("int64")
+        n = len(self.text)
+        #: Names of each level, -1 where a stretch would pass the item's end; and the pairs that make them.
+        self.names, self.pairs = [np.where(self.text > 0, self.text, -1)], []
+        rank, step = self.text.copy(), 1
+        while step < sizes.max():
+            last = self.names[-1]
+            after = np.append(last[step:], np.full(step, -1))[:n]
+            whole = (last >= 0) & (after >= 0)
+            pair = last * (n + int(self.text.max()) + 2) + after
+            known = np.unique(pair[whole])
+            name = np.full(n, -1, dtype="int64")
+            name[whole] = np.searchsorted(known, pair[whole])
+            self.pairs.append(known)
+            self.names.append(name)
+            # The order of suffixes by twice as many words; what lies behind an item's end counts as nothing.
+            ahead = np.append(rank[step:], np.zeros(step, dtype="int64"))[:n]
+            ahead[last < 0] = 0
+            rank = np.unique(rank * (int(max(rank.max(), ahead.max())) + 1) + ahead, return_inverse=True)[1].astype("int64") + 1
+            rank[self.text == 0] = 0
+            step *= 2
+        order = np.argsort(rank, kind="stable")
+        self.array = order[np.searchsorted(rank[order], 1) :]
+
+    def named(self, ids: np.ndarray) -> list[np.ndarray]:
+        """The names of a batch's stretches, -1 for those that no item has."""
+        n = len(ids)
+        out = [np.where(ids > 0, ids, -1).astype("int64")]
+        for level, known in enumerate(self.pairs):
+            step, last = 1 << level, out[-1]
+            after = np.append(last[step:], np.full(step, -1))[:n]
+            who = np.flatnonzero((last >= 0) & (after >= 0))
+            pair = last[who] * (len(self.text) + int(self.text.max()) + 2) + after[who]
+            name = np.full(n, -1, dtype="int64")
+            hit = _member(known, pair)
+            name[who[hit]] = np.searchsorted(known, pair[hit])
+            out.append(name)
+        return out
+
+    def common(self, names: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """How many words from each place p of the batch are those from place q of the items."""
+        length = np.zeros(len(p), dtype="int64")
+        for level in range(len(names) - 1, -1, -1):
+            a, b = names[level][np.minimum(p + length, len(names[0]) - 1)], self.names[level][np.minimum(q + length, len(self.text) - 1)]
+            length += ((a >= 0) & (a == b)).astype("int64") << level
+        return length
+
+    def _below(self, ids, names, p, q) -> np.ndarray:
+        """Whether the items' suffix at q is before the batch's at p."""
+        n = self.common(names, p, q)
+        return self.text[np.minimum(q + n, len(self.text) - 1)] < ids[np.minimum(p + n, len(ids) - 1)]
+
+    def longest(self, ids: np.ndarray, names: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+        """The longest match that begins at each place p of the batch: that with a neighbour in the array."""
+        lo, hi = np.zeros(len(p), dtype="int64"), np.full(len(p), len(self.array), dtype="int64")
+        while (open_ := lo < hi).any():
+            mid = np.minimum((lo + hi) // 2, len(self.array) - 1)
+            go = self._below(ids, names, p, self.array[mid])
+            lo, hi = np.where(open_ & go, mid + 1, lo), np.where(open_ & ~go, mid, hi)
+        return np.maximum(*[self.common(names, p, self.array[np.clip(lo + by, 0, len(self.array) - 1)]) for by in (-1, 0)])
+
+    def first(self, names: list[np.ndarray], p: int, length: int) -> tuple[int, int]:
+        """(item, place in it) of the first item that has the `length` words from p on."""
+        level = length.bit_length() - 1
+        back = length - (1 << level)
+        # Two stretches that overlap make up the match.
+        a, b = names[level][p], names[level][p + back]
+        own = self.names[level]
+        at = np.flatnonzero(own == a)
+        at = at[own[at + back] == b]
+        k = int(np.searchsorted(self.starts, at[0], side="right") - 1)
+        return int(self.item[k]), int(at[0] - self.starts[k])
+
+
+def _best(out: dict[int, tuple], doc: np.ndarray, length, place, item, q) -> None:
+    """Keeps the longest match of each document: of equal ones the first place, then the first item and place there."""
+    order = np.lexsort((q, item, place, -length, doc))
+    for k in order[np.append(True, doc[order][1:] != doc[order][:-1])] if len(order) else ():
+        new = (int(length[k]), int(place[k]), int(item[k]), int(q[k]))
+        old = out.get(int(doc[k]))
+        if old is None or (-new[0], *new[1:]) < (-old[0], *old[1:]):
+            out[int(doc[k])] = new
+
+
+def _longest(block: Block, ids, place, which, doc) -> dict[int, tuple]:
     """doc -> (length, place, item, place in item) of its longest verbatim match."""
+    out: dict[int, tuple] = {}
+    short = block.lengths[which] < block.window
+    # An item of fewer words than a window matches whole; of those with the same words, the first counts.
+    where = block.where[block.first[which[short]]]
+    _best(out, doc[short], block.lengths[which[short]], place[short], where[:, 0], where[:, 1])
+    place, which, doc = place[~short], which[~short], doc[~short]
     n = block.first[which + 1] - block.first[which]
-    p, d, w = np.repeat(place, n), np.repeat(doc, n), np.repeat(which, n)
+    if n.sum() > PAIRS:
+        array = block.array = block.array or ItemSuffixes(block.long)
+        names = array.named(ids)
+        place, at = np.unique(place, return_index=True)
+        doc, length = doc[at], array.longest(ids, names, place)
+        order = np.lexsort((place, -length, doc))
+        for k in order[np.append(True, doc[order][1:] != doc[order][:-1])]:
+            item, q = array.first(names, int(place[k]), int(length[k]))
+            _best(out, doc[k : k + 1], length[k : k + 1], place[k : k + 1], np.array([item]), np.array([q]))
+        return out
+    p, d = np.repeat(place, n), np.repeat(doc, n)
     at = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(block.first[which], n)
     item, q = block.where[at, 0], block.where[at, 1]
     order = np.lexsort((p, p - q, item, d))
-    p, d, w, item, q = (x[order] for x in (p, d, w, item, q))
+    p, d, item, q = (x[order] for x in (p, d, item, q))
     new = np.ones(len(p), dtype=bool)
     new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (p[1:] - q[1:] != p[:-1] - q[:-1]) | (p[1:] != p[:-1] + 1)
     start = np.flatnonzero(new)
-    length = np.diff(np.append(start, len(p))) + block.lengths[w[start]] - 1
-    out: dict[int, tuple] = {}
-    for k in np.lexsort((q[start], item[start], p[start], -length, d[start])):
-        out.setdefault(int(d[start[k]]), (int(length[k]), int(p[start[k]]), int(item[start[k]]), int(q[start[k]])))
+    length = np.diff(np.append(start, len(p))) + block.window - 1
+    _best(out, d[start], length, p[start], item[start], q[start])
     return out
 
 
+def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[list, list]:
+    """The distinct keys, which are sorted, and the values of each."""
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[at].tolist(), [x.tolist() for x in np.split(values, at[1:])]
+
+
 def scan(block: Block, texts: list) -> list[tuple]:
     """(n_words, spans, items, best) of each text: spans is a flat list of merged [from, to) word places, best
     the longest match as (-length, place, item, place in item), or None."""
@@ -171,10 +301,9 @@ def scan(block: Block, texts: list) -> list[tuple]:
         k = int(np.searchsorted(starts, a, side="right") - 1)
         out[k][1].extend((int(a - starts[k]), int(b - starts[k])))
     pairs = np.unique(doc * len(block.lengths) + which)
-    for x in pairs:
-        k, w = divmod(int(x), len(block.lengths))
-        out[k][2].extend(block.names[i] for i in block.where[block.first[w] : block.first[w + 1], 0])
-    for k, (length, p, item, q) in _longest(block, place, which, doc).items():
+    for k, own in zip(*_grouped(pairs // len(block.lengths), pairs % len(block.lengths)), strict=True):
+        out[k][2].extend(block.names[i] for i in np.unique(np.concatenate([block.items(w) for w in own])))
+    for k, (length, p, item, q) in _longest(block, ids, place, which, doc).items():
         out[k][3] = (-length, p - int(starts[k]), block.names[item], q)
     return out
 

@@ -49,12 +49,28 @@ def plain(texts: pa.Array) -> np.ndarray:
 
 
 def cut(text: str) -> list[str]:
-    """The pieces of a text; their concatenation is the text."""
+    """The pieces of a text, cut at white space; their concatenation is the text."""
     if not text:
         return []
     return _CUT.split(text)
 
 
+#: Letters, digits and signs that every version of Unicode takes for such: ASCII, Latin, Greek,
+#: Cyrillic, kana, CJK and Hangul, with their punctuation.
+_LETTERS = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u02AF\u0391-\u03A1\u03A3-\u03CE\u0400-\u0481\u3041-\u3096\u30A1-\u30FA\u3400-\u4DB5\u4E00-\u9FA5\uAC00-\uD7A3"
+_DIGITS = r"0-9\uFF10-\uFF19"
+_SIGNS = r"!-/:-@\[-`{-~\u00A1\u00A7\u00AB\u00BB\u00BF\u2010-\u2027\u2030-\u203A\u3001-\u3003\u3008-\u3011\uFF01-\uFF0F\uFF1A-\uFF20"
+#: Between a letter, digit or sign and one of another kind the pattern always starts anew, but for a letter behind an
+#: apostrophe, which may be a contraction.
+_KIND = re.compile(rf"(?<=[{_LETTERS}])(?=[{_DIGITS}{_SIGNS}])|(?<=[{_DIGITS}])(?=[{_LETTERS}{_SIGNS}])|(?<=[{_SIGNS}])(?=[{_DIGITS}])|(?<=[{_SIGNS}])(?<!')(?=[{_LETTERS}])")
+
+
+def cut_finely(text: str) -> list[str]:
+    """The pieces of a text, cut at white space and between letters, digits and signs; a run of one kind stays
+    whole, as no place within it is sure to be one where the tokenizer starts anew."""
+    return [x for piece in cut(text) for x in _KIND.split(piece)]
+
+
 class Pieces:
     """Encodes texts by pieces. path: a tokenizer file of the tokenizers library."""
 

@@ -5,7 +5,9 @@ LEAF pieces, a node FAN leaves or nodes, each with its characters and tokens. Tr
 texts. An edit finds the leaves it touches by descending the tree, takes a leaf of context where it comes
 within two characters of an end, re-encodes just these leaves' text, and updates the sums on the way to the
 root; nodes that grow too wide are split. The outer ends of the re-encoded text are cuts that the edit
-cannot undo, so the count stays exact.
+cannot undo, so the count stays exact. Texts with pieces of more than WIDE characters, as where words aren't set
+apart by spaces, are cut between letters, digits and signs too; only a run of one kind, such as a clause of
+Chinese letters, is re-encoded whole.
 
 Defined cases: null and empty text have no tokens; an edit's range is clipped to the text, null ends and
 texts count as nothing; edits apply in their given order, each to the text that the earlier ones left;
@@ -17,14 +19,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_arrow_batches, lean, materialize
-from .segments import Pieces, cut, plain, shared, tokenizer_path
+from .segments import Pieces, cut, cut_finely, plain, shared, tokenizer_path
 
-#: Pieces in a leaf, and children of a node.
-LEAF, FAN = 8, 32
+#: Pieces in a leaf, children of a node, and characters from which on a piece is cut finely.
+LEAF, FAN, WIDE = 8, 32, 100
+
+
+def _pieces(text: str) -> list[str]:
+    return [x for piece in cut(text) for x in ((piece,) if len(piece) <= WIDE else cut_finely(piece))]
 
 
 class TokenTree:
@@ -98,7 +105,7 @@ class TokenTree:
             self.text = self.text[:start] + new + self.text[end:]
             spot = (b0, l0, b1, l1 + 1)
         self.reencoded += len(region)
-        return cut(region), spot
+        return _pieces(region), spot
 
     def finish(self, pieces: list[str], counts: list[int], spot: tuple) -> None:
         """Puts the leaves of newly encoded pieces in place and updates the sums above them."""
@@ -144,7 +151,8 @@ def edit_all(trees: list[TokenTree], edits: list[tuple], encoder: Pieces) -> Non
 def leaves_of(texts: pa.Array, encoder: Pieces) -> list[tuple[list[int], list[int]]]:
     """(characters, tokens) of the leaves of each text; pieces met before are not encoded again."""
     out: list = [([], [])] * len(texts)
-    even = plain(texts)
+    # A text of an even look with a wide piece is cut as the others are.
+    even = plain(texts) & ~pc.fill_null(pc.match_substring_regex(texts, rf"[^ \n]{{{WIDE},}}"), False).to_numpy(zero_copy_only=False)
     if even.any():
         codes, starts = encoder.codes(texts.filter(pa.array(even)))
         n = np.diff(np.append(starts, len(codes)))
@@ -155,7 +163,7 @@ def leaves_of(texts: pa.Array, encoder: Pieces) -> list[tuple[list[int], list[in
         for k, end, size in zip(np.flatnonzero(even), ends, leaves, strict=True):
             out[k] = chars[end - size : end].tolist(), tokens[end - size : end].tolist()
     for k in np.flatnonzero(~even):
-        pieces = cut(texts[int(k)].as_py() or "")
+        pieces = _pieces(texts[int(k)].as_py() or "")
         counts = [len(x) for x in encoder.whole(pieces)] if pieces else []
         out[k] = tuple([sum(x[a : a + LEAF]) for a in range(0, len(x), LEAF)] for x in ([len(p) for p in pieces], counts))
     return out

@@ -10,10 +10,13 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallylens.llm import chat, decontamination, langid, lmscore, mixing, neardup, neighbours, sharding, tokencounts, tokenfiles
 from tallylens.llm.common import fresh_dir
+from tallylens.llm.segments import cut_finely
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, bucket string, size double, key string, label string"
 
@@ -733,3 +736,49 @@ def test_words_learned_from_are_bounded(spark):
     got = {tuple(r) for r in langid._bounded(words, 2, 200, 1200).collect()}
     assert got == {("en", f"w{k:05d}", k) for k in range(400, 500)} | set()
     assert {r["word"] for r in langid._bounded(words, 2, 200, 2400).where("lang = 'de'").collect()} == {"x" * 900, "kurz"}
+
+
+def test_edits_of_unspaced_text_reencode_little():
+    """Chinese clauses, and words set apart by signs alone: an edit re-encodes a few clauses."""
+    encoder = tokencounts.shared(tokencounts.tokenizer_path())
+    rng = np.random.default_rng(8)
+    letters = [chr(c) for c in range(0x4E00, 0x4F00)]
+    for text in ("，".join("".join(rng.choice(letters, 12)) for _ in range(1400)), "".join(f"abc{k},def;ghi." for k in range(1500))):
+        (tree,) = tokencounts.trees([text], encoder)
+        for _ in range(12):
+            at = int(rng.integers(len(tree.text)))
+            tree.edit(at, at + int(rng.integers(0, 9)), str(rng.choice(["", "新字", "，", "x'", "'s", "1", " "])), encoder)
+            assert tree.n_tokens == len(encoder.whole([tree.text])[0]) and tree.n_chars == len(tree.text)
+        assert tree.reencoded < 12 * 400
+
+
+@given(st.text("ab'1,。漢é sS\n", max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_fine_cuts_keep_the_ids(text):
+    encoder = tokencounts.shared(tokencounts.tokenizer_path())
+    pieces = cut_finely(text)
+    assert "".join(pieces) == text
+    each = encoder.whole(pieces) if pieces else []
+    assert [i for x in each for i in x] == (encoder.whole([text])[0].tolist() if text else [])
+
+
+def test_common_windows_are_searched_in_the_items_suffix_array(monkeypatch):
+    import random
+    import time
+
+    rng = random.Random(0)
+    for trial in range(120):
+        vocab = "ab" if trial % 2 else "abc"
+        items = [(f"i{k}", " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 25)))) for k in range(rng.randint(1, 12))]
+        texts = [" ".join(rng.choice(vocab + "z" * (trial % 3 == 0)) for _ in range(rng.randint(0, 40))).encode() for _ in range(5)]
+        block, found = decontamination.Block(items, 4), []
+        for most in (10**9, 0):
+            monkeypatch.setattr(decontamination, "PAIRS", most)
+            found.append(decontamination.scan(block, texts))
+        assert found[0] == found[1]
+    monkeypatch.setattr(decontamination, "PAIRS", 2_000_000)
+    for words in (1, 40):
+        block = decontamination.Block([(k, "the " * words) for k in range(4000)], 10)
+        began = time.time()
+        (got,) = decontamination.scan(block, [b"the " * 3000])
+        assert time.time() - began < 1 and len(got[2]) == 4000 and got[1] == [0, 3000] and got[3] == (-words, 0, "0", 0)
