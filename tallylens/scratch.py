@@ -42,12 +42,12 @@ def mark() -> int:
     return len(_made.paths)
 
 
-def materialize(df: DataFrame, kind: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage without keeping
-    blocks on executors, so a lost executor costs only the tasks that it was running."""
+def materialize(df: DataFrame, kind: str, **options: str) -> DataFrame:
+    """Write df as Parquet (with the writer's options) in the shared folder and read it back: cuts the lineage without
+    keeping blocks on executors, so a lost executor costs only the tasks that it was running."""
     spark = df.sparkSession
     path = fresh_dir(spark, kind)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
