@@ -113,7 +113,7 @@ def laid_out(rows: DataFrame, ids_per_part: int = 1 << 24, max_parts: int = 1 <<
     """rows of encoded() in curve order: part, before (ids before it in its part), doc_id, n, width, ids."""
     first = mark()
     # Written with a number of their own, so that rows equal in all else can be told apart.
-    stored = materialize(rows.withColumn("u", F.monotonically_increasing_id()), "packing-ids")
+    stored = materialize(rows.withColumn("u", F.monotonically_increasing_id()), "packing-ids", compression="zstd")
     total = stored.agg(F.sum("n")).first()[0] or 0
     parts = max(1, min(max_parts, -(-total // ids_per_part)), min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // LENGTH))
     order = ["key", "tie", "doc_id", "u"]
@@ -129,7 +129,7 @@ def laid_out(rows: DataFrame, ids_per_part: int = 1 << 24, max_parts: int = 1 <<
 
     # A part is one task's rows in order.
     placed = ranged.select("part", "doc_id", "n", "width", "ids").mapInArrow(run, "part int, before long, doc_id long, n long, width int, ids binary")
-    done = materialize(placed, "packing-parts")
+    done = materialize(placed, "packing-parts", compression="zstd")
     drop_from(rows.sparkSession, first, keep=1)
     return done
 
