@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .meeting import quoted
+
 
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """target after MERGE: rows with a key in changes are replaced, new keys are added. Idempotent. Two changes
-    of one key are an error, as which of them holds isn't known."""
-    same = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
+    """target after MERGE: rows with a key in changes are replaced, new keys are added; a null key is a key, so
+    that the same changes twice change nothing more. Two changes of one key are an error, as which of them holds
+    isn't known."""
+    on = [quoted(k) for k in keys]
+    same = F.count(F.lit(1)).over(Window.partitionBy(*on)) > 1
     once = F.when(same, F.raise_error(F.lit("two changes have the same key")))
     changes = changes.withColumn("_once", once).where("_once is null").drop("_once")
-    kept = target.join(changes.select(*keys).distinct(), keys, "left_anti")
-    return kept.select(*target.columns).unionByName(changes.select(*target.columns))
+    new = changes.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(on)])
+    met = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(on)])
+    columns = [quoted(c) for c in target.columns]
+    return target.join(new, met, "left_anti").select(*columns).unionByName(changes.select(*columns))
 
 
 def newer(rows: DataFrame, column: str, watermark) -> DataFrame:

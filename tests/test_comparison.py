@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tallylens.operators import checksums, compare, drilldown, layout, meeting, validate
+from tallylens.operators import checksums, compare, drilldown, layout, meeting, merge, validate
+from tallylens.plans import scripts
 
 
 def plan_of(df, kind="executedPlan"):
@@ -174,3 +175,29 @@ def test_validation_takes_null_keys_as_keys_and_filters_the_column_itself(spark,
     spark.range(100).selectExpr("id AS k", "timestamp_ntz'2026-01-01 12:00:00' + make_dt_interval(cast(id as int)) AS ts").write.parquet(str(tmp_path / "t"))
     df = validate._window(spark.read.parquet(str(tmp_path / "t")), "ts", datetime.date(2026, 1, 3), datetime.date(2026, 1, 5))
     assert df.count() == 3 and "GreaterThanOrEqual(ts" in plan_of(df)
+
+
+def test_upserts_with_null_keys_are_repeatable(spark):
+    t = spark.createDataFrame([(1, None, "a"), (None, 2, "b")], "k int, `l.l` int, v string")
+    c = spark.createDataFrame([(1, None, "z"), (None, None, "n")], "k int, `l.l` int, v string")
+    once = merge.upsert(t, c, ["k", "l.l"])
+    assert Counter(map(tuple, once.collect())) == Counter(map(tuple, merge.upsert(once, c, ["k", "l.l"]).collect())) == Counter([(1, None, "z"), (None, 2, "b"), (None, None, "n")])
+
+
+def test_scripts_keep_texts_and_quoted_names(spark):
+    name = "script_db"
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name}")
+    script = f"""-- cat.x.y stays in a comment
+    CREATE OR REPLACE TABLE `cat`.{name}.`odd_name` AS SELECT 'see cat.a.b -- not; a comment' AS v, /* cat.c.d */ "as (cat.e.f)" AS w;
+    CREATE OR REPLACE TABLE cat.{name}.`odd_name` AS SELECT concat(v, '!') AS v, w FROM cat.{name}.`odd_name`;
+    CREATE TABLE IF NOT EXISTS cat.{name}.plain (id INT, v STRING COMMENT 'primary key (x), as is', PRIMARY KEY (id)) CLUSTER BY (id)"""
+    scripts.run_script(spark, script, catalog="cat")
+    assert tuple(spark.table(f"{name}.`odd_name`").first()) == ("see cat.a.b -- not; a comment!", "as (cat.e.f)")
+    assert spark.sql(f"DESCRIBE {name}.plain").where("col_name = 'v'").first()["comment"] == "primary key (x), as is"
+    assert {r["tableName"] for r in spark.sql(f"SHOW TABLES IN {name}").collect()} == {"odd_name", "plain"}
+    # A statement that fails leaves the old table.
+    with pytest.raises(RuntimeError, match="statement 1"):
+        scripts.run_script(spark, f"CREATE OR REPLACE TABLE {name}.`odd_name` AS SELECT raise_error('no') AS v")
+    assert spark.table(f"{name}.`odd_name`").count() == 1
+    assert scripts.without_catalog("a.cat.b.c, cat.t.u, CAT.s.t, 'cat.s.t', \"cat.s.t\", mycat.s.t, cat.t", "cat") == "a.cat.b.c, cat.t.u, s.t, 'cat.s.t', \"cat.s.t\", mycat.s.t, cat.t".replace("cat.t.u", "t.u")
+    spark.sql(f"DROP SCHEMA {name} CASCADE")
