@@ -6,13 +6,14 @@ from collections import defaultdict
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import knowledge
-from ..operators import classify, compare, drilldown, ingest, lineage, passes
-from ..scratch import materialize
+from ..operators import classify, compare, drilldown, ingest, lineage, passes, patterns
+from ..scratch import drop_from, mark, materialize
 from ..sources import artifacts
 
 
@@ -43,10 +44,13 @@ def analyze(
     mapping: dict[str, artifacts.TableMapping] | None = None,
     upstreams: DataFrame | None = None,
     drills: int = 4,
+    locate: bool = False,
 ) -> Analysis:
     """table: gives a compared table by its full name; without it nothing is confirmed on whole tables.
     mapping: code artifacts; their keys, renamed columns and load filters hold for the confirmation too.
-    upstreams: as from lineage.upstreams. drills: pairs confirmed at a time."""
+    upstreams: as from lineage.upstreams. drills: pairs confirmed at a time. locate: also say which value of which
+    column a finding's rows share, which compares the pair's tables once more."""
+    first = mark()
     # Details are at most SAMPLE_CAP rows for each column of each pair. Each step's frames are written once.
     findings, samples, summaries = ingest.ingest(main, metrics, materialize(details, "details"), recon_id)
     if mapping:
@@ -62,9 +66,33 @@ def analyze(
     if table is not None:
         drilled = drill_all(spark, findings, hypotheses, summaries, table, mapping or {}, drills)
         findings, hypotheses = drilldown.finalise(findings, hypotheses, drilled)
+        if locate:
+            hypotheses = patterns.pattern_pass(hypotheses, located(spark, findings, summaries, table, mapping or {}))
     if upstreams is not None:
         hypotheses = lineage.lineage_pass(findings, hypotheses, upstreams)
-    return Analysis(recon_id, *(materialize(x, "analysis") for x in (findings, samples, hypotheses)), summaries)
+    out = Analysis(recon_id, *(materialize(x, "analysis") for x in (findings, samples, hypotheses, summaries)))
+    drop_from(spark, first, keep=4)  # what it wrote on its way
+    return out
+
+
+def _pair(r, mapping: dict) -> compare.Pair:
+    m = mapping.get(artifacts.short(r["target_table"]))
+    return compare.Pair(keys=list(r["join_keys"] or []), column_map=dict(m.column_map) if m else {}, source_filter=m.compared[0] if m else "", target_filter=m.compared[1] if m else "")
+
+
+def located(spark: SparkSession, findings: DataFrame, summaries: DataFrame, table: Callable[[str], DataFrame], mapping: dict) -> DataFrame:
+    """finding_id and the columns of patterns.concentration, for the pairs that have findings."""
+    known = findings.select("finding_id", "recon_table_id", "recon_type", "column")
+    rows = summaries.join(known.select("recon_table_id").distinct(), "recon_table_id", "left_semi")
+    out = []
+    for r in rows.select("recon_table_id", "source_table", "target_table", "join_keys").collect():  # a row for each pair
+        found = compare.Difference.of(table(r["source_table"]), table(r["target_table"]), _pair(r, mapping))
+        out.append(patterns.concentration(found).withColumn("recon_table_id", F.lit(r["recon_table_id"])))
+    if not out:
+        return spark.createDataFrame([], "finding_id string, dimension string, total long, mode string, top long, share double, clustered boolean, usual double")
+    each = materialize(reduce(lambda a, b: a.unionByName(b), out), "patterns")
+    met = each.join(known, (each["recon_table_id"] == known["recon_table_id"]) & (each["recon_type"] == known["recon_type"]) & each["column"].eqNullSafe(known["column"]))
+    return met.select("finding_id", *[each[c] for c in ("dimension", "total", "mode", "top", "share", "clustered", "usual")])
 
 
 def known(spark: SparkSession, summaries: DataFrame, mapping: dict[str, artifacts.TableMapping]) -> DataFrame:
@@ -85,8 +113,7 @@ def drill_all(spark: SparkSession, findings: DataFrame, hypotheses: DataFrame, s
         by[r["recon_table_id"]].append(r)
 
     def one(r) -> list:
-        m = mapping.get(artifacts.short(r["target_table"]))
-        pair = compare.Pair(keys=list(r["join_keys"] or []), column_map=dict(m.column_map) if m else {}, source_filter=m.compared[0] if m else "", target_filter=m.compared[1] if m else "")
+        pair = _pair(r, mapping)
         todo = drilldown.drill(table(r["source_table"]), table(r["target_table"]), pair, by[r["recon_table_id"]], r["source_table"], r["target_table"])
         return [x for df in todo for x in df.collect()]
 

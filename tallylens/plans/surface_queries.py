@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import reports, streaming
 from ..functions import probes
-from ..operators import classify, compare, drilldown, ingest, lineage, merge, passes
+from ..operators import checksums, classify, compare, drilldown, ingest, layout, lineage, meeting, merge, passes, patterns
 from ..scratch import fresh_dir
 from ..sources import artifacts
 from . import config, scenarios, scripts
@@ -271,12 +271,10 @@ def q_layers(spark, sf_dir):
 def q_schema_compare(spark, sf_dir):
     s, t = (x.select("k", "price", "priority") for x in pair(spark, sf_dir))
     t = t.withColumn("price", F.col("price").cast("double")).withColumnRenamed("priority", "prio")
-    parts = compare.compare(s, t, compare.Pair(keys=["k"]), recon_id="r1", table_id=1, source_name="a.s", target_name="a.t")
-    rows = parts[2].where("recon_type = 'schema'").select(F.explode("data").alias("x"))
-    unseen = spark.createDataFrame([{"x": {"source_column": "k", "source_datatype": dict(s.dtypes)["k"], "databricks_column": "k", "databricks_datatype": dict(t.dtypes)["k"], "is_valid": "true"}}], "x map<string,string>")
+    rows = spark.createDataFrame([(r,) for r in compare.schema_rows(s, t, compare.Pair(keys=["k"]))], "x map<string,string>")
     x = F.col("x")
     name = F.when(x["source_column"] == "_null_recon_", x["databricks_column"]).otherwise(x["source_column"])
-    return rows.unionByName(unseen).select(name.alias("column"), x["source_datatype"].alias("source_type"), x["databricks_datatype"].alias("target_type"), (x["is_valid"] == "true").alias("valid"))
+    return rows.select(name.alias("column"), x["source_datatype"].alias("source_type"), x["databricks_datatype"].alias("target_type"), (x["is_valid"] == "true").alias("valid"))
 
 
 @query(
@@ -366,6 +364,93 @@ def q_stream_signals(spark, sf_dir):
     return spark.read.parquet(found).select(F.col("recon_table_id").alias("event_id"), F.col("signal.category").alias("category"))
 
 
+#: A key space of orders; source rows of keys 1 mod 6 and target rows of keys 2 mod 7 come, values of 3 mod 10 differ.
+_ARRIVED = "SELECT o_orderkey AS k, o_orderkey % 6 <> 1 AS s, o_orderkey % 7 <> 2 AS t, o_orderkey % 10 = 3 AS d FROM orders"
+
+
+@query(f"SELECT k, CASE WHEN NOT s THEN 'missing_in_source' WHEN NOT t THEN 'missing_in_target' ELSE 'mismatch' END AS kind FROM ({_ARRIVED}) WHERE (s OR t) AND NOT (s AND t AND NOT d)")
+def q_stream_findings(spark, sf_dir):
+    """Both tables as streams, the target's even keys a day late: first taken for missing, then put right."""
+    views(spark, sf_dir)
+    rows = spark.sql(_ARRIVED)
+    shown = F.when(F.col("d"), "other").otherwise("same")
+    early, later = F.lit("2026-01-01").cast("timestamp"), F.lit("2026-01-02").cast("timestamp")
+    source = rows.where("s").select("k", F.lit("same").alias("v"), early.alias("at"))
+    target = rows.where("t").select("k", shown.alias("v"), F.when(F.col("k") % 2 == 0, later).otherwise(early).alias("at"))
+    tick = spark.range(2).select((-1 - F.col("id")).alias("k"), F.lit("same").alias("v"), (later + F.make_dt_interval(F.col("id") * 2 - 1)).alias("at"))
+    ins, out, at = [fresh_dir(spark, f"stream-{x}") for x in "st"], fresh_dir(spark, "stream-out"), fresh_dir(spark, "stream-at")
+    # Rows on time, a row that moves the clock on, the late rows, and another.
+    steps = [(source, target.where("k % 2 = 1")), (tick.where("k = -1"),) * 2, (source.limit(0), target.where("k % 2 = 0")), (tick.where("k = -2"),) * 2]
+    for n, sides in enumerate(steps):
+        for df, path in zip(sides, ins, strict=True):
+            df.write.mode("append").parquet(path)
+        streams = [spark.readStream.schema(source.schema).parquet(p) for p in ins]
+        found = streaming.findings(*streams, ["k"], "at", late="1 hour", wait="1 hour", keep="30 days")
+        sink = lambda df, i, n=n: df.write.mode("overwrite").parquet(f"{out}/run={n}/batch={i}")
+        found.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(out).groupBy(F.col("key")["k"].cast("long").alias("k")).agg(F.max_by("kind", "revision").alias("kind"))
+    return last.where("kind <> 'equal' AND k >= 0")
+
+
+# --- narrowed comparison, laid-out tables, patterns ----------------------------------------------------------
+#: Orders against a copy in which one stretch of keys has other prices, a few rows are gone and one in 5000 is new.
+_STRETCH = "o_orderkey BETWEEN 2000 AND 2400"
+_FEW = f"""SELECT o_orderkey AS k, o_custkey AS custkey, o_totalprice AS price, o_orderpriority AS priority FROM orders"""
+_COPY = f"""SELECT o_orderkey AS k, o_custkey AS custkey, CASE WHEN {_STRETCH} THEN o_totalprice + 1 ELSE o_totalprice END AS price, o_orderpriority AS priority FROM orders WHERE o_orderkey NOT BETWEEN 3001 AND 3010
+UNION ALL SELECT -o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 5000 = 1"""
+_FEW_SQL = f"""SELECT count(*) AS source_rows, (SELECT count(*) FROM ({_COPY})) AS target_rows, (SELECT count(*) FROM orders WHERE o_orderkey % 5000 = 1) AS missing_in_source, count(*) FILTER (WHERE o_orderkey BETWEEN 3001 AND 3010) AS missing_in_target,
+  count(*) FILTER (WHERE {_STRETCH}) AS absolute_mismatch, CAST(0 AS BIGINT) AS n_custkey, count(*) FILTER (WHERE {_STRETCH}) AS n_price, CAST(0 AS BIGINT) AS n_priority FROM orders"""
+
+
+def _few(spark, sf_dir):
+    views(spark, sf_dir)
+    return spark.sql(_FEW), spark.sql(_COPY)
+
+
+@query(_FEW_SQL)
+def q_narrowed_compare(spark, sf_dir):
+    """Only the key ranges whose digests differ are joined."""
+    return compare.Difference.of(*_few(spark, sf_dir), compare.Pair(keys=["k"]), narrowed=True).counts()
+
+
+@query(f"""WITH s AS ({_FEW}), t AS ({_COPY}), ends AS (SELECT min(k) AS lo, max(k) AS hi FROM (SELECT k FROM s UNION ALL SELECT k FROM t)),
+w AS (SELECT lo, CASE WHEN hi - lo + 1 <= 16 THEN 1 WHEN hi - lo + 1 <= 256 THEN 16 WHEN hi - lo + 1 <= 4096 THEN 256 ELSE CAST(ceil((hi - lo + 1) / 65536.0) AS BIGINT) * 4096 END AS w FROM ends),
+a AS (SELECT (k - lo) // w AS range, count(*) AS n FROM s, w GROUP BY 1), b AS (SELECT (k - lo) // w AS range, count(*) AS n FROM t, w GROUP BY 1),
+d AS (SELECT DISTINCT (k - lo) // w AS range FROM w, ((SELECT * FROM s EXCEPT SELECT * FROM t) UNION ALL (SELECT * FROM t EXCEPT SELECT * FROM s)))
+SELECT range, coalesce(a.n, 0) AS source_rows, coalesce(b.n, 0) AS target_rows, d.range IS NOT NULL AS differs FROM a FULL JOIN b USING (range) LEFT JOIN d USING (range)""")
+def q_range_checksums(spark, sf_dir):
+    laid = meeting.laid_out(*_few(spark, sf_dir), compare.Pair(keys=["k"]))
+    return checksums.tree(laid, fan=16).levels[0].select("range", "source_rows", "target_rows", "differs")
+
+
+@query(_FEW_SQL)
+def q_laid_out_compare(spark, sf_dir):
+    """Both tables written by key once and read without an exchange."""
+    return compare.Difference(layout.co_locate(*_few(spark, sf_dir), compare.Pair(keys=["k"])).sides).counts()
+
+
+@query("SELECT count(*) AS source_rows, count(*) FILTER (WHERE o_orderkey % 4 = 1) AS n_map, count(*) FILTER (WHERE o_orderkey % 9 = 2) AS n_variant, count(*) FILTER (WHERE o_orderkey % 6 = 3) AS n_dotted FROM orders")
+def q_compare_any_types(spark, sf_dir):
+    """Maps, variants, and columns with dots in their names and names that the comparison might use."""
+    views(spark, sf_dir)
+    made = "SELECT o_orderkey AS _row, map({}) AS alone, parse_json(concat('{{\"a\": ', {}, ', \"b\": [1, 2]}}')) AS w, {} AS `s0.x` FROM orders"
+    s = spark.sql(made.format("'p', 1, 'q', o_custkey", "o_custkey", "o_custkey"))
+    t = spark.sql(made.format("'q', if(o_orderkey % 4 = 1, -1, o_custkey), 'p', 1", "if(o_orderkey % 9 = 2, -1, o_custkey)", "if(o_orderkey % 6 = 3, -1, o_custkey)"))
+    n = compare.Difference.of(s, t, compare.Pair(keys=["_row"])).counts()
+    return n.select("source_rows", F.col("n_alone").alias("n_map"), F.col("n_w").alias("n_variant"), F.col("`n_s0.x`").alias("n_dotted"))
+
+
+@query("""WITH gone AS (SELECT o_orderpriority AS v FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderkey % 40 = 0), n AS (SELECT v, count(*) AS n FROM gone GROUP BY 1)
+SELECT 'missing_in_target' AS recon_type, 'priority' AS dimension, CAST(sum(n) AS BIGINT) AS total, max_by(v, n) AS mode, max(n) AS top, round(max(n) / sum(n), 6) AS share, max(n) >= 0.6 * sum(n) AS clustered,
+  (SELECT round(count(*) FILTER (WHERE o_orderpriority = '1-URGENT') / count(*), 6) FROM orders) AS usual FROM n""")
+def q_row_patterns(spark, sf_dir):
+    """Which column's value the rows of a finding share."""
+    s, _ = _few(spark, sf_dir)
+    found = compare.Difference.of(s, s.where("NOT (priority = '1-URGENT' OR k % 40 = 0)"), compare.Pair(keys=["k"]))
+    shown = patterns.concentration(found, ["priority"])
+    return shown.select("recon_type", "dimension", "total", "mode", "top", "share", "clustered", "usual")
+
+
 # --- scenarios ---------------------------------------------------------------------------------------------
 def _expected() -> str:
     rows = ", ".join(f"('{i}', '{t}', '{c}', '{v}', true)" for i, t, _, _, c, v in scenarios.SCENARIOS)

@@ -1,11 +1,25 @@
-"""Continuous analysis: new comparison runs are analysed as they arrive."""
+"""Continuous analysis: comparison runs as they arrive, and tables compared row by row while both sides stream in."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import datetime
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators import meeting
+from ..schemas import MISSING_IN_SOURCE, MISSING_IN_TARGET
+
+EQUAL, MISMATCH = "equal", "mismatch"
+#: What findings() gives out: a key's state whenever it changes, and what it was said to be before.
+FINDING = "key map<string,string>, kind string, columns array<string>, corrects string, at timestamp, revision long"
+_STATE = "source string, target string, last long, said string, columns string, revision long"
 
 
 def on_new_runs(details: DataFrame, sink: Callable[[DataFrame, int], None]) -> DataStreamWriter:
@@ -21,3 +35,66 @@ def on_new_runs(details: DataFrame, sink: Callable[[DataFrame, int], None]) -> D
         sink(probes.each_signal(found, "recon_table_id", "column", "seq").drop("place"), number)
 
     return details.writeStream.foreachBatch(run)
+
+
+def _row(df: DataFrame, side: str, keys: list[str], names: dict[str, str], time: str) -> DataFrame:
+    """key (its texts), side, at, row (the texts of all other columns, as JSON)."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    shown = lambda c: meeting.text(meeting.comparable(F.col(meeting.quoted(c)), types[c]), types[c])
+    own = {names.get(c, c): c for c in df.columns}
+    key = F.to_json(F.array(*[F.coalesce(shown(own[k]), F.lit("\0")) for k in keys]))
+    rest = [c for c in own if c not in keys and own[c] != time]
+    row = F.to_json(F.array(*[F.struct(F.lit(c).alias("c"), shown(own[c]).alias("v")) for c in sorted(rest)]))
+    return df.select(key.alias("key"), F.lit(side).alias("side"), F.col(meeting.quoted(time)).cast("timestamp").alias("at"), row.alias("row"))
+
+
+def findings(source: DataFrame, target: DataFrame, keys: list[str], time: str, *, column_map: dict[str, str] | None = None, late: str = "1 hour", wait: str = "10 minutes", keep: str = "1 day") -> DataFrame:
+    """A stream of FINDING from two streams of rows with a time column of that name each (load time, say).
+
+    Rows meet by key, whichever comes first; of several rows of one key on a side the latest counts. A key that only
+    one side has is called missing once the watermark (`late` behind the latest time) is `wait` past its last row;
+    should the other side's row arrive later, a new finding corrects the old one. State is one row of either side
+    for each key, and is given up `keep` after the key's last row. Rows behind the watermark are dropped by Spark;
+    null keys are keys; values are compared as texts. Needs output mode `update`."""
+    both = _row(source, "s", keys, column_map or {}, time).unionByName(_row(target, "t", keys, {}, time))
+    seconds = [pd.Timedelta(x).total_seconds() for x in (wait, keep)]
+    wait_ms, keep_ms = (int(x * 1000) for x in seconds)
+    names = list(keys)
+
+    def judged(s: str | None, t: str | None) -> tuple[str, list[str]]:
+        if s is None or t is None:
+            return (MISSING_IN_SOURCE if s is None else MISSING_IN_TARGET), []
+        a, b = ({x["c"]: x.get("v") for x in json.loads(r)} for r in (s, t))
+        columns = sorted(c for c in a.keys() & b.keys() if a[c] != b[c])
+        return (MISMATCH if columns else EQUAL), columns
+
+    def run(key, batches, state: GroupState):
+        s, t, last, said, columns, revision = state.get if state.exists else (None, None, 0, None, "[]", 0)
+        if state.hasTimedOut:
+            if s is not None and t is not None or said is not None:
+                state.remove()  # it was waited for `keep`
+                return
+        else:
+            rows = sorted(((r.at, r.side, r.row) for b in batches for r in b.itertuples(index=False)), key=lambda r: r[0])
+            for at, side, row in rows:
+                s, t = (row, t) if side == "s" else (s, row)
+                last = max(last, int(at.timestamp() * 1000))
+        kind, differ = judged(s, t)
+        waits = (s is None or t is None) and not state.hasTimedOut and said is None
+        shown = json.dumps(differ)
+        out = []
+        if not waits and (kind != said or shown != columns) and not (kind == EQUAL and said is None):
+            revision += 1
+            at = datetime.datetime.fromtimestamp(last / 1000, datetime.timezone.utc).replace(tzinfo=None)
+            shown_key = {n: v for n, v in zip(names, json.loads(key[0]), strict=True) if v != "\0"}
+            out.append({"key": shown_key, "kind": kind, "columns": differ, "corrects": said, "at": at, "revision": revision})
+        if not waits:
+            said, columns = kind, shown
+        state.update((s, t, last, said, columns, revision))
+        due = last + (wait_ms if waits else keep_ms)
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out)
+
+    # The watermark must stand on the rows of both streams together.
+    return both.withWatermark("at", late).groupBy("key").applyInPandasWithState(run, FINDING, _STATE, "update", GroupStateTimeout.EventTimeTimeout)

@@ -6,8 +6,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tallylens.operators import checksums, compare, drilldown, layout, meeting, merge, validate
+from tallylens.operators import checksums, compare, drilldown, layout, meeting, merge, patterns, validate
 from tallylens.plans import scripts
+from tallylens.plans.analyze import analyze
+from tallylens.sources import artifacts
 
 
 def plan_of(df, kind="executedPlan"):
@@ -201,3 +203,28 @@ def test_scripts_keep_texts_and_quoted_names(spark):
     assert spark.table(f"{name}.`odd_name`").count() == 1
     assert scripts.without_catalog("a.cat.b.c, cat.t.u, CAT.s.t, 'cat.s.t', \"cat.s.t\", mycat.s.t, cat.t", "cat") == "a.cat.b.c, cat.t.u, s.t, 'cat.s.t', \"cat.s.t\", mycat.s.t, cat.t".replace("cat.t.u", "t.u")
     spark.sql(f"DROP SCHEMA {name} CASCADE")
+
+
+@pytest.mark.parametrize("many", [10_000, 1])
+def test_patterns_say_where_rows_lie(spark, many):
+    """By grouping sets, and by sketches where values are many."""
+    s = spark.range(1000).selectExpr("id AS k", "concat('r', id % 4) AS region", "date_add(date'2026-01-01', cast(id % 50 AS int)) AS day", "id % 2 = 0 AS even", "cast(id AS string) AS name", "1 AS v")
+    t = s.where("NOT (region = 'r2' AND k < 400)").withColumn("v", F.when((F.col("day") == F.lit("2026-01-05").cast("date")) | (F.col("k") < 8), 2).otherwise(F.col("v")))
+    found = compare.Difference.of(s, t, compare.Pair(keys=["k"]))
+    got = {(r["recon_type"], r["column"], r["dimension"]): r for r in patterns.concentration(found, many=many).collect()}
+    missing = got["missing_in_target", None, "region"]
+    assert (missing["mode"], missing["total"], missing["share"], missing["clustered"]) == ("r2", 100, 1.0, True) and missing["usual"] == 0.25
+    day = got["column_mismatch", "v", "day"]
+    rows = [d for d in ((k % 50, k) for k in range(1000) if not (k % 4 == 2 and k < 400)) if d[0] == 4 or d[1] < 8]
+    assert day["total"] == len(rows) and (day["mode"], day["top"]) == ("2026-01-05", sum(d == 4 for d, _ in rows))
+    assert not got["missing_in_target", None, "name"]["clustered"] and not got["missing_in_target", None, "day"]["clustered"]
+    assert patterns.concentration(compare.Difference.of(s, s, compare.Pair(keys=["k"]))).count() == 0
+
+
+def test_analysis_says_where_findings_lie(spark):
+    s = spark.range(200).selectExpr("id AS k", "concat('r', id % 4) AS region", "'a' AS v")
+    t = s.where("region <> 'r1'")
+    parts = compare.compare(s, t, compare.Pair(keys=["k"]), recon_id="r", table_id=1, source_name="a.s", target_name="a.t")
+    done = analyze(spark, *parts, "r", table={"a.s": s, "a.t": t}.__getitem__, mapping={"t": artifacts.TableMapping("a.t", "a.s", ["k"])}, locate=True)
+    said = [e for r in done.hypotheses.collect() for e in r["evidence"] if e["label"] == "pattern"]
+    assert said and said[0]["data"] == {"dimension": "region", "mode": "r1", "share": "1.0"}
