@@ -3,8 +3,8 @@
 Each gives array<struct<category, strength, detail, meta>>; `signals` joins them in registry order. A probe
 that works in steps can also lay its steps over a table as columns (`with_signals`), each computed once and
 within generated code; that is the way for many rows. A probe never raises: whatever doesn't parse is NULL and
-fires nothing. Decimals are DECIMAL(38,18), so numbers of
-1e20 and more fire no numeric probe.
+fires nothing. Numbers are DECIMAL(38,18) where that holds them, else two limbs of up to 38 digits before and 37
+behind the point; larger ones fire no numeric probe.
 """
 
 from __future__ import annotations
@@ -107,16 +107,20 @@ def _power(digits: Column, factor: int) -> Column:
 
 def rounded_equal(fine: Column, coarse: Column, digits: Column) -> Column:
     """Whether fine, rounded half-even to the digits of coarse, is coarse: it is less than half a unit away, or
-    half a unit from an even digit. A digit less makes room for an exact difference, so numbers of 1e19 and
-    more aren't called equal."""
+    half a unit from an even digit. A digit less makes room for an exact difference; from 1e19 on numbers go the
+    wide way."""
     fine, coarse = (x.try_cast("decimal(37,18)") for x in (fine, coarse))
     gap, half = F.abs(fine - coarse), _power(digits + 1, 5)
     tie = (gap == half) & (F.abs(coarse) % _power(digits, 2) == 0)
     return F.coalesce((digits < 18) & ((gap < half) | tie), F.lit(False))
 
 
+def _tried(p) -> dict[str, Column]:
+    return {"s0": decimal(p["ss"]), "t0": decimal(p["st"])}
+
+
 def _decimals(p) -> dict[str, Column]:
-    return {"s": decimal(p["ss"]), "t": decimal(p["st"])}
+    return {x: F.when(~p["wide"], p[f"{x}0"]) for x in "st"}
 
 
 def _scales(p) -> dict[str, Column]:
@@ -165,6 +169,128 @@ def _numeric_signals(p) -> list[Column]:
     ]
 
 
+# --- numbers that DECIMAL(38,18) doesn't hold ----------------------------------------------------------------
+#: A number of two limbs: up to 38 digits before the point and FRACTION behind it, with or without an exponent.
+WIDE_FORM = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]{1,3})?$"
+FRACTION = 37
+#: From here on DECIMAL(38,18) has no room to tell whether numbers are equal once rounded.
+WIDE_FROM = "10000000000000000000"
+#: Fixed value: significant digits that a rounded number may have.
+SIGNIFICANT = 28
+
+
+def _big(x: Column) -> Column:
+    return x.cast("decimal(38,0)")
+
+
+def _is_wide(p) -> dict[str, Column]:
+    """Whether both are numbers and one of them is too large, or too finely written, for the plain way."""
+    large = lambda x, text: F.coalesce(F.abs(x) >= F.lit(WIDE_FROM).cast("decimal(38,18)"), F.lit(True)) | (F.length(text) > 20)
+    begun = p["ss"].rlike(NUMBER_FORM) & p["st"].rlike(NUMBER_FORM)
+    formed = F.when(begun, F.when(p["ss"].rlike(WIDE_FORM), p["st"].rlike(WIDE_FORM)))
+    return {"wide": F.coalesce(F.when(large(p["s0"], p["ss"]) | large(p["t0"], p["st"]), formed), F.lit(False))}
+
+
+def _point(p) -> dict[str, Column]:
+    """Of each text the digits, and where among them the point stands."""
+    out = {}
+    for side, text in (("s", p["ss"]), ("t", p["st"])):
+        x = F.when(p["wide"], F.lower(F.ltrim(text, F.lit("+-"))))
+        mantissa = F.substring_index(x, "e", 1)
+        whole = F.substring_index(mantissa, ".", 1)
+        exponent = F.when(x.contains("e"), F.substring_index(x, "e", -1).cast("int")).otherwise(0)
+        out |= {f"d{side}": F.replace(mantissa, F.lit("."), F.lit("")), f"p{side}": F.length(whole) + exponent, f"m{side}": text.startswith("-")}
+    return out
+
+
+def _limb_texts(p) -> dict[str, Column]:
+    """The digits before and behind the point, without zeros at the ends."""
+    out = {}
+    for side in "st":
+        d, at = p[f"d{side}"], p[f"p{side}"]
+        n = F.length(d)
+        room = F.when(at.between(-FRACTION, 80), at)
+        whole = F.when(room <= 0, "").otherwise(F.rpad(F.substr(d, F.lit(1), F.least(room, n)), room, F.lit("0")))
+        rest = F.when(room >= n, "").when(room <= 0, F.concat(F.repeat(F.lit("0"), -room), d)).otherwise(F.substr(d, room + 1))
+        out |= {f"w{side}": F.ltrim(whole, F.lit("0")), f"f{side}": F.rtrim(rest, F.lit("0"))}
+    return out
+
+
+def _limbs(p) -> dict[str, Column]:
+    """Both limbs as whole numbers: the fraction's counts units of 10^-FRACTION."""
+    fit = F.lit(True)
+    for side in "st":
+        fit = fit & (F.length(p[f"w{side}"]) <= 38) & (F.length(p[f"f{side}"]) <= FRACTION)
+    out = {}
+    for side in "st":
+        out |= {
+            f"big{side}": F.when(fit, _big(F.concat(F.lit("0"), p[f"w{side}"]).try_cast("decimal(38,0)"))),
+            f"unit{side}": F.when(fit, F.rpad(p[f"f{side}"], FRACTION, "0").try_cast("decimal(38,0)")),
+            f"n{side}": F.length(p[f"f{side}"]),
+            f"z{side}": p[f"m{side}"] & (F.length(F.concat(p[f"w{side}"], p[f"f{side}"])) > 0),
+        }
+    return out
+
+
+def _rounds_to(p, fine: str, coarse: str, digits: Column) -> Column:
+    """Whether the fine side, rounded half-even to digits behind the point, is the coarse one."""
+    unit = F.get(F.array(*[_big(F.lit(str(10**k))) for k in range(FRACTION + 1)]), FRACTION - digits)
+    whole, fraction = p[f"big{fine}"], p[f"unit{fine}"]
+    rest = fraction % unit
+    kept = fraction - rest
+    odd = F.when(digits == 0, whole % 2 == 1).otherwise(kept % (unit * 2) == unit)
+    up = (rest * 2 > unit) | ((rest * 2 == unit) & odd)
+    last = _big(F.lit(str(10**FRACTION)))
+    new = F.when(up, kept + unit).otherwise(kept)
+    carried = new == last
+    same = (F.when(carried, F.try_add(whole, F.lit(1))).otherwise(whole) == p[f"big{coarse}"]) & (F.when(carried, 0).otherwise(new) == p[f"unit{coarse}"])
+    nought = (p[f"big{coarse}"] == 0) & (p[f"unit{coarse}"] == 0)
+    long = F.length(p[f"w{fine}"]) + digits
+    return same & ((p["zs"] == p["zt"]) | nought) & (long <= SIGNIFICANT)
+
+
+def _wide_numeric(p) -> dict[str, Column]:
+    """What _numeric gives of limbs."""
+    alike = p["zs"] == p["zt"]
+    same = alike & (p["bigs"] == p["bigt"]) & (p["units"] == p["unitt"])
+    differ = F.coalesce(~same, F.lit(False))
+    digits = F.least(p["ns"], p["nt"])
+    equal = F.when(p["ns"] > p["nt"], _rounds_to(p, "s", "t", digits)).when(p["nt"] > p["ns"], _rounds_to(p, "t", "s", digits)).otherwise(False)
+    whole_s, whole_t = p["ns"] == 0, p["nt"] == 0
+    signed = {x: F.when(p[f"z{x}"], -p[f"big{x}"]).otherwise(p[f"big{x}"]) for x in "st"}
+
+    def wraps(bits: int) -> Column:
+        full, half = (_big(F.lit(str(1 << n))) for n in (bits, bits - 1))
+        low = F.pmod(signed["s"], full)
+        return F.when(low >= half, low - full).otherwise(low) == signed["t"]
+
+    # The limbs' differences first, so that nearly equal numbers keep the digits in which they differ.
+    value = {x: p[f"big{x}"].cast("double") + p[f"unit{x}"].cast("double") / float(10**FRACTION) for x in "st"}
+    near = F.abs(F.try_subtract(p["bigs"], p["bigt"]).cast("double") + (p["units"] - p["unitt"]).cast("double") / float(10**FRACTION))
+    gap = F.try_divide(F.when(alike, near).otherwise(value["s"] + value["t"]), F.greatest(value["s"], value["t"]))
+    # The same digits with the point elsewhere.
+    digit = {x: F.rtrim(F.ltrim(F.concat(p[f"w{x}"], p[f"f{x}"]), F.lit("0")), F.lit("0")) for x in "st"}
+    zeros = {x: F.when(p[f"w{x}"] != "", F.length(p[f"w{x}"])).otherwise(F.length(F.ltrim(p[f"f{x}"], F.lit("0"))) - p[f"n{x}"]) for x in "st"}
+    moved = F.when(alike & (digit["s"] == digit["t"]) & (digit["t"] != ""), zeros["s"] - zeros["t"])
+    factor = F.coalesce(*[F.when(moved == Decimal(f).adjusted(), F.lit(f)) for f in FACTORS])
+    found = {
+        "differ": differ,
+        "digits": digits,
+        "to_whole": (digits == 0) & (p["ns"] > 0),
+        "bits": F.when(differ & whole_s & whole_t, F.when(wraps(32), 32).when(wraps(64), 64)),
+        "equal": F.when(differ, F.coalesce(equal, F.lit(False))).otherwise(False),
+        "gap": gap,
+        "cut": whole_t & ~whole_s & (gap < 0.05),
+        "factor": F.when(differ, factor),
+    }
+    return {f"wide_{k}": v for k, v in found.items()}
+
+
+def _all_numeric(p) -> list[Column]:
+    names = ("differ", "digits", "to_whole", "bits", "equal", "gap", "cut", "factor")
+    return _numeric_signals(p) + _numeric_signals({n: p[f"wide_{n}"] for n in names})
+
+
 def timestamp(x: Column) -> Column:
     """Wall-clock time of a stripped text in an accepted form; an offset is left out."""
     plain = F.regexp_replace(x, r"(Z|[+-]\d{2}:?\d{2})$", "")
@@ -291,7 +417,7 @@ def _semi_structured(p) -> list[Column]:
     ]
 
 
-numeric = Steps(_decimals, _scales, _numeric, final=_numeric_signals)
+numeric = Steps(_tried, _is_wide, _decimals, _scales, _numeric, _point, _limb_texts, _limbs, _wide_numeric, final=_all_numeric)
 temporal = Steps(_times, _gap, final=_temporal)
 string = Steps(_stripped, final=_string)
 null_boolean = Steps(_words, final=_null_boolean)

@@ -2,7 +2,7 @@
 
 import itertools
 import random
-from decimal import ROUND_HALF_EVEN, Decimal
+from decimal import ROUND_HALF_EVEN, Context, Decimal, InvalidOperation, localcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +175,71 @@ def test_case_folds_fully_as_python_does(spark):
     found = probes.with_signals(spark.createDataFrame(pairs, "a string, b string"), "a", "b", names=["string"])
     got = found.select("a", "b", F.get(F.filter("found", lambda x: x.isNotNull()), F.lit(0))["strength"].alias("n")).collect()
     assert len(got) > 5000 and [(r["a"], r["b"], r["n"]) for r in got if r["a"] != r["b"] and r["n"] != want(r["a"], r["b"])] == []
+
+
+def wide_pairs():
+    rng = random.Random(9)
+
+    def number(whole, rest):
+        text = str(rng.randrange(10 ** (whole - 1), 10**whole)) if whole else "0"
+        return rng.choice(["", "-"]) + text + ("." + "".join(rng.choice("0123456789") for _ in range(rest)) if rest else "")
+
+    for _ in range(260):
+        a = number(rng.randrange(0, 39), rng.choice([0, 0, 1, 2, 5, 18, 20, 30, 37]))
+        d = Decimal(a)
+        sign, digits, exponent = d.as_tuple()
+        cut = rng.randrange(0, 1 + max(0, -exponent))
+        scale = Decimal(1).scaleb(-cut)
+        with localcontext(Context(prec=90)):
+            b = rng.choice([d.quantize(scale, ROUND_HALF_EVEN), d + 1, d * 10, d / 100, d + scale, -d, d * Decimal("1.0000001"), d * Decimal("1.0005"), d])
+        yield a, f"{b:f}"[:60]
+    for bits in (32, 64):
+        for k in (0, 5, (1 << bits - 1) - 1, 1 << bits - 1):
+            yield str((1 << 100) + (7 << bits) + k), str((k + (1 << bits - 1)) % (1 << bits) - (1 << bits - 1))
+    half = "12345678901234567890123"
+    for tail, other in ((".5", "4"), (".5", "3"), (".50", "3"), (".51", "4"), (".49", "3"), (".25", "3.2"), (".35", "3.4")):
+        yield half + tail, half[:-1] + other
+        yield "-" + half + tail, "-" + half[:-1] + other
+    yield "1e30", "1000000000000000000000000000000"
+    yield "1.5E+30", "1.5e29"
+    yield "0.00000000000000000000000001234", "0.0000000000000000000000000123"
+    yield "9" * 38 + ".9", "9" * 38
+    yield "1" * 39, "1" * 38
+
+
+def wide_expected(a, b):
+    """The signals that plain decimals of 28 significant digits give."""
+    s, t = Decimal(a), Decimal(b)
+    if s == t or any(len(str(abs(int(x)))) > 38 or x.normalize(Context(prec=100)).as_tuple().exponent < -37 for x in (s, t)):
+        return []  # equal, or beyond the limbs
+    with localcontext(Context(prec=100)):
+        scale = [max(0, -x.normalize().as_tuple().exponent) for x in (s, t)]
+        if not any(scale):
+            for bits in (32, 64):
+                if (int(s) + (1 << bits - 1)) % (1 << bits) - (1 << bits - 1) == int(t):
+                    return [("type_precision", 0.92)]
+        gap, factor = abs(s - t) / max(abs(s), abs(t)), t != 0 and s / t in [Decimal(f) for f in probes.FACTORS]
+    digits, out, equal = min(scale), [], False
+    try:
+        unit = Decimal(1).scaleb(-digits)
+        equal = s.quantize(unit) == t.quantize(unit)
+    except InvalidOperation:
+        pass
+    if equal:
+        out.append(("transpilation", 0.85) if digits == 0 and scale[0] > 0 else ("type_precision", 0.9))
+    elif scale[1] == 0 < scale[0] and gap < Decimal("0.05"):
+        out.append(("transpilation", 0.72))
+    elif gap < Decimal("1e-3"):
+        out.append(("type_precision", 0.7 if gap < Decimal("1e-6") else 0.6))
+    return out + ([("transpilation", 0.6)] if factor else [])
+
+
+@pytest.mark.parametrize("staged", [True, False])
+def test_wide_numbers_equal_plain_decimals(spark, staged):
+    pairs = sorted({p for p in wide_pairs() if max(len(x) for x in p) > 20})
+    df = spark.createDataFrame(pairs, "a string, b string")
+    out = probes.with_signals(df, "a", "b", names=["numeric"]) if staged else df.select("a", "b", probes.signals(F.col("a"), F.col("b"), ["numeric"]).alias("found"))
+    got = {(r["a"], r["b"]): [(x["category"], x["strength"]) for x in r["found"] if x is not None] for r in out.collect()}
+    assert len(got) > 150
+    wrong = {p: (got[p], wide_expected(*p)) for p in pairs if p[1] != "hello" and got[p] != wide_expected(*p)}
+    assert wrong == {}
