@@ -41,12 +41,6 @@ def op7_stupid_backoff_trigram_scores(spark, sf_dir):
     return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), "n_backed_off")
 
 
-def op7_stupid_backoff_scores(spark, sf_dir):
-    """At order 2, which is what its SQL computes."""
-    scored = lmscore.score_documents(table(spark, sf_dir, "documents"), order=2)
-    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), "n_backed_off")
-
-
 def op8_bayesian_minhash_dedup(spark, sf_dir):
     found = neardup.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -85,7 +79,6 @@ def queries():
             op5_suffix_array_decontamination,
             op6_segmentation_marginal_language_id,
             op7_stupid_backoff_trigram_scores,
-            op7_stupid_backoff_scores,
             op8_bayesian_minhash_dedup,
             op9_low_discrepancy_mix,
             op10_edit_aware_token_counts,
@@ -177,30 +170,35 @@ FROM least LEFT JOIN sizes USING (doc_id)
 """
 
 
-#: Counts of all other documents: totals less the document's own.
+#: Counts of all other documents: totals less the document's own; order 3.
 _OP7 = """
 WITH texts AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+  SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
 ), places AS (
-  SELECT doc_id, i, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] END AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM texts)
-), own1 AS (SELECT doc_id, w, count(*) AS c FROM places GROUP BY ALL), own2 AS (
-  SELECT doc_id, p, w, count(*) AS c FROM places WHERE p IS NOT NULL GROUP BY ALL
-), all1 AS (SELECT w, sum(c) AS c FROM own1 GROUP BY ALL), all2 AS (SELECT p, w, sum(c) AS c FROM own2 GROUP BY ALL),
-rest1 AS (SELECT doc_id, w, a.c - o.c AS c FROM own1 o JOIN all1 a USING (w)),
-rest2 AS (SELECT doc_id, p, w, a.c - o.c AS c FROM own2 o JOIN all2 a USING (p, w)),
-sizes AS (SELECT doc_id, len(w) AS n_words, (SELECT count(*) FROM places) AS total FROM texts),
-scored AS (
-  SELECT x.doc_id, CASE
-      WHEN b.c > 0 THEN ln(b.c / q.c)
-      WHEN u.c > 0 THEN ln(u.c / (s.total - s.n_words)) + CASE WHEN x.p IS NULL THEN 0 ELSE ln(0.4) END
-      ELSE ln(0.4 / greatest(1, s.total - s.n_words)) + CASE WHEN x.p IS NULL THEN 0 ELSE ln(0.4) END END AS l,
-    CASE WHEN b.c > 0 OR (x.p IS NULL AND u.c > 0) THEN 0 ELSE 1 END AS back
-  FROM places x JOIN rest1 u ON u.doc_id = x.doc_id AND u.w = x.w JOIN sizes s ON s.doc_id = x.doc_id
-  LEFT JOIN rest2 b ON b.doc_id = x.doc_id AND b.p = x.p AND b.w = x.w
-  LEFT JOIN rest1 q ON q.doc_id = x.doc_id AND q.w = x.p
+  SELECT d, i, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] END AS p, CASE WHEN i > 2 THEN w[i - 2] END AS o FROM (SELECT d, w, unnest(range(1, len(w) + 1)) AS i FROM texts)
+), own1 AS (SELECT d, w, count(*) AS c FROM places GROUP BY ALL), own2 AS (
+  SELECT d, p, w, count(*) AS c FROM places WHERE p IS NOT NULL GROUP BY ALL
+), own3 AS (SELECT d, o, p, w, count(*) AS c FROM places WHERE o IS NOT NULL GROUP BY ALL),
+all1 AS (SELECT w, sum(c) AS c FROM own1 GROUP BY ALL), all2 AS (SELECT p, w, sum(c) AS c FROM own2 GROUP BY ALL), all3 AS (SELECT o, p, w, sum(c) AS c FROM own3 GROUP BY ALL),
+rest1 AS (SELECT d, w, a.c - x.c AS c FROM own1 x JOIN all1 a USING (w)),
+rest2 AS (SELECT d, p, w, a.c - x.c AS c FROM own2 x JOIN all2 a USING (p, w)),
+rest3 AS (SELECT d, o, p, w, a.c - x.c AS c FROM own3 x JOIN all3 a USING (o, p, w)),
+sizes AS (SELECT doc_id, d, len(w) AS n_words, (SELECT count(*) FROM places) AS total FROM texts),
+met AS (
+  SELECT x.d, x.p, x.o, s.total - s.n_words AS size, u.c AS c1, b.c AS c2, t.c AS c3, q.c AS q1, r.c AS q2
+  FROM places x JOIN sizes s ON s.d = x.d JOIN rest1 u ON u.d = x.d AND u.w = x.w
+  LEFT JOIN rest2 b ON b.d = x.d AND b.p = x.p AND b.w = x.w LEFT JOIN rest3 t ON t.d = x.d AND t.o = x.o AND t.p = x.p AND t.w = x.w
+  LEFT JOIN rest1 q ON q.d = x.d AND q.w = x.p LEFT JOIN rest2 r ON r.d = x.d AND r.p = x.o AND r.w = x.p
+), scored AS (
+  SELECT d, CASE
+      WHEN c3 > 0 THEN ln(c3 / q2)
+      WHEN c2 > 0 THEN (CASE WHEN o IS NULL THEN 0 ELSE ln(0.4) END) + ln(c2 / q1)
+      ELSE (CASE WHEN p IS NULL THEN 0 WHEN o IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END) + CASE WHEN c1 > 0 THEN ln(c1 / size) ELSE ln(0.4 / greatest(1, size)) END END AS l,
+    CASE WHEN c3 > 0 OR (o IS NULL AND c2 > 0) OR (p IS NULL AND c1 > 0) THEN 0 ELSE 1 END AS back
+  FROM met
 )
 SELECT doc_id, n_words, round(coalesce(sum(l), 0), 4) AS log_score, CAST(coalesce(sum(back), 0) AS BIGINT) AS n_backed_off
-FROM sizes LEFT JOIN scored USING (doc_id) GROUP BY doc_id, n_words
+FROM sizes LEFT JOIN scored USING (d) GROUP BY doc_id, d, n_words
 """
 
 
@@ -254,4 +252,4 @@ QUALIFY rank <= 2000
 
 
 def oracle_sql():
-    return {"op12_bucketed_phrase_collocations": _OP12, "op11_source_divergence_audit": _OP11, "op1_token_chat_format": _OP1, "op5_suffix_array_decontamination": _OP5, "op7_stupid_backoff_scores": _OP7, "op8_bayesian_minhash_dedup": _OP8}
+    return {"op12_bucketed_phrase_collocations": _OP12, "op11_source_divergence_audit": _OP11, "op1_token_chat_format": _OP1, "op5_suffix_array_decontamination": _OP5, "op7_stupid_backoff_trigram_scores": _OP7, "op8_bayesian_minhash_dedup": _OP8}
