@@ -31,23 +31,34 @@ def _spread(what: str, value: Column) -> dict[str, tuple[Column, Callable]]:
     return {f"{what}_least": (F.min(value), _LEAST), f"{what}_most": (F.max(value), _MOST), f"{what}_sketch": (F.hll_sketch_agg(value), _SKETCH)}
 
 
-def column_measures(category: str, differ: Column, s: Column, t: Column) -> dict[str, tuple[Column, Callable]]:
-    """Aggregates over joined rows that confirm one column's category, and what puts two of each together."""
+def column_values(category: str, differ: Column, s: Column, t: Column) -> dict[str, Column]:
+    """What a joined row says of one column's category; measures add these up, so that each is computed once."""
     when = lambda x: F.when(differ, x)
-    count = lambda x: (F.count_if(x), _ADD)
-    out = {"n": count(differ), "null_involved": count(differ & (s.isNull() | t.isNull()))}
+    out = {"n": differ, "null_involved": differ & (s.isNull() | t.isNull())}
     if category == "timezone":
-        out |= _spread("offset", when(_seconds(t) - _seconds(s)).cast("long"))
+        out |= {"offset": when(_seconds(t) - _seconds(s)).cast("long")}
     if category in ("type_precision", "transpilation"):
         a, b = s.try_cast("double"), t.try_cast("double")
-        gap = when(F.abs(a - b))
-        out |= {"gap_sum": (F.sum(gap), _ADD), "gap_n": (F.count(gap), _ADD), "max_abs_diff": (F.max(gap), _MOST), "eq_at_2dp": count(differ & (F.round(a, 2) == b))}
+        out |= {"gap": when(F.abs(a - b)), "eq_at_2dp": when(F.round(a, 2) == b)}
     if category == "semi_structured":
-        out |= {"same_content": count(differ & (canonical_json(s.cast("string")) == canonical_json(t.cast("string"))))}
+        out |= {"same_content": when(canonical_json(s.cast("string")) == canonical_json(t.cast("string")))}
     if category == "env_config":
-        out |= _spread("shift", when(F.date_diff(t.try_cast("date"), s.try_cast("date"))).cast("long"))
+        out |= {"shift": when(F.date_diff(t.try_cast("date"), s.try_cast("date"))).cast("long")}
     if category == "string_format":
-        out |= {"cosmetic": count(differ & (folded(F.trim(s.cast("string"))) == folded(F.trim(t.cast("string")))))}
+        out |= {"cosmetic": when(folded(F.trim(s.cast("string"))) == folded(F.trim(t.cast("string"))))}
+    return out
+
+
+def column_measures(names: list[str], v: Callable[[str], Column]) -> dict[str, tuple[Column, Callable]]:
+    """The aggregates of a column's values v(name), and what puts two of each together."""
+    out: dict[str, tuple[Column, Callable]] = {}
+    for n in names:
+        if n in ("offset", "shift"):
+            out |= _spread(n, v(n))
+        elif n == "gap":
+            out |= {"gap_sum": (F.sum(v(n)), _ADD), "gap_n": (F.count(v(n)), _ADD), "max_abs_diff": (F.max(v(n)), _MOST)}
+        else:
+            out[n] = (F.count_if(v(n)), _ADD)
     return out
 
 
@@ -75,17 +86,18 @@ def _final(category: str, m: Callable[[str], Column]) -> dict[str, Column]:
     return out
 
 
-def fold(sides: meeting.Sides, how: str, parts: dict[str, tuple[Column, Callable]]) -> DataFrame:
-    """One row of aggregates over the rows of both sides: first over keys that are alone, and where there are
-    others, over their copies too. The parts must leave out rows that aren't alone."""
+def fold(sides: meeting.Sides, how: str, values: dict[str, Column], parts: dict[str, tuple[Column, Callable]]) -> DataFrame:
+    """One row of aggregates over the values of the rows of both sides: first over keys that are alone, and where
+    there are others, over their copies too. The values must leave out rows that aren't alone."""
     met = meeting.meet(sides, how)
     spark = met.sparkSession
     columns = [v.alias(k) for k, (v, _) in parts.items()]
-    one = met.agg(*columns, F.count_if(~F.col("alone")).alias("several"))
+    seen = lambda rows: rows.select("alone", "sn", "copy", *[v.alias(k) for k, v in values.items()])
+    one = seen(met).agg(*columns, F.count_if(~F.col("alone")).alias("several"))
     row = one.first()  # a single row
     done = spark.createDataFrame([tuple(row)[:-1]], T.StructType(one.schema.fields[:-1]))
     if row["several"]:
-        both = done.unionByName(meeting.copies(sides, met).agg(*columns))
+        both = done.unionByName(seen(meeting.copies(sides, met)).agg(*columns))
         done = both.agg(*[merge(k).alias(k) for k, (_, merge) in parts.items()])
     return done
 
@@ -109,14 +121,16 @@ def confirm_laid_out(laid: meeting.Sides, categories: dict[str, str]) -> DataFra
     drift = [c for c, k in categories.items() if k == "upstream_drift"]
     alone = F.col("alone")
     both = alone & F.col("sn").isNotNull() & F.col("tn").isNotNull()
+    values: dict[str, Column] = {}
     parts: dict[str, tuple[Column, Callable]] = {}
     for i, (c, category) in enumerate(categories.items()):
-        measured = column_measures(category, both & laid.differs(c, as_numbers=True), laid.s(c), laid.t(c))
-        parts |= {f"c{i}_{k}": v for k, v in measured.items()}
+        own = column_values(category, both & laid.differs(c, as_numbers=True), laid.s(c), laid.t(c))
+        values |= {f"v{i}_{k}": v for k, v in own.items()}
+        parts |= {f"c{i}_{k}": v for k, v in column_measures(list(own), lambda k, i=i: F.col(f"v{i}_{k}")).items()}
         if category == "upstream_drift":
-            nulls = F.when(alone & F.col("sn").isNotNull() & laid.s(c).isNull(), F.col("w"))
-            parts |= {f"c{i}_src_total": (F.sum(F.when(F.col("copy") == 0, F.coalesce("sn", F.lit(0)))), _ADD), f"c{i}_src_nulls": (F.coalesce(F.sum(nulls), F.lit(0)), _ADD)}
-    one = fold(laid, "full_outer" if drift else "inner", parts)
+            values[f"v{i}_nulls"] = F.when(alone & F.col("sn").isNotNull() & laid.s(c).isNull(), F.col("w"))
+            parts |= {f"c{i}_src_total": (F.sum(F.when(F.col("copy") == 0, F.coalesce("sn", F.lit(0)))), _ADD), f"c{i}_src_nulls": (F.coalesce(F.sum(f"v{i}_nulls"), F.lit(0)), _ADD)}
+    one = fold(laid, "full_outer" if drift else "inner", values, parts)
     rows = []
     for i, (c, category) in enumerate(categories.items()):
         final = _final(category, lambda k, i=i: F.col(f"c{i}_{k}"))

@@ -46,6 +46,7 @@ def validate_column(source: DataFrame, target: DataFrame, keys: list[str], colum
         return source.sparkSession.createDataFrame([(column, None, None, None)], "column string, compared long, equal long, column_match_pct double")
     sides = meeting.laid_out(source, target, meeting.Pair(keys=keys), [column])
     both = F.col("alone") & F.col("sn").isNotNull() & F.col("tn").isNotNull()
-    total = lambda x: (F.coalesce(F.sum(F.when(x, F.col("w"))), F.lit(0)), F.sum)
-    one = drilldown.fold(sides, "inner", {"compared": total(both), "equal": total(both & ~sides.differs(column))})
+    values = {"here": F.when(both, F.col("w")), "same": F.when(both & ~sides.differs(column), F.col("w"))}
+    total = lambda x: (F.coalesce(F.sum(x), F.lit(0)), F.sum)
+    one = drilldown.fold(sides, "inner", values, {"compared": total("here"), "equal": total("same")})
     return one.select(F.lit(column).alias("column"), "compared", "equal", F.round(100.0 * F.try_divide("equal", "compared"), 2).alias("column_match_pct"))

@@ -26,13 +26,13 @@ _WITH = f"WITH s AS ({SOURCE}), t AS ({TARGET})"
 NAMES = ("orders", "customer", "lineitem", "events", "nation", "part")
 
 
-def views(spark: SparkSession, sf_dir: str) -> None:
-    for n in NAMES:
+def views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = NAMES) -> None:
+    for n in names:
         spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
 
 
 def pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    views(spark, sf_dir)
+    views(spark, sf_dir, ("orders",))
     return spark.sql(SOURCE), spark.sql(TARGET)
 
 
