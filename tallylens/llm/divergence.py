@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow_batches, join_spread, lean, materialize
+from .common import drop_from, in_arrow_batches, join_spread, lean, mark, materialize
 from .words import LETTERS, tokens
 
 SCALE = 1_000_000_000
@@ -103,6 +103,7 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10) -> DataFrame:
     """docs(lang, source, text) -> lang, source, part, item, value, rank. Part `pair`: how far each other source
     of the language is; part `term`: the `top` terms that the source has more of than its language, by how much
     they add. Further columns of docs are ignored."""
+    mine = mark()
     groups = materialize(_groups(docs), "divergence-groups")
     wide = materialize(vectors(term_counts(docs), groups, min_docs), "divergence-vectors")
     # Behind the sums of the sources: that of the language, and the number of its kept terms.
@@ -118,7 +119,9 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10) -> DataFrame:
         F.expr(_share("total + 2", "below[size(sources)]")).alias("q"),
     )
     shares = materialize(shares, "divergence-shares")
-    return _pairs(shares, groups).unionByName(_terms(shares, top))
+    done = materialize(_pairs(shares, groups).unionByName(_terms(shares, top)), "divergence")
+    drop_from(docs.sparkSession, mine, keep=1)  # vectors and shares
+    return done
 
 
 def _pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, in_arrow_batches, join_spread, lean, materialize
+from .common import drop_from, fresh_dir, in_arrow_batches, join_spread, lean, mark, materialize
 from .words import keeping, spans, strings, text_bytes
 
 #: What pieces are made of, and words within them.
@@ -254,6 +254,7 @@ def _answered(grams: DataFrame) -> DataFrame:
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000, longest: int = LONGEST) -> DataFrame:
     """docs(lang, text) -> lang, rank, phrase, a, cut, l, r, n, score: each language's `top` phrases."""
+    mine = mark()
     grams, sizes = counted(docs, least, longest)
     answered = materialize(_answered(grams), "phrase-parts")
     # What an n-gram one word longer says as often says it all: one longer still that does has one of these within.
@@ -268,4 +269,6 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, longest: in
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
     for by in (["lang", F.pmod(F.hash("phrase"), F.lit(SALTS))], ["lang"]):
         left = left.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    return left.select("lang", "rank", "phrase", "a", "cut", "l", "r", "n", "score")
+    done = materialize(left.select("lang", "rank", "phrase", "a", "cut", "l", "r", "n", "score"), "phrases")
+    drop_from(docs.sparkSession, mine, keep=1)  # counts, pieces and requests
+    return done
