@@ -1,8 +1,8 @@
 """Sharding by sampled splitters.
 
-Records are ordered by (hash of text, doc_id, number), so equal texts stand together, and rows that are equal
-in all else, whatever their number, can still be cut anywhere: they are numbered when they are written to the
-shared folder, which all later passes read. A sample that is drawn
+Records are ordered by (hash of text, doc_id), so equal texts stand together. Where rows that tie in both are so
+many that a boundary would miss its place, rows are numbered as well: they are written to the shared folder with
+their numbers, which all further passes read, and any range of them can be cut anywhere. A sample that is drawn
 with probability in proportion to size gives quantile boundaries; the exact bytes of each range are
 then added up over all rows, ranges that came out overfull are sampled again on their own and
 subdivided, and consecutive ranges are joined into shards whose sizes are near equal. A boundary moves
@@ -149,8 +149,9 @@ def shard_of_ranges(cuts: list, heads: list, shards: int, slack: float) -> list[
     return out
 
 
-def _keyed(docs: DataFrame, *more) -> DataFrame:
-    """doc_id, size, text_crc32, and the order's h (hash of text), d (doc_id, the null one first) and u (a number)."""
+def _keyed(docs: DataFrame, *more, numbered: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, and the order's h (hash of text), d (doc_id, the null one first) and u (a number of
+    the row's own, or 0)."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         "doc_id",
@@ -158,21 +159,35 @@ def _keyed(docs: DataFrame, *more) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("d"),
-        F.monotonically_increasing_id().alias("u"),
+        (F.monotonically_increasing_id() if numbered else F.lit(0).cast("long")).alias("u"),
         *more,
     )
 
 
+def _cut(rows: DataFrame, shards: int, rows_per_range: int, max_ranges: int, slack: float) -> tuple[list, list, list[int], bool]:
+    """Splitters, (bytes, rows) and shard of each range, and whether every boundary is near its place: within 2 * slack
+    of a shard and the largest row."""
+    thin = rows.select("h", "d", "u", "size")
+    n, total, largest = thin.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    ranges = int(min(max_ranges, max(64 * shards, n // rows_per_range)))
+    cuts, heads = splitters(thin, total, ranges, shards)
+    where = shard_of_ranges(cuts, heads, shards, slack)
+    sizes = np.bincount(where, [b for b, _ in heads], shards)
+    off = np.abs(np.cumsum(sizes) - total * np.arange(1, shards + 1) / shards).max()
+    return cuts, heads, where, bool(off <= 2 * slack * total / shards + largest)
+
+
 def _placed(docs: DataFrame, shards: int, *more, rows_per_range: int = 1 << 16, max_ranges: int = 1 << 16, slack: float = 0.01) -> DataFrame:
     """Keyed rows of docs, with shard and slot; more columns are carried along in the one shuffle by range."""
     spark = docs.sparkSession
     ship(spark)
-    stored = materialize(_keyed(docs, *more), "shard-rows")
-    thin = stored.select("h", "d", "u", "size")
-    n, total = thin.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    ranges = int(min(max_ranges, max(64 * shards, n // rows_per_range)))
-    cuts, heads = splitters(thin, total, ranges, shards)
-    where = shard_of_ranges(cuts, heads, shards, slack)
+    stored = materialize(_keyed(docs), "shard-sizes")
+    cuts, heads, where, near = _cut(stored, shards, rows_per_range, max_ranges, slack)
+    if not near:
+        stored = materialize(_keyed(docs, *more, numbered=True), "shard-rows")
+        cuts, heads, where, _ = _cut(stored, shards, rows_per_range, max_ranges, slack)
+    elif more:
+        stored = _keyed(docs, *more)
     offsets, used = [], {}
     for (_, rows), s in zip(heads, where, strict=True):
         offsets.append(used.get(s, 0))
@@ -192,7 +207,8 @@ def shard(docs: DataFrame, shards: int = 16, **params) -> DataFrame:
 
 def sharded_documents(docs: DataFrame, shards: int = 16, **params) -> DataFrame:
     """The rows of docs with shard and slot; other columns stay as they are, whatever their names, but a
-    column named shard or slot gives way. Whole rows are written once, and move once, to their range."""
+    column named shard or slot gives way. Whole rows move once, to their range, and are written before only if they
+    must be numbered."""
     keep = [c for c in docs.columns if c not in ("shard", "slot")]
     placed = _placed(docs, shards, F.struct(*[F.col(c) for c in keep]).alias("row"), **params)
     return placed.select("row.*", "shard", "slot")
