@@ -7,6 +7,7 @@ so that the rows of keys with copies, if there are any, are added to those of th
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,18 +88,19 @@ def _final(category: str, m: Callable[[str], Column]) -> dict[str, Column]:
 
 
 def fold(sides: meeting.Sides, how: str, values: dict[str, Column], parts: dict[str, tuple[Column, Callable]]) -> DataFrame:
-    """One row of aggregates over the values of the rows of both sides: first over keys that are alone, and where
-    there are others, over their copies too. The values must leave out rows that aren't alone."""
+    """One row of aggregates over the values of the rows of both sides (a row for each tag that has some): first
+    over keys that are alone, and where there are others, over their copies too. The values must leave out rows
+    that aren't alone."""
     met = meeting.meet(sides, how)
-    spark = met.sparkSession
+    spark, by = met.sparkSession, ["tag"] * sides.tagged
     columns = [v.alias(k) for k, (v, _) in parts.items()]
-    seen = lambda rows: rows.select("alone", "sn", "copy", *[v.alias(k) for k, v in values.items()])
+    seen = lambda rows: rows.select(*by, "alone", "sn", "copy", *[v.alias(k) for k, v in values.items()]).groupBy(*by)
     one = seen(met).agg(*columns, F.count_if(~F.col("alone")).alias("several"))
-    row = one.first()  # a single row
-    done = spark.createDataFrame([tuple(row)[:-1]], T.StructType(one.schema.fields[:-1]))
-    if row["several"]:
+    rows = one.collect()  # a single row, or one for each pair
+    done = spark.createDataFrame([tuple(r)[:-1] for r in rows], T.StructType(one.schema.fields[:-1]))
+    if any(r["several"] for r in rows):
         both = done.unionByName(seen(meeting.copies(sides, met)).agg(*columns))
-        done = both.agg(*[merge(k).alias(k) for k, (_, merge) in parts.items()])
+        done = both.groupBy(*by).agg(*[merge(k).alias(k) for k, (_, merge) in parts.items()])
     return done
 
 
@@ -117,6 +119,32 @@ def confirm_columns(source: DataFrame, target: DataFrame, keys: list[str], categ
     return confirm_laid_out(laid, categories)
 
 
+#: Pairs of tables that are confirmed in one plan.
+TOGETHER = 64
+
+
+def confirm_pairs(pairs: dict[int, tuple[meeting.Sides, dict[str, str]]]) -> DataFrame:
+    """tag, column, category, measures, confirmed of many pairs: by tag their sides and the categories of columns.
+
+    Pairs whose keys, columns and categories are of the same types are confirmed in one plan, whatever the names."""
+    alike: dict[tuple, dict] = {}
+    for tag, (sides, categories) in pairs.items():
+        columns = sorted(categories, key=lambda c: (categories[c], *(t.simpleString() for t in sides.types(c)), c))
+        kinds = tuple(sides.source.schema[c].dataType.simpleString() for c in sides.on)
+        shape = (kinds, bool(sides.unique), *[(categories[c], *(t.simpleString() for t in sides.types(c))) for c in columns])
+        alike.setdefault(shape, {})[tag] = (sides, columns)
+    out = []
+    for shape, group in alike.items():
+        tags = list(group)
+        for a in range(0, len(tags), TOGETHER):
+            some = {t: group[t] for t in tags[a : a + TOGETHER]}
+            done = confirm_laid_out(meeting.together(some), {f"c{k}": x[0] for k, x in enumerate(shape[2:])})
+            named = [(t, f"c{k}", c) for t, (_, columns) in some.items() for k, c in enumerate(columns)]
+            names = done.sparkSession.createDataFrame(named, "tag long, column string, name string")
+            out.append(done.join(F.broadcast(names), ["tag", "column"]).withColumn("column", F.col("name")).drop("name"))  # a row for each finding
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 def confirm_laid_out(laid: meeting.Sides, categories: dict[str, str]) -> DataFrame:
     drift = [c for c, k in categories.items() if k == "upstream_drift"]
     alone = F.col("alone")
@@ -136,7 +164,7 @@ def confirm_laid_out(laid: meeting.Sides, categories: dict[str, str]) -> DataFra
         final = _final(category, lambda k, i=i: F.col(f"c{i}_{k}"))
         pairs = [x for k, v in final.items() for x in (F.lit(k), v.cast("double"))]
         rows.append(F.struct(F.lit(c).alias("column"), F.lit(category).alias("category"), F.create_map(*pairs).alias("measures")))
-    out = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    out = one.select(*["tag"] * laid.tagged, F.explode(F.array(*rows)).alias("r")).select(*["tag"] * laid.tagged, "r.*")
     m = F.col("measures")
     return out.withColumn(
         "confirmed",
@@ -190,21 +218,33 @@ def rerun(pair: compare.Pair, source: str, target: str, kind: str, column: str |
     return f"SELECT {', '.join(f't.{_name(k)}' for k in pair.keys)}, s.{own(column)} AS source_value, t.{_name(column)} AS target_value FROM {s} s JOIN {t} t ON {on} WHERE NOT s.{own(column)} <=> t.{_name(column)}"
 
 
-def drill(source: DataFrame, target: DataFrame, pair: compare.Pair, heads: list, source_name: str, target_name: str) -> list[DataFrame]:
+def column_heads(s: DataFrame, t: DataFrame, keys: list[str], heads: list) -> dict[str, tuple[str, str]]:
+    """(finding_id, category) of each column that can be confirmed."""
+    both = set(s.columns) & set(t.columns) - set(keys)
+    found = {r["column"]: (r["finding_id"], r["category"]) for r in heads if r["recon_type"] == COLUMN and r["column"] in both and r["category"] != "unknown"}
+    return found if keys else {}
+
+
+def said_of_columns(done: DataFrame) -> DataFrame:
+    """DRILLED of confirmed columns with their finding_id and query."""
+    text = F.concat_ws(", ", F.transform(F.map_entries("measures"), lambda e: F.concat_ws("=", e["key"], F.format_string("%.6g", e["value"]))))
+    return done.select("finding_id", F.concat(F.when(F.col("confirmed"), "Confirmed: ").otherwise("Not confirmed: "), text).alias("detail"), F.transform_values("measures", lambda k, v: v.cast("string")).alias("data"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"), F.col("measures")["n"].cast("long").alias("exact_n"), "query")
+
+
+def drill(source: DataFrame, target: DataFrame, pair: compare.Pair, heads: list, source_name: str, target_name: str, with_columns: bool = True) -> list[DataFrame]:
     """The confirmations, as in DRILLED, of the findings of one pair of tables.
 
-    heads: finding_id, recon_type, column and category of the findings' top hypotheses."""
+    heads: finding_id, recon_type, column and category of the findings' top hypotheses. with_columns: False leaves out
+    the columns' findings, where confirm_pairs takes them."""
     s, t = sides(source, target, pair)
     keys, out = pair.keys, []
     spark = source.sparkSession
     query = lambda kind, column=None: rerun(pair, source_name, target_name, kind, column)
-    both = set(s.columns) & set(t.columns) - set(keys)
-    columns = {r["column"]: (r["finding_id"], r["category"]) for r in heads if r["recon_type"] == COLUMN and r["column"] in both and r["category"] != "unknown"}
-    if columns and keys:
+    columns = column_heads(s, t, keys, heads)
+    if columns and with_columns:
         ids = spark.createDataFrame([(c, i, query(COLUMN, c)) for c, (i, _) in columns.items()], "column string, finding_id string, query string")
-        done = confirm_columns(s, t, keys, {c: k for c, (_, k) in columns.items()}, pair.unique_keys).join(F.broadcast(ids), "column")  # a row for each column
-        text = F.concat_ws(", ", F.transform(F.map_entries("measures"), lambda e: F.concat_ws("=", e["key"], F.format_string("%.6g", e["value"]))))
-        out.append(done.select("finding_id", F.concat(F.when(F.col("confirmed"), "Confirmed: ").otherwise("Not confirmed: "), text).alias("detail"), F.transform_values("measures", lambda k, v: v.cast("string")).alias("data"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"), F.col("measures")["n"].cast("long").alias("exact_n"), "query"))
+        done = confirm_columns(s, t, keys, {c: k for c, (_, k) in columns.items()}, pair.unique_keys)
+        out.append(said_of_columns(done.join(F.broadcast(ids), "column")))  # a row for each column
     for kind, check, flag in ((MISSING_IN_TARGET, confirm_missing, "watermark"), (MISSING_IN_SOURCE, confirm_extra, "confirmed")):
         for r in heads:
             if r["recon_type"] == kind and keys:

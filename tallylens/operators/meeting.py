@@ -100,10 +100,12 @@ class Sides:
     source_types: dict[str, T.DataType]
     target_types: dict[str, T.DataType]
     unique: bool | None = None
+    #: Whether rows of several pairs of tables stand together, told apart by the column `tag`.
+    tagged: bool = False
 
     @property
     def on(self) -> list[str]:
-        return [f"{x}{k}" for k in range(max(1, len(self.keys))) for x in "jz"]
+        return ["tag"] * self.tagged + [f"{x}{k}" for k in range(max(1, len(self.keys))) for x in "jz"]
 
     @property
     def common(self) -> list[str]:
@@ -143,6 +145,23 @@ def laid_out(source: DataFrame, target: DataFrame, pair: Pair, columns: list[str
     return Sides(*frames, keys, *[{n: f.dataType for n, f in p.items()} for p in pick], unique=pair.unique_keys if keys else False)
 
 
+def together(pairs: dict[int, tuple[Sides, list[str]]]) -> Sides:
+    """Pairs of tables with equal types of keys and of the named columns, as one pair: each by its tag, with the
+    columns in the given order as c0, c1, ..."""
+    frames, types = [], []
+    for side in "st":
+        rows = []
+        for tag, (sides, columns) in pairs.items():
+            df = sides.source if side == "s" else sides.target
+            own = [getattr(sides, side)(c).alias(f"{side}{k}") for k, c in enumerate(columns)]
+            rows.append(df.select(F.lit(tag).cast("long").alias("tag"), *sides.on, *own))
+        frames.append(reduce(lambda a, b: a.unionByName(b), rows))
+        first, names = next(iter(pairs.values()))
+        known = first.source_types if side == "s" else first.target_types
+        types.append({f"c{k}": known[c] for k, c in enumerate(names)})
+    return Sides(*frames, [f"k{i}" for i in range(len(first.keys))], *types, unique=all(x.unique for x, _ in pairs.values()), tagged=True)
+
+
 def any_of(flags: list[Column]) -> Column:
     return reduce(or_, flags, F.lit(False))
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import knowledge
-from ..operators import classify, compare, drilldown, ingest, lineage, passes, patterns
+from ..operators import classify, compare, drilldown, ingest, lineage, meeting, passes, patterns
+from ..schemas import COLUMN
 from ..scratch import drop_from, mark, materialize
 from ..sources import artifacts
 
@@ -105,19 +106,32 @@ def known(spark: SparkSession, summaries: DataFrame, mapping: dict[str, artifact
 
 
 def drill_all(spark: SparkSession, findings: DataFrame, hypotheses: DataFrame, summaries: DataFrame, table: Callable[[str], DataFrame], mapping: dict, drills: int) -> DataFrame:
-    """The confirmations of all pairs. Findings and confirmations are a row each, so the driver holds them:
-    one job reads the findings, then each pair has its own small plan, some of them at a time."""
+    """The confirmations of all pairs. Findings and confirmations are a row each, so the driver holds them: one job
+    reads the findings; columns of pairs of the same types are confirmed in one plan; what concerns whole rows and
+    schemas has a small plan for each pair, some of them at a time."""
     by = defaultdict(list)
     heads = classify.top(hypotheses).join(findings.select("finding_id", "recon_table_id", "recon_type", "column"), "finding_id")
     for r in heads.select("finding_id", "recon_table_id", "recon_type", "column", "category").collect():
         by[r["recon_table_id"]].append(r)
+    pairs = [r for r in summaries.select("recon_table_id", "source_table", "target_table", "join_keys").collect() if r["recon_table_id"] in by]
+    laid, ids = {}, []
+    for r in pairs:
+        tag, pair = r["recon_table_id"], _pair(r, mapping)
+        s, t = drilldown.sides(table(r["source_table"]), table(r["target_table"]), pair)
+        columns = drilldown.column_heads(s, t, pair.keys, by[tag])
+        if columns:
+            laid[tag] = (meeting.laid_out(s, t, meeting.Pair(keys=pair.keys), list(columns)), {c: k for c, (_, k) in columns.items()})
+            ids += [(tag, c, i, drilldown.rerun(pair, r["source_table"], r["target_table"], COLUMN, c)) for c, (i, _) in columns.items()]
+    rows = []
+    if laid:
+        known = spark.createDataFrame(ids, "tag long, column string, finding_id string, query string")
+        done = drilldown.confirm_pairs(laid).join(F.broadcast(known), ["tag", "column"])  # a row for each finding
+        rows = drilldown.said_of_columns(done).collect()
 
     def one(r) -> list:
-        pair = _pair(r, mapping)
-        todo = drilldown.drill(table(r["source_table"]), table(r["target_table"]), pair, by[r["recon_table_id"]], r["source_table"], r["target_table"])
+        todo = drilldown.drill(table(r["source_table"]), table(r["target_table"]), _pair(r, mapping), by[r["recon_table_id"]], r["source_table"], r["target_table"], with_columns=False)
         return [x for df in todo for x in df.collect()]
 
-    pairs = [r for r in summaries.select("recon_table_id", "source_table", "target_table", "join_keys").collect() if r["recon_table_id"] in by]
     with ThreadPoolExecutor(drills) as pool:
-        rows = [x for done in pool.map(one, pairs) for x in done]
+        rows += [x for done in pool.map(one, pairs) for x in done]
     return spark.createDataFrame(rows, drilldown.DRILLED)

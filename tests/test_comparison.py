@@ -228,3 +228,20 @@ def test_analysis_says_where_findings_lie(spark):
     done = analyze(spark, *parts, "r", table={"a.s": s, "a.t": t}.__getitem__, mapping={"t": artifacts.TableMapping("a.t", "a.s", ["k"])}, locate=True)
     said = [e for r in done.hypotheses.collect() for e in r["evidence"] if e["label"] == "pattern"]
     assert said and said[0]["data"] == {"dimension": "region", "mode": "r1", "share": "1.0"}
+
+
+def test_pairs_of_one_shape_are_confirmed_in_one_plan(spark, monkeypatch):
+    """Other names, copies in some pairs, an empty one: the same as one by one."""
+    pairs, want = {}, {}
+    for tag in range(5):
+        s = spark.range(40 if tag < 4 else 0).selectExpr(f"id AS key{tag}", f"concat('a', id % {tag + 2}) AS word{tag}", f"cast(id + 0.125 AS decimal(10,3)) AS price{tag}")
+        t = s.withColumn(f"word{tag}", F.when(F.col(f"key{tag}") % (tag + 2) == 1, F.upper(f"word{tag}")).otherwise(F.col(f"word{tag}"))).withColumn(f"price{tag}", F.col(f"price{tag}").cast("decimal(10,2)").cast("decimal(10,3)"))
+        t = t.union(t.limit(3)) if tag == 2 else t
+        kinds = {f"price{tag}": "type_precision", f"word{tag}": "string_format"}
+        pairs[tag] = (meeting.laid_out(s, t, meeting.Pair(keys=[f"key{tag}"])), kinds)
+        want |= {(tag, r["column"]): (r["category"], r["measures"], r["confirmed"]) for r in drilldown.confirm_columns(s, t, [f"key{tag}"], kinds).collect()}
+    plans = []
+    real = drilldown.confirm_laid_out
+    monkeypatch.setattr(drilldown, "confirm_laid_out", lambda *x: plans.append(x) or real(*x))
+    got = {(r["tag"], r["column"]): (r["category"], r["measures"], r["confirmed"]) for r in drilldown.confirm_pairs(pairs).collect()}
+    assert len(plans) == 1 and got == {k: v for k, v in want.items() if k[0] < 4} and len(got) == 8
