@@ -438,13 +438,23 @@ def signals(source: Column, target: Column, names: list[str] | None = None) -> C
     return F.flatten(F.array(*[F.coalesce(REGISTRY[n](source, target), none) for n in names or REGISTRY]))
 
 
+def held(x: Column) -> Column:
+    """x, which the optimizer doesn't take for a constant even if it is one."""
+    return F.when(F.spark_partition_id() >= 0, x)
+
+
 def with_signals(df: DataFrame, source: str, target: str, out: str = "found", names: list[str] | None = None) -> DataFrame:
     """df with the signals of two of its columns, in the order of signals(), and nulls among them: to filter
     an array takes a lambda, which no code is generated for. each_signal() leaves them out. Probes in steps are
-    laid out as columns; others are called on the two columns."""
+    laid out as columns; others are called on the two columns.
+
+    The target is held: of two constant columns the optimizer would write each step's expression out in all that
+    name it, step upon step, before it works any of them out. A constant source alone is worked out once."""
     kept, picked, none = df.columns, [], F.array().cast(f"array<{SIGNAL}>")
-    df = df.withColumns({"_probe_ss": strip(F.col(source)), "_probe_st": strip(F.col(target))})
-    first = {"source": F.col(source), "target": F.col(target), "ss": F.col("_probe_ss"), "st": F.col("_probe_st")}
+    df = df.withColumn("_probe_target", held(F.col(target)))
+    first = {"source": F.col(source), "target": F.col("_probe_target")}
+    df = df.withColumns({"_probe_ss": strip(first["source"]), "_probe_st": strip(first["target"])})
+    first |= {"ss": F.col("_probe_ss"), "st": F.col("_probe_st")}
     for n in names or REGISTRY:
         probe = REGISTRY[n]
         if isinstance(probe, Steps):
