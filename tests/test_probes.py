@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import threading
 from decimal import ROUND_HALF_EVEN, Context, Decimal, InvalidOperation, localcontext
 
 import pytest
@@ -147,6 +148,25 @@ def test_staged_probes_are_in_generated_code(spark):
     assert len(lines) > 5 and all(x.lstrip(" +-:").startswith("*(") for x in lines)
 
 
+def test_constant_pairs_are_planned_step_by_step(spark):
+    """Of two constants each step was written out in all that name it, 3 ** 14 times here: the driver's memory ran out."""
+    first = lambda p: {"v": F.length(F.coalesce(p["source"], F.lit("ab"))) + F.length(p["target"])}
+    step = lambda p: {"v": (p["v"] * p["v"] + p["v"]) % 1009}
+    probes.register("deep", probes.Steps(first, *[step] * 14, final=lambda p: [probes.signal(p["v"] >= 0, "deep", 0.1, "", v=p["v"])]))
+    try:
+        constants = [F.lit(x).cast("string").alias(n) for n, x in (("s", None), ("t", "-1"))]
+        rows = probes.each_signal(probes.with_signals(spark.range(3).select("id", *constants), "s", "t", names=["null_boolean", "deep"]), "id")
+        got, v = [], 4
+        thread = threading.Thread(target=lambda: got.extend((r["id"], r["signal"]["category"], r["signal"]["meta"]) for r in rows.collect()), daemon=True)
+        thread.start()
+        thread.join(60)
+    finally:
+        del probes.REGISTRY["deep"]
+    for _ in range(14):
+        v = (v * v + v) % 1009
+    assert sorted(got, key=lambda x: x[:2]) == [(k, *x) for k in range(3) for x in (("deep", {"v": str(v)}), ("null_boolean", {"sentinel": "-1"}))]
+
+
 def test_own_probe_can_be_added(spark):
     probes.register("length", lambda s, t: probes.fired(probes.signal(F.length(s) != F.length(t), "recon_config", 0.1, "lengths differ")))
     try:
