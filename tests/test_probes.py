@@ -136,6 +136,13 @@ def test_others(spark, name, staged):
         assert got == want, (s, t)
 
 
+def test_four_tenths_are_less_than_a_millionth_from_400000_on(spark):
+    """The pairs of q_probe_numeric_small about the key where the reference's rule changes."""
+    pairs = [(f"{k + 1000}.5", f"{k + 1000}.9") for k in (0, 398_999, 399_000, 8_999_999)]
+    want = [[("type_precision", x)] for x in (0.6, 0.6, 0.7, 0.7)]
+    assert found(spark, pairs, ["numeric"], True) == want == [numeric_oracle(*map(Decimal, p)) for p in pairs]
+
+
 def test_odd_texts_fire_no_numeric_or_temporal_probe(spark):
     odd = [("nan", "1"), ("1e400", "2"), ("9" * 30, "1"), ("-", "."), (None, "1"), ("", "1"), ("1,5", "1.5"), ("0x1", "1")]
     assert found(spark, odd, ["numeric", "temporal"], True) == [[]] * len(odd)
