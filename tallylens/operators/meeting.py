@@ -207,8 +207,9 @@ def _numbered(rows: DataFrame, on: list[str]) -> DataFrame:
     before = Window.partitionBy(*on).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*on, "part", F.coalesce(F.sum("d").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy(*on, "part").orderBy("h0", "h1").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("base") + F.coalesce(F.sum("d").over(within), F.lit(0))
-    placed = rows.join(sums, [*on, "part"]).withColumn("first", first).drop("part", "base")
+    rows = rows.withColumn("before", F.coalesce(F.sum("d").over(within), F.lit(0)))
+    # A join that broadcasts the rows would leave all of a key where its sums are, in one task.
+    placed = rows.join(sums.hint("merge"), [*on, "part"]).withColumn("first", F.col("base") + F.col("before")).drop("part", "base", "before")
     runs = placed.withColumn("run", F.explode(F.expr(f"sequence(0L, (d - 1) div {RUN})")))
     size = f"least({RUN}, d - run * {RUN})"
     return runs.withColumn("copy", F.explode(F.expr(f"sequence(first + run * {RUN} + 1, first + run * {RUN} + {size})"))).drop("first", "run", "d", "h0", "h1")

@@ -86,6 +86,15 @@ def test_copies_of_one_key_are_spread_and_equal_brute_force(spark):
     assert len(each) > 1 and max(r["n"] for r in each) < 0.6 * total
 
 
+def test_few_rows_of_many_copies_are_spread_whichever_side_is_smaller(spark):
+    """Once the rows were the first side to be ready, their join broadcast them, and all copies stood in one task."""
+    hot = spark.range(1000).select(F.lit(7).alias("j0"), F.lit(False).alias("z0"), *[F.xxhash64(F.lit(k), "id").alias(f"h{k}") for k in (0, 1)], (1 + F.col("id") % 300).alias("d"))
+    numbered = meeting._numbered(hot, ["j0", "z0"])
+    assert "Broadcast" not in numbered._jdf.queryExecution().executedPlan().toString()
+    total = sum(1 + k % 300 for k in range(1000))
+    assert numbered.agg(F.count(F.lit(1)), F.count_distinct("copy"), F.min("copy"), F.max("copy")).first() == (total, total, 1, total)
+
+
 def test_nulls_in_different_columns_are_different_rows(spark):
     s = spark.createDataFrame([(1, None, "x"), (1, "y", None)], "k int, a string, b string")
     t = spark.createDataFrame([(1, "x", None), (1, "y", None)], "k int, a string, b string")
